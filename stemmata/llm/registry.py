@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, quality
+from . import ann, chat, htmltext, packing, quality, simhash, urlfilter
 
 MODULES = {
+    "op1_url_filter": urlfilter,
+    "op3_simhash_variants": simhash,
+    "op4_variable_packing": packing,
     "op5_quality_rules": quality,
+    "op7_block_neighbours": ann,
     "op8_chat_perspectives": chat,
+    "op10_page_differencing": htmltext,
 }
 
 
