@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import ann, chat, htmltext, packing, quality, simhash, urlfilter
+from . import ann, bpe, chat, htmltext, packing, quality, simhash, urlfilter
 
 MODULES = {
     "op1_url_filter": urlfilter,
     "op3_simhash_variants": simhash,
     "op4_variable_packing": packing,
     "op5_quality_rules": quality,
+    "op6_recursive_bpe": bpe,
     "op7_block_neighbours": ann,
     "op8_chat_perspectives": chat,
     "op10_page_differencing": htmltext,
