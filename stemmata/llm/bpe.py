@@ -38,14 +38,14 @@ SHORT = (1 << 10) - 1
 LATIN = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f"
 NUMBERS = r"0-9\xb2\xb3\xb9\xbc-\xbe"
 SPACE = r"\t-\r \x85\xa0"
-SPACES = SPACE + r"  -     　"
+SPACES = SPACE + r"\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def splitter(pattern: str):
     """text -> its matches. The classes of `pattern` are written out: for texts below U+0180 in `re`, else in `regex`."""
     full = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^{SPACES}\p{{L}}\p{{N}}]").replace(r"\S", f"[^{SPACES}]").replace(r"\s", f"[{SPACES}]"))
     fast = re.compile(pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{SPACE}{LATIN}{NUMBERS}]").replace(r"\p{L}", f"[{LATIN}]").replace(r"\p{N}", f"[{NUMBERS}]").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]"))
-    other = re.compile(r"[^\x00-ſ]")
+    other = re.compile(r"[^\x00-\u017f]")
     return lambda text: (full if other.search(text) else fast).findall(text)
 
 
