@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, htmltext, packing, quality, simhash, urlfilter
+from . import ann, bpe, chat, htmltext, packing, quality, simhash, substring, urlfilter
 
 MODULES = {
     "op1_url_filter": urlfilter,
@@ -12,6 +12,7 @@ MODULES = {
     "op6_recursive_bpe": bpe,
     "op7_block_neighbours": ann,
     "op8_chat_perspectives": chat,
+    "op9_automaton_repeats": substring,
     "op10_page_differencing": htmltext,
 }
 
