@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, htmltext, packing, quality, simhash, substring, urlfilter
+from . import ann, bpe, chat, htmltext, katz, packing, quality, simhash, substring, urlfilter
 
 MODULES = {
     "op1_url_filter": urlfilter,
+    "op2_katz_backoff": katz,
     "op3_simhash_variants": simhash,
     "op4_variable_packing": packing,
     "op5_quality_rules": quality,
