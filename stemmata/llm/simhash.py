@@ -105,23 +105,49 @@ def _near(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
 
 
 def forest(rep: np.ndarray, fp: np.ndarray, most: int, step: int = 256) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Edges (node, root) of a spanning star per component among the rows. Memory: step x rows."""
+    """Edges (node, nearest row of the front that reached it) of a spanning tree per component. Memory: step x rows."""
     left, out_a, out_b = np.arange(len(rep)), [], []
     while len(left) > 1:
-        root, front, left = left[0], left[:1], left[1:]
+        front, left = left[:1], left[1:]
         while len(front) and len(left):
-            hit = np.zeros(len(left), bool)
+            low, by = np.full(len(left), most + 1, np.int32), np.zeros(len(left), np.int64)
             for i in range(0, len(front), step):
-                rest = np.nonzero(~hit)[0]
-                hit[rest] |= _near(fp[front[i : i + step], None], fp[None, left[rest]], most).any(axis=0)
+                rest = np.nonzero(low > most)[0]  # a row that is reached is done
+                if not len(rest):
+                    break
+                far = np.bitwise_count(fp[front[i : i + step], None] ^ fp[None, left[rest]]).sum(axis=-1, dtype=np.int32)
+                at = far.argmin(axis=0)
+                low[rest], by[rest] = far[at, np.arange(len(rest))], front[i + at]
+            hit = low <= most
+            out_a.append(rep[left[hit]])
+            out_b.append(rep[by[hit]])
             front, left = left[hit], left[~hit]
-            out_a.append(rep[front])
-            out_b.append(np.full(len(front), rep[root]))
     return out_a, out_b
 
 
-def _edges_of_runs(k: np.ndarray, rep: np.ndarray, fp: np.ndarray, most: int, small: int = 6) -> tuple[np.ndarray, np.ndarray]:
-    """Edges within runs of equal k (sorted): short runs by shifted comparison of the whole array, long ones by forest()."""
+def nearest_tree(rep: np.ndarray, fp: np.ndarray, most: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Edges of a minimum spanning forest by distance (Prim): it holds a nearest neighbour of every row."""
+    n = len(rep)
+    low, by, open_ = np.full(n, 1 << 20, np.int32), np.zeros(n, np.int64), np.ones(n, bool)
+    out: list[tuple[int, int]] = []
+    at = 0
+    for _ in range(n - 1):
+        open_[at] = False
+        low[at] = 1 << 20
+        far = np.bitwise_count(fp ^ fp[at]).sum(axis=-1, dtype=np.int32)
+        better = open_ & (far < low)
+        low[better], by[better] = far[better], at
+        at = int(low.argmin())
+        if low[at] <= most:
+            out.append((at, int(by[at])))
+        elif not open_[at]:
+            at = int(open_.argmax())
+    e = np.array(out, np.int64).reshape(-1, 2)
+    return [rep[e[:, 0]]], [rep[e[:, 1]]]
+
+
+def _edges_of_runs(k: np.ndarray, rep: np.ndarray, fp: np.ndarray, most: int, tree=forest, small: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """Edges within runs of equal k (sorted): short runs by shifted comparison of the whole array, long ones by tree()."""
     if len(k) < 2:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     starts = np.concatenate(([0], np.nonzero(k[1:] != k[:-1])[0] + 1, [len(k)]))
@@ -137,13 +163,13 @@ def _edges_of_runs(k: np.ndarray, rep: np.ndarray, fp: np.ndarray, most: int, sm
         b.append(rep[i + s])
     for g in np.nonzero(sizes > small)[0]:
         p, q = starts[g], starts[g + 1]
-        x, y = forest(rep[p:q], fp[p:q], most)
+        x, y = tree(rep[p:q], fp[p:q], most)
         a += x
         b += y
     return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
-def links(reps: DataFrame, words: int = 1, segments: int = 3, most: int = 4, tile: int = 4096) -> DataFrame:
+def links(reps: DataFrame, words: int = 1, segments: int = 3, most: int = 4, tile: int = 4096, tree=forest) -> DataFrame:
     """a, b: edges between rep values that connect whatever fingerprints share a variant and differ in at most `most` bits.
 
     Complete if segments > most // 2. reps: rep, fp0 .. with distinct fingerprints.
@@ -197,7 +223,7 @@ def links(reps: DataFrame, words: int = 1, segments: int = 3, most: int = 4, til
 
     def flush(done) -> Iterator[pa.RecordBatch]:
         k, rep, fp = done
-        a, b = _edges_of_runs(k, rep, fp, most)
+        a, b = _edges_of_runs(k, rep, fp, most, tree)
         if len(a):
             yield rows(0, 0, a, b, None, 0, 0)
 
@@ -210,25 +236,67 @@ def links(reps: DataFrame, words: int = 1, segments: int = 3, most: int = 4, til
         rep = table.column("rep").to_numpy()
         order = np.argsort(rep, kind="stable")
         fp = np.stack([table.column(f).to_numpy() for f in fps], axis=1).view(np.uint64)
-        a, b = forest(rep[order], fp[order], most)
+        a, b = tree(rep[order], fp[order], most)
         return pa.table({"a": pa.array(np.concatenate(a or [np.empty(0, np.int64)])), "b": pa.array(np.concatenate(b or [np.empty(0, np.int64)]))})
 
     hot = tiles.groupBy("k", "i", "j").applyInArrow(within, "a long, b long")
     return found.where("kind = 0").select("a", "b").unionByName(hot)
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, words: int = 1, segments: int = 3, most: int = 4, distinct: bool = False) -> DataFrame:
-    """id, fp0 .., component: a row for each row of docs."""
+def similar(docs: DataFrame, edges: DataFrame, key: str, text: str, similarity: float, shingle: int = 5, most_ids: int = 4_000_000) -> DataFrame:
+    """The edges (a, b) whose documents' sets of word shingles have a Jaccard similarity of at least `similarity`."""
+    edges = saved(edges.distinct())
+    ids = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = F.broadcast(ids) if ids.count() <= most_ids else ids  # 32 MB at most; a shuffle beyond
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [np.unique(shingle_hashes(t, shingle).astype(np.uint32)).tobytes() for t in b.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["id", "set"])
+
+    asked = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).join(ids, "id", "left_semi")
+    own = asked.mapInArrow(sets, "id long, set binary").groupBy("id").agg(F.min("set").alias("set"))
+    pairs = edges.join(own.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, words: int = 1, segments: int = 3, most: int = 4, distinct: bool = False, similarity: float | None = None) -> DataFrame:
+    """id, fp0 .., component: a row for each row of docs. With similarity, only links of at least that Jaccard similarity count."""
     fps = [f"fp{w}" for w in range(words)]
     every = saved(fingerprints(docs, key, text, shingle, words, distinct))
     reps = every.where("id IS NOT NULL").groupBy(*fps).agg(F.min("id").alias("rep"))
-    groups = connected(links(reps, words, segments, most))
+    edges = links(reps, words, segments, most, tree=nearest_tree if similarity else forest)
+    groups = connected(similar(docs, edges, key, text, similarity) if similarity else edges)
     of = reps.join(groups, reps["rep"] == groups["node"], "left").select(*fps, F.coalesce("component", "rep").alias("component"))
     # few fingerprints may hold most rows: the table of fingerprints is the small side, and a skewed join splits
     out = every.join(of, fps, "left")
     return out.select("id", *fps, F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
 
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 2, words: int = 2, segments: int = 3, most: int = 22, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs but those near-duplicate to a row with a smaller id; all columns.
+
+    A pair whose five-word shingles have a Jaccard similarity of 0.8 differs in about 10 of 64 bits of a five-word
+    SimHash, beyond what deletion variants of three segments find. So this form takes the distinct two-word shingles,
+    whose sets change far less by the same edits, and 128 bits: at similarity 0.8 about 12 of 128 bits differ, and in
+    95 of 100 pairs one of the six segments by at most one. Candidate links are then verified by their exact five-word
+    Jaccard similarity. Rows with a null id stay; rows of one id stay or go together.
+    """
+    groups = near_duplicates(docs, key, text, shingle, words, segments, most, distinct=True, similarity=similarity)
+    gone = groups.where("id <> component").select(F.col("id").alias("_gone")).distinct()
+    return docs.join(gone, docs[f"`{key}`"] == gone["_gone"], "left_anti")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = near_duplicates(docs)
