@@ -39,7 +39,7 @@ def row_counts(tables: dict[str, DataFrame], manifest: DataFrame) -> DataFrame:
 def doc_markers(docs: DataFrame, text: str) -> DataFrame:
     """path, told: the numbers that a document marks as `n<!--f:path-->`."""
     pairs = F.explode(F.regexp_extract_all(F.col(text), F.lit(r"([\d.,]+<!--f:[\w./-]+-->)"), F.lit(1))).alias("m")
-    return docs.select(pairs).select(F.regexp_extract("m", r"f:([\w./-]+)", 1).alias("path"), F.regexp_replace(F.regexp_extract("m", r"^([\d.,]+)", 1), ",", "").alias("told"))
+    return docs.select(pairs).select(F.regexp_extract("m", r"f:([\w./-]+?)-->", 1).alias("path"), F.regexp_replace(F.regexp_extract("m", r"^([\d.,]+)", 1), ",", "").alias("told"))
 
 
 def file_hashes(spark, path: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 STANCES = ("affirms", "doubts", "denies", "unrelated")
 #: Weights of evidence verdicts in a final score.
@@ -26,7 +27,7 @@ def labelled(rows: DataFrame, labeler: Callable[[str], str], text: str, label: s
             known = {t: labeler(t) for t in b[text].dropna().unique()}
             yield b.assign(**{label: b[text].map(known)})
 
-    return rows.mapInPandas(run, rows.schema.add(label, "string"))
+    return rows.mapInPandas(run, StructType([*rows.schema.fields, StructField(label, StringType())]))
 
 
 def memoised(rows: DataFrame, stored: DataFrame, keys: list[str], labeler: Callable[[str], str], text: str) -> DataFrame:
