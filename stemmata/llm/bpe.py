@@ -29,6 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 LONG, BLOCK, CACHE, MEMORY, ROWS = 512, 3_000_000, 400_000, "256MB", 3_000_000
 POSITION = 26  # bits of a byte position within a word
@@ -215,7 +216,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.int32()))], [*b.schema.names, ids])
 
     base = docs.drop(ids)
-    return base.mapInArrow(run, base.schema.add(ids, "array<int>"))
+    return base.mapInArrow(run, StructType([*base.schema.fields, StructField(ids, ArrayType(IntegerType()))]))
 
 
 def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -229,7 +230,7 @@ def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids", text: str
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([None if x is None else back.get(i, b"") for i, x in enumerate(given)], pa.binary())], [*b.schema.names, text])
 
     base = rows.drop(text)
-    return base.mapInArrow(run, base.schema.add(text, "binary"))
+    return base.mapInArrow(run, StructType([*base.schema.fields, StructField(text, BinaryType())]))
 
 
 def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
