@@ -80,3 +80,23 @@ def handles(events: DataFrame, agents: DataFrame) -> DataFrame:
 def leaks(texts: DataFrame, text: str, names: Iterable[str] = ()) -> DataFrame:
     """Rows whose text still holds something that mask() would change."""
     return texts.where(F.col(text) != mask(F.col(text), names))
+
+
+def mask_nested(df: DataFrame, keep: Iterable[str] = (), names: Iterable[str] = ()) -> DataFrame:
+    """df with every string masked, in structs and arrays of any depth, but in fields named in `keep`."""
+    from pyspark.sql.types import ArrayType, DataType, StringType, StructType
+
+    kept = set(keep)
+
+    def deep(c: Column, kind: DataType, name: str) -> Column:
+        if name in kept:
+            return c
+        if isinstance(kind, StringType):
+            return mask(c, names)
+        if isinstance(kind, ArrayType):
+            return F.transform(c, lambda x: deep(x, kind.elementType, name))
+        if isinstance(kind, StructType):
+            return F.when(c.isNotNull(), F.struct(*[deep(c.getField(f.name), f.dataType, f.name).alias(f.name) for f in kind.fields]))
+        return c
+
+    return df.select(*[deep(F.col(f"`{f.name}`"), f.dataType, f.name).alias(f.name) for f in df.schema.fields])
