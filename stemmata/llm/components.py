@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of the cluster; a local one only where the session names none, as in tests."""
     sc = spark.sparkContext
-    have = sc.getConf().get("spark.checkpoint.dir", None)
+    have = spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(have or "file://" + tempfile.mkdtemp(prefix="ckpt-"))
     return have or os.fspath(sc._jsc.sc().getCheckpointDir().get())

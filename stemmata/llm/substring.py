@@ -32,25 +32,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blobs import chunk_of, hash_bounds, packed, text_bytes, unpacked
+
 WINDOW, CHUNK, BUCKET, STATES = 13, 8 << 20, 3_000_000, 50_000
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)  # fixed values: odd multipliers of public mixers
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def packed(a: np.ndarray) -> bytes:
-    """Numbers as compressed byte planes."""
-    return zstandard.compress(np.ascontiguousarray(a.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
-
-
-def unpacked(b: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(b), np.uint8)
-    return np.ascontiguousarray(raw.reshape(8, -1).T).reshape(-1).view("<i8").copy()
-
-
 class Chunk:
     """The words of a chunk's rows, in order of (id, text), and its windows."""
 
@@ -86,11 +77,6 @@ class Chunk:
         self.key[self.sort] = np.cumsum(new) - 1
 
 
-def bounds(buckets: int) -> np.ndarray:
-    """The smallest hash of each bucket but the first."""
-    return np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
-
-
 class Automaton:
     """A suffix automaton over numbers."""
 
@@ -171,7 +157,7 @@ def _runs(good: np.ndarray, at: np.ndarray, *same: np.ndarray) -> tuple[np.ndarr
 
 def repeated_spans(dealt: DataFrame, key: str, text: str, chunk: str, buckets: int, window: int) -> DataFrame:
     """chunk, rows, starts, at, n: in each of `rows` (index in order of id and text), words from starts + at, n windows."""
-    edge = bounds(buckets)
+    edge = hash_bounds(buckets)
 
     def load(table: pa.Table) -> Chunk:
         return Chunk(table.column(key).to_pylist(), table.column(text).cast(pa.binary()).to_pylist(), window)
@@ -277,14 +263,13 @@ def cut(text: bytes, gone: np.ndarray) -> bytes:
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, digest: bool = False, chunk_bytes: int = CHUNK, bucket_words: int = BUCKET) -> DataFrame:
     """The rows of docs with their texts cut. With digest, instead: key, n_words, n_removed, kept_sha256."""
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    total = text_bytes(docs, text)
     chunks, buckets = max(1, -(-total // chunk_bytes)), max(1, -(-total // (6 * bucket_words)))
     names = docs.columns
     inner = [f"c{i}" for i in range(len(names))]  # any names, clashing ones too, pass through under these
     k, t = inner[names.index(key)], inner[names.index(text)]
     plain = docs.toDF(*inner)
-    where = F.pmod(F.when(F.col(k).isNull(), F.xxhash64(t)).otherwise(F.xxhash64(k)), F.lit(chunks))
-    dealt = plain.withColumn("_chunk", where)
+    dealt = plain.withColumn("_chunk", chunk_of(k, t, chunks))
     spans = repeated_spans(dealt.select(k, t, "_chunk") if digest else dealt, k, t, "_chunk", buckets, window)
     schema = plain.schema
     form = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
