@@ -89,11 +89,15 @@ def _cuts(segments: int) -> list[tuple[int, int]]:
 
 
 def variants(reps: DataFrame, words: int, segments: int) -> DataFrame:
-    """k, rep, fp*: a row for every bit of every word, with that bit wild in its segment."""
+    """k, rep, fp*: a row for every segment as it is, and for every bit of every word, with that bit wild in its segment.
+
+    Rows of equal segments meet under the whole segment; under a wild bit only rows that differ in it need to meet.
+    """
     keys = []
     for w in range(words):
-        for shift, size in _cuts(segments):
+        for n, (shift, size) in enumerate(_cuts(segments)):
             part = F.shiftrightunsigned(F.col(f"fp{w}"), shift).bitwiseAND(F.lit((1 << size) - 1).cast("long"))
+            keys.append(part.bitwiseOR(F.lit((words * 64 + w * segments + n) << 32).cast("long")))
             for j in range(size):
                 keys.append(part.bitwiseAND(F.lit(((1 << size) - 1) & ~(1 << j)).cast("long")).bitwiseOR(F.lit((w * 64 + shift + j) << 32).cast("long")))
     return reps.select(F.explode(F.array(*keys)).alias("k"), "rep", *[f"fp{w}" for w in range(words)])
@@ -104,20 +108,33 @@ def _near(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int32) <= most
 
 
-def forest(rep: np.ndarray, fp: np.ndarray, most: int, step: int = 256) -> tuple[list[np.ndarray], list[np.ndarray]]:
+FAR = 1 << 20
+
+
+def _distances(x: np.ndarray, y: np.ndarray, sx: np.ndarray | None, sy: np.ndarray | None) -> np.ndarray:
+    """Differing bits of each row of x and each of y; rows of one side are no pair."""
+    far = np.bitwise_count(x[:, None] ^ y[None]).sum(axis=-1, dtype=np.int32)
+    if sx is not None:
+        far[sx[:, None] == sy[None]] = FAR
+    return far
+
+
+def forest(rep: np.ndarray, fp: np.ndarray, most: int, side: np.ndarray | None = None, step: int = 256) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Edges (node, nearest row of the front that reached it) of a spanning tree per component. Memory: step x rows."""
     left, out_a, out_b = np.arange(len(rep)), [], []
+    of = lambda i: None if side is None else side[i]
     while len(left) > 1:
         front, left = left[:1], left[1:]
         while len(front) and len(left):
-            low, by = np.full(len(left), most + 1, np.int32), np.zeros(len(left), np.int64)
+            low, by = np.full(len(left), FAR, np.int32), np.zeros(len(left), np.int64)
             for i in range(0, len(front), step):
                 rest = np.nonzero(low > most)[0]  # a row that is reached is done
                 if not len(rest):
                     break
-                far = np.bitwise_count(fp[front[i : i + step], None] ^ fp[None, left[rest]]).sum(axis=-1, dtype=np.int32)
+                f = front[i : i + step]
+                far = _distances(fp[f], fp[left[rest]], of(f), of(left[rest]))
                 at = far.argmin(axis=0)
-                low[rest], by[rest] = far[at, np.arange(len(rest))], front[i + at]
+                low[rest], by[rest] = far[at, np.arange(len(rest))], f[at]
             hit = low <= most
             out_a.append(rep[left[hit]])
             out_b.append(rep[by[hit]])
@@ -125,18 +142,29 @@ def forest(rep: np.ndarray, fp: np.ndarray, most: int, step: int = 256) -> tuple
     return out_a, out_b
 
 
-def nearest_tree(rep: np.ndarray, fp: np.ndarray, most: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def nearest_tree(rep: np.ndarray, fp: np.ndarray, most: int, side: np.ndarray | None = None) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Edges of a minimum spanning forest by distance (Prim): it holds a nearest neighbour of every row."""
     n = len(rep)
-    low, by, open_ = np.full(n, 1 << 20, np.int32), np.zeros(n, np.int64), np.ones(n, bool)
+    if side is not None:  # rows without a partner within reach only cost rounds
+        near = np.zeros(n, bool)
+        one, two = np.nonzero(side == 0)[0], np.nonzero(side != 0)[0]
+        for i in range(0, len(one), 256):
+            hit = _distances(fp[one[i : i + 256]], fp[two], None, None) <= most
+            near[one[i : i + 256]] |= hit.any(axis=1)
+            near[two] |= hit.any(axis=0)
+        rep, fp, side = rep[near], fp[near], side[near]
+        n = len(rep)
+    low, by, open_ = np.full(n, FAR, np.int32), np.zeros(n, np.int64), np.ones(n, bool)
     out: list[tuple[int, int]] = []
     at = 0
     for _ in range(n - 1):
         open_[at] = False
-        low[at] = 1 << 20
         far = np.bitwise_count(fp ^ fp[at]).sum(axis=-1, dtype=np.int32)
+        if side is not None:
+            far[side == side[at]] = FAR
         better = open_ & (far < low)
         low[better], by[better] = far[better], at
+        low[at] = FAR + 1
         at = int(low.argmin())
         if low[at] <= most:
             out.append((at, int(by[at])))
@@ -150,20 +178,25 @@ def _edges_of_runs(k: np.ndarray, rep: np.ndarray, fp: np.ndarray, most: int, tr
     """Edges within runs of equal k (sorted): short runs by shifted comparison of the whole array, long ones by tree()."""
     if len(k) < 2:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    starts = np.concatenate(([0], np.nonzero(k[1:] != k[:-1])[0] + 1, [len(k)]))
-    sizes = np.diff(starts)
+    bit = k >> 32
+    wild = bit < 64 * fp.shape[1]
+    side = np.where(wild, (fp[np.arange(len(k)), np.where(wild, bit // 64, 0)] >> (bit % 64).astype(np.uint64)) & np.uint64(1), np.uint64(0)).astype(np.int8)
+    starts = np.concatenate(([0], np.nonzero(k[1:] != k[:-1])[0] + 1))
+    sizes = np.diff(np.concatenate((starts, [len(k)])))
+    mixed = ~wild[starts] | (np.minimum.reduceat(side, starts) != np.maximum.reduceat(side, starts))
     a, b = [], []
-    short = np.repeat(sizes <= small, sizes)
+    short = np.repeat((sizes <= small) & (sizes > 1) & mixed, sizes)
     for s in range(1, small):
         i = np.nonzero(short[:-s] & (k[s:] == k[:-s]))[0]
         if not len(i):
             break
+        i = i[~wild[i] | (side[i] != side[i + s])]
         i = i[_near(fp[i], fp[i + s], most)]
         a.append(rep[i])
         b.append(rep[i + s])
-    for g in np.nonzero(sizes > small)[0]:
-        p, q = starts[g], starts[g + 1]
-        x, y = tree(rep[p:q], fp[p:q], most)
+    for g in np.nonzero((sizes > small) & mixed)[0]:
+        p, q = starts[g], starts[g] + sizes[g]
+        x, y = tree(rep[p:q], fp[p:q], most, side[p:q] if wild[p] else None)
         a += x
         b += y
     return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64), np.empty(0, np.int64))
