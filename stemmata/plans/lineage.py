@@ -12,7 +12,7 @@ from ..operators import lineage as L
 from ..operators.temporal import episodes
 from .relational import scaled
 from .registry import query
-from .views import BASE, LINE, LIVES, MEM, SNAP, final_k, hashed_lines, memory, snapshot_keys, table
+from .views import BASE, LINE, LIVES, MEM, SNAP, final_k, hashed_lines, memory, snapshot_keys, table, texts
 
 
 @query("q00_spread_and_survival", f"WITH {BASE}, f AS (SELECT agent, max(k) AS final_k FROM snap GROUP BY agent) SELECT h, count(*) AS agents, sum(versions)::BIGINT AS versions, sum(last_k - first_k)::BIGINT AS rewrites, count(*) FILTER (last_k = final_k) AS alive, min(first_k) AS first_k FROM lives JOIN f ON lives.agent = f.agent GROUP BY h")
@@ -35,7 +35,7 @@ NORMAL = r"trim(regexp_replace(ltrim(regexp_replace(regexp_replace(regexp_replac
 
 @query("q17_normalize_lines", rf"WITH {SNAP}, r AS (SELECT agent, unnest(string_split(content, chr(10))) AS x FROM snap), n AS (SELECT agent, {NORMAL} AS line FROM r WHERE NOT regexp_matches(x, '^[\s\-_=*#~.]*$')) SELECT agent, substr(sha256(line), 1, 24) AS h, length(line) AS chars, count(*) AS n FROM n WHERE length(line) >= 3 GROUP BY 1, 2, 3")
 def normalize_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(F.col("source").alias("agent"), F.explode(lines(F.col("text"))).alias("line"))
+    d = texts(spark, sf_dir, "source", "text").select(F.col("source").alias("agent"), F.explode(lines(F.col("text"))).alias("line"))
     return d.groupBy("agent", digest(F.col("line")).alias("h"), F.char_length("line").cast("long").alias("chars")).agg(F.count("*").alias("n"))
 
 
@@ -47,7 +47,7 @@ SHOUT = r"length(regexp_replace(t, '[^\p{L}]', '', 'g')) >= 4 AND length(t) <= 8
  s AS (SELECT *, last_value(head IGNORE NULLS) OVER (PARTITION BY id ORDER BY i) AS sec FROM g) SELECT substr(sec, 1, 60) AS section, count(*) AS lines, count(DISTINCT id) AS versions FROM s WHERE head IS NULL AND length(line) >= 3 GROUP BY 1""")
 def section_ffill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines under the last heading above them, inside one row's array order; the window stays within a document."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.posexplode(raw_lines(F.col("text"))).alias("pos", "raw"))
+    d = texts(spark, sf_dir, "doc_id", "text").select(F.col("doc_id").alias("id"), F.posexplode(raw_lines(F.col("text"))).alias("pos", "raw"))
     from ..functions.text import normalized
 
     d = d.withColumn("head", heading(F.col("raw"))).withColumn("line", normalized(F.col("raw")))
@@ -91,7 +91,7 @@ DISPUTES = rf"disputes AS (SELECT l.h, count(DISTINCT x.h) AS disputes FROM line
 
 def disputes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """h, disputes: distinct disputing lines in the versions that hold a line. The pattern meets each distinct line of a version once."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode(F.split("text", "\n")).alias("line"))
+    d = texts(spark, sf_dir, "doc_id", "text").select(F.col("doc_id").alias("id"), F.explode(F.split("text", "\n")).alias("line"))
     d = d.withColumn("line", F.trim("line")).where(F.char_length("line") >= 3)
     d = d.select("id", digest(F.col("line")).alias("h"), F.lower("line").rlike(DISPUTE).alias("against"))
     against = d.where("against").select("id", F.col("h").alias("x"))
@@ -166,7 +166,7 @@ def line_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q46_anchors")
 def anchor_births(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Births of strong anchors: extraction runs once over distinct lines, then joins back by digest."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode(lines(F.col("text"))).alias("line"))
+    d = texts(spark, sf_dir, "doc_id", "text").select(F.col("doc_id").alias("id"), F.explode(lines(F.col("text"))).alias("line"))
     d = d.withColumn("h", digest(F.col("line")))
     dim = d.where(F.col("line").rlike(r"[\d\"“@]|https?:")).groupBy("h").agg(F.min("line").alias("line")).select("h", "line", F.explode(anchors_udf(body(F.col("line")))).alias("anchor"))
     held = d.select("id", "h").join(dim.where(strong(F.col("anchor"))), "h").join(snapshot_keys(spark, sf_dir), "id")
@@ -178,7 +178,7 @@ def anchor_births(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q47_line_pairing")
 def line_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Added, changed and vanished lines of consecutive versions, similar ones paired."""
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.posexplode(lines(F.col("text"))).alias("pos", "line")).join(snapshot_keys(spark, sf_dir).select("id", "agent", "k"), "id")
+    rows = texts(spark, sf_dir, "doc_id", "text").select(F.col("doc_id").alias("id"), F.posexplode(lines(F.col("text"))).alias("pos", "line")).join(snapshot_keys(spark, sf_dir).select("id", "agent", "k"), "id")
     changes = L.multiset_diff(rows)
     place = rows.groupBy("agent", "k", "line").agg(F.min("pos").alias("pos"))
     old = place.select("agent", (F.col("k") + 1).alias("k"), "line", (F.col("pos")).alias("old"))

@@ -13,7 +13,7 @@ from .lineage import COPY, copies
 from .registry import query
 from .relational import scaled
 from .timeline import TRAIL, trail_status
-from .views import SNAP, STANCE, snapshot_keys, stances, table
+from .views import SNAP, STANCE, snapshot_keys, stances, table, texts
 
 MAIL = r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+(\.[A-Za-z0-9_-]+)+"
 WORD = r"(?i)\b(password|passcode|passwd|pwd|credential|secret|api[ _-]?key|access[ _-]?token|token)s?\b([^\n\"“”'']{0,25}?)([\"“''])([^\"”''\n]{4,})([\"”''])"
@@ -32,17 +32,18 @@ SQUASH = "lower(trim(regexp_replace({x}, '[\\s]+', ' ', 'g')))"
 
 @query("q40_quote_containment", f"WITH q AS (SELECT item_id, {SQUASH.format(x='text')} AS q, split_part({SQUASH.format(x='text')}, ' ', 2) || ' ' || split_part({SQUASH.format(x='text')}, ' ', 3) || ' ' || split_part({SQUASH.format(x='text')}, ' ', 4) || ' ' || split_part({SQUASH.format(x='text')}, ' ', 5) AS gram FROM benchmark) SELECT doc_id, item_id FROM documents JOIN q ON contains({SQUASH.format(x='text')}, substr(q, 1, 60))")
 def quote_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which documents hold the start of a benchmark passage: an equality join on word runs finds candidates, containment decides.
+    """Which documents hold the start of a benchmark passage: an equality join on a word finds candidates, containment decides.
 
-    A quote's second to fifth word stand whole in whatever row holds its first 60 characters.
+    The longest of the words that stand whole within a quote's first 60 characters (all but the first and the last) must
+    be a word of any document that holds them; a quote of fewer than three words there has none and is not looked for.
     """
-    quotes = table(spark, sf_dir, "benchmark").select("item_id", squashed(F.col("text")).alias("q"))
-    quotes = quotes.select("item_id", F.substring("q", 1, 60).alias("q"), F.xxhash64(F.slice(F.split("q", " "), 2, 4)).alias("gram"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", squashed(F.col("text")).alias("t"))
-    grams = table(spark, sf_dir, "documents").select("doc_id", F.split(squashed(F.col("text")), " ").alias("w"))
-    marks = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 4, F.lit(0))), lambda i: F.xxhash64(F.slice("w", i + 1, 4)))
-    grams = grams.select("doc_id", F.explode(F.array_distinct(marks)).alias("gram"))
-    found = grams.join(quotes, "gram").select("doc_id", "item_id", "q")
+    quotes = table(spark, sf_dir, "benchmark").select("item_id", F.substring(squashed(F.col("text")), 1, 60).alias("q"))
+    words = F.split("q", " ")
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    quotes = quotes.select("item_id", "q", F.array_max(F.transform(inner, lambda x: F.struct(F.char_length(x).alias("n"), x.alias("word"))))["word"].alias("word"))
+    docs = texts(spark, sf_dir, "doc_id", "text").select("doc_id", squashed(F.col("text")).alias("t"))
+    marks = texts(spark, sf_dir, "doc_id", "text").select("doc_id", F.explode(F.array_distinct(F.split(squashed(F.col("text")), " "))).alias("word"))
+    found = marks.join(quotes, "word").select("doc_id", "item_id", "q")
     return found.join(docs, "doc_id").where(F.contains("t", "q")).select("doc_id", "item_id").distinct()
 
 

@@ -18,6 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df on at least as many partitions as there are cores: a small file of one row group is one task otherwise.
+
+    A large table has more partitions than that and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
+def texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The named columns of documents, for work on their texts."""
+    return spread(table(spark, sf_dir, "documents").select(*columns))
+
+
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, agent, minute, content, k."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("agent"), F.col("doc_id").alias("minute"), F.col("text").alias("content"))
@@ -32,7 +46,7 @@ def snapshot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, agent, pos, line: trimmed lines of at least three characters, before any shuffle."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("agent"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    d = texts(spark, sf_dir, "doc_id", "source", "text").select(F.col("doc_id").alias("id"), F.col("source").alias("agent"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     return d.withColumn("line", F.trim("line")).where(F.char_length("line") >= 3)
 
 

@@ -69,10 +69,7 @@ def test_streaming_labels_each_line_once(spark, tmp_path):
     src, store = str(tmp_path / "in"), str(tmp_path / "store")
     for i in range(2):
         spark.createDataFrame([("a", "one"), (f"b{i}", "two")], schema).coalesce(1).write.mode("append").parquet(src)
-        q = live.label_as_they_come(spark.readStream.schema(schema).parquet(src), store, "h", "line", len_label, str(tmp_path / "cp"))
+        q = live.label_as_they_come(spark.readStream.schema(schema).parquet(src), store, "h", "line", lambda t: f"n{len(t)}", str(tmp_path / "cp"))
         q.awaitTermination()
     assert sorted(r.h for r in spark.read.parquet(store).collect()) == ["a", "b0", "b1"]
 
-
-def len_label(t: str) -> str:
-    return f"n{len(t)}"
