@@ -71,15 +71,23 @@ def fingerprint(text: bytes | None, shingle: int = 4, words: int = 1, distinct:
     return out
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, words: int = 1, distinct: bool = False) -> DataFrame:
-    """id, fp0 .. fp{words-1} (signed 64-bit)."""
+def digest(text: bytes | None) -> int:
+    """A signed hash of the lower-cased words: texts of equal words have equal shingles."""
+    return xxhash.xxh64_intdigest(b" ".join((text or b"").lower().split()), SEED) - (1 << 63)
+
+
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, words: int = 1, distinct: bool = False, digests: bool = False) -> DataFrame:
+    """id, fp0 .. fp{words-1} (signed 64-bit); with digests, digest and size: a hash and the number of the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t, shingle, words, distinct) for t in b.column(1).cast(pa.binary()).to_pylist()], np.uint64).reshape(-1, words).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(fps[:, w]) for w in range(words)]], ["id", *[f"fp{w}" for w in range(words)]])
+            texts = b.column(1).cast(pa.binary()).to_pylist()
+            fps = np.array([fingerprint(t, shingle, words, distinct) for t in texts], np.uint64).reshape(-1, words).view(np.int64)
+            more = [pa.array([digest(t) for t in texts], pa.int64()), pa.array([len((t or b"").split()) for t in texts], pa.int64())] if digests else []
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(fps[:, w]) for w in range(words)], *more], [*[c.split()[0] for c in out.split(", ")]])
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(run, "id long, " + ", ".join(f"fp{w} long" for w in range(words)))
+    out = "id long, " + ", ".join(f"fp{w} long" for w in range(words)) + (", digest long, size long" if digests else "")
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(run, out)
 
 
 def _cuts(segments: int) -> list[tuple[int, int]]:
@@ -276,43 +284,103 @@ def links(reps: DataFrame, words: int = 1, segments: int = 3, most: int = 4, til
     return found.where("kind = 0").select("a", "b").unionByName(hot)
 
 
-def similar(docs: DataFrame, edges: DataFrame, key: str, text: str, similarity: float, shingle: int = 5, most_ids: int = 4_000_000) -> DataFrame:
-    """The edges (a, b) whose documents' sets of word shingles have a Jaccard similarity of at least `similarity`."""
-    edges = saved(edges.distinct())
-    ids = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def verified(rep: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], most: int, similarity: float, side: np.ndarray | None = None) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Edges of a spanning forest of the pairs within `most` bits whose sets have a Jaccard similarity of `similarity`.
+
+    Each such pair is tested unless a tree of pairs that passed holds both rows. Rows of one side are no pair.
+    """
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    names, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.split(ids, np.cumsum(size)[:-1])
+    mark = np.zeros(len(names), bool)
+    left, out_a, out_b = np.arange(len(rep)), [], []
+    while len(left) > 1:
+        front, left = [left[0]], left[1:]
+        while front and len(left):
+            f = front.pop()
+            near = _near(fp[left], fp[f], most) & (size[left] >= similarity * size[f]) & (size[f] >= similarity * size[left])
+            if side is not None:
+                near &= side[left] != side[f]
+            at = np.nonzero(near)[0]
+            if not len(at):
+                continue
+            mark[own[f]] = True
+            both = np.fromiter((np.count_nonzero(mark[own[i]]) for i in left[at]), np.int64, len(at))
+            mark[own[f]] = False
+            at = at[both >= similarity * (size[left[at]] + size[f] - both)]
+            out_a.append(rep[left[at]])
+            out_b.append(np.full(len(at), rep[f]))
+            front += left[at].tolist()
+            left = np.delete(left, at)
+    return out_a, out_b
+
+
+def similar(docs: DataFrame, reps: DataFrame, groups: DataFrame, key: str, text: str, words: int, most: int, similarity: float, shingle: int = 5, tile: int = 1024, room: int = 8 << 20, most_ids: int = 4_000_000) -> DataFrame:
+    """a, b: edges that connect whatever reps of one group differ in at most `most` bits and are `similarity` alike.
+
+    Alike is the Jaccard similarity of the sets of word shingles. A group of over `tile` rows or `room` bytes of sets is cut
+    into tiles that tasks take pair by pair. reps: rep, fp0 .., digest, size; groups: node, component.
+    """
+    fps = [f"fp{w}" for w in range(words)]
+    asked = reps.join(groups, reps["rep"] == groups["node"]).select("component", "rep", *fps, "digest", "size")
+    ids = groups.select(F.col("node").alias("id"))
     ids = F.broadcast(ids) if ids.count() <= most_ids else ids  # 32 MB at most; a shuffle beyond
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [np.unique(shingle_hashes(t, shingle).astype(np.uint32)).tobytes() for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["id", "set"])
-
-    asked = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).join(ids, "id", "left_semi")
-    own = asked.mapInArrow(sets, "id long, set binary").groupBy("id").agg(F.min("set").alias("set"))
-    pairs = edges.join(own.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+            texts = b.column(1).cast(pa.binary()).to_pylist()
+            out = [np.unique(shingle_hashes(t, shingle).astype(np.uint32)).tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([digest(t) for t in texts], pa.int64()), pa.array(out, pa.binary())], ["id", "digest", "set"])
+
+    own = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).join(ids, "id", "left_semi")
+    own = own.mapInArrow(sets, "id long, digest long, set binary").groupBy("id", "digest").agg(F.min("set").alias("set"))
+    own = own.select(F.col("id").alias("rep"), "digest", "set")
+    parts = F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("size") * 4 / room))
+    cut = asked.groupBy("component").agg(parts.alias("parts")).where("parts > 1")  # few: one row for each large group
+    dealt = asked.join(own, ["rep", "digest"]).join(F.broadcast(cut), "component", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("part", F.expr("pmod(xxhash64(rep, digest), parts)")).withColumn("other", F.explode(F.expr("sequence(0L, parts - 1)")))
+    dealt = dealt.select("component", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "set", *fps)
+    dealt = dealt.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "part", "rep")
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        def edges(rows: list[tuple]) -> pa.RecordBatch:
+            (_, i, j, *_), col = rows[0], list(zip(*rows))
+            side = None if i == j else np.array(col[3], np.int64)
+            a, b = verified(np.array(col[4], np.int64), np.array(col[6:], np.int64).T.view(np.uint64), [np.frombuffer(x, np.uint32) for x in col[5]], most, similarity, side)
+            a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and held[0][:3] != row[:3]:
+                    if len(held) > 1:
+                        yield edges(held)
+                    held = []
+                held.append(row)
+        if len(held) > 1:
+            yield edges(held)
 
-    return pairs.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
+    return dealt.mapInArrow(alike, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, words: int = 1, segments: int = 3, most: int = 4, distinct: bool = False, similarity: float | None = None) -> DataFrame:
     """id, fp0 .., component: a row for each row of docs. With similarity, only links of at least that Jaccard similarity count."""
     fps = [f"fp{w}" for w in range(words)]
-    every = saved(fingerprints(docs, key, text, shingle, words, distinct))
-    reps = every.where("id IS NOT NULL").groupBy(*fps).agg(F.min("id").alias("rep"))
-    edges = links(reps, words, segments, most, tree=nearest_tree if similarity else forest)
-    groups = connected(similar(docs, edges, key, text, similarity) if similarity else edges)
-    of = reps.join(groups, reps["rep"] == groups["node"], "left").select(*fps, F.coalesce("component", "rep").alias("component"))
+    # with similarity only equal texts collapse: texts of equal fingerprints are verified like any other pair
+    same = [*fps, "digest"] if similarity else fps
+    every = saved(fingerprints(docs, key, text, shingle, words, distinct, digests=bool(similarity)))
+    known = every.where("id IS NOT NULL").groupBy(*same)
+    if similarity:
+        reps = saved(known.agg(F.min("id").alias("rep"), F.max("size").alias("size")))
+        groups = saved(connected(links(reps, words, segments, most)))
+        groups = connected(similar(docs, reps, groups, key, text, words, most, similarity))
+    else:
+        reps = known.agg(F.min("id").alias("rep"))
+        groups = connected(links(reps, words, segments, most))
+    of = reps.join(groups, reps["rep"] == groups["node"], "left").select(*same, F.coalesce("component", "rep").alias("component"))
     # few fingerprints may hold most rows: the table of fingerprints is the small side, and a skewed join splits
-    out = every.join(of, fps, "left")
+    out = every.join(of, same, "left")
     return out.select("id", *fps, F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
 
@@ -322,8 +390,8 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     A pair whose five-word shingles have a Jaccard similarity of 0.8 differs in about 10 of 64 bits of a five-word
     SimHash, beyond what deletion variants of three segments find. So this form takes the distinct two-word shingles,
     whose sets change far less by the same edits, and 128 bits: at similarity 0.8 about 12 of 128 bits differ, and in
-    95 of 100 pairs one of the six segments by at most one. Candidate links are then verified by their exact five-word
-    Jaccard similarity. Rows with a null id stay; rows of one id stay or go together.
+    95 of 100 pairs one of the six segments by at most one. Candidates in one group are then verified by their exact
+    five-word Jaccard similarity, each pair within `most` bits that no verified links connect already. Rows with a null id stay; rows of one id stay or go together.
     """
     groups = near_duplicates(docs, key, text, shingle, words, segments, most, distinct=True, similarity=similarity)
     gone = groups.where("id <> component").select(F.col("id").alias("_gone")).distinct()

@@ -89,6 +89,50 @@ def test_one_of_each(spark):
     assert simhash.one_of_each(df.limit(0)).count() == 0
 
 
+def variants_of_one(n, swaps=7):
+    """An original of 300 words and n texts with some of its words changed."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(300)]
+    out = [base]
+    for i in range(n):
+        ws = list(base)
+        for p in rng.sample(range(300), swaps):
+            ws[p] = f"v{i}x{p}"
+        out.append(ws)
+    return [" ".join(ws) for ws in out]
+
+
+@pytest.mark.parametrize("n, tile", [(300, 1024), (150, 40)])
+def test_every_candidate_within_reach_is_verified(spark, n, tile):
+    texts = variants_of_one(n)
+    sets = [set(np.unique(simhash.shingle_hashes(t.encode(), 5).astype(np.uint32)).tolist()) for t in texts]
+    fp = [simhash.fingerprint(t.encode(), 2, 2, True) for t in texts]
+    # every near pair, were no pair lost to the variants: all rows are in one group of candidates
+    pairs = [(a, b) for b in range(len(texts)) for a in range(b) if sum((x ^ y).bit_count() for x, y in zip(fp[a], fp[b])) <= 22 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = union_find(pairs)
+    assert len(pairs) > 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [(i, signed(x), signed(y), simhash.digest(t.encode()), 300) for i, (t, (x, y)) in enumerate(zip(texts, fp))]
+    reps = spark.createDataFrame(rows, "rep long, fp0 long, fp1 long, digest long, size long")
+    groups = spark.createDataFrame([(i, 0) for i in range(len(texts))], "node long, component long")
+    edges = simhash.similar(docs, reps, groups, "doc_id", "text", 2, 22, 0.8, tile=tile)
+    assert {r.node: r.component for r in components.connected(edges).collect()} == want
+    if tile == 1024:
+        kept = {r.doc_id for r in simhash.one_of_each(docs).collect()}
+        assert kept == {i for i in range(len(texts)) if want.get(i, i) == i}
+
+
+def test_equal_fingerprints_are_verified_too(spark):
+    """Two texts of the same two-word shingles, in another order, are no near copies."""
+    blocks = [[f"b{i}x", f"b{i}y", f"b{i}z"] for i in range(3)]
+    first = "a b a c a d a e a f a g a".split()
+    other = "a g a f a e a d a c a b a".split()
+    assert simhash.fingerprint(" ".join(first).encode(), 2, 2, True) == simhash.fingerprint(" ".join(other).encode(), 2, 2, True)
+    df = spark.createDataFrame([(1, " ".join(first)), (2, " ".join(other)), (3, " ".join(first).upper()), (4, " ".join(sum(blocks, [])))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.one_of_each(df).collect()) == [1, 2, 4]
+
+
 def removed(rows, window=13):
     """What is left of each text, by brute force."""
     words = {i: (t or "").encode().split() for i, t in rows}
