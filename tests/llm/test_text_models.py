@@ -269,3 +269,19 @@ def test_pages_yield_their_articles(spark, small):
         inner = re.search("<article>(.*?)</article>", src[r.page_id], re.S)[1]
         blocks = (" ".join(entities.unescape(re.sub("</?b>", "", x)).split()) for x in re.split("</?(?:p|h1|br)>", inner))
         assert r.text == "\n".join(x for x in blocks if x) and r.n_chars == len(r.text)
+
+
+def bare(*lines):
+    return "<html><body>" + "".join(f"<p>{x}</p>" for x in lines) + "</body></html>"
+
+
+def test_large_directory_of_words_keeps_neighbours(spark):
+    word = lambda i: "".join(chr(97 + i * k % 26) for k in (1, 3, 7, 11)) + f"{i * 7919 % 10007}"
+    rows = [(i, f"http://big.org/news/{word(i)}-title", bare("Top line", f"own {i}", "Foot line")) for i in range(1500)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.page_id: r.text for r in htmltext.extract(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {i: f"own {i}" for i in range(1500)}
