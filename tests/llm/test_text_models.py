@@ -275,6 +275,21 @@ def bare(*lines):
     return "<html><body>" + "".join(f"<p>{x}</p>" for x in lines) + "</body></html>"
 
 
+def test_neighbours_across_directories_and_marked_pages(spark):
+    rows = [
+        (1, "http://h.org/2024/05/a/", bare("Top", "one")),
+        (2, "http://h.org/2024/06/b/", bare("Top", "two")),
+        (3, "http://h.org/2024/05/z/", page("<article><p>between</article>")),
+        (4, "http://t.org/x/1", bare(*[f"Menu {i}" for i in range(9)], "first")),
+        (5, "http://t.org/x/2", bare(*[f"Menu {i}" for i in range(9)], "second")),
+        (6, "http://c.org/a/1", bare("Top", "long", "story", "end")),
+        (7, "http://c.org/a/1x", bare("Top", "long", "story", "end")),
+        (8, "http://c.org/b/2", bare("Top", "other")),
+    ]
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "one", 2: "two", 3: "between", 4: "first", 5: "second", 6: "Top\nlong\nstory\nend", 7: "long\nstory\nend", 8: "other"}
+
+
 def test_large_directory_of_words_keeps_neighbours(spark):
     word = lambda i: "".join(chr(97 + i * k % 26) for k in (1, 3, 7, 11)) + f"{i * 7919 % 10007}"
     rows = [(i, f"http://big.org/news/{word(i)}-title", bare("Top line", f"own {i}", "Foot line")) for i in range(1500)]
