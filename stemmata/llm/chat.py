@@ -4,11 +4,12 @@ Every speaker of a dialogue but `system` gives one rendering of the dialogue, in
 every other speaker is a named user and system messages stay system messages; loss_spans holds the half-open code
 point ranges of the assistant's own words in the rendering.
 
-A dialogue is cut into segments by its turn numbers (`turns_per_segment`), so a group is never longer than one segment
-however long the dialogue is; speakers are gathered over the whole dialogue. Message order: turn, speaker, text.
+A rendering holds the whole dialogue. Only on request (`turns_per_segment`) a dialogue is cut into segments by its turn
+numbers; each then starts with the system messages said before it. Message order: turn, speaker, text.
 
 Defined results: exactly repeated messages (same dialogue, turn, speaker and text) count once; a null text is empty; a
-null speaker is `unknown`; a null turn stands in segment -1; rows with a null dialogue id belong to no dialogue and are
+null speaker is `unknown`; null turns come first; a dialogue without turn numbers is segment -1, any other 0 (on request,
+null turns are segment -1); rows with a null dialogue id belong to no dialogue and are
 left out; a dialogue with system messages alone has no participant and gives no row; markup inside a message is
 disarmed by a space, so that a message cannot open or close another.
 """
@@ -22,17 +23,24 @@ OPEN, CLOSE, END = "<|", "|>", "<|end|>"
 SYSTEM, UNKNOWN = "system", "unknown"
 
 
-def rotate(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text", turns_per_segment: int = 64) -> DataFrame:
+def rotate(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text", turns_per_segment: int | None = None) -> DataFrame:
     """conv_id, segment, assistant, n_messages, n_own, rendered, loss_spans."""
     said = messages.where(F.col(conv).isNotNull()).select(
         F.col(conv).alias("conv_id"),
-        F.coalesce(F.floor(F.col(turn) / turns_per_segment), F.lit(-1)).cast("long").alias("segment"),
         F.col(turn).alias("turn"),
         F.coalesce(F.col(speaker), F.lit(UNKNOWN)).alias("who"),
         F.replace(F.coalesce(F.col(text), F.lit("")), F.lit(OPEN), F.lit("< |")).alias("text"),
     )
     # sets, not lists: repeated messages meet before the shuffle
-    segments = said.groupBy("conv_id", "segment").agg(F.sort_array(F.collect_set(F.struct("turn", "who", "text"))).alias("said"))
+    every = F.sort_array(F.collect_set(F.struct("turn", "who", "text")))
+    if turns_per_segment is None:
+        segments = said.groupBy("conv_id").agg(every.alias("said"), F.when(F.max("turn").isNull(), -1).otherwise(0).cast("long").alias("segment"))
+    else:
+        number = F.coalesce(F.floor(F.col("turn") / turns_per_segment), F.lit(-1)).cast("long")
+        segments = said.groupBy("conv_id", number.alias("segment")).agg(every.alias("said"))
+        orders = said.where(F.col("who") == SYSTEM).groupBy("conv_id").agg(every.alias("orders"))
+        before = F.filter("orders", lambda m: m < F.col("said")[0])
+        segments = segments.join(orders, "conv_id", "left").select("conv_id", "segment", F.when(F.col("orders").isNull(), F.col("said")).otherwise(F.concat(before, "said")).alias("said"))
     people = said.where(F.col("who") != SYSTEM).select("conv_id", F.col("who").alias("assistant")).distinct()
     views = segments.join(people, "conv_id")
     own = lambda m: m["who"] == F.col("assistant")

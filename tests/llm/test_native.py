@@ -79,6 +79,18 @@ def test_chat_segments_are_bounded(spark):
     assert sum(r.n_own for r in got) == 300
 
 
+def test_chat_renders_long_dialogues_whole(spark):
+    rows = [(1, 0, "system", "be kind"), (1, 1, "eve", "only once")] + [(1, i, "ab"[i % 2], str(i)) for i in range(2, 300)] + [(1, None, "a", "when")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.assistant: r for r in chat.rotate(df).collect()}
+    assert set(got) == {"a", "b", "eve"} and len(chat.rotate(df).collect()) == 3
+    assert {(r.segment, r.n_messages) for r in got.values()} == {(0, 301)} and sum(r.n_own for r in got.values()) == 300
+    said = [got["a"].rendered[int(x) : int(y)] for x, y in (s.split("-") for s in got["a"].loss_spans.split(","))]
+    assert said == ["when", *(str(i) for i in range(2, 300, 2))]
+    for r in chat.rotate(df, turns_per_segment=64).where("segment > 0").collect():
+        assert r.rendered.startswith("<|system|>\nbe kind\n<|end|>\n") and r.rendered.count("be kind") == 1
+
+
 def test_chat_equals_sql_and_is_native(spark, duck, small, equal):
     df = chat.query(spark, small)
     equal(df, duck.sql(chat.ORACLE_SQL).df())
