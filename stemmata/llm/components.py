@@ -1,32 +1,45 @@
-"""Connected components of an edge table, by alternating large-star and small-star rounds.
+"""Tables in the shared folder, and connected components by alternating large-star and small-star rounds.
 
 Both rounds are a grouped minimum with map-side combine and an equality join, so a hub is never gathered in one task.
-Each round is written by checkpoint() to the shared folder in spark.checkpoint.dir, which cuts the lineage and survives
-lost executors; only two numbers a round reach the driver.
+Each round is written as a table in the shared folder, which cuts the lineage and survives lost executors; the table of
+the round before is deleted then. Only two numbers a round reach the driver.
 """
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the cluster; a local one only where the session names none, as in tests."""
-    sc = spark.sparkContext
-    have = spark.conf.get("spark.checkpoint.dir", None)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(have or "file://" + tempfile.mkdtemp(prefix="ckpt-"))
-    return have or os.fspath(sc._jsc.sc().getCheckpointDir().get())
+    """The folder that spark.checkpoint.dir names. Only a session in one process, as in tests, gets a folder of its own without it."""
+    have = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if have is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors of a cluster share no other folder")
+        have = "file://" + tempfile.mkdtemp(prefix="ckpt-")
+        spark.sparkContext.setCheckpointDir(have)
+    return have
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df, written once to the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """df, written once to the shared folder. Any names, clashing ones too, pass."""
+    spark, names = df.sparkSession, df.columns
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    df.toDF(*[f"c{i}" for i in range(len(names))]).write.parquet(path)
+    out = spark.read.schema(spark.read.parquet(path).schema).parquet(path).toDF(*names)
+    out._saved_at = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes a table that saved() wrote and nothing reads any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._saved_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -47,7 +60,8 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 64) ->
         large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
-        e = saved(small)
+        last, e = e, saved(small)
+        dropped(last)
         before, state = state, _state(e)
         if before == state:
             break

@@ -225,16 +225,32 @@ def page(main, rest=""):
         ("<article><table><tr><td>a<td>b<tr><td>c</table><ul><li>d<li>e</ul></article>", "a\nb\nc\nd\ne"),
         ("<article>a<script>b</article>c</script>d<!-- e --></article>", "ad"),
         ("<p hidden>no</p><p>yes</p>", "yes"),
+        ('<div class="comment"><article>reader</article></div><article>Main</article>', "Main"),
+        ("<div class=post><p>Text</p></div><main></main>", "Text"),
+        ("<article>one</article><div id=story><p>Story</p></div><article>two</article>", "one\nStory\ntwo"),
+        ("<div><div class=sidebar>open<article><p>in</p></article></div>", "in"),
+        ('<p title="a > b">x</p><p data-class="ad">y</p><a href="cut>z</a>', "x\ny\nz"),
+        ("<article>a</section></div>b</article></p>c", "a\nb\nc"),
     ],
 )
 def test_blocks(html, want):
-    assert "\n".join(htmltext.lines_of(html)[1]) == want
+    assert "\n".join(x for x, _ in htmltext.lines_of(html)) == want
+
+
+@pytest.mark.parametrize("part, end", [("<a ", ""), ("<div>", "</span>" * 60_000), ("<b>", "<p></p>" * 60_000), ('<a b="', ""), ("<script ", ""), ("<div class=ad>", "<article>x</article>" * 30_000), ("<article>", "</body>" * 60_000), ("<p class   ", ">")])
+def test_hostile_pages_take_linear_time(part, end):
+    import time
+
+    began = time.process_time()
+    htmltext.lines_of(part * (1_000_000 // len(part)) + end)
+    assert time.process_time() - began < 12
 
 
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.sampled_from("abcd"), max_size=14), st.lists(st.sampled_from("abcd"), max_size=14))
 def test_common_is_a_longest_common_subsequence(a, b):
     got = htmltext.common(a, b)
+    assert len(htmltext.common(a, b, room=4)) == len(got)
     row = [0] * (len(b) + 1)
     for c in a:
         new = [0]
@@ -290,6 +306,43 @@ def test_neighbours_across_directories_and_marked_pages(spark):
     assert got == {1: "one", 2: "two", 3: "between", 4: "first", 5: "second", 6: "Top\nlong\nstory\nend", 7: "long\nstory\nend", 8: "other"}
 
 
+def test_pages_without_articles_equal_brute_force(spark):
+    """Random sites: pages of template lines, own lines and articles; neighbours found by sorting all pages of a host."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(160):
+        host, path = rng.choice("ab"), f"/{rng.choice('xyz')}/{rng.randrange(30)}"
+        lines = [x for x in (f"top {host}", "menu", f"own {rng.randrange(90)}", f"more {i}", "foot") if rng.random() < 0.8]
+        html = bare(*lines) if rng.random() < 0.8 else page(f"<article><p>top {host}<p>own {i}</article>", "<p>foot")
+        rows.append((i, None if rng.random() < 0.05 else f"http://{host}.org{path}", html))
+    rows += rows[:5]
+    parsed = {}
+    for i, url, html in rows:
+        lines = htmltext.lines_of(html)
+        host, path = url.split("://")[1].split("/", 1) if url else ("", "")
+        parsed[i] = (host, "/" + path if url else "", [x for x, _ in lines], [s for _, s in lines])
+    shown = {i: p for i, p in parsed.items() if not all(p[3])}
+    want = {i: "\n".join(p[2]) for i, p in parsed.items()}
+    for host in {p[0] for p in shown.values()}:
+        order = sorted((p[1].encode(), i) for i, p in shown.items() if p[0] == host)
+        for n, (path, i) in enumerate(order):
+            near = [(order[m][0], shown[order[m][1]][2]) for m in (n - 1, n + 1) if 0 <= m < len(order)]
+            near = [x for _, x in sorted(near, key=lambda x: -htmltext.nearness(x[0].decode(), path.decode()))] + [None, None]
+            gone = htmltext.deleted(*shown[i][2:], *near[:2])
+            want[i] = "\n".join(x for j, x in enumerate(shown[i][2]) if j not in gone)
+    got = [(r.page_id, r.text) for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()]
+    assert len(got) == len(rows) and dict(got) == want
+    assert sum(want[i] != "\n".join(p[2]) for i, p in parsed.items()) > 60
+
+
+def test_text_does_not_depend_on_the_size_of_the_table(spark):
+    few = [(i, f"http://s.org/d/{i:04}", bare("Top", f"own {i}", "Foot")) for i in range(20)]
+    many = few + [(i, f"http://s.org/d/{i:04}", bare("Top", f"own {i}", "Foot")) for i in range(20, 2000)]
+    text = lambda rows: {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    small, large = text(few), text(many)
+    assert all(large[i] == small[i] == f"own {i}" for i in range(20))
+
+
 def test_large_directory_of_words_keeps_neighbours(spark):
     word = lambda i: "".join(chr(97 + i * k % 26) for k in (1, 3, 7, 11)) + f"{i * 7919 % 10007}"
     rows = [(i, f"http://big.org/news/{word(i)}-title", bare("Top line", f"own {i}", "Foot line")) for i in range(1500)]
