@@ -1,33 +1,38 @@
-"""Substring deduplication: suffix automata of reference shards, and documents streamed for matching statistics.
+"""Substring deduplication: suffix automata of reference shards, and passages streamed for matching statistics.
 
 A passage of `window` words is removed where its word sequence also starts in a document with a smaller id.
 
 1. Documents are dealt into chunks of about CHUNK bytes by a hash of their id; one exchange serves all passes.
-2. Each chunk sends its distinct window hashes, sorted and compressed, with the smallest id that has each, to buckets by
-   hash range; a bucket answers each chunk which of them other chunks have too, and the smallest id of all.
-3. Each chunk now knows the first document of every repeated window. It sends reference passages (repeated windows of a
-   document that has them first) and its own candidate passages, each distinct passage once, to the shard of that first
-   document.
-4. A shard builds a suffix automaton of each reference document (at most STATES words at a time), streams the candidates
-   through it for matching statistics, and confirms the windows that match over `window` words or more.
-5. Each chunk removes the confirmed maximal spans.
-
-The automata are sent to where they are needed rather than broadcast: the references grow with the corpus, so they have
-no size bound. A key that many documents share costs a bucket one entry a chunk, and a passage that many documents copy
-costs a shard one row a chunk, however many documents there are.
-
-Window hashes have 64 bits, words in the automata 32; a confirmed window has agreed in both (480 bits in all).
+2. Every window has an anchor: the smallest hash among its runs of ANCHOR words. Equal windows have equal anchors, so
+   anchors can route but not decide. Each chunk sends its distinct anchors, sorted and compressed, to buckets by hash
+   range; a bucket tells each chunk which of them other chunks have too.
+3. Each chunk sends the passages around shared anchors (maximal runs of windows with one anchor, at most RUN windows) to
+   the shard of their anchor, each distinct passage once with its smallest and largest document id.
+4. A shard takes the passages of an anchor in order of their smallest id. Each is streamed through the suffix automaton of
+   the passages of smaller documents for matching statistics, then added to it as reference, then streamed again for the
+   documents behind it. Windows that match over `window` words or more are repeats; nothing else decides.
+5. Each chunk unites the spans of its passages and removes the maximal ones.
+
+The automata are not broadcast: the references are the corpus, so they have no size bound, and streaming every document
+through every shard grows with the square of the corpus. A shard is sent only the passages that can match in it.
+
+An anchor that more than `most` passages have is hot: its windows then go one by one to the shard of their own hash, so
+each automaton is bounded. Equal passages meet in partial aggregation before the shuffle, and what was found for a
+passage goes back to its chunks by an equality join, in which adaptive execution splits hot passages. A bucket holds one
+entry of an anchor for each chunk.
+
+Anchors are hashes of 64 bits and only route; words are told apart by 32 bits, so a window agrees in 32 bits for each word.
 
 Defined results: a null or blank text has no words and stays as it is; rows with a null id are neither references nor
-cut; rows with the same id are no references for each other; texts of under `window` words stay; an empty table gives no
-rows; other columns are kept, whatever their names.
+cut; rows with the same id are no references for each other; texts of under `window` words stay; very long texts are cut
+like any other; ids are integers; an empty table gives no rows; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -37,16 +42,21 @@ from pyspark.sql import functions as F
 
 from .blobs import chunk_of, hash_bounds, packed, text_bytes, unpacked
 
-WINDOW, CHUNK, BUCKET, STATES = 13, 8 << 20, 3_000_000, 50_000
+WINDOW, ANCHOR, RUN, CHUNK, BUCKET, MOST = 13, 7, 1024, 8 << 20, 3_000_000, 4096
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)  # fixed values: odd multipliers of public mixers
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
+def in_order(ids: list, texts: list) -> list[int]:
+    """The places of rows with an id, in order of (id, text)."""
+    return sorted((i for i in range(len(ids)) if ids[i] is not None), key=lambda i: (ids[i], texts[i] or b""))
+
+
 class Chunk:
-    """The words of a chunk's rows, in order of (id, text), and its windows."""
+    """The words of a chunk's rows, in order of (id, text), its windows, and their anchors."""
 
     def __init__(self, ids: list, texts: list[bytes | None], window: int):
-        self.order = sorted((i for i in range(len(ids)) if ids[i] is not None), key=lambda i: (ids[i], texts[i] or b""))
+        self.order = in_order(ids, texts)
         words = [(texts[i] or b"").split() for i in self.order]
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         self.starts = np.cumsum(sizes) - sizes
@@ -58,23 +68,35 @@ class Chunk:
         self.at = np.nonzero(row[:m] == row[window - 1 :])[0] if m else np.empty(0, np.int64)  # first word of each window
         self.row = row[self.at]
         self.doc = np.array([ids[i] for i in self.order], np.int64)[self.row] if len(self.at) else np.empty(0, np.int64)
-        x = np.zeros(m, np.uint64)
-        for j in range(window):
-            x = x * BASE + self.words[j : j + m]
-        x = x[self.at]
+        size = min(ANCHOR, window)
+        x = np.zeros(max(0, n - size + 1), np.uint64)
+        for j in range(size):
+            x = x * BASE + self.words[j : j + len(x)]
         x ^= x >> np.uint64(33)
         x *= MIX
         x ^= x >> np.uint64(29)
-        self.sort = np.argsort(x, kind="stable")
-        x = x[self.sort]
-        new = np.concatenate(([True], x[1:] != x[:-1])) if len(x) else np.empty(0, bool)
-        first = np.nonzero(new)[0]
-        self.hash = x[first]
-        self.least = self.doc[self.sort[first]]  # rows are in order of id, so the first of a group is its smallest
-        last = np.concatenate((first[1:], [len(x)])) - 1 if len(x) else first
-        self.many = self.doc[self.sort[last]] != self.least if len(x) else np.empty(0, bool)
-        self.key = np.empty(len(x), np.int64)
-        self.key[self.sort] = np.cumsum(new) - 1
+        low = x[:m].copy()
+        for j in range(1, window - size + 1):
+            np.minimum(low, x[j : j + m], out=low)
+        low = low[self.at]
+        self.anchor, self.key = np.unique(low, return_inverse=True)
+        # rows are in order of id, so the first and last window of an anchor have its smallest and largest id
+        first, last = np.full(len(self.anchor), len(low)), np.full(len(self.anchor), -1)
+        np.minimum.at(first, self.key, np.arange(len(low)))
+        np.maximum.at(last, self.key, np.arange(len(low)))
+        self.many = self.doc[first] != self.doc[last] if len(low) else np.empty(0, bool)
+
+    def runs(self, good: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index of the first window, number of windows) of each run of good windows of one row and anchor; single windows stand alone."""
+        i = np.nonzero(good)[0]
+        if not len(i):
+            return i, i
+        cut = (np.diff(i) != 1) | (np.diff(self.at[i]) != 1) | (np.diff(self.key[i]) != 0) | single[i[1:]] | single[i[:-1]]
+        first = np.concatenate(([0], np.nonzero(cut)[0] + 1))
+        n = np.diff(np.append(first, len(i)))
+        parts = -(-n // RUN)
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        return np.repeat(i[first], parts) + nth * RUN, np.minimum(np.repeat(n, parts) - nth * RUN, RUN)
 
 
 class Automaton:
@@ -125,38 +147,32 @@ class Automaton:
         return out
 
 
-def automata(passages: list[bytes], window: int, most: int = STATES) -> Iterator[Automaton]:
-    """Automata of the passages (32-bit words), of about `most` words each; longer passages are cut with an overlap."""
-    a, n, mark = Automaton(), 0, -1
-    for p in passages:
-        words = np.frombuffer(p, np.uint32).tolist()
-        for at in range(0, max(1, len(words) - window + 1), most):
-            part = words[at : at + most + window - 1]
-            if n and n + len(part) > most:
-                yield a
-                a, n = Automaton(), 0
-            for c in part:
-                a.extend(c)
-            a.extend(mark)  # no passage goes on into the next
-            mark -= 1
-            n += len(part)
-    yield a
-
-
-def _runs(good: np.ndarray, at: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the first window, number of windows) of each maximal run of good, adjacent windows with equal `same`."""
-    i = np.nonzero(good)[0]
-    if not len(i):
-        return i, i
-    cut = (np.diff(i) != 1) | (np.diff(at[i]) != 1)
-    for s in same:
-        cut |= s[i][1:] != s[i][:-1]
-    first = np.concatenate(([0], np.nonzero(cut)[0] + 1))
-    return i[first], np.diff(np.concatenate((first, [len(i)])))
-
-
-def repeated_spans(dealt: DataFrame, key: str, text: str, chunk: str, buckets: int, window: int) -> DataFrame:
-    """chunk, rows, starts, at, n: in each of `rows` (index in order of id and text), words from starts + at, n windows."""
+def streamed(passages: list[tuple[int, int, bytes]], window: int) -> list[tuple[list[int], list[int]]]:
+    """For each (low, high, 32-bit words) in order of low: the windows that start in documents before low, and up to low if high is behind it."""
+    a, mark, out, held = Automaton(), -1, [], False
+    for _, same in groupby(passages, key=lambda p: p[0]):
+        same = [(high > low, np.frombuffer(w, np.uint32).tolist()) for low, high, w in same]
+        before = [a.matches(w, window) if held else [] for _, w in same]
+        for (_, w), found in zip(same, before):
+            if len(found) < len(w) - window + 1:  # what the automaton holds whole isn't added again
+                for c in w:
+                    a.extend(c)
+                a.extend(mark)  # no passage goes on into the next
+                mark -= 1
+                held = True
+        out += [(found, a.matches(w, window) if more else []) for (more, w), found in zip(same, before)]
+    return out
+
+
+def spans(at: list[int]) -> bytes:
+    """Sorted window starts as compressed (start, number) pairs of runs."""
+    x = np.array(at, np.int64)
+    first = np.concatenate(([0], np.nonzero(np.diff(x) != 1)[0] + 1)) if len(x) else np.empty(0, np.int64)
+    return packed(np.concatenate((x[first], np.diff(np.append(first, len(x))))))
+
+
+def repeated_spans(dealt: DataFrame, key: str, text: str, chunk: str, buckets: int, window: int, most: int) -> DataFrame:
+    """chunk, rows, starts, low, before, after: passages of a chunk at word `starts` of `rows` (index in order of id and text), and their spans."""
     edge = hash_bounds(buckets)
 
     def load(table: pa.Table) -> Chunk:
@@ -164,90 +180,80 @@ def repeated_spans(dealt: DataFrame, key: str, text: str, chunk: str, buckets: i
 
     def ask(table: pa.Table) -> pa.Table:
         c = load(table)
-        cut = [0, *np.searchsorted(c.hash, edge).tolist(), len(c.hash)]
-        rows = [(b, packed(np.diff(c.hash[p:q].view(np.int64), prepend=0)), packed(c.least[p:q])) for b, (p, q) in enumerate(zip(cut, cut[1:])) if q > p]
-        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "chunk": pa.array([table.column(chunk)[0].as_py()] * len(rows), pa.int64()), "hashes": pa.array([r[1] for r in rows], pa.binary()), "least": pa.array([r[2] for r in rows], pa.binary())})
+        cut = [0, *np.searchsorted(c.anchor, edge).tolist(), len(c.anchor)]
+        first, _ = c.runs(np.ones(len(c.at), bool), np.zeros(len(c.at), bool))
+        n = np.bincount(c.key[first], minlength=len(c.anchor)).astype(np.int64)
+        rows = [(b, packed(np.diff(c.anchor[p:q].view(np.int64), prepend=0)), packed(n[p:q])) for b, (p, q) in enumerate(zip(cut, cut[1:])) if q > p]
+        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "chunk": pa.array([table.column(chunk)[0].as_py()] * len(rows), pa.int64()), "anchors": pa.array([r[1] for r in rows], pa.binary()), "n": pa.array([r[2] for r in rows], pa.binary())})
 
     def answer(table: pa.Table) -> pa.Table:
-        """To each chunk: which of its hashes (by place) others have too, and the smallest id that has each."""
-        hashes = [np.cumsum(unpacked(x)) for x in table.column("hashes").to_pylist()]
-        least = np.concatenate([unpacked(x) for x in table.column("least").to_pylist()])
-        sizes = list(map(len, hashes))
-        h = np.concatenate(hashes)
-        order = np.argsort(h, kind="stable")
-        s = h[order]
-        first = np.concatenate(([True], s[1:] != s[:-1]))
-        heads = np.nonzero(first)[0]
-        low = np.minimum.reduceat(least[order], heads)
-        count = np.diff(np.concatenate((heads, [len(s)])))
-        group = np.cumsum(first) - 1
-        shared = np.empty(len(s), bool)
-        shared[order] = (count > 1)[group]
-        lows = np.empty(len(s), np.int64)
-        lows[order] = low[group]
+        """To each chunk: which of its anchors (by place) others have too, or are hot."""
+        anchors = [np.cumsum(unpacked(x)) for x in table.column("anchors").to_pylist()]
+        n = np.concatenate([unpacked(x) for x in table.column("n").to_pylist()])
+        _, place = np.unique(np.concatenate(anchors), return_inverse=True)
+        shared, hot = np.bincount(place) > 1, np.bincount(place, weights=n) > most
         rows, p = [], 0
-        for where, n in zip(table.column("chunk").to_pylist(), sizes):
-            i = np.nonzero(shared[p : p + n])[0]
+        for where, own in zip(table.column("chunk").to_pylist(), anchors):
+            at = place[p : p + len(own)]
+            i = np.nonzero(shared[at] | hot[at])[0]
             if len(i):
-                rows.append((where, packed(np.diff(i, prepend=0)), packed(lows[p : p + n][i])))
-            p += n
+                rows.append((where, packed(np.diff(i, prepend=0)), packed(hot[at][i].astype(np.int64))))
+            p += len(own)
         b = table.column("bucket")[0].as_py()
-        return pa.table({"chunk": pa.array([r[0] for r in rows], pa.int64()), "bucket": pa.array([b] * len(rows), pa.int64()), "places": pa.array([r[1] for r in rows], pa.binary()), "lows": pa.array([r[2] for r in rows], pa.binary())})
+        return pa.table({"chunk": pa.array([r[0] for r in rows], pa.int64()), "bucket": pa.array([b] * len(rows), pa.int64()), "places": pa.array([r[1] for r in rows], pa.binary()), "hot": pa.array([r[2] for r in rows], pa.binary())})
+
+    names = {"key": pa.int64(), "sign": pa.binary(), "words": pa.binary(), "low": pa.int64(), "high": pa.int64(), "chunk": pa.int64(), "rows": pa.list_(pa.int32()), "starts": pa.list_(pa.int32())}
 
     def passages(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        names = {"shard": pa.int64(), "ref": pa.int64(), "candidate": pa.bool_(), "chunk": pa.int64(), "words": pa.binary(), "rows": pa.list_(pa.int32()), "starts": pa.list_(pa.int32())}
-        out: dict[tuple, tuple[list, list]] = {}
+        out: dict[tuple, list] = {}
         if docs.num_rows:
             c = load(docs)
-            low, shared = c.least.copy(), c.many.copy()
-            cut = np.concatenate(([0], np.searchsorted(c.hash, edge)))
-            for b, places, lows in zip(*(answers.column(x).to_pylist() for x in ("bucket", "places", "lows"))):
+            shared, hot = c.many.copy(), np.zeros(len(c.anchor), bool)
+            cut = np.concatenate(([0], np.searchsorted(c.anchor, edge)))
+            for b, places, flags in zip(*(answers.column(x).to_pylist() for x in ("bucket", "places", "hot"))):
                 i = np.cumsum(unpacked(places)) + cut[b]
-                low[i] = unpacked(lows)
+                hot[i] = unpacked(flags) > 0
                 shared[i] = True
-            ref = low[c.key]
-            words = c.words.astype(np.uint32)
-            for candidate in (False, True):
-                good = ref < c.doc if candidate else (ref == c.doc) & shared[c.key]
-                for i, n in zip(*(x.tolist() for x in _runs(good, c.at, c.row, ref))):
-                    a, row = c.at[i], int(c.row[i])
-                    rows, starts = out.setdefault((int(ref[i]), candidate, words[a : a + n + window - 1].tobytes()), ([], []))
-                    if candidate:
-                        rows.append(row)
-                        starts.append(int(a - c.starts[row]))
+            words, single = c.words.astype(np.uint32), hot[c.key]
+            first, n = c.runs(shared[c.key], single)
+            at, row = c.at[first], c.row[first]
+            for k, one, a, e, r, s, d in zip(c.anchor[c.key[first]].view(np.int64).tolist(), single[first].tolist(), at.tolist(), (at + n + window - 1).tolist(), row.tolist(), (at - c.starts[row]).tolist(), c.doc[first].tolist()):
+                w = words[a:e].tobytes()
+                x = out.get(w) if not one else out.get((w,))
+                if x is None:
+                    out[(w,) if one else w] = [xxhash.xxh3_64_intdigest(w) - (1 << 63) if one else k, d, d, [r], [s]]
+                else:
+                    x[2] = d  # rows are in order of id
+                    x[3].append(r)
+                    x[4].append(s)
         where = docs.column(chunk)[0].as_py() if docs.num_rows else 0
-        keys = list(out)
-        cols = ([xxhash.xxh3_64_intdigest(k[0].to_bytes(8, "little", signed=True)) % buckets for k in keys], [k[0] for k in keys], [k[1] for k in keys], [where] * len(keys), [k[2] for k in keys], [v[0] for v in out.values()], [v[1] for v in out.values()])
+        found = [(w[0] if isinstance(w, tuple) else w, x) for w, x in out.items()]
+        cols = ([x[0] for _, x in found], [xxhash.xxh3_128_digest(w) for w, _ in found], [w for w, _ in found], [x[1] for _, x in found], [x[2] for _, x in found], [where] * len(found), [x[3] for _, x in found], [x[4] for _, x in found])
         return pa.table({n: pa.array(x, t) for (n, t), x in zip(names.items(), cols)})
 
-    def confirm(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("ref", "ascending"), ("candidate", "ascending")])
-        refs, kinds = table.column("ref").to_numpy(), table.column("candidate").to_numpy(zero_copy_only=False)
-        words = table.column("words").to_pylist()
-        ends = np.concatenate((np.nonzero(refs[1:] != refs[:-1])[0] + 1, [len(refs)]))
-        found: list[tuple[int, int, int]] = []
-        p = 0
-        for q in ends.tolist():
-            split = p + int((~kinds[p:q]).sum())
-            seen: dict[int, set[int]] = {i: set() for i in range(split, q)}
-            if seen and split > p:
-                for a in automata(list(dict.fromkeys(words[p:split])), window):
-                    for i in seen:
-                        seen[i].update(a.matches(np.frombuffer(words[i], np.uint32).tolist(), window))
-            for i, at in seen.items():
-                x = np.array(sorted(at), np.int64)
-                if len(x):
-                    f = np.concatenate(([0], np.nonzero(np.diff(x) != 1)[0] + 1))
-                    found += [(i, s, n) for s, n in zip(x[f].tolist(), np.diff(np.concatenate((f, [len(x)]))).tolist())]
+    def match(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("key", "ascending"), ("low", "ascending"), ("sign", "ascending")])
+        keys = table.column("key").to_numpy()
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("low", "high", "words"))))
+        ends = np.append(np.nonzero(keys[1:] != keys[:-1])[0] + 1, len(keys)).tolist()
+        at, before, after, p = [], [], [], 0
+        for q in ends:
+            if q > p + 1 or rows[p][1] > rows[p][0]:  # a passage of one document that is alone under its anchor has no reference
+                for i, (x, y) in enumerate(streamed(rows[p:q], window), p):
+                    if x or y:
+                        at.append(i)
+                        before.append(spans(x))
+                        after.append(spans(y))
             p = q
-        i = pa.array([x[0] for x in found], pa.int64())
-        cols = {c: table.column(c).take(i) for c in ("chunk", "rows", "starts")}
-        return pa.table(cols | {"at": pa.array([x[1] for x in found], pa.int64()), "n": pa.array([x[2] for x in found], pa.int64())})
+        i = pa.array(at, pa.int64())
+        return pa.table({"sign": table.column("sign").take(i), "low": table.column("low").take(i), "before": pa.array(before, pa.binary()), "after": pa.array(after, pa.binary())})
 
-    asked = dealt.groupBy(chunk).applyInArrow(ask, "bucket long, chunk long, hashes binary, least binary")
-    answered = asked.groupBy("bucket").applyInArrow(answer, "chunk long, bucket long, places binary, lows binary")
-    sent = dealt.groupBy(chunk).cogroup(answered.groupBy("chunk")).applyInArrow(passages, "shard long, ref long, candidate boolean, chunk long, words binary, rows array<int>, starts array<int>")
-    return sent.groupBy("shard").applyInArrow(confirm, "chunk long, rows array<int>, starts array<int>, at long, n long")
+    asked = dealt.groupBy(chunk).applyInArrow(ask, "bucket long, chunk long, anchors binary, n binary")
+    answered = asked.groupBy("bucket").applyInArrow(answer, "chunk long, bucket long, places binary, hot binary")
+    sent = dealt.groupBy(chunk).cogroup(answered.groupBy("chunk")).applyInArrow(passages, "key long, sign binary, words binary, low long, high long, chunk long, rows array<int>, starts array<int>")
+    distinct = sent.groupBy("key", "sign").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.first("words").alias("words"))
+    found = distinct.groupBy(F.pmod("key", F.lit(buckets)).alias("shard")).applyInArrow(match, "sign binary, low long, before binary, after binary")
+    return sent.select("chunk", "sign", "rows", "starts").join(found, "sign").drop("sign")
 
 
 def cut(text: bytes, gone: np.ndarray) -> bytes:
@@ -261,7 +267,7 @@ def cut(text: bytes, gone: np.ndarray) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, digest: bool = False, chunk_bytes: int = CHUNK, bucket_words: int = BUCKET) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, digest: bool = False, chunk_bytes: int = CHUNK, bucket_words: int = BUCKET, most: int = MOST) -> DataFrame:
     """The rows of docs with their texts cut. With digest, instead: key, n_words, n_removed, kept_sha256."""
     total = text_bytes(docs, text)
     chunks, buckets = max(1, -(-total // chunk_bytes)), max(1, -(-total // (6 * bucket_words)))
@@ -270,17 +276,20 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     k, t = inner[names.index(key)], inner[names.index(text)]
     plain = docs.toDF(*inner)
     dealt = plain.withColumn("_chunk", chunk_of(k, t, chunks))
-    spans = repeated_spans(dealt.select(k, t, "_chunk") if digest else dealt, k, t, "_chunk", buckets, window)
+    found = repeated_spans(dealt.select(k, t, "_chunk") if digest else dealt, k, t, "_chunk", buckets, window, most)
     schema = plain.schema
     form = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
     def finish(table: pa.Table, found: pa.Table) -> pa.Table:
         ids, texts = table.column(k).to_pylist(), table.column(t).cast(pa.binary()).to_pylist()
-        order = sorted((i for i in range(len(ids)) if ids[i] is not None), key=lambda i: (ids[i], texts[i] or b""))
+        order = in_order(ids, texts)
         of: dict[int, list[tuple[int, int]]] = {}
-        for rows, starts, at, n in zip(*(found.column(c).to_pylist() for c in ("rows", "starts", "at", "n"))):
+        for rows, starts, low, *both in zip(*(found.column(c).to_pylist() for c in ("rows", "starts", "low", "before", "after"))):
+            before, after = (list(zip(*np.split(unpacked(x), 2))) for x in both)
             for r, s in zip(rows, starts):
-                of.setdefault(order[r], []).append((s + at, s + at + n + window - 1))
+                i = order[r]
+                if gone := after if ids[i] > low else before:
+                    of.setdefault(i, []).extend((s + int(at), s + int(at + n) + window - 1) for at, n in gone)
         n_words, n_gone, digests = [], [], []
         for i, x in enumerate(texts):
             if not digest and i not in of:
@@ -302,7 +311,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         return table.select(inner)
 
     left = dealt.select(k, t, "_chunk") if digest else dealt
-    out = left.groupBy("_chunk").cogroup(spans.groupBy("chunk")).applyInArrow(finish, f"{key} long, n_words long, n_removed long, kept_sha256 string" if digest else schema)
+    out = left.groupBy("_chunk").cogroup(found.groupBy("chunk")).applyInArrow(finish, f"{key} long, n_words long, n_removed long, kept_sha256 string" if digest else schema)
     return out if digest else out.toDF(*names)
 
 

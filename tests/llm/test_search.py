@@ -150,15 +150,15 @@ def removed(rows, window=13):
     return out
 
 
-@pytest.mark.parametrize("chunk, bucket", [(1 << 30, 3_000_000), (4_000, 100)])
-def test_substring_equals_brute_force(spark, small, chunk, bucket):
+@pytest.mark.parametrize("chunk, bucket, most", [(1 << 30, 3_000_000, 4096), (4_000, 100, 4096), (4_000, 100, 3)])
+def test_substring_equals_brute_force(spark, small, chunk, bucket, most):
     rng = random.Random(3)
     base = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").limit(60).collect()]
     passage = base[0][1].split()[:60]
     extra = [(5_000 + i, " ".join(rng.choices(passage, k=20) + passage[i : i + 14 + i] + rng.choices(passage, k=20))) for i in range(30)]
-    rows = base + extra + [(9_000, None), (9_001, ""), (9_002, "w " * 100), (9_003, "w " * 100), (9_004, base[1][1])]
+    rows = base + extra + [(9_000, None), (9_001, ""), (9_002, "w " * 100), (9_003, "w " * 100), (9_004, base[1][1]), (9_005, "w " * 3000), (9_006, "x " + "w " * 2500)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = substring.remove_repeats(df, digest=True, chunk_bytes=chunk, bucket_words=bucket).collect()
+    got = substring.remove_repeats(df, digest=True, chunk_bytes=chunk, bucket_words=bucket, most=most).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == removed(rows)
 
 
@@ -174,14 +174,14 @@ def test_substring_keeps_columns_and_text(spark):
 
 def test_automaton_matches_every_window():
     rng = random.Random(9)
-    ref = [rng.randrange(4) for _ in range(300)]
-    text = [rng.randrange(4) for _ in range(400)]
-    grams = {tuple(ref[i : i + 5]) for i in range(296)}
-    for most in (300, 40):
-        found = set()
-        for a in substring.automata([np.array(ref, np.uint32).tobytes()], 5, most):
-            found.update(a.matches(text, 5))
-        assert found == {i for i in range(396) if tuple(text[i : i + 5]) in grams}
+    texts = [[rng.randrange(4) for _ in range(rng.randrange(5, 90))] for _ in range(30)]
+    given = sorted((rng.randrange(12), rng.choice((0, 50)), np.array(t, np.uint32).tobytes()) for t in texts)
+    given = [(low, max(low, high), w) for low, high, w in given]
+    gram = lambda w: [tuple(x) for x in np.lib.stride_tricks.sliding_window_view(np.frombuffer(w, np.uint32), 5).tolist()]
+    for (low, high, w), (before, after) in zip(given, substring.streamed(given, 5)):
+        known = {g for x, _, y in given if x < low for g in gram(y)}
+        assert before == [i for i, g in enumerate(gram(w)) if g in known]
+        assert after == (list(range(len(gram(w)))) if high > low else [])
 
 
 def neighbours(rows, k=20):
