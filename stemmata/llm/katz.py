@@ -1,41 +1,57 @@
-"""Language-model scoring by Katz backoff over word bigrams.
+"""Language-model scoring by Katz backoff over word n-grams of any order.
 
-Tokens are lower-cased (A-Z) words and one end token a text; the history of the first token is the start of the text.
+Tokens are lower-cased (A-Z) words and one end token a text. A history holds the order - 1 tokens before a token, as far
+back as the start of the text, which counts as one token of the history.
 
-    p(w | h) = d(c(h, w)) c(h, w) / c(h)      if the pair was seen in training,
-               alpha(h) p(w)                  otherwise; alpha = 1 for an unseen history
+    p(w | h) = d(c(h w)) c(h w) / c(h)        if h w was seen in training,
+               alpha(h) p(w | h')             otherwise; h' is h without its first token, alpha = 1 for an unseen h
     p(w)     = d(c(w)) c(w) / N, and what is left of the mass for one unknown word
 
-d is the Good-Turing discount of Katz for counts up to DISCOUNTED, from the counts of counts, 1 where these give no
-value in (0, 1). alpha(h) = (1 - sum of the seen p(w | h)) / (1 - sum of their p(w)), so every distribution sums to one.
-A history whose counts are all above DISCOUNTED has nothing left for unseen words; its counts are divided by c(h) + 1.
-
-Tables. The counts stand in two tables in the shared folder, partitioned by bucket: words by hash range, pairs by
-history. Documents are dealt into chunks; a chunk asks each bucket about its distinct words (pairs) with their training
-counts, in one compressed cell, and the bucket, having summed the counts of all chunks, answers with the totals and the
-sums that alpha needs. Chunks then evaluate their tokens. All counts cover all training documents; only the counts of
-counts reach the driver. Frequent histories are salted over up to SALTS buckets, and a chunk adds up their parts.
-
-Words are told apart by 64-bit hashes. Defined results: a null or blank text is its end token alone; rows with a null id
-are training rows; repeated rows count each time; an empty table gives no rows; extra columns are not read.
+d is the Good-Turing discount of Katz for counts up to DISCOUNTED, from the counts of counts of the same order, 1 where
+these give no value in (0, 1). alpha(h) = (1 - sum of the seen p(w | h)) / (1 - sum of their p(w | h')), so every
+distribution sums to one. A history whose counts are all above DISCOUNTED has nothing left for unseen words; its counts
+are divided by c(h) + 1.
+
+Tables. Counts stand in tables in the shared folder. Documents are dealt into chunks, whose words are numbered once and
+kept as a compressed row each. Level by level, a chunk asks the buckets about its n-grams, with its own training counts,
+and a bucket, having summed the counts of all chunks, answers with the totals and the sums that alpha needs; words are
+partitioned by hash, n-grams by history. A history that occurs in one chunk only is that chunk's own business: its counts
+are final there, and nobody is asked. The sum of p(w | h') over the seen w needs no
+probabilities, as p(w | h') = d(c) c / c(h') with c = c(h' w): the asker sends these counts, the bucket returns how many
+are 1, 2, .. DISCOUNTED and the sum of the others, and alpha is computed from whole numbers alone.
+
+Histories that hold more than half a bucket's share of all tokens are hot: their n-grams are dealt over as many buckets
+as their count asks for, and their sums are added up and sent back by a grouped sum and an equality join. A bucket holds
+one entry of an n-gram for each chunk that has it. All counts cover all training documents; only the counts of counts
+reach the driver.
+
+Words and histories are told apart by 64-bit hashes. Defined results: a null or blank text is its end token alone; rows
+with a null id are training rows; repeated rows count each time; very long texts are scored whole; an empty table gives
+no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import threading
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .blobs import chunk_of, hash_bounds, packed, text_bytes, unpacked
-from .components import saved
+from .components import dropped, saved
 
-DISCOUNTED, CHUNK, BUCKET, SALTS = 5, 8 << 20, 3_000_000, 64
+ORDER, DISCOUNTED, CHUNK, BUCKET = 3, 5, 8 << 20, 3_000_000
 UNKNOWN, START, FIRST = 0, 1, 2  # ids of words
 FOLDS, HELD = 5, 1
+SUMS = 2 * DISCOUNTED + 1  # of a history: n-grams of count 1 .., suffixes of count 1 .., sum of the higher suffix counts
 
 
 def discounts(counts: list[int], most: int = DISCOUNTED) -> np.ndarray:
@@ -50,6 +66,11 @@ def discounts(counts: list[int], most: int = DISCOUNTED) -> np.ndarray:
     return out
 
 
+def discounted(d: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """d(c) c."""
+    return np.where(count <= DISCOUNTED, d[np.minimum(count, DISCOUNTED)], 1.0) * count
+
+
 @dataclass(frozen=True)
 class Unigrams:
     """p(w) by count."""
@@ -68,43 +89,40 @@ class Unigrams:
         return cls(tokens, kinds, d, float(max(divisor, 1)), (left if left > 0 else 1.0) / max(divisor, 1))
 
     def p(self, count: np.ndarray) -> np.ndarray:
-        d = np.where(count <= DISCOUNTED, self.d[np.minimum(count, DISCOUNTED)], 1.0)
-        return np.where(count > 0, d * count / self.divisor, self.unknown)
+        return np.where(count > 0, discounted(self.d, count) / self.divisor, self.unknown)
 
     def base(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + 0.5) / (self.tokens + 0.5 * (self.kinds + 1)))
 
 
 class Tokens:
-    """The tokens of a chunk's rows: `word` indexes `hash`, the sorted distinct hashes; `row` is the row of each token."""
+    """The tokens of a chunk's texts: `word` indexes `hash`, the sorted distinct hashes."""
 
     END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))  # no word holds white space
 
-    def __init__(self, texts: list[bytes | None], train: np.ndarray):
+    def __init__(self, texts: list[bytes | None]):
         words = [(t or b"").lower().split() for t in texts]
         self.size = np.fromiter(map(len, words), np.int64, len(words)) + 1
         h = xxhash.xxh3_64_intdigest
         n = int(self.size.sum())
         x = np.empty(n, np.uint64)
-        self.last = np.cumsum(self.size) - 1
+        last = np.cumsum(self.size) - 1
         own = np.ones(n, bool)
-        own[self.last] = False
+        own[last] = False
         x[own] = np.fromiter((h(w) for ws in words for w in ws), np.uint64, n - len(words))
-        x[self.last] = self.END
+        x[last] = self.END
         self.hash, self.word = np.unique(x, return_inverse=True)
-        self.row = np.repeat(np.arange(len(words)), self.size)
-        self.train = train[self.row]
-        self.start = np.zeros(n, bool)
-        self.start[self.last - self.size + 1] = True
 
 
 def counts_of_counts(c: np.ndarray) -> list[int]:
     return np.bincount(c[(c > 0) & (c <= DISCOUNTED + 1)], minlength=DISCOUNTED + 2)[1:].tolist()
 
 
-def _runs(sorted_values: np.ndarray) -> np.ndarray:
-    """Start of each run of equal values."""
-    return np.concatenate(([0], np.nonzero(sorted_values[1:] != sorted_values[:-1])[0] + 1)) if len(sorted_values) else np.empty(0, np.int64)
+def _first(*columns: np.ndarray) -> np.ndarray:
+    """Whether each row differs from the one before it."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = reduce(np.logical_or, [c[1:] != c[:-1] for c in columns])
+    return new
 
 
 ANSWER = "kind int, bucket long, chunk long, a binary, b binary, c binary, stats array<long>"
@@ -115,16 +133,23 @@ def _table(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * len(FORM), FORM.types)], schema=FORM)
 
 
-def word_table(dealt: DataFrame, buckets: int) -> DataFrame:
-    """Kind 0: a bucket's words (a: hashes, b: counts; stats: N, V, n1 ..). Kind 1: to a chunk, in order of its hashes, a: ids, b: counts."""
+def _sorted(x: np.ndarray) -> bytes:
+    return packed(np.diff(x.view(np.int64), prepend=0))
+
+
+def encoded(dealt: DataFrame, kind: str, buckets: int) -> DataFrame:
+    """Kind 0: a bucket's words (wid: hashes, count; stats: N, V, n1 ..). Kind 1: a chunk: ids, size and train of its texts, the
+    word of each token by falling frequency in the chunk, and of each word wid and count (twice that in training, 1 more if no
+    other chunk has it)."""
     edge = hash_bounds(buckets)
 
     def ask(table: pa.Table) -> pa.Table:
-        t = Tokens(table.column("_text").cast(pa.binary()).to_pylist(), table.column("_train").to_numpy(zero_copy_only=False))
-        n = np.bincount(t.word, weights=t.train, minlength=len(t.hash)).astype(np.int64)
+        t = Tokens(table.column("_text").cast(pa.binary()).to_pylist())
+        train = np.repeat(table.column("_train").to_numpy(zero_copy_only=False), t.size)
+        n = np.bincount(t.word, weights=train, minlength=len(t.hash)).astype(np.int64)
         cut = [0, *np.searchsorted(t.hash, edge).tolist(), len(t.hash)]
         chunk = table.column("_chunk")[0].as_py()
-        return _table([(0, b, chunk, packed(np.diff(t.hash[p:q].view(np.int64), prepend=0)), packed(n[p:q]), None, None) for b, (p, q) in enumerate(zip(cut, cut[1:])) if q > p])
+        return _table([(0, b, chunk, _sorted(t.hash[p:q]), packed(n[p:q]), None, None) for b, (p, q) in enumerate(zip(cut, cut[1:])) if q > p])
 
     def answer(table: pa.Table) -> pa.Table:
         b = table.column("bucket")[0].as_py()
@@ -133,149 +158,240 @@ def word_table(dealt: DataFrame, buckets: int) -> DataFrame:
         total = np.bincount(place, weights=np.concatenate([unpacked(x) for x in table.column("b").to_pylist()]), minlength=len(h)).astype(np.int64)
         rank = np.empty(len(h), np.int64)
         rank[np.argsort(-total, kind="stable")] = np.arange(len(h))
-        ids = np.where(total > 0, FIRST + rank * buckets + b, UNKNOWN)
         seen = total > 0
-        rows = [(0, b, None, packed(np.diff(h[seen].view(np.int64), prepend=0)), packed(total[seen]), None, [int(total.sum()), int(seen.sum()), *counts_of_counts(total)])]
+        ids = np.where(seen, FIRST + rank * buckets + b, UNKNOWN)
+        told = total * 2 + (np.bincount(place) == 1)
+        rows = [(0, b, -1 - b, _sorted(h[seen]), packed(total[seen]), None, [int(total.sum()), int(seen.sum()), *counts_of_counts(total)])]
         p = 0
         for chunk, x in zip(table.column("chunk").to_pylist(), hashes):
             at = place[p : p + len(x)]
-            rows.append((1, b, chunk, packed(ids[at]), packed(total[at]), None, None))
+            rows.append((1, b, chunk, packed(ids[at]), packed(told[at]), None, None))
             p += len(x)
         return _table(rows)
 
-    return dealt.groupBy("_chunk").applyInArrow(ask, ANSWER).groupBy("bucket").applyInArrow(answer, ANSWER)
-
-
-def _words(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, counts) of a chunk's distinct words, from its answers of kind 1."""
-    rows = sorted(x for x in zip(*(answers.column(c).to_pylist() for c in ("kind", "bucket", "a", "b"))) if x[0] == 1)
-    return np.concatenate([unpacked(x[2]) for x in rows]), np.concatenate([unpacked(x[3]) for x in rows])
-
-
-class Pairs:
-    """A chunk's distinct pairs of known words, in the order in which it asks the buckets about them."""
-
-    def __init__(self, t: Tokens, ids: np.ndarray, counts: np.ndarray, tokens: int, starts: int, buckets: int):
-        n = len(ids)
-        before = np.concatenate(([n], t.word[:-1]))
-        before[t.start] = n  # the start of the text is word n of the chunk
-        all_ids, all_counts = np.append(ids, START), np.append(counts, starts)
-        known = (all_ids[before] > 0) & (all_ids[t.word] > 0)
-        key, self.place = np.unique(before[known] * (n + 1) + t.word[known], return_inverse=True)
-        self.known, self.before = known, before
-        h, w = key // (n + 1), key % (n + 1)
-        self.count = np.bincount(self.place, weights=t.train[known], minlength=len(key)).astype(np.int64)
-        salts = np.minimum(SALTS, 1 + all_counts * (2 * buckets) // max(tokens, 1))
-        self.h, self.w, self.hid, self.wid, self.wcount = h, w, all_ids[h], all_ids[w], all_counts[w]
-        self.bucket = self.deal(self.hid, self.wid % salts[h], buckets)
-        # every known history asks for its sums, a salted one each of its buckets for their part
-        heads = np.unique(before[all_ids[before] > 0])
-        again = np.repeat(heads, salts[heads])
-        part = np.arange(len(again)) - np.repeat(np.cumsum(salts[heads]) - salts[heads], salts[heads])
-        self.probe, self.probe_bucket = again, self.deal(all_ids[again], part, buckets)
-        self.all_ids = all_ids
-
-    @staticmethod
-    def deal(h: np.ndarray, salt: np.ndarray, buckets: int) -> np.ndarray:
-        x = h.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + salt.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)  # fixed values: odd multipliers
-        return ((x ^ (x >> np.uint64(32))) % np.uint64(buckets)).astype(np.int64)
-
-    def asked(self):
-        """(bucket, order of pairs, distinct histories with probes, pairs of each) for each bucket."""
-        order = np.argsort(self.bucket, kind="stable")
-        cut = np.searchsorted(self.bucket[order], np.arange(self.bucket.max(initial=-1) + 2))
-        probes: dict[int, np.ndarray] = {}
-        if len(self.probe):
-            o = np.argsort(self.probe_bucket, kind="stable")
-            e = _runs(self.probe_bucket[o])
-            probes = {int(self.probe_bucket[o][s]): x for s, x in zip(e, np.split(self.probe[o], e[1:]))}
-        pairs = {b: order[p:q] for b, (p, q) in enumerate(zip(cut, cut[1:])) if q > p}
-        for b in sorted(pairs.keys() | probes.keys()):
-            i = pairs.get(b, np.empty(0, np.int64))
-            heads = np.union1d(self.h[i], probes.get(b, np.empty(0, np.int64))).astype(np.int64)
-            n = np.searchsorted(self.h[i], heads, "right") - np.searchsorted(self.h[i], heads, "left")
-            yield b, i, heads, n
-
-
-def pair_table(dealt: DataFrame, words: DataFrame, uni: Unigrams, starts: int, word_buckets: int, buckets: int) -> DataFrame:
-    """Kind 0: a bucket's pairs (a: histories, b: words, c: counts; stats: n1 ..). Kind 2: to a chunk, in the order asked, a: counts of pairs, b: sums of each history."""
-
-    def ask(docs: pa.Table, answers: pa.Table) -> pa.Table:
+    def encode(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(answers.column(c).to_pylist() for c in ("kind", "bucket", "a", "b", "stats"))))
         if not docs.num_rows:
-            return _table([])
-        t = Tokens(docs.column("_text").cast(pa.binary()).to_pylist(), docs.column("_train").to_numpy(zero_copy_only=False))
-        p = Pairs(t, *_words(answers), uni.tokens, starts, buckets)
-        chunk = docs.column("_chunk")[0].as_py()
-        return _table([(0, b, chunk, packed(np.concatenate((p.all_ids[heads], n))), packed(np.concatenate((p.wid[i], p.wcount[i]))), packed(p.count[i]), None) for b, i, heads, n in p.asked()])
-
-    def answer(table: pa.Table) -> pa.Table:
-        b = table.column("bucket")[0].as_py()
-        chunks = table.column("chunk").to_pylist()
-        halves = lambda x: np.split(x, 2)
-        heads = [halves(unpacked(x)) for x in table.column("a").to_pylist()]
-        pairs = [halves(unpacked(x)) for x in table.column("b").to_pylist()]
-        h = np.concatenate([np.repeat(x, n) for x, n in heads])
-        w = np.concatenate([x for x, _ in pairs])
-        wcount = np.concatenate([x for _, x in pairs])
-        count = np.concatenate([unpacked(x) for x in table.column("c").to_pylist()])
-        order = np.argsort((h << 32) | w, kind="stable") if max(h.max(initial=0), w.max(initial=0)) < 1 << 31 else np.lexsort((w, h))
-        hs, ws = h[order], w[order]
-        new = np.concatenate(([True], (hs[1:] != hs[:-1]) | (ws[1:] != ws[:-1]))) if len(hs) else np.empty(0, bool)
-        first = np.nonzero(new)[0]
-        total = np.add.reduceat(count[order], first) if len(first) else np.empty(0, np.int64)
-        back = np.empty(len(h), np.int64)
-        back[order] = total[np.cumsum(new) - 1] if len(first) else 0
-        seen = total > 0
-        sh, sw, st, p = hs[first][seen], ws[first][seen], total[seen], uni.p(wcount[order][first][seen])
-        names = np.unique(np.concatenate([x for x, _ in heads]))
-        at = np.searchsorted(names, sh)
-        sums = [np.bincount(at, weights=p, minlength=len(names))] + [np.bincount(at[st == r], minlength=len(names)).astype(np.float64) for r in range(1, DISCOUNTED + 1)]
-        rows = [(0, b, None, packed(sh), packed(sw), packed(st), counts_of_counts(st))]
-        k = 0
-        for chunk, (x, _), (y, _) in zip(chunks, heads, pairs):
-            j = np.searchsorted(names, x)
-            rows.append((2, b, chunk, packed(back[k : k + len(y)]), packed(np.concatenate([s[j] for s in sums])), None, None))
-            k += len(y)
-        return _table(rows)
-
-    asked = dealt.groupBy("_chunk").cogroup(words.where("kind = 1").groupBy("chunk")).applyInArrow(ask, ANSWER)
-    return asked.groupBy("bucket").applyInArrow(answer, ANSWER)
+            return pa.table([pa.array([x], t) for x, t in zip((0, answers.column("chunk")[0].as_py(), None, None, None, None, *rows[0][2:]), form.types)], schema=form)
+        t = Tokens(docs.column("_text").cast(pa.binary()).to_pylist())
+        wid, count = (np.concatenate([unpacked(x[i]) for x in rows]) for i in (2, 3))
+        order = np.argsort(-np.bincount(t.word, minlength=len(wid)), kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        train = docs.column("_train").to_numpy(zero_copy_only=False).astype(np.int64)
+        cells = (1, docs.column("_chunk")[0].as_py(), docs.column("_id").to_pylist(), packed(t.size), packed(train), packed(rank[t.word]), packed(wid[order]), packed(count[order]), None)
+        return pa.table([pa.array([x], f) for x, f in zip(cells, form.types)], schema=form)
+
+    key = to_arrow_type(dealt.schema["_id"].dataType)
+    form = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("ids", pa.list_(key)), *[(c, pa.binary()) for c in ("size", "train", "word", "wid", "count")], ("stats", pa.list_(pa.int64()))])
+    words = dealt.groupBy("_chunk").applyInArrow(ask, ANSWER).groupBy("bucket").applyInArrow(answer, ANSWER)
+    return dealt.groupBy("_chunk").cogroup(words.groupBy("chunk")).applyInArrow(encode, f"kind int, chunk long, ids array<{kind}>, size binary, train binary, word binary, wid binary, count binary, stats array<long>")
+
+
+def _mix(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The hash of an n-gram, from that of its history and the id of its word."""
+    x = h * np.uint64(0x9E3779B97F4A7C15) + (w.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)  # fixed values: odd multipliers of public mixers
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
+    return x ^ (x >> np.uint64(29))
+
+
+@dataclass
+class Grams:
+    """The distinct n-grams of a chunk at one level. `at`: which ends at each position, -1 for none."""
+
+    at: np.ndarray
+    hash: np.ndarray
+    own: np.ndarray  # training count in this chunk
+    suffix: np.ndarray  # which n-gram of the level below ends it
+    count: np.ndarray = field(default=None)  # training count in all chunks
+    alone: np.ndarray = field(default=None)  # whether no other chunk has it
+    # of the level's histories, by their place among the n-grams of the level below: sums as in SUMS
+    sums: np.ndarray = field(default=None)
+
+
+class Stream:
+    """A chunk's tokens with a start before each text, and its n-grams level by level."""
+
+    def __init__(self, row: dict, starts: int):
+        self.ids, self.size, train, word, wid, count = row["ids"], *(unpacked(row[c]) for c in ("size", "train", "word", "wid", "count"))
+        self.train_row, self.kinds = train, len(wid) + 1
+        total = self.size + 1
+        begin = np.cumsum(total) - total
+        self.first = np.zeros(int(total.sum()), bool)
+        self.first[begin] = True
+        self.word = np.full(len(self.first), len(wid))
+        self.word[~self.first] = word
+        self.train = np.repeat(train, total)
+        self.wid = np.append(wid, START)
+        n = np.bincount(self.word, weights=self.train, minlength=self.kinds).astype(np.int64)
+        zero = np.zeros(self.kinds, np.uint64)
+        self.levels = [Grams(self.word, _mix(zero, self.wid), n, np.zeros(self.kinds, np.int64), np.append(count >> 1, starts), np.append(count & 1, 0) > 0)]
+
+    def histories(self, low: Grams) -> tuple[np.ndarray, np.ndarray]:
+        """(positions behind a seen n-gram of level low, which one)."""
+        before = np.append([-1], low.at[:-1])
+        before[self.first] = -1
+        known = np.nonzero(np.append(low.count, 0)[before] > 0)[0]
+        return known, before[known]
+
+    def follow(self) -> Next:
+        return Next(self)
+
+
+class Next:
+    """The next level of a stream: its n-grams, and what is asked about them, by bucket."""
+
+    def __init__(self, s: Stream):
+        low = s.levels[-1]
+        self.known, self.history = s.histories(low)
+        seen = np.append(low.count, 0)[low.at[self.known]] > 0  # only where the suffix was seen can the whole be
+        i = self.known[seen]
+        key, place = np.unique(self.history[seen] * s.kinds + s.word[i], return_inverse=True)
+        self.head, word = key // s.kinds, key % s.kinds
+        at = np.full(len(s.word), -1)
+        at[i] = place
+        suffix = np.empty(len(key), np.int64)
+        suffix[place] = low.at[i]
+        own = np.bincount(place, weights=s.train[i], minlength=len(key)).astype(np.int64)
+        self.low, self.wid = low, s.wid[word]
+        self.grams = Grams(at, _mix(low.hash[self.head], self.wid), own, suffix)
+        self.final = low.alone
+
+    def asks(self, tokens: int, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(bucket, n-grams, histories, and of each the number of n-grams * 4 + 2 if hot + 1 if its sums are wanted here)."""
+        low = self.low
+        salts = 1 + low.count * (2 * buckets) // max(tokens, 1)
+        gram = np.nonzero(~self.final[self.head])[0]
+        probe = np.unique(self.history)
+        probe = probe[~self.final[probe]]
+        head = np.concatenate((self.head[gram], probe))
+        salt = np.concatenate((self.wid[gram] % salts[self.head[gram]], np.zeros(len(probe), np.int64)))
+        x = low.hash[head] + salt.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        bucket = ((x ^ (x >> np.uint64(32))) % np.uint64(buckets)).astype(np.int64)
+        wid = np.concatenate((self.wid[gram], np.full(len(probe), -1)))
+        item = np.concatenate((gram, np.full(len(probe), -1)))
+        order = np.lexsort((wid, low.hash[head], bucket))
+        bucket, head, item = bucket[order], head[order], item[order]
+        new = np.nonzero(_first(bucket, head))[0] if len(head) else np.empty(0, np.int64)
+        ends = np.append(new[1:], len(head))
+        wanted = item[new] < 0
+        flags = (ends - new - wanted) * 4 + (salts[head[new]] > 1) * 2 + wanted
+        cut = np.append(np.nonzero(_first(bucket[new]))[0], len(new)) if len(new) else [0]
+        for p, q in zip(cut, cut[1:]):
+            part = item[new[p] : ends[q - 1]]
+            yield int(bucket[new[p]]), part[part >= 0], head[new[p:q]], flags[p:q]
+
+    def stats(self) -> list[int]:
+        """Counts of counts of the n-grams that nobody is asked about."""
+        return counts_of_counts(self.grams.own[self.final[self.head]])
+
+    def answered(self, tokens: int, buckets: int, told: dict[int, tuple[np.ndarray, np.ndarray]], hot: dict[int, list[int]]) -> Grams:
+        """The level with counts and sums. told: counts and sums by bucket; hot: sums by hash of history."""
+        g, low = self.grams, self.low
+        g.alone = self.final[self.head]
+        g.count = np.where(g.alone, g.own, 0)
+        g.sums = np.zeros((SUMS, len(low.count)), np.int64)
+        for r in range(1, DISCOUNTED + 1):
+            g.sums[r - 1] = np.bincount(self.head[g.count == r], minlength=len(low.count))
+        seen = g.count > 0
+        below = low.count[g.suffix]
+        for r in range(1, DISCOUNTED + 1):
+            g.sums[DISCOUNTED + r - 1] = np.bincount(self.head[seen & (below == r)], minlength=len(low.count))
+        over = seen & (below > DISCOUNTED)
+        g.sums[-1] = np.bincount(self.head[over], weights=below[over], minlength=len(low.count))
+        for b, grams, heads, flags in self.asks(tokens, buckets):
+            counts, sums = told[b]
+            g.count[grams], g.alone[grams] = counts >> 1, counts & 1 > 0
+            g.sums[:, heads[flags & 3 == 1]] = sums.reshape(SUMS, -1)
+            for h in heads[flags & 3 == 3].tolist():
+                g.sums[:, h] = hot[int(low.hash[h].view(np.int64))]
+        return g
+
+
+def bucket_answers(table: pa.Table) -> pa.Table:
+    """Kind 0: a bucket's n-grams (a: hashes and numbers of histories, b: words, c: counts; stats: n1 ..). Kind 2: to a chunk, in the
+    order asked, a: counts as in encoded(), b: sums of histories. Kind 3: a bucket's part of a hot history's sums. Kind 4: a chunk that wants them."""
+    bucket = table.column("bucket")[0].as_py()
+    chunks = table.column("chunk").to_pylist()
+    halves = lambda x: np.split(unpacked(x), 2)
+    heads = [(np.cumsum(x).view(np.uint64), flags) for x, flags in map(halves, table.column("a").to_pylist())]
+    pairs = [halves(x) for x in table.column("b").to_pylist()]
+    h = np.concatenate([np.repeat(x, flags >> 2) for x, flags in heads])
+    w, below = (np.concatenate(x) for x in zip(*pairs))
+    count = np.concatenate([unpacked(x) for x in table.column("c").to_pylist()])
+    order = np.lexsort((w, h))
+    new = _first(h[order], w[order]) if len(h) else np.empty(0, bool)
+    first = np.nonzero(new)[0]
+    total = np.add.reduceat(count[order], first) if len(first) else np.empty(0, np.int64)
+    back = np.empty(len(h), np.int64)
+    back[order] = (total * 2 + (np.diff(np.append(first, len(h))) == 1))[np.cumsum(new) - 1] if len(first) else 0
+    seen = total > 0
+    sh, sw, sb, st = h[order][first][seen], w[order][first][seen], below[order][first][seen], total[seen]
+    names = np.unique(np.concatenate([x for x, _ in heads]))
+    at = np.searchsorted(names, sh)
+    of = lambda mask, weights=None: np.bincount(at[mask], weights=None if weights is None else weights[mask], minlength=len(names)).astype(np.int64)
+    sums = np.array([of(st == r) for r in range(1, DISCOUNTED + 1)] + [of(sb == r) for r in range(1, DISCOUNTED + 1)] + [of(sb > DISCOUNTED, sb)])
+    start = np.nonzero(_first(sh))[0] if len(sh) else np.empty(0, np.int64)
+    own = np.sum([counts_of_counts(st), *(x for x in table.column("stats").to_pylist() if x)], axis=0)
+    rows = [(0, bucket, None, packed(np.concatenate((np.diff(sh[start].view(np.int64), prepend=0), np.diff(np.append(start, len(sh)))))), packed(sw), packed(st), own.tolist())]
+    hot, k = set(), 0
+    for chunk, (x, flags), (y, _) in zip(chunks, heads, pairs):
+        plain = np.searchsorted(names, x[flags & 3 == 1])
+        if len(x):
+            rows.append((2, bucket, chunk, packed(back[k : k + len(y)]), packed(sums[:, plain].reshape(-1)), None, None))
+        hot.update(x[flags & 2 > 0].tolist())
+        rows += [(4, g, chunk, None, None, None, None) for g in x[flags & 3 == 3].view(np.int64).tolist()]
+        k += len(y)
+    for g in sorted(hot):
+        j = int(np.searchsorted(names, np.uint64(g)))
+        rows.append((3, g - (1 << 64) if g >> 63 else g, None, None, None, None, sums[:, j].tolist()))
+    return _table(rows)
 
 
 class Model:
-    """Evaluates a chunk's tokens by backoff, from the chunk's answers."""
-
-    def __init__(self, uni: Unigrams, d: np.ndarray):
-        self.uni, self.d = uni, d
-
-    def histories(self, sums: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(divisor, alpha) of histories with sums [p(w) of seen w, number of pairs with count 1, 2, ...]."""
-        left = sum(((1 - self.d[r]) * r * sums[r] for r in range(1, DISCOUNTED + 1)), np.zeros(len(count)))
-        divisor = np.where(left > 0, count, count + 1).astype(np.float64)
-        mass = np.where(left > 0, left, 1.0) / divisor
-        return divisor, mass / np.maximum(1 - sums[0], 1e-300)
-
-    def log_p(self, t: Tokens, p: Pairs, counts: np.ndarray, starts: int, answers: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """log10 p of each token."""
-        n = len(counts)
-        pair = np.zeros(len(p.h), np.int64)
-        sums = np.zeros((DISCOUNTED + 1, n + 1))
-        for b, i, heads, _ in p.asked():
-            c, s = answers[b]
-            pair[i] = c
-            sums[:, heads] += s.reshape(DISCOUNTED + 1, -1)
-        hcount = np.append(counts, starts)
-        divisor, alpha = self.histories(sums, hcount)
-        alpha = np.where(hcount > 0, alpha, 1.0)
-        lower = self.uni.p(counts)[t.word]
-        out = alpha[p.before] * lower  # the pair was not seen: back off
-        c, h = pair[p.place], p.before[p.known]
-        d = np.where(c <= DISCOUNTED, self.d[np.minimum(c, DISCOUNTED)], 1.0)
-        out[p.known] = np.where(c > 0, d * c / divisor[h], out[p.known])
+    """Evaluates a chunk's tokens by backoff from level to level."""
+
+    def __init__(self, uni: Unigrams, d: list[np.ndarray]):
+        self.uni, self.d = uni, [uni.d, *d]
+
+    def log_p(self, s: Stream) -> np.ndarray:
+        """log10 p at each position; starts hold nothing."""
+        out = self.uni.p(s.levels[0].count)[s.word]
+        divisor = np.array([self.uni.divisor])  # of the histories of the level below, by place
+        for low, g, d, below in zip(s.levels, s.levels[1:], self.d[1:], self.d):
+            r = np.arange(1, DISCOUNTED + 1)
+            left = ((1 - d[1:]) * r) @ g.sums[:DISCOUNTED]
+            lower = ((below[1:] * r) @ g.sums[DISCOUNTED:-1] + g.sums[-1]) / divisor[low.suffix]
+            divisor = np.where(left > 0, low.count, low.count + 1).astype(np.float64)
+            alpha = np.where(left > 0, left, 1.0) / divisor / np.maximum(1 - lower, 1e-300)
+            known, history = s.histories(low)
+            count = np.append(g.count, 0)[g.at[known]]
+            out[known] = np.where(count > 0, discounted(d, count) / divisor[history], alpha[history] * out[known])
         return np.log10(out)
 
 
-def score(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK, bucket_words: int = BUCKET) -> DataFrame:
+_tidy = {"lock": threading.Lock(), "users": 0, "before": None}
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Files of a shuffle go when the table that it made is written. On while any query of this process needs it."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    with _tidy["lock"]:
+        if not _tidy["users"]:
+            _tidy["before"] = spark.conf.get(name, "false")
+            spark.conf.set(name, "true")
+        _tidy["users"] += 1
+    try:
+        yield
+    finally:
+        with _tidy["lock"]:
+            _tidy["users"] -= 1
+            if not _tidy["users"]:
+                spark.conf.set(name, _tidy["before"])
+
+
+def score(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text", order: int = ORDER, chunk_bytes: int = CHUNK, bucket_words: int = BUCKET) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score. held_out: a boolean column of the rows not to learn from."""
     spark = docs.sparkSession
     size = text_bytes(docs, text)
@@ -283,35 +399,83 @@ def score(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text", ch
     rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"), (~F.coalesce(held_out, F.lit(False))).alias("_train"))
     dealt = rows.withColumn("_chunk", chunk_of("_id", "_text", chunks))
     starts = rows.where("_train").count()
-    tidy = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(tidy, "false")
-    spark.conf.set(tidy, "true")  # the shuffles of a table that is written are not needed again
-    try:
-        words = saved(word_table(dealt, buckets))
-        stats = words.where("kind = 0").select(*[F.sum(F.col("stats")[i]) for i in range(DISCOUNTED + 3)]).first()
-        tokens, kinds, *n = (int(x or 0) for x in stats)
-        uni = Unigrams.of(tokens, kinds, n)
-        pairs = saved(pair_table(dealt, words, uni, starts, buckets, buckets))
-    finally:
-        spark.conf.set(tidy, before)
-    stats = pairs.where("kind = 0").select(*[F.sum(F.col("stats")[i]) for i in range(DISCOUNTED + 1)]).first()
-    model = Model(uni, discounts([int(x or 0) for x in stats]))
     kind = docs.schema[key].dataType.simpleString()
-
-    def evaluate(table: pa.Table, answers: pa.Table) -> pa.Table:
-        t = Tokens(table.column("_text").cast(pa.binary()).to_pylist(), table.column("_train").to_numpy(zero_copy_only=False))
-        ids, counts = _words(answers)
-        p = Pairs(t, ids, counts, uni.tokens, starts, buckets)
-        told = {b: (unpacked(x), unpacked(y, np.float64)) for k, b, x, y in zip(*(answers.column(c).to_pylist() for c in ("kind", "bucket", "a", "b"))) if k == 2}
-        logs = model.log_p(t, p, counts, starts, told)
-        n = len(t.size)
-        per = lambda x: np.bincount(t.row, weights=x, minlength=n)
-        held = ~table.column("_train").to_numpy(zero_copy_only=False)
-        cols = [table.column("_id").combine_chunks(), pa.array(held), pa.array(t.size), pa.array(per((counts > 0)[t.word]).astype(np.int64)), pa.array(np.full(n, uni.tokens, np.int64)), pa.array(per(uni.base(counts)[t.word])), pa.array(per(logs))]
+    total = lambda df, n: [int(x or 0) for x in df.where("kind = 0").select(*[F.sum(F.col("stats")[i]) for i in range(n)]).first()]
+
+    def streams(docs: pa.Table, answers: pa.Table | None, uni: Unigrams) -> Iterator[Stream]:
+        """The chunks of a table with the levels that answers hold."""
+        told: dict[int, dict] = {}
+        hot: dict[int, dict] = {}
+        if answers is not None:
+            for level, k, b, x, y, z in zip(*(answers.column(c).to_pylist() for c in ("level", "kind", "bucket", "a", "b", "stats"))):
+                if k == 2:
+                    told.setdefault(level, {})[b] = unpacked(x), unpacked(y)
+                else:
+                    hot.setdefault(level, {})[b] = z
+        for row in docs.to_pylist():
+            s = Stream(row, starts)
+            for level in range(2, 2 if answers is None else done + 1):
+                s.levels.append(s.follow().answered(uni.tokens, buckets, told.get(level, {}), hot.get(level, {})))
+            yield s
+
+    def asked(s: Stream, chunk: int, tokens: int) -> pa.Table:
+        n = s.follow()
+        out = [(0, chunk % buckets, chunk, packed(np.empty(0, np.int64)), packed(np.empty(0, np.int64)), packed(np.empty(0, np.int64)), n.stats())]
+        for b, grams, heads, flags in n.asks(tokens, buckets):
+            a = np.concatenate((np.diff(n.low.hash[heads].view(np.int64), prepend=0), flags))
+            out.append((0, b, chunk, packed(a), packed(np.concatenate((n.wid[grams], n.low.count[n.grams.suffix[grams]]))), packed(n.grams.own[grams]), None))
+        return _table(out)
+
+    def told_to(level: int, table: DataFrame) -> DataFrame:
+        """level, kind, bucket, chunk, a, b, stats: the answers to chunks, with the sums of hot histories added up."""
+        parts = table.where("kind = 3").groupBy("bucket").agg(*[F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(SUMS)])
+        sums = parts.select("bucket", F.array(*[f"s{i}" for i in range(SUMS)]).alias("stats"))
+        none = F.lit(None).cast("binary")
+        hot = table.where("kind = 4").select("bucket", "chunk").join(sums, "bucket").select(F.lit(3).alias("kind"), "bucket", "chunk", none.alias("a"), none.alias("b"), "stats")
+        plain = table.where("kind = 2").select("kind", "bucket", "chunk", "a", "b", F.lit(None).cast("array<bigint>").alias("stats"))
+        return plain.unionByName(hot).withColumn("level", F.lit(level))
+
+    with shuffles_removed(spark):
+        cells = saved(encoded(dealt, kind, buckets))
+        tokens, kinds, *n = total(cells, DISCOUNTED + 3)
+        uni = Unigrams.of(tokens, kinds, n)
+        own = cells.where("kind = 1").drop("kind", "stats")
+        d, answers, done = [], None, 1
+        for level in range(2, order + 1):
+            if answers is None:
+
+                def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                    for b in batches:
+                        for i in range(b.num_rows):
+                            one = pa.Table.from_batches([b.slice(i, 1)])
+                            yield from asked(next(streams(one, None, uni)), one.column("chunk")[0].as_py(), uni.tokens).combine_chunks().to_batches()
+
+                asks = own.mapInArrow(first, ANSWER)
+            else:
+
+                def further(docs: pa.Table, told: pa.Table) -> pa.Table:
+                    return asked(next(streams(docs, told, uni)), docs.column("chunk")[0].as_py(), uni.tokens)
+
+                asks = own.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(further, ANSWER)
+            table = saved(asks.groupBy("bucket").applyInArrow(bucket_answers, ANSWER))
+            d.append(discounts(total(table, DISCOUNTED + 1)))
+            told = told_to(level, table)
+            answers, done = told if answers is None else answers.unionByName(told), level
+    model = Model(uni, d)
+
+    def evaluate(docs: pa.Table, told: pa.Table | None) -> pa.Table:
+        s = next(streams(docs, told, uni))
+        i = ~s.first
+        counts, row = s.levels[0].count[s.word[i]], np.repeat(np.arange(len(s.size)), s.size)
+        per = lambda x: np.bincount(row, weights=x, minlength=len(s.size))
+        kinds = docs.schema.field("ids").type.value_type
+        cols = [pa.array(s.ids, kinds), pa.array(s.train_row == 0), pa.array(s.size), pa.array(per(counts > 0).astype(np.int64)), pa.array(np.full(len(s.size), uni.tokens, np.int64)), pa.array(per(uni.base(counts))), pa.array(per(model.log_p(s)[i]))]
         return pa.table(cols, names=[key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    answers = words.where("kind = 1").unionByName(pairs.where("kind = 2")).select("kind", "bucket", "chunk", "a", "b")
-    return dealt.groupBy("_chunk").cogroup(answers.groupBy("chunk")).applyInArrow(evaluate, f"{key} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    shape = f"{key} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    if answers is None:
+        return own.groupBy("chunk").applyInArrow(lambda docs: evaluate(docs, None), shape)
+    return own.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(evaluate, shape)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .blobs import chunk_of, hash_bounds, packed, text_bytes, unpacked
 
-WINDOW, ANCHOR, RUN, CHUNK, BUCKET, MOST = 13, 7, 1024, 8 << 20, 3_000_000, 4096
+WINDOW, ANCHOR, RUN, CHUNK, BUCKET, MOST = 13, 5, 1024, 8 << 20, 3_000_000, 4096
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)  # fixed values: odd multipliers of public mixers
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -106,29 +106,31 @@ class Automaton:
         self.next: list[dict] = [{}]
         self.link, self.size, self.last = [-1], [0], 0
 
-    def extend(self, c: int) -> None:
-        nxt, link, size = self.next, self.link, self.size
-        p, cur = self.last, len(nxt)
-        nxt.append({})
-        link.append(0)
-        size.append(size[p] + 1)
-        while p >= 0 and c not in nxt[p]:
-            nxt[p][c] = cur
-            p = link[p]
-        if p >= 0:
-            q = nxt[p][c]
-            if size[q] == size[p] + 1:
-                link[cur] = q
-            else:
-                copy = len(nxt)
-                nxt.append(dict(nxt[q]))
-                link.append(link[q])
-                size.append(size[p] + 1)
-                while p >= 0 and nxt[p].get(c) == q:
-                    nxt[p][c] = copy
-                    p = link[p]
-                link[q] = link[cur] = copy
-        self.last = cur
+    def extend(self, words: list[int]) -> None:
+        nxt, link, size, last = self.next, self.link, self.size, self.last
+        for c in words:
+            p, cur = last, len(nxt)
+            nxt.append({})
+            link.append(0)
+            size.append(size[p] + 1)
+            while p >= 0 and c not in nxt[p]:
+                nxt[p][c] = cur
+                p = link[p]
+            if p >= 0:
+                q = nxt[p][c]
+                if size[q] == size[p] + 1:
+                    link[cur] = q
+                else:
+                    copy = len(nxt)
+                    nxt.append(dict(nxt[q]))
+                    link.append(link[q])
+                    size.append(size[p] + 1)
+                    while p >= 0 and nxt[p].get(c) == q:
+                        nxt[p][c] = copy
+                        p = link[p]
+                    link[q] = link[cur] = copy
+            last = cur
+        self.last = last
 
     def matches(self, words: list[int], window: int) -> list[int]:
         """Starts of the windows of words that the automaton holds, by matching statistics."""
@@ -155,9 +157,7 @@ def streamed(passages: list[tuple[int, int, bytes]], window: int) -> list[tuple[
         before = [a.matches(w, window) if held else [] for _, w in same]
         for (_, w), found in zip(same, before):
             if len(found) < len(w) - window + 1:  # what the automaton holds whole isn't added again
-                for c in w:
-                    a.extend(c)
-                a.extend(mark)  # no passage goes on into the next
+                a.extend([*w, mark])  # no passage goes on into the next
                 mark -= 1
                 held = True
         out += [(found, a.matches(w, window) if more else []) for (more, w), found in zip(same, before)]
@@ -202,7 +202,7 @@ def repeated_spans(dealt: DataFrame, key: str, text: str, chunk: str, buckets: i
         b = table.column("bucket")[0].as_py()
         return pa.table({"chunk": pa.array([r[0] for r in rows], pa.int64()), "bucket": pa.array([b] * len(rows), pa.int64()), "places": pa.array([r[1] for r in rows], pa.binary()), "hot": pa.array([r[2] for r in rows], pa.binary())})
 
-    names = {"key": pa.int64(), "sign": pa.binary(), "words": pa.binary(), "low": pa.int64(), "high": pa.int64(), "chunk": pa.int64(), "rows": pa.list_(pa.int32()), "starts": pa.list_(pa.int32())}
+    names = {"key": pa.int64(), "sign": pa.int64(), "words": pa.binary(), "low": pa.int64(), "high": pa.int64(), "chunk": pa.int64(), "rows": pa.list_(pa.int32()), "starts": pa.list_(pa.int32())}
 
     def passages(docs: pa.Table, answers: pa.Table) -> pa.Table:
         out: dict[tuple, list] = {}
@@ -221,14 +221,14 @@ def repeated_spans(dealt: DataFrame, key: str, text: str, chunk: str, buckets: i
                 w = words[a:e].tobytes()
                 x = out.get(w) if not one else out.get((w,))
                 if x is None:
-                    out[(w,) if one else w] = [xxhash.xxh3_64_intdigest(w) - (1 << 63) if one else k, d, d, [r], [s]]
+                    out[(w,) if one else w] = [xxhash.xxh64_intdigest(w) - (1 << 63) if one else k, d, d, [r], [s]]
                 else:
                     x[2] = d  # rows are in order of id
                     x[3].append(r)
                     x[4].append(s)
         where = docs.column(chunk)[0].as_py() if docs.num_rows else 0
         found = [(w[0] if isinstance(w, tuple) else w, x) for w, x in out.items()]
-        cols = ([x[0] for _, x in found], [xxhash.xxh3_128_digest(w) for w, _ in found], [w for w, _ in found], [x[1] for _, x in found], [x[2] for _, x in found], [where] * len(found), [x[3] for _, x in found], [x[4] for _, x in found])
+        cols = ([x[0] for _, x in found], [xxhash.xxh3_64_intdigest(w) - (1 << 63) for w, _ in found], [w for w, _ in found], [x[1] for _, x in found], [x[2] for _, x in found], [where] * len(found), [x[3] for _, x in found], [x[4] for _, x in found])
         return pa.table({n: pa.array(x, t) for (n, t), x in zip(names.items(), cols)})
 
     def match(table: pa.Table) -> pa.Table:
@@ -246,14 +246,14 @@ def repeated_spans(dealt: DataFrame, key: str, text: str, chunk: str, buckets: i
                         after.append(spans(y))
             p = q
         i = pa.array(at, pa.int64())
-        return pa.table({"sign": table.column("sign").take(i), "low": table.column("low").take(i), "before": pa.array(before, pa.binary()), "after": pa.array(after, pa.binary())})
+        return pa.table({"key": table.column("key").take(i), "sign": table.column("sign").take(i), "low": table.column("low").take(i), "before": pa.array(before, pa.binary()), "after": pa.array(after, pa.binary())})
 
     asked = dealt.groupBy(chunk).applyInArrow(ask, "bucket long, chunk long, anchors binary, n binary")
     answered = asked.groupBy("bucket").applyInArrow(answer, "chunk long, bucket long, places binary, hot binary")
-    sent = dealt.groupBy(chunk).cogroup(answered.groupBy("chunk")).applyInArrow(passages, "key long, sign binary, words binary, low long, high long, chunk long, rows array<int>, starts array<int>")
+    sent = dealt.groupBy(chunk).cogroup(answered.groupBy("chunk")).applyInArrow(passages, "key long, sign long, words binary, low long, high long, chunk long, rows array<int>, starts array<int>")
     distinct = sent.groupBy("key", "sign").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.first("words").alias("words"))
-    found = distinct.groupBy(F.pmod("key", F.lit(buckets)).alias("shard")).applyInArrow(match, "sign binary, low long, before binary, after binary")
-    return sent.select("chunk", "sign", "rows", "starts").join(found, "sign").drop("sign")
+    found = distinct.groupBy(F.pmod("key", F.lit(buckets)).alias("shard")).applyInArrow(match, "key long, sign long, low long, before binary, after binary")
+    return sent.select("chunk", "key", "sign", "rows", "starts").join(found, ["key", "sign"]).drop("key", "sign")
 
 
 def cut(text: bytes, gone: np.ndarray) -> bytes:

@@ -73,19 +73,17 @@ def test_viterbi_is_the_cheapest_split():
 # ---------------------------------------------------------------- language model
 
 
-def brute_katz(rows):
-    """doc -> (n_tokens, n_known, base, score), and p, by plain dictionaries."""
+def brute_katz(rows, order):
+    """doc -> (n_tokens, n_known, base, score), p(history, word), counts by level, by plain dictionaries."""
     tok = {i: (t or "").encode().lower().split() + [b"\n"] for i, t, _ in rows}
-    uni, bi, hist = Counter(), Counter(), Counter()
+    grams = [Counter() for _ in range(order)]
     for i, _, held in rows:
-        if held:
-            continue
-        h = None
-        for w in tok[i]:
-            uni[w] += 1
-            bi[h, w] += 1
-            hist[h] += 1
-            h = w
+        seq = [None, *tok[i]]
+        for p in range(1, len(seq)):
+            for n in range(min(order, p + 1)):
+                if not held:
+                    grams[n][tuple(seq[p - n : p + 1])] += 1
+    uni = grams[0]
     total, kinds = sum(uni.values()), len(uni)
 
     def discount(counts):
@@ -94,51 +92,60 @@ def brute_katz(rows):
         d = {r: ((r + 1) * n[r + 1] / (n[r] * r) - cut) / (1 - cut) if n[1] and n[r] and cut < 1 else 1 for r in range(1, 6)}
         return {r: x if 0 < x < 1 else 1 for r, x in d.items()}
 
-    du, db = discount(uni), discount(bi)
-    left = sum((1 - du.get(c, 1)) * c for c in uni.values())
+    d = [discount(g) for g in grams]
+    left = sum((1 - d[0].get(c, 1)) * c for c in uni.values())
     div = max(total if left > 0 else total + 1, 1)
     unknown = (left if left > 0 else 1) / div
-    p1 = lambda w: du.get(uni[w], 1) * uni[w] / div if w in uni else unknown
-    after = defaultdict(list)
-    for (h, w), c in bi.items():
-        after[h].append((w, c))
+    after = [defaultdict(list) for _ in grams]
+    for n in range(1, order):
+        for g, c in grams[n].items():
+            after[n][g[:-1]].append((g[-1], c))
 
     def p(h, w):
-        if not hist[h]:
-            return p1(w)
-        left = sum((1 - db.get(c, 1)) * c for _, c in after[h])
-        d = hist[h] if left > 0 else hist[h] + 1
-        if bi[h, w]:
-            return db.get(bi[h, w], 1) * bi[h, w] / d
-        return (left if left > 0 else 1) / d / (1 - sum(p1(x) for x, _ in after[h])) * p1(w)
+        h = tuple(h)[-(order - 1) :] if order > 1 else ()
+        n = len(h)
+        if not n:
+            return d[0].get(uni[w,], 1) * uni[w,] / div if (w,) in uni else unknown
+        if not after[n][h]:
+            return p(h[1:], w)
+        left = sum((1 - d[n].get(c, 1)) * c for _, c in after[n][h])
+        seen = sum(c for _, c in after[n][h])
+        whole = seen if left > 0 else seen + 1
+        if grams[n][*h, w]:
+            return d[n].get(grams[n][*h, w], 1) * grams[n][*h, w] / whole
+        return (left if left > 0 else 1) / whole / (1 - sum(p(h[1:], x) for x, _ in after[n][h])) * p(h[1:], w)
 
     out = {}
     for i, ws in tok.items():
-        out[i] = (len(ws), sum(w in uni for w in ws), sum(math.log10((uni[w] + 0.5) / (total + 0.5 * (kinds + 1))) for w in ws), sum(math.log10(p(h, w)) for h, w in zip([None, *ws], ws)))
-    return out, p, uni, hist
+        logs = [math.log10(p([None, *ws[:k]], w)) for k, w in enumerate(ws)]
+        out[i] = (len(ws), sum((w,) in uni for w in ws), sum(math.log10((uni[w,] + 0.5) / (total + 0.5 * (kinds + 1))) for w in ws), sum(logs))
+    return out, p, grams
 
 
-@pytest.mark.parametrize("chunk, bucket", [(1 << 30, 3_000_000), (5_000, 300)])
-def test_katz_equals_brute_force_and_sums_to_one(spark, small, chunk, bucket):
-    base = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").limit(40).collect()]
-    rows = [(i, t, zlib.crc32(str(i).encode()) % 5 == 1) for i, t in base + [(900, None), (901, ""), (902, "The the THE"), (903, "unseen-word of"), (904, "a b " * 300)]]
+@pytest.mark.parametrize("order, chunk, bucket", [(3, 1 << 30, 3_000_000), (3, 3_000, 200), (2, 5_000, 300), (1, 5_000, 300), (4, 4_000, 60)])
+def test_katz_equals_brute_force_and_sums_to_one(spark, small, order, chunk, bucket):
+    base = [(r.doc_id, r.text[:4000]) for r in spark.read.parquet(f"{small}/documents.parquet").limit(40).collect()]
+    rows = [(i, t, zlib.crc32(str(i).encode()) % 5 == 1) for i, t in base + [(900, None), (901, ""), (902, "The the THE"), (903, "unseen-word of"), (904, "a b " * 300), (905, base[3][1]), (906, base[4][1]), (907, "x y z " * 9)]]
     df = spark.createDataFrame([(i, t, "x") for i, t, _ in rows], "doc_id long, text string, score string")
-    got = katz.score(df, F.crc32(F.col("doc_id").cast("string")) % 5 == 1, chunk_bytes=chunk, bucket_words=bucket).collect()
-    want, p, uni, hist = brute_katz(rows)
+    got = katz.score(df, F.crc32(F.col("doc_id").cast("string")) % 5 == 1, order=order, chunk_bytes=chunk, bucket_words=bucket).collect()
+    want, p, grams = brute_katz(rows, order)
     assert len(got) == len(rows)
     for r in got:
         n, known, low, high = want[r.doc_id]
-        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (n, known, sum(uni.values()), dict((i, h) for i, _, h in rows)[r.doc_id])
-        assert math.isclose(r.base_score, low, rel_tol=1e-9) and math.isclose(r.score, high, rel_tol=1e-9)
-    for h in [None, *[w for w, _ in uni.most_common(5)], next(w for w in uni if uni[w] == 1)]:
-        if h != b"\n":
-            assert abs(sum(p(h, w) for w in uni) + p(h, b"\x00") - 1) < 1e-9
-    assert katz.score(df.limit(0), F.lit(False)).count() == 0
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (n, known, sum(grams[0].values()), dict((i, h) for i, _, h in rows)[r.doc_id])
+        assert math.isclose(r.base_score, low, rel_tol=1e-9) and math.isclose(r.score, high, rel_tol=1e-9), r.doc_id
+    rng = random.Random(1)
+    for g in [(), *rng.sample(sorted(grams[-1], key=str), 12)]:
+        if b"\n" not in g[:-1]:
+            assert abs(sum(p(g[:-1], w) for (w,) in grams[0]) + p(g[:-1], b"\x00") - 1) < 1e-9
+    assert katz.score(df.limit(0), F.lit(False), order=order).count() == 0
 
 
-def test_katz_beats_its_base_on_held_out_texts(spark, small):
-    r = katz.query(spark, small).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
-    assert r.s > r.b
+def test_katz_beats_its_base_and_its_lower_order_on_held_out_texts(spark, small):
+    df = spark.read.parquet(f"{small}/documents.parquet")
+    score = lambda n: katz.score(df, F.crc32(F.col("doc_id").cast("string")) % 5 == 1, order=n).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    two, three = score(2), score(3)
+    assert three[0] > two[0] > two[1]
 
 
 # ---------------------------------------------------------------- BPE
