@@ -203,7 +203,7 @@ def test_neighbours_equal_brute_force(spark):
     rows += [(400, None), (401, [0.0] * 16), (402, [float("nan")] * 16), (403, [None] + [1.0] * 15), (404, [float("inf")] * 16), (None, [1.0] * 16), (405, []), (420, [1.0, 2.0]), (440, [2.0, 1.0]), (441, [1.0, 1.0]), (442, [1.0, 1.0]), (460, [5.0])]
     rows += [(500 + i, rows[7][1]) for i in range(40)] + [rows[3]] * 2
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, block int").repartition(5)
-    for blocks in ({}, {"candidates": 37, "queries": 5}):
+    for blocks in ({}, {"candidates": 37, "queries": 5}, {"candidates": 9, "queries": 4, "room": 600}):
         got = ann.nearest(df, **blocks).collect()
         by = {}
         for r in sorted(got, key=lambda r: (r.query_id, r["rank"])):
@@ -212,6 +212,18 @@ def test_neighbours_equal_brute_force(spark):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+def test_subnormal_and_huge_vectors(spark):
+    rows = [(i, [(i % 7 - 3) * scale, (i % 5 - 2) * scale]) for i, scale in enumerate([5e-324, 1e-310, 1.0, 1e150] * 12) if i % 35]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5)
+    by = {}
+    for r in got.collect():
+        by.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    good = {i: v for i, v in rows if any(v)}
+    for i in (i for i in good if i % 20 == 0):
+        want = sorted((-sum(x * y for x, y in zip(good[i], v)), j) for j, v in good.items() if j != i)[:5]
+        assert [(j, s) for _, j, s in sorted(by[i])] == [(j, -s) for s, j in want]
+
+
 def test_neighbours_equal_sql(spark, duck, small, equal):
     equal(ann.query(spark, small), duck.sql(ann.ORACLE_SQL).df())
 
