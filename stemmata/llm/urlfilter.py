@@ -1,40 +1,40 @@
 """URL filters: longest-rule lists, and host word segmentation scored by naive Bayes where no rule fits.
 
 1. Rules (host suffix and path prefix) are matched by built-in functions; the longest fitting rule decides.
-2. A unigram word table is counted over all hosts and path words of the table and joined with a small seed list.
-3. Viterbi splits every host label into the words of least total cost under that table.
-4. Multinomial naive Bayes, trained on distinct hosts and directories that a rule labels plus the seed list, scores
-   the segmented tokens with equal priors. Tokens that the rules themselves name (com, en, ...) say nothing beyond the
-   rules and are left out. The verdict is block where the log odds reach `MARGIN`, else allow.
-
-Both tables are bounded before they are broadcast: the `vocabulary` most frequent words and class-token counts
-(documented parameters); each distinct host is segmented once a task.
-
-Defined results: a null url or one without `://` has empty host and path, fits no rule and is allowed; repeated rows are judged alike; an empty table gives no rows; extra columns are not read.
+2. Word counts are taken over the text of all pages, the marked-off words of hosts, and the words of paths.
+3. Viterbi splits every run of letters of a host into the words of least total cost under those counts. The substrings of
+   the distinct runs meet the word table in an equality join, so the table may be of any size.
+4. Multinomial naive Bayes learns from the distinct urls that a rule labels: every segmented host word and every path
+   word counts, in two name spaces, the words of the rules among them. The scores of a host and of a path are sums over
+   their tokens, taken once for each distinct host and path. Classes have equal priors; words that no labelled url has
+   say nothing. The verdict is block where the log odds reach `margin`, else allow. Seed words are a parameter, empty by
+   default.
+
+Word counts, token counts and weights are tables of all words; only their totals reach the driver. Sums are taken over
+whole billionths, so they don't depend on the order of rows.
+
+Defined results: a null url or one without `://` has empty host and path, fits no rule and has log odds zero, so it is
+allowed; ties of two splits go to the longer last word, ties of rules can't be; very long urls count whole, but a run of
+over LABEL letters, which no host can hold, stays one word; repeated rows are judged alike and teach once; without
+labelled urls all odds are zero; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .components import saved
+
 #: (rule, verdict): the rule's host, then its path.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
-
-#: Seed words of names that are filtered or kept, each counted `SEED_WEIGHT` times in its class.
-SEED_BLOCK = "adult ads bet bets bonus casino cheap cialis credit escort farm free gambling jackpot loan loans lottery nude pharma pills poker porn promo sex slots spam track tracker viagra win xxx".split()
-SEED_ALLOW = "archive blog books city club docs edu forum health history home journal law library museum music news office press public report research review school science shop sports story studio travel uni university weather wiki world".split()
-SEED_WEIGHT = 200
-VOCABULARY, TOKENS = 100_000, 100_000
 MARGIN = 2.0
-LONGEST = 24  # letters of a word that Viterbi considers
-
-ALNUM = re.compile(r"[^\W\d_]+|\d+")
+LABEL = 63  # letters of a host label at most
+UNIT = 1_000_000_000
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -57,113 +57,134 @@ def verdict_of(rule: Column, rules: tuple[tuple[str, str], ...] = RULES) -> Colu
     return F.coalesce(*[F.when(rule == r, F.lit(v)) for r, v in rules], F.lit(None).cast("string"))
 
 
-class Words:
-    """Unigram costs of words, for Viterbi. An unknown run of n letters costs what a word of that length would by chance."""
-
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) + 1
-        self.cost = {w: math.log(total / c) for w, c in counts.items()}
-        self.letter, self.word = math.log(26), math.log(total)
-        self.longest = min(LONGEST, max(map(len, counts), default=1))
-        self.seen: dict[str, list[str]] = {}
-
-    def split(self, name: str) -> list[str]:
-        """The words of least total cost that spell name; ties go to the longer last word.
-
-        Unknown runs may have any length: the cheapest start of one is a running minimum.
-        """
-        best, back = [0.0], [0]
-        run, run_at = 0.0, 0  # least best[start] - letters before start
-        for end in range(1, len(name) + 1):
-            low, at = run + self.word + self.letter * end, run_at
-            for start in range(max(0, end - self.longest), end):
-                known = self.cost.get(name[start:end])
-                if known is not None and (best[start] + known, start) < (low, at):
-                    low, at = best[start] + known, start
-            best.append(low)
-            back.append(at)
-            if low - self.letter * end < run:
-                run, run_at = low - self.letter * end, end
-        out, n = [], len(name)
-        while n:
-            out.append(name[back[n] : n])
-            n = back[n]
-        return out[::-1]
-
-    def tokens(self, host: str, path: str) -> list[str]:
-        """Segmented host words, then path words, in two name spaces; numbers become one token."""
-        if host not in self.seen:
-            if len(self.seen) > 50_000:
-                self.seen.clear()
-            self.seen[host] = ["h:" + w for label in host.split(".") for run in ALNUM.findall(label) for w in (["0"] if run.isdigit() else self.split(run))]
-        return self.seen[host] + ["p:" + ("0" if run.isdigit() else run) for run in ALNUM.findall(path.lower())[:64]]
-
-
-class Bayes:
-    """Multinomial naive Bayes with add-one smoothing, classes allow and block."""
-
-    def __init__(self, counts: dict[tuple[str, str], int], ignored: frozenset[str] = frozenset()):
-        counts = {k: n for k, n in counts.items() if k[1][2:] not in ignored}
-        names = {t for _, t in counts}
-        total = {c: sum(n for (k, _), n in counts.items() if k == c) + len(names) + 1 for c in ("allow", "block")}
-        self.weight = {t: math.log((counts.get(("block", t), 0) + 1) / total["block"]) - math.log((counts.get(("allow", t), 0) + 1) / total["allow"]) for t in names}
-
-    def score(self, tokens: list[str]) -> float:
-        """Log odds of block."""
-        return sum(self.weight.get(t, 0.0) for t in tokens)
-
-
-def lexicon(urls: DataFrame, limit: int = VOCABULARY) -> dict[str, int]:
-    """Counts of the words between marks in distinct hosts and in paths, the most frequent `limit`, with the seed words."""
-    runs = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"(\p{L}+)"), F.lit(1))
-    # whole labels without a mark are names to split, not words: only marked-off words and path words count
-    hosts = urls.select("host").distinct().select(F.explode(F.filter(F.split("host", r"\."), lambda x: x.contains("-"))).alias("label")).select(F.explode(runs(F.col("label"))).alias("w"))
-    words = hosts.unionByName(urls.select(F.explode(runs(F.col("path"))).alias("w"))).groupBy("w").count().where(F.char_length("w").between(2, LONGEST))
-    counts = {r["w"]: r["count"] for r in words.orderBy(F.desc("count"), "w").limit(limit).collect()}
-    for w in SEED_BLOCK + SEED_ALLOW:
-        counts[w] = counts.get(w, 0) + SEED_WEIGHT
-    return counts
-
-
-def train(urls: DataFrame, words: Words, rules: tuple[tuple[str, str], ...] = RULES, limit: int = TOKENS) -> Bayes:
-    """Counts tokens of distinct (host, directory) of the rule-labelled rows. urls: host, path, rule, label."""
-    seen = urls.where("label IS NOT NULL").select("host", F.regexp_extract("path", "^(/[^/]*/)?", 0).alias("path"), "label").distinct()
+def runs_of(text: Column, pattern: str = r"(\p{L}+|\p{Nd}+)") -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+
+
+def folded(run: Column) -> Column:
+    """Numbers are one token."""
+    return F.when(run.rlike(r"^\p{Nd}"), F.lit("0")).otherwise(run)
+
+
+def lexicon(urls: DataFrame, html: str | None = None, seeds: tuple[tuple[str, str, int], ...] = ()) -> DataFrame:
+    """w, n: counts of the words of page texts, of the words between marks in distinct hosts, of paths, and of the seeds."""
+    letters = r"(\p{L}+)"
+    # whole labels without a mark are names to split, not words
+    hosts = urls.select("host").distinct().select(F.explode(F.filter(F.split("host", r"\."), lambda x: x.contains("-"))).alias("t"))
+    given = [hosts, urls.select(F.lower("path").alias("t"))]
+    if html:
+        given.append(urls.select(F.lower(F.regexp_replace(html, r"(?s)<(script|style)\b.*?</\1|<[^>]*>", " ")).alias("t")))
+    words = [g.select(F.explode(runs_of(F.col("t"), letters)).alias("w")).groupBy("w").agg(F.count("*").alias("n")) for g in given]
+    if seeds:
+        words.append(urls.sparkSession.createDataFrame([(w, n) for w, _, n in seeds], "w string, n long"))
+    out = words[0]
+    for more in words[1:]:
+        out = out.unionByName(more)
+    return out.where(F.char_length("w") <= LABEL).groupBy("w").agg(F.sum("n").alias("n"))
+
+
+def cheapest(name: str, hits: list[tuple[int, int, int]], total: int) -> list[str]:
+    """The words of least total cost that spell name; ties go to the longer last word. hits: (start, length, count) of known words.
+
+    A known word costs log(total / count). An unknown run of any length costs log(total) and log(26) for each letter,
+    what a word of that length would by chance; the cheapest start of one is a running minimum.
+    """
+    ending: list[list[tuple[int, int]]] = [[] for _ in range(len(name) + 1)]
+    for at, size, n in hits:
+        ending[at + size].append((at, n))
+    whole, letter = math.log(total), math.log(26)
+    best, back = [0.0], [0]
+    run, run_at = 0.0, 0  # least best[start] - letters before start
+    for end in range(1, len(name) + 1):
+        low, at = run + whole + letter * end, run_at
+        for start, n in ending[end]:
+            cost = best[start] + math.log(total / n)
+            if (cost, start) < (low, at):
+                low, at = cost, start
+        best.append(low)
+        back.append(at)
+        if low - letter * end < run:
+            run, run_at = low - letter * end, end
+    out, n = [], len(name)
+    while n:
+        out.append(name[back[n] : n])
+        n = back[n]
+    return out[::-1]
+
+
+def segmented(runs: DataFrame, words: DataFrame) -> DataFrame:
+    """run, words: the split of each distinct run of letters."""
+    total = int(words.agg(F.sum("n")).first()[0] or 0) + 1
+    n = F.char_length("run")
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, n), lambda j: F.struct((i - 1).alias("at"), F.substring(F.col("run"), i, j - i + 1).alias("w")))))
+    short = runs.where(n <= LABEL)
+    hits = short.select("run", F.explode(parts).alias("x")).select("run", "x.at", "x.w").join(words, "w")
+    hits = hits.groupBy("run").agg(F.collect_list(F.struct("at", F.char_length("w").alias("size"), "n")).alias("hits"))  # LABEL * (LABEL + 1) / 2 at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts: dict[tuple[str, str], int] = {}
-            for host, path, label in zip(*(b.column(i).to_pylist() for i in range(3))):
-                for t in words.tokens(host, path):
-                    counts[label, t] = counts.get((label, t), 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in counts]), pa.array([t for _, t in counts]), pa.array(counts.values(), pa.int64())], ["label", "token", "n"])
-
-    sums = seen.mapInArrow(run, "label string, token string, n long").groupBy("label", "token").agg(F.sum("n").alias("n"))
-    found = {(r["label"], r["token"]): r["n"] for r in sums.orderBy(F.desc("n"), "label", "token").limit(limit).collect()}
-    for label, seeds in (("block", SEED_BLOCK), ("allow", SEED_ALLOW)):
-        for w in seeds:
-            found[label, "h:" + w] = found.get((label, "h:" + w), 0) + SEED_WEIGHT
-    return Bayes(found, frozenset(x for r, _ in rules for x in ALNUM.findall(r)))
-
-
-def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
-    """key, host, path, rule, verdict, log_odds: a row for each row of pages. log_odds is null where a rule decides."""
-    host, path = parts(F.col(url))
-    urls = pages.select(F.col(key), host.alias("host"), path.alias("path")).withColumn("rule", matched(F.col("host"), F.col("path"), rules)).withColumn("label", verdict_of(F.col("rule"), rules))
-    words = Words(lexicon(urls))
-    model = train(urls, words, rules)
-    context = pages.sparkSession.sparkContext
-    shared = context.broadcast((words, model))
+            names = b.column(0).to_pylist()
+            out = [cheapest(name, [(h["at"], h["size"], h["n"]) for h in found or ()], total) for name, found in zip(names, b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], ["run", "words"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, model = shared.value
-        for b in batches:
-            odds = [None if label is not None else model.score(words.tokens(h, p)) for h, p, label in zip(*(b.column(c).to_pylist() for c in ("host", "path", "label")))]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in (key, "host", "path", "rule", "label")], pa.array(odds, pa.float64())], [key, "host", "path", "rule", "label", "log_odds"])
+    split = short.join(hits, "run", "left").select("run", "hits").mapInArrow(run, "run string, words array<string>")
+    return split.unionByName(runs.where(n > LABEL).select("run", F.array("run").alias("words")))
+
+
+def host_tokens(urls: DataFrame, words: DataFrame) -> DataFrame:
+    """host, token, n: the segmented words of each distinct host."""
+    runs = urls.select("host").distinct().select("host", F.explode(runs_of(F.col("host"))).alias("run"))
+    letters = runs.where(~F.col("run").rlike(r"^\p{Nd}"))
+    split = letters.join(segmented(letters.select("run").distinct(), words), "run").select("host", F.explode("words").alias("w"))
+    every = split.unionByName(runs.where(F.col("run").rlike(r"^\p{Nd}")).select("host", folded(F.col("run")).alias("w")))
+    return every.groupBy("host", F.concat(F.lit("h:"), "w").alias("token")).agg(F.count("*").alias("n"))
 
-    kind = urls.schema[key].dataType.simpleString()
-    out = urls.mapInArrow(run, f"{key} {kind}, host string, path string, rule string, label string, log_odds double")
-    return out.select(key, "host", "path", "rule", F.coalesce("label", F.when(F.col("log_odds") >= MARGIN, "block").otherwise("allow")).alias("verdict"), "log_odds")
+
+def path_tokens(paths: DataFrame, *keep: str) -> DataFrame:
+    """keep, token: a row for each word of each path."""
+    return paths.select(*keep, F.explode(runs_of(F.lower("path"))).alias("run")).select(*keep, F.concat(F.lit("p:"), folded(F.col("run"))).alias("token"))
+
+
+def train(urls: DataFrame, hosts: DataFrame, seeds: tuple[tuple[str, str, int], ...] = ()) -> DataFrame:
+    """token, weight: log odds of block in billionths, of the distinct labelled rows of urls (host, path, label)."""
+    seen = urls.where("label IS NOT NULL").select("host", "path", "label").distinct()
+    by_host = seen.groupBy("label", "host").agg(F.count("*").alias("urls")).join(hosts, "host").groupBy("label", "token").agg(F.sum(F.col("n") * F.col("urls")).alias("n"))
+    counts = by_host.unionByName(path_tokens(seen, "label").groupBy("label", "token").agg(F.count("*").alias("n")))
+    if seeds:
+        rows = [(label, space + w, n) for w, label, n in seeds for space in ("h:", "p:")]
+        counts = counts.unionByName(urls.sparkSession.createDataFrame(rows, "label string, token string, n long"))
+    of = lambda label: F.sum(F.when(F.col("label") == label, F.col("n")).otherwise(0))
+    table = saved(counts.groupBy("token").agg(of("allow").alias("a"), of("block").alias("b")))
+    a, b, kinds = table.agg(F.sum("a"), F.sum("b"), F.count("*")).first()
+    odds = F.log((F.col("b") + 1) / ((b or 0) + kinds + 1)) - F.log((F.col("a") + 1) / ((a or 0) + kinds + 1))
+    return table.select("token", F.round(odds * UNIT).cast("long").alias("weight"))
+
+
+def scored(urls: DataFrame, hosts: DataFrame, weights: DataFrame) -> DataFrame:
+    """urls (host, path, ..) with log_odds."""
+    of_host = hosts.join(weights, "token").groupBy("host").agg(F.sum(F.col("n") * F.col("weight")).alias("_h"))
+    of_path = path_tokens(urls.select("path").distinct(), "path").join(weights, "token").groupBy("path").agg(F.sum("weight").alias("_p"))
+    zero = F.lit(0).cast("long")
+    both = urls.join(of_host, "host", "left").join(of_path, "path", "left")
+    return both.select(*urls.columns, ((F.coalesce("_h", zero) + F.coalesce("_p", zero)) / UNIT).alias("log_odds"))
+
+
+def judge(pages: DataFrame, key: str = "page_id", url: str = "url", html: str | None = None, rules: tuple[tuple[str, str], ...] = RULES, margin: float = MARGIN, seeds: tuple[tuple[str, str, int], ...] = ()) -> DataFrame:
+    """key, host, path, rule, verdict, log_odds: a row for each row of pages. log_odds is null where a rule decides.
+
+    html: a column with the pages, whose words help to split hosts. seeds: (word, allow or block, how often it counts).
+    """
+    host, path = parts(F.col(url))
+    found = pages.select(F.col(key).alias("key"), host.alias("host"), path.alias("path"), *([F.col(html).alias("html")] if html else []))
+    found = found.withColumn("rule", matched(F.col("host"), F.col("path"), rules)).withColumn("label", verdict_of(F.col("rule"), rules))
+    hosts = saved(host_tokens(found, lexicon(found, "html" if html else None, seeds)))
+    urls = found.select("key", "host", "path", "rule", "label")
+    weights = train(urls, hosts, seeds)
+    by_rule = urls.where("label IS NOT NULL").withColumn("log_odds", F.lit(None).cast("double"))
+    out = by_rule.unionByName(scored(urls.where("label IS NULL"), hosts, weights))
+    verdict = F.coalesce("label", F.when(F.col("log_odds") >= margin, "block").otherwise("allow"))
+    return out.select(F.col("key").alias(key), "host", "path", "rule", verdict.alias("verdict"), "log_odds")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), html="html")
