@@ -12,8 +12,10 @@ longer than REACH bytes, and no token is, so the result is the same. Such words
 Memory: texts are taken in blocks of about BLOCK characters (one text at least), DuckDB is held to MEMORY, and the cache
 to CACHE words, of which those in use stay.
 
-Defined results: a null text is empty and has no ids; rows are independent, so repeated rows repeat their result; an
-empty table gives no rows; extra columns are not read by the query and kept by encode() and decode().
+Defined results: a null text is empty and has no ids; an id outside the vocabulary decodes to U+FFFD; of two pairs with
+the minimum rank the left one goes first; rows are independent, so repeated rows repeat their result; very long texts
+and words are encoded whole; an empty table gives no rows; extra columns are not read by the query and kept by encode()
+and decode(), which replace a column of the name they write.
 """
 
 from __future__ import annotations
@@ -83,7 +85,7 @@ TAKES = """(SELECT k, k + n AS eaten, own >> {P} AS rank, size FROM (
            min((m.rank << {P}) + (a.k & {M})) OVER (PARTITION BY a.k >> {P} ORDER BY a.k ROWS BETWEEN {R} PRECEDING AND {R} FOLLOWING) AS least
     FROM s a JOIN s c ON c.k = a.k + a.n LEFT JOIN merges m ON m.pair = (a.t << 20) + c.t) WHERE own = least)"""
 
-DECODE = "SELECT w, string_agg(v.hex, '' ORDER BY o.p) AS hex FROM ids o JOIN vocabulary v ON v.id = o.t GROUP BY w"
+DECODE = "SELECT w, string_agg(coalesce(v.hex, 'efbfbd'), '' ORDER BY o.p) AS hex FROM ids o LEFT JOIN vocabulary v ON v.id = o.t GROUP BY w"
 
 
 class Codec:

@@ -9,8 +9,8 @@ numbers; each then starts with the system messages said before it. Message order
 
 Defined results: exactly repeated messages (same dialogue, turn, speaker and text) count once; a null text is empty; a
 null speaker is `unknown`; null turns come first; a dialogue without turn numbers is segment -1, any other 0 (on request,
-null turns are segment -1); rows with a null dialogue id belong to no dialogue and are
-left out; a dialogue with system messages alone has no participant and gives no row; markup inside a message is
+null turns are segment -1); very long texts and dialogues are rendered whole; an empty table gives no rows; extra columns
+are not read; rows with a null dialogue id belong to no dialogue and are left out; a dialogue with system messages alone has no participant and gives no row; markup inside a message is
 disarmed by a space, so that a message cannot open or close another.
 """
 
@@ -71,7 +71,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = """
-WITH said AS (SELECT DISTINCT conv_id, coalesce(CAST(floor(turn / 64.0) AS BIGINT), -1) AS segment, turn,
+WITH said AS (SELECT DISTINCT conv_id, CASE WHEN max(turn) OVER (PARTITION BY conv_id) IS NULL THEN -1 ELSE 0 END::BIGINT AS segment, turn,
                      coalesce(role, 'unknown') AS who, replace(coalesce(text, ''), '<|', '< |') AS body
               FROM conversations WHERE conv_id IS NOT NULL),
      people AS (SELECT DISTINCT conv_id, who AS assistant FROM said WHERE who <> 'system'),

@@ -38,36 +38,91 @@ def test_rules(spark):
         assert (got[i].host, got[i].path, got[i].rule) == rule_of(u), u
         if got[i].rule:
             assert got[i].verdict == dict(urlfilter.RULES)[got[i].rule]
-    assert got[14].verdict == "block" and got[15].verdict == "block" and got[16].verdict == "allow" and got[0].verdict == "allow"
+    assert got[0].verdict == "allow" and got[0].log_odds == 0
     assert urlfilter.judge(df.limit(0)).count() == 0
 
 
-def test_every_page_is_judged_alike(spark, small):
-    d = spark.read.parquet(f"{small}/pages.parquet").select("page_id", "url")
-    twice = d.unionByName(d).repartition(3)
-    one = {r.page_id: r.verdict for r in urlfilter.judge(d).collect()}
-    assert len(one) == d.count()
-    spam = ("casino", "pills", "spam", "adult", "ads-", "bets")
-    for r in urlfilter.judge(twice).where("rule IS NULL").collect():
-        assert r.verdict == one[r.page_id]
-        assert (r.verdict == "block") == any(s in r.host for s in spam), r.host
+def all_splits(s):
+    return [[s[:i], *r] for i in range(1, len(s) + 1) for r in all_splits(s[i:])] if s else [[]]
 
 
 def test_viterbi_is_the_cheapest_split():
     rng = random.Random(1)
-    w = urlfilter.Words({"ab": 50, "abc": 20, "c": 5, "cd": 30, "d": 40, "bcd": 2})
+    counts = {"ab": 50, "abc": 20, "c": 5, "cd": 30, "d": 40, "bcd": 2}
+    total = sum(counts.values()) + 1
+    cost = lambda parts: sum(math.log(total / counts[p]) if p in counts else math.log(total) + math.log(26) * len(p) for p in parts)
+    for _ in range(60):
+        s = "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 9)))
+        hits = [(i, len(w), n) for w, n in counts.items() for i in range(len(s)) if s.startswith(w, i)]
+        assert abs(cost(urlfilter.cheapest(s, hits, total)) - min(map(cost, all_splits(s)))) < 1e-9
+    assert urlfilter.cheapest("", [], 5) == []
 
-    def cost(parts):
-        return sum(w.cost.get(p, w.word + w.letter * len(p)) for p in parts)
 
-    def all_splits(s):
-        return [[s]] + [[s[:i], *r] for i in range(1, len(s)) for r in all_splits(s[i:])] if s else [[]]
+def brute_odds(rows, rules):
+    """page_id -> log odds, by plain dictionaries: word counts, cheapest splits, naive Bayes."""
+    import re
 
-    for _ in range(60):
-        s = "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 9)))
-        assert abs(cost(w.split(s)) - min(map(cost, all_splits(s)))) < 1e-9
-    assert urlfilter.Words({"cheap": 9, "pills": 9}).split("cheappills") == ["cheap", "pills"]
-    assert w.split("") == []
+    at = {}
+    for i, url, html in rows:
+        host, path, rule = rule_of(url)
+        at[i] = (host, path, dict(rules).get(rule))
+    words = Counter(w for i, _, html in rows for w in re.findall(r"[^\W\d_]+", re.sub(r"(?s)<(script|style)\b.*?</\1|<[^>]*>", " ", html or "").lower()))
+    words.update(w for i, (_, path, _) in at.items() for w in re.findall(r"[^\W\d_]+", path.lower()))
+    words.update(w for host in {h for h, _, _ in at.values()} for label in host.split(".") if "-" in label for w in re.findall(r"[^\W\d_]+", label))
+    total = sum(words.values()) + 1
+
+    def split(name):
+        hits = [(i, j - i, words[name[i:j]]) for i in range(len(name)) for j in range(i + 1, len(name) + 1) if name[i:j] in words]
+        return urlfilter.cheapest(name, hits, total)
+
+    def tokens(host, path):
+        bag = Counter("h:" + w for run in re.findall(r"[^\W\d_]+|\d+", host) for w in (["0"] if run.isdigit() else split(run)))
+        bag.update("p:" + ("0" if run.isdigit() else run) for run in re.findall(r"[^\W\d_]+|\d+", path.lower()))
+        return bag
+
+    counts = {"allow": Counter(), "block": Counter()}
+    for host, path, label in {x for x in at.values() if x[2]}:
+        counts[label].update(tokens(host, path))
+    names = counts["allow"].keys() | counts["block"].keys()
+    n = {c: sum(counts[c].values()) + len(names) + 1 for c in counts}
+    weight = {t: math.log((counts["block"][t] + 1) / n["block"]) - math.log((counts["allow"][t] + 1) / n["allow"]) for t in names}
+    return {i: None if label else sum(weight.get(t, 0) * k for t, k in tokens(host, path).items()) for i, (host, path, label) in at.items()}
+
+
+def test_naive_bayes_equals_brute_force(spark, small):
+    rng = random.Random(6)
+    rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{small}/pages.parquet").collect()]
+    made = ["".join(rng.choice(["sun", "moon", "tide", "x9", "qz"]) for _ in range(rng.randrange(1, 5))) for _ in range(60)]
+    rows += [(1000 + i, f"http://{h}.{rng.choice(['com', 'net', 'org'])}/{rng.choice(['es', 'fr', 'en', 'sun-tide/moon_7'])}/{i}", "<p>sun moon tide tide</p>") for i, h in enumerate(made)]
+    rows += [(2000 + i, u, None) for i, u in enumerate(URLS)] + [(2100, "http://" + "ab" * 40 + ".org/" + "long/" * 300, "")]
+    df = spark.createDataFrame(rows + rows[:9], "page_id long, url string, html string").repartition(3)
+    want = brute_odds(rows, urlfilter.RULES)
+    got = urlfilter.judge(df, html="html").collect()
+    assert len(got) == len(rows) + 9
+    for r in got:
+        odds = want[r.page_id]
+        assert (r.log_odds is None) == (odds is None) and (odds is None or abs(r.log_odds - odds) < 1e-5)
+        if odds is not None:
+            assert r.verdict == ("block" if r.log_odds >= urlfilter.MARGIN else "allow")
+    assert {r.verdict for r in got if r.log_odds is not None} == {"allow", "block"}
+
+
+def test_hidden_labels_are_found_again(spark):
+    """Rules label four fifths of the urls; the model has to give the rest theirs."""
+    d = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    host, path = urlfilter.parts(F.col("url"))
+    urls = d.select("page_id", "html", host.alias("host"), path.alias("path"))
+    urls = urls.withColumn("told", urlfilter.verdict_of(urlfilter.matched(F.col("host"), F.col("path")))).withColumn("label", F.when(F.crc32(F.col("page_id").cast("string")) % 5 != 1, F.col("told")))
+    hosts = urlfilter.host_tokens(urls, urlfilter.lexicon(urls, "html"))
+    got = urlfilter.scored(urls.where("told IS NOT NULL AND label IS NULL"), hosts, urlfilter.train(urls, hosts)).collect()
+    right = [(r.log_odds >= 0) == (r.told == "block") for r in got]
+    assert len(right) > 20 and sum(right) >= 0.9 * len(right)
+
+
+def test_seeds_teach_in_both_name_spaces(spark):
+    df = spark.createDataFrame([(1, "http://goodbad.org/x"), (2, "http://x.org/bad"), (3, "http://x.org/y")], "page_id long, url string")
+    got = {r.page_id: r.log_odds for r in urlfilter.judge(df, seeds=(("good", "allow", 3), ("bad", "block", 90))).collect()}
+    assert got[2] > 0 > got[1] and got[3] == 0  # the rarer seed of the smaller class tells more
 
 
 # ---------------------------------------------------------------- language model
@@ -209,6 +264,10 @@ def test_bpe_query_and_columns(spark, small, codec):
     assert back.columns == ["doc_id", "text", "k", "ids", "decoded"]
     assert all(bytes(r.decoded) == (r.text or "").encode() for r in back.collect())
     assert bpe.encode(df.limit(0), path, P.PATTERN).count() == 0
+    odd = spark.createDataFrame([(1, [72, 60_000, -1, 105]), (2, []), (3, None)], "i int, ids array<int>")
+    want = {1: codec.decoded([0, 0], [72, 105])[0], 2: b"", 3: None}
+    want[1] = want[1][:1] + "\ufffd\ufffd".encode() + want[1][1:]
+    assert {r.i: None if r.decoded is None else bytes(r.decoded) for r in bpe.decode(odd, path, P.PATTERN).collect()} == want
 
 
 # ---------------------------------------------------------------- HTML
