@@ -94,6 +94,12 @@ def test_chat_renders_long_dialogues_whole(spark):
 def test_chat_equals_sql_and_is_native(spark, duck, small, equal):
     df = chat.query(spark, small)
     equal(df, duck.sql(chat.ORACLE_SQL).df())
+    long = spark.createDataFrame([(c, None if i == 3 else i // 2, "abc"[i % 3], str(i)) for c in (1, 2) for i in range(200 * c)] + [(3, None, "a", "x")], "conv_id long, turn long, role string, text string")
+    import duckdb
+
+    own = duckdb.connect()
+    own.register("conversations", long.toArrow())
+    equal(chat.rotate(long), own.sql(chat.ORACLE_SQL).df())
     assert not re.search("Python|Arrow|Pandas", df._jdf.queryExecution().executedPlan().toString())
 
 
@@ -121,6 +127,19 @@ def test_best_fit_equals_brute_force():
         assert packing.pack_block(lengths)[0] <= packing.best_fit(lengths, packing.CAPACITIES)[0]
 
 
+def test_lengths_are_chosen_jointly():
+    """Against every set of permitted lengths, packed slowly."""
+    import random
+    from itertools import combinations
+
+    rng = random.Random(5)
+    for _ in range(15):
+        lengths = sorted((rng.randrange(1, rng.choice([60, 300, 2100])) for _ in range(40)), reverse=True)
+        sets = [t for n in range(1, 7) for t in combinations(packing.CAPACITIES, n) if t[-1] >= lengths[0]]
+        assert abs(packing.pack_block(lengths)[0] - min(best_fit_slowly(lengths, t) for t in sets)) < 1e-6
+    assert packing.pack_block([3], (4, 8), lambda c: c)[0] == 4 and packing.pack_block([3, 3, 2], (4, 8), lambda c: c)[0] == 8
+
+
 def check_packing(rows, words):
     bins, whole = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -137,20 +156,52 @@ def check_packing(rows, words):
     assert {d: sum(n for _, n in x) for d, x in whole.items()} == {d: n + 1 for d, n in words.items()}
 
 
-def test_packing_is_whole(spark, small):
-    d = spark.read.parquet(f"{small}/documents.parquet")
-    words = {r.doc_id: len(r.text.encode().split()) for r in d.collect()}
-    check_packing(packing.pack(d).collect(), words)
-    check_packing(packing.pack(d, shard_rows=40, block=17).collect(), words)
+@pytest.fixture(scope="module")
+def public():
+    import public_tokenizers as P
 
+    path = P.path("byte_bpe_50k.tiktoken")
+    return path, P.PATTERN, packing.encoding(path, P.PATTERN)
 
-def test_packing_edges(spark):
-    d = docs(spark, None, "", "w " * 20_000, "a b").unionByName(docs(spark, *["same text"] * 3).select(F.lit(9).cast("long").alias("doc_id"), "text", "_words"))
-    got = packing.pack(d).collect()
+
+def test_packing_is_whole(spark, small, public):
+    d = spark.read.parquet(f"{small}/documents.parquet")
+    tokens = {r.doc_id: len(public[2].encode_ordinary(r.text)) for r in d.collect()}
+    check_packing(packing.pack_texts(d).collect(), tokens)
+    check_packing(packing.pack_texts(d, shard_rows=40, block=17).collect(), tokens)
+
+
+def test_sequences_hold_every_token_once(spark, small, public):
+    path, pattern, e = public
+    d = spark.read.parquet(f"{small}/documents.parquet").limit(60).select("doc_id", "text")
+    d = d.unionByName(d.limit(3)).unionByName(spark.createDataFrame([(None, "no id"), (7, None), (None, "no id")], "doc_id long, text string"))
+    tokens = packing.token_ids(d, path, pattern).cache()
+    packed = packing.pack(tokens, d.count()).cache()
+    bins = {(r.bin_id, r.bin_offset): r for r in packed.collect()}
+    text = defaultdict(list)
+    for r in packing.sequences(packed, tokens).collect():
+        assert len(r.ids) <= r.capacity
+        for start, end, doc in zip(r.starts, [*r.starts[1:], len(r.ids)], r.doc_ids):
+            own = bins[r.bin_id, start]
+            assert (own.doc_id, own.length) == (doc, end - start)
+            text[own.doc_id, own.sign].append((own.piece, r.ids[start:end]))
+    want = Counter((r.doc_id, r.text) for r in d.collect())
+    got = Counter()
+    for (doc, _), parts in text.items():
+        copies = Counter(n for n, _ in parts)[0]
+        ids = [t for n in range(max(n for n, _ in parts) + 1) for t in next(x for k, x in parts if k == n)]
+        assert ids[-1] == e.n_vocab and len(set(Counter(n for n, _ in parts).values())) == 1
+        got[doc, e.decode(ids[:-1])] = copies
+    assert got == Counter({(i, t or ""): n for (i, t), n in want.items()})
+
+
+def test_packing_edges(spark, public):
+    d = docs(spark, None, "", " w" * 20_000, "a b").unionByName(docs(spark, *["same text"] * 3).select(F.lit(9).cast("long").alias("doc_id"), "text", "_words"))
+    got = packing.pack_texts(d).collect()
     assert sorted(r.length for r in got if r.doc_id == 2) == [3617, 8192, 8192]
     assert len([r for r in got if r.doc_id == 9]) == 3 and len([r for r in got if r.doc_id in (0, 1) and r.length == 1]) == 2
-    assert packing.pack(d.limit(0)).count() == 0
-    assert packing.pack(spark.createDataFrame([(None, "a b")], "doc_id long, text string")).count() == 1
+    assert packing.pack_texts(d.limit(0)).count() == 0
+    assert packing.pack_texts(spark.createDataFrame([(None, "a b")], "doc_id long, text string")).count() == 1
 
 
 @pytest.mark.parametrize("rule", quality.THRESHOLDS, ids=lambda r: r.name)
