@@ -8,18 +8,19 @@ A passage of `window` words is removed where its word sequence also starts in a
    range; a bucket tells each chunk which of them other chunks have too.
 3. Each chunk sends the passages around shared anchors (maximal runs of windows with one anchor, at most RUN windows) to
    the shard of their anchor, each distinct passage once with its smallest and largest document id.
-4. A shard takes the passages of an anchor in order of their smallest id. Each is streamed through the suffix automaton of
-   the passages of smaller documents for matching statistics, then added to it as reference, then streamed again for the
-   documents behind it. Windows that match over `window` words or more are repeats; nothing else decides.
+4. A shard takes the passages of an anchor in order of their smallest id, equal ones as one. Each is streamed through
+   the suffix automaton of the passages of smaller documents for matching statistics, then added to it as reference.
+   Windows that match over `window` words or more are repeats, and so is all of a passage in a document behind its first;
+   nothing else decides.
 5. Each chunk unites the spans of its passages and removes the maximal ones.
 
 The automata are not broadcast: the references are the corpus, so they have no size bound, and streaming every document
 through every shard grows with the square of the corpus. A shard is sent only the passages that can match in it.
 
-An anchor that more than `most` passages have is hot: its windows then go one by one to the shard of their own hash, so
-each automaton is bounded. Equal passages meet in partial aggregation before the shuffle, and what was found for a
-passage goes back to its chunks by an equality join, in which adaptive execution splits hot passages. A bucket holds one
-entry of an anchor for each chunk.
+An anchor that more than `most` passages have is hot: its windows then go one by one under their own hash, and only the
+first document of each matters, so their rows are streamed and not held. Every other anchor has `most` passages at most,
+which bounds its automaton. A bucket holds one entry of an anchor for each chunk, a passage sends one row for each chunk
+that has it, however many documents share it.
 
 Anchors are hashes of 64 bits and only route; words are told apart by 32 bits, so a window agrees in 32 bits for each word.
 
@@ -32,10 +33,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -149,26 +152,31 @@ class Automaton:
         return out
 
 
-def streamed(passages: list[tuple[int, int, bytes]], window: int) -> list[tuple[list[int], list[int]]]:
-    """For each (low, high, 32-bit words) in order of low: the windows that start in documents before low, and up to low if high is behind it."""
+def streamed(passages: list[tuple[int, list[int]]], window: int) -> list[list[int]]:
+    """For each (low, 32-bit words), in order of low: its windows that start in passages of a smaller low."""
     a, mark, out, held = Automaton(), -1, [], False
     for _, same in groupby(passages, key=lambda p: p[0]):
-        same = [(high > low, np.frombuffer(w, np.uint32).tolist()) for low, high, w in same]
-        before = [a.matches(w, window) if held else [] for _, w in same]
-        for (_, w), found in zip(same, before):
-            if len(found) < len(w) - window + 1:  # what the automaton holds whole isn't added again
-                a.extend([*w, mark])  # no passage goes on into the next
-                mark -= 1
-                held = True
-        out += [(found, a.matches(w, window) if more else []) for (more, w), found in zip(same, before)]
+        same = [w for _, w in same]
+        found = [a.matches(w, window) if held else [] for w in same]
+        out += found
+        if len(out) < len(passages):
+            for w, at in zip(same, found):
+                if len(at) < len(w) - window + 1:  # what the automaton holds whole isn't added again
+                    a.extend([*w, mark])  # no passage goes on into the next
+                    mark -= 1
+                    held = True
     return out
 
 
-def spans(at: list[int]) -> bytes:
-    """Sorted window starts as compressed (start, number) pairs of runs."""
-    x = np.array(at, np.int64)
-    first = np.concatenate(([0], np.nonzero(np.diff(x) != 1)[0] + 1)) if len(x) else np.empty(0, np.int64)
-    return packed(np.concatenate((x[first], np.diff(np.append(first, len(x))))))
+def spans(at: list[int]) -> list[int]:
+    """Sorted window starts as start, number, start, number, .. of runs."""
+    out: list[int] = []
+    for x in at:
+        if out and out[-2] + out[-1] == x:
+            out[-1] += 1
+        else:
+            out += (x, 1)
+    return out
 
 
 def repeated_spans(dealt: DataFrame, key: str, text: str, chunk: str, buckets: int, window: int, most: int) -> DataFrame:
@@ -202,7 +210,8 @@ def repeated_spans(dealt: DataFrame, key: str, text: str, chunk: str, buckets: i
         b = table.column("bucket")[0].as_py()
         return pa.table({"chunk": pa.array([r[0] for r in rows], pa.int64()), "bucket": pa.array([b] * len(rows), pa.int64()), "places": pa.array([r[1] for r in rows], pa.binary()), "hot": pa.array([r[2] for r in rows], pa.binary())})
 
-    names = {"key": pa.int64(), "sign": pa.int64(), "words": pa.binary(), "low": pa.int64(), "high": pa.int64(), "chunk": pa.int64(), "rows": pa.list_(pa.int32()), "starts": pa.list_(pa.int32())}
+    names = {"key": pa.int64(), "hot": pa.bool_(), "low": pa.int64(), "high": pa.int64(), "words": pa.binary(), "chunk": pa.int64(), "rows": pa.list_(pa.int32()), "starts": pa.list_(pa.int32())}
+    told = {"chunk": pa.int64(), "low": pa.int64(), "rows": pa.list_(pa.int32()), "starts": pa.list_(pa.int32()), "before": pa.list_(pa.int32()), "after": pa.list_(pa.int32())}
 
     def passages(docs: pa.Table, answers: pa.Table) -> pa.Table:
         out: dict[tuple, list] = {}
@@ -227,33 +236,46 @@ def repeated_spans(dealt: DataFrame, key: str, text: str, chunk: str, buckets: i
                     x[3].append(r)
                     x[4].append(s)
         where = docs.column(chunk)[0].as_py() if docs.num_rows else 0
-        found = [(w[0] if isinstance(w, tuple) else w, x) for w, x in out.items()]
-        cols = ([x[0] for _, x in found], [xxhash.xxh3_64_intdigest(w) - (1 << 63) for w, _ in found], [w for w, _ in found], [x[1] for _, x in found], [x[2] for _, x in found], [where] * len(found), [x[3] for _, x in found], [x[4] for _, x in found])
+        cols = ([x[0] for x in out.values()], [isinstance(w, tuple) for w in out], [x[1] for x in out.values()], [x[2] for x in out.values()], [w[0] if isinstance(w, tuple) else w for w in out], [where] * len(out), [x[3] for x in out.values()], [x[4] for x in out.values()])
         return pa.table({n: pa.array(x, t) for (n, t), x in zip(names.items(), cols)})
 
-    def match(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("key", "ascending"), ("low", "ascending"), ("sign", "ascending")])
-        keys = table.column("key").to_numpy()
-        rows = list(zip(*(table.column(c).to_pylist() for c in ("low", "high", "words"))))
-        ends = np.append(np.nonzero(keys[1:] != keys[:-1])[0] + 1, len(keys)).tolist()
-        at, before, after, p = [], [], [], 0
-        for q in ends:
-            if q > p + 1 or rows[p][1] > rows[p][0]:  # a passage of one document that is alone under its anchor has no reference
-                for i, (x, y) in enumerate(streamed(rows[p:q], window), p):
-                    if x or y:
-                        at.append(i)
-                        before.append(spans(x))
-                        after.append(spans(y))
-            p = q
-        i = pa.array(at, pa.int64())
-        return pa.table({"key": table.column("key").take(i), "sign": table.column("sign").take(i), "low": table.column("low").take(i), "before": pa.array(before, pa.binary()), "after": pa.array(after, pa.binary())})
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in order of key and low. Those of a hot key hold one window, whose first row has its first document."""
+
+        def met(rows: list[tuple]) -> Iterator[tuple]:
+            first: dict[bytes, int] = {}
+            for _, _, low, _, words, *_ in rows:
+                first.setdefault(words, low)
+            if len(first) == 1 and max(r[3] for r in rows) == rows[0][2]:
+                return  # one document alone under its anchor has no reference
+            found = dict(zip(first, map(spans, streamed([(low, np.frombuffer(w, np.uint32).tolist()) for w, low in first.items()], window))))
+            for _, _, _, high, words, *place in rows:
+                if high > first[words] or found[words]:
+                    yield place[0], first[words], *place[1:], found[words], [0, len(words) // 4 - window + 1]
+
+        held: list[tuple] = []
+        for b in batches:
+            out: list[tuple] = []
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if held and held[0][0] != row[0]:
+                    out += [] if held[0][1] else met(held)
+                    held = []
+                if held and row[1]:  # hot: nothing but the first document matters
+                    out.append((row[5], held[0][2], *row[6:], [], [0, 1]))
+                else:
+                    held.append(row)
+                    if row[1] and row[3] > row[2]:
+                        out.append((row[5], row[2], *row[6:], [], [0, 1]))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 6, told.values())], list(told))
+        if held:
+            out = list(met(held)) if not held[0][1] else []
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 6, told.values())], list(told))
 
     asked = dealt.groupBy(chunk).applyInArrow(ask, "bucket long, chunk long, anchors binary, n binary")
     answered = asked.groupBy("bucket").applyInArrow(answer, "chunk long, bucket long, places binary, hot binary")
-    sent = dealt.groupBy(chunk).cogroup(answered.groupBy("chunk")).applyInArrow(passages, "key long, sign long, words binary, low long, high long, chunk long, rows array<int>, starts array<int>")
-    distinct = sent.groupBy("key", "sign").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.first("words").alias("words"))
-    found = distinct.groupBy(F.pmod("key", F.lit(buckets)).alias("shard")).applyInArrow(match, "key long, sign long, low long, before binary, after binary")
-    return sent.select("chunk", "key", "sign", "rows", "starts").join(found, ["key", "sign"]).drop("key", "sign")
+    sent = dealt.groupBy(chunk).cogroup(answered.groupBy("chunk")).applyInArrow(passages, "key long, hot boolean, low long, high long, words binary, chunk long, rows array<int>, starts array<int>")
+    met = sent.repartition("key").sortWithinPartitions("key", "low")
+    return met.mapInArrow(match, "chunk long, low long, rows array<int>, starts array<int>, before array<int>, after array<int>")
 
 
 def cut(text: bytes, gone: np.ndarray) -> bytes:
@@ -267,6 +289,28 @@ def cut(text: bytes, gone: np.ndarray) -> bytes:
     return b"".join([*out, text[at:]])
 
 
+def removed_words(found: pa.Table, ids: np.ndarray, ends: np.ndarray, window: int) -> np.ndarray:
+    """Whether each word of a chunk goes: the union of the spans found. ids, ends: the id and word bounds of its rows in order."""
+    change = np.zeros(int(ends[-1]) + 1, np.int64)
+    flat = lambda c: found.column(c).combine_chunks().flatten().to_numpy().astype(np.int64)
+    size = lambda c: pc.list_value_length(found.column(c)).to_numpy().astype(np.int64)
+    if found.num_rows:
+        n = size("rows")
+        at, row = np.repeat(np.arange(len(n)), n), flat("rows")
+        start = ends[row] + flat("starts")
+        later = ids[row] > found.column("low").to_numpy()[at]
+        for name, which in (("before", ~later), ("after", later)):
+            pairs, many = flat(name).reshape(-1, 2), size(name) // 2
+            first = np.cumsum(many) - many
+            own, begin = at[which], start[which]
+            each = many[own]
+            i = np.repeat(first[own], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+            a = np.repeat(begin, each) + pairs[i, 0]
+            np.add.at(change, a, 1)
+            np.add.at(change, a + pairs[i, 1] + window - 1, -1)
+    return np.cumsum(change)[:-1] > 0
+
+
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, digest: bool = False, chunk_bytes: int = CHUNK, bucket_words: int = BUCKET, most: int = MOST) -> DataFrame:
     """The rows of docs with their texts cut. With digest, instead: key, n_words, n_removed, kept_sha256."""
     total = text_bytes(docs, text)
@@ -283,27 +327,20 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     def finish(table: pa.Table, found: pa.Table) -> pa.Table:
         ids, texts = table.column(k).to_pylist(), table.column(t).cast(pa.binary()).to_pylist()
         order = in_order(ids, texts)
-        of: dict[int, list[tuple[int, int]]] = {}
-        for rows, starts, low, *both in zip(*(found.column(c).to_pylist() for c in ("rows", "starts", "low", "before", "after"))):
-            before, after = (list(zip(*np.split(unpacked(x), 2))) for x in both)
-            for r, s in zip(rows, starts):
-                i = order[r]
-                if gone := after if ids[i] > low else before:
-                    of.setdefault(i, []).extend((s + int(at), s + int(at + n) + window - 1) for at, n in gone)
+        words = {i: (texts[i] or b"").split() for i in order}
+        ends = np.cumsum([0, *(len(words[i]) for i in order)])
+        gone = removed_words(found, np.array([ids[i] for i in order], np.int64), ends, window)
+        of = {i: gone[a:b] for i, a, b in zip(order, ends, ends[1:])}
         n_words, n_gone, digests = [], [], []
         for i, x in enumerate(texts):
-            if not digest and i not in of:
-                continue
-            words = (x or b"").split()
-            gone = np.zeros(len(words), bool)
-            for a, b in of.get(i, ()):
-                gone[a:b] = True
+            own = of.get(i)
             if digest:
-                n_words.append(len(words))
-                n_gone.append(int(gone.sum()))
-                digests.append(hashlib.sha256(b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if i in of else words)).hexdigest())
-            else:
-                texts[i] = cut(x, gone)
+                kept = words[i] if own is not None else (x or b"").split()
+                n_words.append(len(kept))
+                n_gone.append(0 if own is None else int(own.sum()))
+                digests.append(hashlib.sha256(b" ".join([w for w, g in zip(kept, own.tolist()) if not g] if n_gone[-1] else kept)).hexdigest())
+            elif own is not None and own.any():
+                texts[i] = cut(x, own)
         if digest:
             return pa.table([pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(digests, pa.string())], schema=form)
         at = table.schema.names.index(t)
