@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. The
 stages are written as Parquet between steps where the caller does so; run() chains them through the shared folder.
+
+Defined results of every stage. Null or empty text: fails the quality rules, so it goes in the first stage; a stage
+called on its own takes it for a text without words, which is no near copy but of another such text, has no passages and
+packs as its end token. Null id: the row stays, is neither near copy nor reference, and is packed like others. Very long
+texts count whole. Ties: of near copies and of repeated passages the smallest id stays. Repeated rows: rows of one id
+stay or go together and are packed each by itself. Empty table: no rows. Extra columns, whatever their names, are kept
+but in the last stage. doc_id is an integer.
 """
 
 from __future__ import annotations
@@ -32,8 +39,8 @@ def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of each document and the bins they are packed in."""
-    return packing.pack(docs)
+    """The pieces of each document, in byte-level BPE tokens, and the bins they are packed in."""
+    return packing.pack_texts(docs)
 
 
 STAGES = [("quality", good_quality), ("simhash", no_near_copies), ("substring", no_repeats), ("packing", packed)]
