@@ -28,7 +28,7 @@ def multiset_diff(lines: DataFrame, agent: str = "agent", k: str = "k", line: st
     count = lines.groupBy(agent, k, line).agg(F.count("*").alias("n"))
     last = lines.groupBy(agent).agg(F.max(k).alias("_last"))
     votes = count.select(agent, k, line, "n").unionByName(count.select(agent, (F.col(k) + 1).alias(k), line, (-F.col("n")).alias("n")))
-    net = votes.groupBy(agent, k, line).agg(F.sum("n").alias("n")).where("n <> 0").join(F.broadcast(last), agent).where(F.col(k) <= F.col("_last")).drop("_last")
+    net = votes.groupBy(agent, k, line).agg(F.sum("n").alias("n")).where("n <> 0").join(last, agent).where(F.col(k) <= F.col("_last")).drop("_last")
     return net.select(agent, k, line, F.when(F.col("n") > 0, "added").otherwise("removed").alias("change"), F.abs("n").alias("n"))
 
 
@@ -69,7 +69,7 @@ def births(changes: DataFrame, lived: DataFrame, key: str, history_from: int = 0
 
 def beliefs(lived: DataFrame, final_k: DataFrame, disputes: DataFrame, key: str) -> DataFrame:
     """key, agents, rewrites, versions, alive, caught, disputes: keys held in MIN_VERSIONS versions or more, over all agents."""
-    rolled = lived.join(F.broadcast(final_k), "agent").groupBy(key).agg(
+    rolled = lived.join(final_k, "agent").groupBy(key).agg(
         F.count("*").alias("agents"),
         F.sum(F.col("last_k") - F.col("first_k")).alias("rewrites"),
         F.sum("versions").alias("versions"),
@@ -89,6 +89,17 @@ def alive_lead(caught: Column, rewrites: Column, alive: Column, disputes: Column
     return (1 + caught) * F.log2(2 + rewrites) * (1 + alive) * (1 + F.log2(1 + disputes))
 
 
+def disputes(rows: DataFrame, doc: str, key: str, against: str) -> DataFrame:
+    """key, disputes: how many distinct disputing keys the documents that hold a key have.
+
+    The disputing keys of a document are one set; a key meets each distinct set once, however many documents share it.
+    """
+    sets = rows.where(against).groupBy(doc).agg(F.sort_array(F.collect_set(key)).alias("_set")).withColumn("_sign", F.sha2(F.array_join("_set", ","), 256))
+    met = rows.select(doc, key).join(sets.select(doc, "_sign"), doc).select(key, "_sign").distinct()
+    each = sets.groupBy("_sign").agg(F.first("_set").alias("_set")).select("_sign", F.explode("_set").alias("_x"))
+    return met.join(each, "_sign").groupBy(key).agg(F.count_distinct("_x").alias("disputes"))
+
+
 def copies(lived: DataFrame, key: str, first: str = "first_at") -> DataFrame:
     """key, source, agent, born, first: every other agent that held a key after its first holder. Ties: the smaller agent is first."""
     w = Window.partitionBy(key).orderBy(first, "agent")
@@ -98,13 +109,25 @@ def copies(lived: DataFrame, key: str, first: str = "first_at") -> DataFrame:
 
 def spread_tree(edges: DataFrame, root: str, rounds: int = 64) -> DataFrame:
     """agent, parent, depth: children join under their source, level by level; an agent is placed once, so no cycle closes."""
-    placed = edges.sparkSession.createDataFrame([(root, None, 0)], "agent string, parent string, depth int")
+    roots = edges.sparkSession.createDataFrame([(root,)], "agent string")
+    return _trees(edges, roots, rounds).drop("root")
+
+
+def spread_trees(edges: DataFrame, rounds: int = 64) -> DataFrame:
+    """agent, root, parent, depth: the trees below every source that is nobody's child, and below the smallest source."""
+    roots = edges.select(F.col("source").alias("agent")).join(edges.select("agent"), "agent", "left_anti")
+    first = edges.agg(F.min("source").alias("agent")).where("agent IS NOT NULL")
+    return _trees(edges, roots.unionByName(first).distinct(), rounds)
+
+
+def _trees(edges: DataFrame, roots: DataFrame, rounds: int) -> DataFrame:
+    edges = edges.select("source", "agent").distinct()
+    placed = roots.select("agent", F.col("agent").alias("root"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"))
     level = placed
     for depth in range(1, rounds + 1):
-        step = edges.join(level.select(F.col("agent").alias("source")), "source").join(placed.select("agent"), "agent", "left_anti")
-        level = step.groupBy("agent").agg(F.min("source").alias("parent")).withColumn("depth", F.lit(depth))
+        step = edges.join(level.select(F.col("agent").alias("source"), "root"), "source").join(placed.select("agent", "root"), ["agent", "root"], "left_anti")
+        level = step.groupBy("agent", "root").agg(F.min("source").alias("parent")).withColumn("depth", F.lit(depth)).select("agent", "root", "parent", "depth")
         if level.isEmpty():
             break
         placed = placed.unionByName(level)
     return placed
-

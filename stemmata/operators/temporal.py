@@ -1,7 +1,8 @@
 """Temporal kit: as-of joins, range joins by buckets, window tiling, islands, interval measures, budgeted fill.
 
-Windows are partitioned by the caller's keys; a key that holds a large share of the rows belongs in `keys` together
-with a finer one. Range joins are equality joins on time buckets with the exact bounds as residual.
+Windows over few keys take `width`: time is cut into buckets of that many units, the window runs within a key and bucket,
+and what crosses a bucket's start is carried by one or two rows a bucket. So a key that holds a third of all rows spreads
+over its buckets. Range joins are equality joins on time buckets with the exact bounds as residual.
 """
 
 from __future__ import annotations
@@ -17,9 +18,19 @@ def micros(at: Column) -> Column:
     return F.unix_micros(F.to_utc_timestamp(at, "UTC"))
 
 
-def versions(df: DataFrame, agent: str, order: list[str]) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], at: str, order: list[str], width: int) -> DataFrame:
+    """df with k, the place of a row among those of its keys in the given order, from 0; at: the leading number of the order."""
+    rows = df.withColumn("_bucket", F.floor(F.col(at) / width))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n")).withColumn("_carried", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    own = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order))
+    both = rows.withColumn("_own", own).join(carried, [*keys, "_bucket"])
+    return both.withColumn("k", (F.col("_carried") + F.col("_own") - 1).cast("long")).drop("_bucket", "_own", "_carried")
+
+
+def versions(df: DataFrame, agent: str, order: list[str], width: int = 1_000_000) -> DataFrame:
     """df with k, the place of a version in its agent's whole history, from 0."""
-    return df.withColumn("k", (F.row_number().over(Window.partitionBy(agent).orderBy(*order)) - 1).cast("long"))
+    return numbered(df, [agent], order[0], order, width)
 
 
 def tile(facts: DataFrame, marks: DataFrame, key: str, at: str, mark: str) -> DataFrame:
@@ -35,24 +46,58 @@ def tile(facts: DataFrame, marks: DataFrame, key: str, at: str, mark: str) -> Da
     return both.where("_kind = 0").select("_fact.*", F.col(f"_next.{mark}").alias(mark), *[F.col(f"_next.{c}").alias(c) for c in own])
 
 
-def asof_other(asks: DataFrame, told: DataFrame, keys: list[str], at: str, who: str, value: str) -> DataFrame:
-    """asks with (other_at, other, other_value): the latest `told` row of the same keys strictly before it by someone else.
-
-    A running maximum holds the last row, and the last row whose speaker differs from the last one's; the second is
-    taken where the first is the asker's own. Ties in time: the larger value.
-    """
+def _asof_other(asks: DataFrame, told: DataFrame, keys: list[str], at: str, who: str, value: str) -> DataFrame:
     t = told.select(*keys, F.col(at).alias("_at"), F.lit(0).alias("_ask"), F.struct(F.col(at).alias("at"), F.col(value).alias("value"), F.col(who).alias("who")).alias("_t"), F.lit(None).cast(asks.select(F.struct("*")).schema[0].dataType).alias("_row"))
     a = asks.select(*keys, F.col(at).alias("_at"), F.lit(-1).alias("_ask"), F.lit(None).cast(t.schema["_t"].dataType).alias("_t"), F.struct("*").alias("_row"))
-    w = Window.partitionBy(*keys).orderBy("_at", "_ask", F.col("_t.value")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = t.unionByName(a).withColumn("_last", F.last("_t", ignorenulls=True).over(w))
-    before = Window.partitionBy(*keys).orderBy("_at", "_ask", F.col("_t.value")).rowsBetween(Window.unboundedPreceding, -1)
-    both = both.withColumn("_before", F.last("_t", ignorenulls=True).over(before))
+    order = Window.partitionBy(*keys).orderBy("_at", "_ask", F.col("_t.value"))
+    w, before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), order.rowsBetween(Window.unboundedPreceding, -1)
+    both = t.unionByName(a).withColumn("_last", F.last("_t", ignorenulls=True).over(w)).withColumn("_before", F.last("_t", ignorenulls=True).over(before))
     both = both.withColumn("_turn", F.when(F.col("_t").isNotNull() & (F.col("_before.who") != F.col("_t.who")), F.col("_before")))
     both = both.withColumn("_other", F.last("_turn", ignorenulls=True).over(w))
     pick = F.when(F.col("_last.who") != F.col(f"_row.{who}"), F.col("_last")).otherwise(F.col("_other"))
     return both.where("_ask = -1").withColumn("_pick", pick).select("_row.*", F.col("_pick.at").alias("other_at"), F.col("_pick.who").alias("other"), F.col("_pick.value").alias("other_value"))
 
 
+def asof_other(asks: DataFrame, told: DataFrame, keys: list[str], at: str, who: str, value: str, width: int) -> DataFrame:
+    """asks with (other_at, other, other_value): the latest `told` row of the same keys strictly before it by someone else.
+
+    Within a bucket of `width` a running maximum holds the last row, and the last row whose speaker differs from the last
+    one's; the second is taken where the first is the asker's own. A bucket hands on only these two rows: in an earlier
+    bucket nothing else can be the latest of another speaker. Ties in time: the larger value.
+    """
+    bucket = F.floor(F.col(at) / width)
+    a, t = asks.withColumn("_bucket", bucket), told.select(*keys, at, who, value, bucket.alias("_bucket"))
+    near = _asof_other(a, t, [*keys, "_bucket"], at, who, value)
+    row = F.struct(F.col(at).alias("at"), F.col(value).alias("value"), F.col(who).alias("who"))
+    by = t.groupBy(*keys, "_bucket", who).agg(F.max(row).alias("_row"))
+    last = by.groupBy(*keys, "_bucket").agg(F.max("_row").alias("_last"))
+    handed = by.join(last, [*keys, "_bucket"]).withColumn("_other", F.when(F.col("_row.who") != F.col("_last.who"), F.col("_row")))
+    handed = handed.groupBy(*keys, "_bucket").agg(F.max("_last").alias("_last"), F.max("_other").alias("_other"))
+    handed = handed.select(*keys, "_bucket", F.explode(F.array("_last", "_other")).alias("_x")).where("_x IS NOT NULL").select(*keys, F.col("_bucket").alias("_b"), F.col("_x.at").alias("_t_at"), F.col("_x.who").alias(who), F.struct("_x.at", "_x.value").alias("_v"))
+    missing = near.where("other_at IS NULL").select(*keys, F.col("_bucket").alias("_b"), who).distinct()
+    far = _asof_other(missing, handed, keys, "_b", who, "_v")
+    far = far.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_fb"), F.col(who).alias("_fw"), F.col("other_value.at").alias("_fa"), F.col("other").alias("_fo"), F.col("other_value.value").alias("_fv"))
+    match = (F.col("_bucket") == F.col("_fb")) & F.col(who).eqNullSafe(F.col("_fw"))
+    for i, k in enumerate(keys):
+        match &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    both = near.join(far, match & F.col("other_at").isNull(), "left")
+    return both.select(*asks.columns, F.coalesce("other_at", "_fa").alias("other_at"), F.coalesce("other", "_fo").alias("other"), F.coalesce("other_value", "_fv").alias("other_value"))
+
+
+def counts_before(rows: DataFrame, at: str, kind: str, kinds: tuple[str, ...], width: int, own: str) -> DataFrame:
+    """rows with before: for each of kinds, how many rows of others (by column own) lie within `width` units before, as a map.
+
+    Two range windows, of all rows and of the row's own, whose difference is the others': linear in the rows, no pairs. A
+    row stands in its bucket and, as past only, in the next one.
+    """
+    bucket = F.floor(F.col(at) / width)
+    both = rows.withColumn("_bucket", F.explode(F.array(bucket, bucket + 1))).withColumn("_past", F.col("_bucket") > bucket)
+    frame = lambda *keys: Window.partitionBy(*keys).orderBy(at).rangeBetween(-width, -1)
+    n = lambda k, *keys: F.count(F.when(F.col(kind) == k, 1)).over(frame(*keys))
+    counts = F.create_map(*[x for k in kinds for x in (F.lit(k), n(k, "_bucket") - n(k, "_bucket", own))])
+    return both.withColumn("before", counts).where("NOT _past").drop("_bucket", "_past")
+
+
 def range_join(left: DataFrame, right: DataFrame, keys: list[str], left_from: Column, left_to: Column, right_at: Column, width: int) -> DataFrame:
     """Pairs of equal keys with left_from <= right_at < left_to (numbers): equality on buckets of `width`, bounds as residual."""
     l = left.withColumn("_from", left_from).withColumn("_to", left_to)
@@ -93,17 +138,22 @@ def relapses(states: DataFrame, keys: list[str], k: str, state: str) -> DataFram
     return rows.where((F.col(state) == "holds") & (F.col(k) > F.col("denied_k"))).groupBy(*keys, "denied_k").agg(F.min(k).alias("again_k"))
 
 
-def swarm_returns(states: DataFrame, keys: list[str], agent: str, at: str, holding: Column, least: int) -> DataFrame:
+def swarm_returns(states: DataFrame, keys: list[str], agent: str, at: str, holding: Column, least: int, width: int) -> DataFrame:
     """keys, gone_at, back_at: times of at least `least` units in which no agent held, ended by one that does.
 
-    Each agent's changes are +1 and -1; the running sum over a key is the number of holders.
+    Each agent's changes are +1 and -1; the running sum over a key is the number of holders. A bucket of `width` hands on
+    its sum, and its first change to the bucket before it.
     """
     own = Window.partitionBy(*keys, agent).orderBy(at)
     rows = states.withColumn("_hold", holding.cast("int"))
-    rows = rows.withColumn("_step", F.col("_hold") - F.coalesce(F.lag("_hold").over(own), F.lit(0))).where("_step <> 0")
-    order = Window.partitionBy(*keys).orderBy(at, agent)
-    rows = rows.withColumn("_n", F.sum("_step").over(order)).withColumn("back_at", F.lead(at).over(order))
-    return rows.where((F.col("_n") == 0) & (F.col("back_at") - F.col(at) >= least)).select(*keys, F.col(at).alias("gone_at"), "back_at")
+    rows = rows.withColumn("_step", F.col("_hold") - F.coalesce(F.lag("_hold").over(own), F.lit(0))).where("_step <> 0").withColumn("_bucket", F.floor(F.col(at) / width))
+    whole = Window.partitionBy(*keys).orderBy("_bucket")
+    carried = rows.groupBy(*keys, "_bucket").agg(F.sum("_step").alias("_sum"), F.min(at).alias("_first"))
+    carried = carried.select(*keys, "_bucket", F.coalesce(F.sum("_sum").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_carried"), F.lead("_first").over(whole).alias("_next"))
+    order = Window.partitionBy(*keys, "_bucket").orderBy(at, agent)
+    rows = rows.withColumn("_n", F.sum("_step").over(order)).withColumn("_back", F.lead(at).over(order)).join(carried, [*keys, "_bucket"])
+    rows = rows.withColumn("back_at", F.coalesce("_back", "_next"))
+    return rows.where((F.col("_n") + F.col("_carried") == 0) & (F.col("back_at") - F.col(at) >= least)).select(*keys, F.col(at).alias("gone_at"), "back_at")
 
 
 def covered(points: DataFrame, keys: list[str], at: str, gap: int, low: str, high: str) -> DataFrame:

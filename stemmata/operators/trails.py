@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labels import labelled, overlay, todo
+from .temporal import asof_other, covered
 
 ROUNDS = 6
 
@@ -40,6 +41,29 @@ def rechecked(marked: DataFrame, lines: DataFrame, labeler: Callable[[str], str]
     return nodes(now), strong
 
 
+def chance_cases(copied: DataFrame, mentions: DataFrame, keys: DataFrame, spans: DataFrame, gap: int) -> DataFrame:
+    """copied (belief, agent, first_at) with what was observed and what two null models expect.
+
+    gap: minutes since the latest message of someone else about the belief, null for none; writes, near, p_own: the agent's
+    own versions in the belief's span, those within `gap` after such a message, and their share, 0 without a version;
+    covered, lo, hi, p_uniform: the part of the span within `gap` after any message. mentions: belief, agent, minute;
+    keys: agent, k, minute; spans: belief, lo, hi.
+    """
+    asks = copied.select("belief", "agent", F.col("first_at").alias("minute"), F.lit(0).cast("long").alias("n"))
+    writes = copied.select("belief", "agent").distinct().join(spans, "belief").join(keys.select("agent", "minute"), "agent").where("minute BETWEEN lo AND hi")
+    every = asks.select("belief", "agent", "minute", F.lit(True).alias("copy")).unionByName(writes.select("belief", "agent", "minute", F.lit(False).alias("copy")))
+    told = mentions.withColumn("value", F.col("minute"))
+    seen = asof_other(every.withColumn("value", F.col("minute")), told, ["belief"], "minute", "agent", "value", 1440)
+    since = F.col("minute") - F.col("other_at")
+    own = seen.where("NOT copy").groupBy("belief", "agent").agg(F.count("*").alias("writes"), F.count_if(F.coalesce(since <= gap, F.lit(False))).alias("near"))
+    found = seen.where("copy").select("belief", "agent", F.col("minute").alias("first_at"), since.alias("gap"))
+    points = mentions.select("belief", "minute").distinct().join(spans, "belief").where("minute BETWEEN lo AND hi")
+    measure = covered(points, ["belief"], "minute", gap, "lo", "hi").select("belief", "covered")
+    out = found.join(own, ["belief", "agent"], "left").join(spans, "belief").join(measure, "belief", "left").fillna(0, ["writes", "near", "covered"])
+    share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    return out.withColumn("p_own", share(F.col("near"), F.col("writes"))).withColumn("p_uniform", share(F.col("covered"), F.col("hi") - F.col("lo")))
+
+
 def chance_summary(tests: DataFrame, era: str) -> DataFrame:
     """era, copies, within, expected: observed and expected pickups shortly after a message (gap_ok, p)."""
     return tests.groupBy(era).agg(F.count("*").alias("copies"), F.count_if(F.col("gap_ok")).alias("within"), F.sum("p").alias("expected"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evidence, lineage, relational, texts, timeline  # noqa: F401
+from . import evidence, lineage, population, relational, texts, timeline  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 FLAGSHIP = "q00_spread_and_survival"

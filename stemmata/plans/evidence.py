@@ -14,14 +14,14 @@ from .timeline import TRAIL, trail_status
 from .views import STANCE, stances
 
 HOUR = 3_600_000_000
-LINES = f"{STANCE}, l AS (SELECT id AS line_id, agent, us - 43200000000 AS start, us AS written, belief FROM stance WHERE label = 'denies' AND agent < 60)"
+LINES = f"{STANCE}, l AS (SELECT id AS line_id, agent, us - 43200000000 AS start, us AS written, belief FROM stance WHERE label = 'denies')"
 ITEMS = "i AS (SELECT id, agent, us AS seen, CASE event_type WHEN 'view' THEN 'turn' WHEN 'click' THEN 'human' WHEN 'signup' THEN 'session_summary' ELSE 'chat' END AS source, 'u' || (id % 3) AS speaker, belief, 400 + (id * 53) % 1600 AS size FROM stance)"
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items seen in the twelve hours before each line that denies."""
     s = stances(spark, sf_dir)
-    l = s.where("label = 'denies' AND agent < 60").select(F.col("id").alias("line_id"), "agent", (F.col("us") - 12 * HOUR).alias("start"), F.col("us").alias("written"), F.col("belief").alias("about"))
+    l = s.where("label = 'denies'").select(F.col("id").alias("line_id"), "agent", (F.col("us") - 12 * HOUR).alias("start"), F.col("us").alias("written"), F.col("belief").alias("about"))
     source = F.when(F.col("event_type") == "view", "turn").when(F.col("event_type") == "click", "human").when(F.col("event_type") == "signup", "session_summary").otherwise("chat")
     i = s.select("id", "agent", F.col("us").alias("at"), source.alias("source"), F.concat(F.lit("u"), (F.col("id") % 3).cast("string")).alias("speaker"), "belief", F.repeat(F.lit("x"), (400 + (F.col("id") * 53) % 1600).cast("int")).alias("text"))
     return E.in_window(l, i, 12 * HOUR)
@@ -54,12 +54,13 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("belief", "low", "high", F.coalesce(*[F.when(F.col("high") - F.col("low") <= 12 * s, F.lit(s).cast("long")) for s in STEPS[:-1]], F.lit(STEPS[-1]).cast("long")).alias("step"))
 
 
-@query("q66_chance_summary", f"WITH {STANCE}, o AS (SELECT belief, us, agent FROM stance WHERE label = 'affirms'), e AS (SELECT belief, min(us) AS lo, max(us) AS hi, count(*) AS n FROM o GROUP BY 1), c AS (SELECT s.belief, s.us - (SELECT max(o.us) FROM o WHERE o.belief = s.belief AND o.us < s.us AND o.agent <> s.agent) AS gap FROM stance s WHERE label = 'denies') SELECT c.belief % 2 AS era, count(*) AS copies, count(*) FILTER (coalesce(gap <= 3600000000, false)) AS within, CAST(floor(sum(1000000 * n // 100000) + 0.5) AS BIGINT) AS expected FROM c JOIN e ON c.belief = e.belief GROUP BY 1")
+@query("q66_chance_summary", f"WITH {STANCE}, o AS (SELECT belief, us, agent FROM stance WHERE label = 'affirms'), e AS (SELECT belief, min(us) AS lo, max(us) AS hi FROM o GROUP BY 1), v AS (SELECT o.belief, sum(greatest(least(o.us + 3600000000, coalesce(o.nx, o.us + 3600000000), hi) - o.us, 0))::BIGINT AS covered FROM (SELECT *, lead(us) OVER (PARTITION BY belief ORDER BY us) AS nx FROM o) o JOIN e ON e.belief = o.belief GROUP BY 1), c AS (SELECT s.belief, s.us - (SELECT max(o.us) FROM o WHERE o.belief = s.belief AND o.us < s.us AND o.agent <> s.agent) AS gap FROM stance s WHERE label = 'denies') SELECT c.belief % 2 AS era, count(*) AS copies, count(*) FILTER (coalesce(gap <= 3600000000, false)) AS within, CAST(floor(sum(covered / (hi - lo)::DOUBLE) * 1000 + 0.5) AS BIGINT) AS expected FROM c JOIN e ON c.belief = e.belief JOIN v ON v.belief = c.belief GROUP BY 1")
 def chance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pickups within an hour after somebody else's message, against a stated expectation per fact."""
+    """Pickups within an hour after somebody else's message, against those of uniform times within the fact's span."""
     s = stances(spark, sf_dir).select("id", "agent", "us", "belief", "label")
     told = s.where("label = 'affirms'")
-    gaps = T.asof_other(s.where("label = 'denies'"), told, ["belief"], "us", "agent", "id")
-    n = told.groupBy("belief").agg(F.count("*").alias("n"))
-    tests = gaps.join(n, "belief").select((F.col("belief") % 2).alias("era"), F.coalesce(F.col("us") - F.col("other_at") <= HOUR, F.lit(False)).alias("gap_ok"), F.floor(1_000_000 * F.col("n") / 100_000).alias("p"))
-    return chance_summary(tests, "era").withColumn("expected", scaled(F.col("expected"), 0))
+    gaps = T.asof_other(s.where("label = 'denies'"), told, ["belief"], "us", "agent", "id", 24 * HOUR)
+    ends = told.groupBy("belief").agg(F.min("us").alias("low"), F.max("us").alias("high"))
+    share = T.covered(told.select("belief", "us").join(ends, "belief"), ["belief"], "us", HOUR, "low", "high").select("belief", (F.col("covered") / (F.col("high") - F.col("low"))).alias("p"))
+    tests = gaps.join(share, "belief").select((F.col("belief") % 2).alias("era"), F.coalesce(F.col("us") - F.col("other_at") <= HOUR, F.lit(False)).alias("gap_ok"), "p")
+    return chance_summary(tests, "era").withColumn("expected", scaled(F.col("expected"), 3))

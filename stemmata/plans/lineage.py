@@ -18,7 +18,7 @@ from .views import BASE, LINE, LIVES, MEM, SNAP, final_k, hashed_lines, memory,
 @query("q00_spread_and_survival", f"WITH {BASE}, f AS (SELECT agent, max(k) AS final_k FROM snap GROUP BY agent) SELECT h, count(*) AS agents, sum(versions)::BIGINT AS versions, sum(last_k - first_k)::BIGINT AS rewrites, count(*) FILTER (last_k = final_k) AS alive, min(first_k) AS first_k FROM lives JOIN f ON lives.agent = f.agent GROUP BY h")
 def spread_and_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: which facts spread over agents, how many rewrites they survived, and who still holds them."""
-    lived = L.lives(memory(spark, sf_dir), "h").join(F.broadcast(final_k(spark, sf_dir)), "agent")
+    lived = L.lives(memory(spark, sf_dir), "h").join(final_k(spark, sf_dir), "agent")
     return lived.groupBy("h").agg(F.count("*").alias("agents"), F.sum("versions").alias("versions"), F.sum(F.col("last_k") - F.col("first_k")).alias("rewrites"), F.count_if(F.col("last_k") == F.col("final_k")).alias("alive"), F.min("first_k").alias("first_k"))
 
 
@@ -44,7 +44,7 @@ SHOUT = r"length(regexp_replace(t, '[^\p{L}]', '', 'g')) >= 4 AND length(t) <= 8
 
 @query("q18_section_ffill", rf"""WITH {SNAP}, r AS (SELECT id, i, l[i] AS x FROM (SELECT id, string_split(content, chr(10)) AS l FROM snap), unnest(generate_series(1, len(l))) AS u(i) WHERE NOT regexp_matches(l[i], '^[\s\-_=*#~.]*$')),
  n AS (SELECT id, i, {NORMAL} AS line, regexp_replace({NORMAL}, ':+$', '') AS t FROM r), g AS (SELECT *, CASE WHEN {SHOUT} THEN t END AS head FROM n),
- s AS (SELECT *, last_value(head IGNORE NULLS) OVER (PARTITION BY id ORDER BY i) AS sec FROM g) SELECT substr(sec, 1, 60) AS section, count(*) AS lines, count(DISTINCT id) AS versions FROM s WHERE head IS NULL AND length(line) >= 3 GROUP BY 1""")
+ s AS (SELECT *, last_value(head IGNORE NULLS) OVER (PARTITION BY id ORDER BY i) AS sec FROM g) SELECT sec AS section, count(*) AS lines, count(DISTINCT id) AS versions FROM s WHERE head IS NULL AND length(line) >= 3 GROUP BY 1""")
 def section_ffill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines under the last heading above them, inside one row's array order; the window stays within a document."""
     d = texts(spark, sf_dir, "doc_id", "text").select(F.col("doc_id").alias("id"), F.posexplode(raw_lines(F.col("text"))).alias("pos", "raw"))
@@ -53,7 +53,7 @@ def section_ffill(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = d.withColumn("head", heading(F.col("raw"))).withColumn("line", normalized(F.col("raw")))
     w = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = d.withColumn("section", F.last("head", ignorenulls=True).over(w)).where(F.col("head").isNull() & (F.char_length("line") >= 3))
-    return d.groupBy(F.substring("section", 1, 60).alias("section")).agg(F.count("*").alias("lines"), F.count_distinct("id").alias("versions"))
+    return d.groupBy("section").agg(F.count("*").alias("lines"), F.count_distinct("id").alias("versions"))
 
 
 DIFF = "c AS (SELECT agent, k, h, count(*) AS n FROM line GROUP BY 1, 2, 3), v AS (SELECT agent, k, h, n FROM c UNION ALL SELECT agent, k + 1, h, -n FROM c), d AS (SELECT v.agent, k, h, sum(n)::BIGINT AS n FROM v JOIN (SELECT agent, max(k) AS last FROM snap GROUP BY agent) f ON v.agent = f.agent WHERE k <= last GROUP BY v.agent, k, h HAVING sum(n) <> 0)"
@@ -93,9 +93,7 @@ def disputes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """h, disputes: distinct disputing lines in the versions that hold a line. The pattern meets each distinct line of a version once."""
     d = texts(spark, sf_dir, "doc_id", "text").select(F.col("doc_id").alias("id"), F.explode(F.split("text", "\n")).alias("line"))
     d = d.withColumn("line", F.trim("line")).where(F.char_length("line") >= 3)
-    d = d.select("id", digest(F.col("line")).alias("h"), F.lower("line").rlike(DISPUTE).alias("against"))
-    against = d.where("against").select("id", F.col("h").alias("x"))
-    return d.select("id", "h").join(against, "id").groupBy("h").agg(F.count_distinct("x").alias("disputes"))
+    return L.disputes(d.select("id", digest(F.col("line")).alias("h"), F.lower("line").rlike(DISPUTE).alias("against")), "id", "h", "against")
 
 
 @query("q25_disputes", f"WITH {SNAP}, {LINE}, {DISPUTES} SELECT h, disputes FROM disputes")
@@ -128,7 +126,7 @@ def alive_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Traced back from the latest holders: only lines of the latest versions are followed."""
     last = final_k(spark, sf_dir)
     held = memory(spark, sf_dir)
-    latest = held.join(F.broadcast(last), "agent").where("k = final_k").select("h").distinct()
+    latest = held.join(last, "agent").where("k = final_k").select("h").distinct()
     b = L.beliefs(L.lives(held.join(latest, "h", "left_semi"), "h"), last, disputes(spark, sf_dir), "h")
     return b.where("alive > 0").select("h", "agents", "alive", scaled(L.alive_lead(F.col("caught"), F.col("rewrites"), F.col("alive"), F.col("disputes")), 3).alias("lead"))
 
@@ -148,11 +146,14 @@ def copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.copies(firsts(spark, sf_dir), "h")
 
 
-@query("q44_spread_tree", f"WITH RECURSIVE {COPY}, e AS (SELECT source, agent, count(*) AS n FROM copy GROUP BY 1, 2), t AS (SELECT 'src0' AS agent, NULL::VARCHAR AS parent, 0 AS depth), one AS (SELECT agent, min(source) AS parent, 1 AS depth FROM e WHERE source = 'src0' AND agent <> 'src0' GROUP BY 1) SELECT agent, parent, depth FROM t UNION ALL SELECT agent, parent, depth FROM one UNION ALL SELECT e.agent, min(e.source), 2 FROM e JOIN one ON e.source = one.agent WHERE e.agent <> 'src0' AND e.agent NOT IN (SELECT agent FROM one) GROUP BY e.agent")
+TREE = f"{COPY}, e AS (SELECT source, agent, count(*) AS n FROM copy GROUP BY 1, 2), roots AS (SELECT DISTINCT source AS root FROM e WHERE source NOT IN (SELECT agent FROM e) UNION SELECT min(source) FROM e)"
+
+
+@query("q44_spread_tree", f"WITH RECURSIVE {TREE}, t AS (SELECT root AS agent, root, NULL::VARCHAR AS parent, 0 AS depth FROM roots WHERE root IS NOT NULL UNION SELECT agent, root, source AS parent, depth + 1 FROM (SELECT e.agent, t.root, e.source, t.depth FROM t JOIN e ON e.source = t.agent WHERE t.depth < 64) WHERE (root, agent) NOT IN (SELECT root, agent FROM recurring.t)) SELECT agent, root, min(parent) AS parent, depth FROM (SELECT *, min(depth) OVER (PARTITION BY root, agent) AS least FROM t) WHERE depth = least GROUP BY agent, root, depth")
 def spread_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Who got facts from whom, as a tree below src0, two levels; edges are per agent pair, so few."""
+    """Who got facts from whom, as trees below every agent that got none from others (and the first source); edges are per agent pair, so few."""
     edges = copies(spark, sf_dir).select("source", "agent").distinct()
-    return L.spread_tree(edges, "src0", rounds=2)
+    return L.spread_trees(edges)
 
 
 @query("q28_episodes", f"WITH {BASE}, v AS (SELECT DISTINCT h, agent, k FROM mem), i AS (SELECT *, k - row_number() OVER (PARTITION BY h, agent ORDER BY k) AS g FROM v) SELECT h, agent, min(k) AS first, max(k) AS last, count(*) AS n FROM i GROUP BY h, agent, g")

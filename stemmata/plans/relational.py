@@ -70,13 +70,13 @@ def left_anti_todo(spark: SparkSession, sf_dir: str) -> DataFrame:
 PLAN, DONE = "(?i)the |der |la ", "(?i)tion"
 
 
-@query("q14_label_overlay", "WITH c AS (SELECT doc_id, CASE quality WHEN 1 THEN 'affirms' ELSE 'doubts' END AS cheap FROM labels), s AS (SELECT doc_id, 'denies' AS strong FROM labels WHERE toxic = 1), j AS (SELECT coalesce(c.doc_id, s.doc_id) AS doc_id, coalesce(strong, cheap) AS label FROM c FULL JOIN s ON c.doc_id = s.doc_id) SELECT CASE WHEN label = 'affirms' AND regexp_matches(substr(text, 1, 80), '(?i)the |der |la ') AND NOT regexp_matches(substr(text, 1, 80), '(?i)tion') THEN 'plan' ELSE label END AS label, lang, count(*) AS n FROM j JOIN documents USING (doc_id) GROUP BY 1, 2")
+@query("q14_label_overlay", "WITH c AS (SELECT doc_id, CASE quality WHEN 1 THEN 'affirms' ELSE 'doubts' END AS cheap FROM labels), s AS (SELECT doc_id, 'denies' AS strong FROM labels WHERE toxic = 1), j AS (SELECT coalesce(c.doc_id, s.doc_id) AS doc_id, coalesce(strong, cheap) AS label FROM c FULL JOIN s ON c.doc_id = s.doc_id) SELECT CASE WHEN label = 'affirms' AND regexp_matches(text, '(?i)the |der |la ') AND NOT regexp_matches(text, '(?i)tion') THEN 'plan' ELSE label END AS label, lang, count(*) AS n FROM j JOIN documents USING (doc_id) GROUP BY 1, 2")
 def label_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     cheap = labels.select("doc_id", F.when(F.col("quality") == 1, "affirms").otherwise("doubts").alias("cheap"))
     strong = labels.where("toxic = 1").select("doc_id", F.lit("denies").alias("strong"))
     both = cheap.join(strong, "doc_id", "full").select("doc_id", overlay(F.col("strong"), F.col("cheap")).alias("label"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.substring("text", 1, 80).alias("head"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("text").alias("head"))
     return both.join(docs, "doc_id").groupBy(planned(F.col("label"), F.col("head"), PLAN, DONE).alias("label"), "lang").agg(F.count("*").alias("n"))
 
 

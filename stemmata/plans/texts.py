@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.masking import leaks, mask_contacts, mask_emails, scrub_named_secrets
-from ..functions.text import comparable, duration_text, local_link, quoted_in, squashed
+from ..functions.text import comparable, duration_text, local_link, quoted_in
 from ..operators.checks import contained, equal, predicate, report
 from ..operators.labels import weight
+from ..operators.quotes import holders
 from .lineage import COPY, copies
 from .registry import query
 from .relational import scaled
@@ -16,35 +17,25 @@ from .timeline import TRAIL, trail_status
 from .views import SNAP, STANCE, snapshot_keys, stances, table, texts
 
 MAIL = r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+(\.[A-Za-z0-9_-]+)+"
+CANDIDATE = r"@[a-z0-9_-]+\.|password|passcode|passwd|pwd|credential|secret|api[ _-]?key|token"
 WORD = r"(?i)\b(password|passcode|passwd|pwd|credential|secret|api[ _-]?key|access[ _-]?token|token)s?\b([^\n\"“”'']{0,25}?)([\"“''])([^\"”''\n]{4,})([\"”''])"
 
 
-@query("q39_mask_email_secret", rf"SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '{WORD}', '\1\2\3[secret]\5', 'g'), '{MAIL}', '[email]', 'g')) AS masked FROM documents WHERE regexp_matches(text, '@[a-z0-9]+\.') OR contains(lower(text), 'token') OR contains(lower(text), 'password')")
+@query("q39_mask_email_secret", rf"SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '{WORD}', '\1\2\3[secret]\5', 'g'), '{MAIL}', '[email]', 'g')) AS masked FROM documents WHERE regexp_matches(text, '(?i){CANDIDATE}')")
 def mask_email_secret(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cheap test for a candidate comes before the masking patterns."""
+    """The cheap test for a candidate, any sign that a masking pattern needs, comes before the patterns."""
     t = F.col("text")
-    d = table(spark, sf_dir, "documents").select("doc_id", "text").where(t.rlike(r"@[a-z0-9]+\.") | F.contains(F.lower(t), F.lit("token")) | F.contains(F.lower(t), F.lit("password")))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text").where(t.rlike(f"(?i){CANDIDATE}"))
     return d.select("doc_id", F.sha2(mask_emails(scrub_named_secrets(t)), 256).alias("masked"))
 
 
 SQUASH = "lower(trim(regexp_replace({x}, '[\\s]+', ' ', 'g')))"
 
 
-@query("q40_quote_containment", f"WITH q AS (SELECT item_id, {SQUASH.format(x='text')} AS q, split_part({SQUASH.format(x='text')}, ' ', 2) || ' ' || split_part({SQUASH.format(x='text')}, ' ', 3) || ' ' || split_part({SQUASH.format(x='text')}, ' ', 4) || ' ' || split_part({SQUASH.format(x='text')}, ' ', 5) AS gram FROM benchmark) SELECT doc_id, item_id FROM documents JOIN q ON contains({SQUASH.format(x='text')}, substr(q, 1, 60))")
+@query("q40_quote_containment", f"WITH q AS (SELECT item_id, {SQUASH.format(x='text')} AS q FROM benchmark) SELECT doc_id, item_id FROM (SELECT doc_id, {SQUASH.format(x='text')} AS t FROM documents) d JOIN q ON q <> '' AND contains(t, q)")
 def quote_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which documents hold the start of a benchmark passage: an equality join on a word finds candidates, containment decides.
-
-    The longest of the words that stand whole within a quote's first 60 characters (all but the first and the last) must
-    be a word of any document that holds them; a quote of fewer than three words there has none and is not looked for.
-    """
-    quotes = table(spark, sf_dir, "benchmark").select("item_id", F.substring(squashed(F.col("text")), 1, 60).alias("q"))
-    words = F.split("q", " ")
-    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    quotes = quotes.select("item_id", "q", F.array_max(F.transform(inner, lambda x: F.struct(F.char_length(x).alias("n"), x.alias("word"))))["word"].alias("word"))
-    docs = texts(spark, sf_dir, "doc_id", "text").select("doc_id", squashed(F.col("text")).alias("t"))
-    marks = texts(spark, sf_dir, "doc_id", "text").select("doc_id", F.explode(F.array_distinct(F.split(squashed(F.col("text")), " "))).alias("word"))
-    found = marks.join(quotes, "word").select("doc_id", "item_id", "q")
-    return found.join(docs, "doc_id").where(F.contains("t", "q")).select("doc_id", "item_id").distinct()
+    """Which documents hold a whole benchmark passage."""
+    return holders(texts(spark, sf_dir, "doc_id", "text"), "doc_id", table(spark, sf_dir, "benchmark").select("item_id", "text"), "item_id", "text")
 
 
 ERA = f"{COPY}, v AS (SELECT h, agent, max(minute) AS last_at FROM line GROUP BY 1, 2), e AS (SELECT agent, max(minute) AS final_at FROM snap GROUP BY 1), j AS (SELECT c.*, last_at, final_at FROM copy c JOIN v ON v.h = c.h AND v.agent = c.agent JOIN e ON e.agent = c.agent)"
@@ -56,7 +47,7 @@ def era_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     last = hashed_lines(spark, sf_dir).groupBy("h", "agent").agg(F.max("minute").alias("last_at"))
     final = snapshot_keys(spark, sf_dir).groupBy("agent").agg(F.max("minute").alias("final_at"))
-    j = copies(spark, sf_dir).join(last, ["h", "agent"]).join(F.broadcast(final), "agent")
+    j = copies(spark, sf_dir).join(last, ["h", "agent"]).join(final, "agent")
     gone, held = F.col("last_at") < F.col("final_at"), F.col("last_at") - F.col("first_at")
     return j.groupBy("source").agg(F.count("*").alias("copies"), F.count_if(~gone).alias("still_held"), F.count_if(gone).alias("dropped"), F.floor(100 * F.count_if(gone) / F.count("*")).alias("pct"), scaled(F.median(held), 1).alias("median_held"), F.max(held).alias("longest"))
 
@@ -117,5 +108,5 @@ def leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def comparable_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes that match strictly and leniently: chat turns against their own text with emphasis added."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    said = c.withColumn("row", F.concat(F.lit("**"), F.replace("text", F.lit(" "), F.lit("  ")), F.lit("**"))).withColumn("quote", F.substring("text", 1, 60))
+    said = c.withColumn("row", F.concat(F.lit("**"), F.replace("text", F.lit(" "), F.lit("  ")), F.lit("**"))).withColumn("quote", F.col("text"))
     return said.groupBy(quoted_in(F.col("quote"), F.col("row")).alias("strict"), quoted_in(F.col("quote"), F.col("row"), lenient=True).alias("lenient")).agg(F.count("*").alias("n"), F.max(F.char_length(comparable(F.col("row")))).alias("longest"))

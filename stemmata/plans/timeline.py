@@ -13,6 +13,7 @@ from .relational import scaled
 from .views import DAILY, SNAP, STANCE, chat, daily_states, snapshot_keys, stances, table
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
+KINDS = ("view", "click", "signup", "purchase", "error")
 
 
 @query("q07_window_tiling", f"WITH {SNAP}, c AS (SELECT conv_id, turn, 'src' || (conv_id % 20) AS agent, conv_id * 8 + turn AS minute FROM conversations), w AS (SELECT c.conv_id, c.turn, c.agent, (SELECT min(k) FROM snap s WHERE s.agent = c.agent AND s.minute >= c.minute) AS k FROM c) SELECT agent, k, count(*) AS facts FROM w GROUP BY 1, 2")
@@ -26,7 +27,7 @@ def window_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def asof_excluding_self(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = stances(spark, sf_dir).select("id", "agent", "us", "belief", "label")
     asks, told = s.where("label = 'denies'").drop("label"), s.where("label = 'affirms'").drop("label")
-    return T.asof_other(asks, told, ["belief"], "us", "agent", "id").select("id", "other_at")
+    return T.asof_other(asks, told, ["belief"], "us", "agent", "id", DAY).select("id", "other_at")
 
 
 @query("q09_first_between", f"WITH {STANCE} SELECT e.id, min(v.us) AS first_us, arg_min(v.id, v.us) AS carrier FROM stance e JOIN stance v ON v.belief = e.belief AND v.label = 'affirms' AND v.agent <> e.agent AND v.us >= e.us - 86400000000 AND v.us < e.us WHERE e.label = 'denies' GROUP BY e.id")
@@ -40,9 +41,10 @@ def first_between(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q10_gap_range_join", f"WITH {STANCE} SELECT a.event_type, b.event_type AS other_type, count(*) AS n FROM stance a JOIN stance b ON b.us >= a.us - 3600000000 AND b.us < a.us AND a.agent <> b.agent GROUP BY 1, 2")
 def gap_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = stances(spark, sf_dir).select("agent", "us", "event_type")
-    o = s.select(F.col("agent").alias("other"), F.col("us").alias("o_us"), F.col("event_type").alias("other_type"))
-    return T.range_join(s, o, [], F.col("us") - HOUR, F.col("us"), F.col("o_us"), HOUR).where("agent <> other").groupBy("event_type", "other_type").agg(F.count("*").alias("n"))
+    """Who said what in the hour before: counts by window frames, so no pairs are made."""
+    s = T.counts_before(stances(spark, sf_dir).select("agent", "us", "event_type"), "us", "event_type", KINDS, HOUR, "agent")
+    each = s.select("event_type", F.explode("before").alias("other_type", "n"))
+    return each.groupBy("event_type", "other_type").agg(F.sum("n").alias("n")).where("n > 0")
 
 
 @query("q11_room_intervals", f"WITH {STANCE}, enter AS (SELECT agent, us, belief % 3 AS room, id FROM stance WHERE event_type = 'signup'), j AS (SELECT s.id, (SELECT arg_max(room, e.us) FROM enter e WHERE e.agent = s.agent AND e.us <= s.us) AS room FROM stance s WHERE s.event_type <> 'signup') SELECT coalesce('room' || room, 'general') AS room, count(*) AS n FROM j GROUP BY 1")
@@ -83,15 +85,16 @@ def relapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.relapses(daily_states(spark, sf_dir), ["agent"], "k", "state")
 
 
-SWARM = f"""{STANCE}, x AS (SELECT belief, agent, us, CASE WHEN label = 'affirms' THEN 1 ELSE 0 END AS hold FROM stance WHERE agent < 3 AND label IN ('affirms', 'denies')),
+SWARM = f"""{STANCE}, x AS (SELECT belief, agent // 3 AS circle, agent, us, CASE WHEN label = 'affirms' THEN 1 ELSE 0 END AS hold FROM stance WHERE label IN ('affirms', 'denies')),
  t AS (SELECT *, hold - coalesce(lag(hold) OVER (PARTITION BY belief, agent ORDER BY us), 0) AS step FROM x),
- n AS (SELECT belief, us, sum(step) OVER (PARTITION BY belief ORDER BY us, agent) AS n, lead(us) OVER (PARTITION BY belief ORDER BY us, agent) AS back FROM t WHERE step <> 0)"""
+ n AS (SELECT belief, circle, us, sum(step) OVER w AS n, lead(us) OVER w AS back FROM t WHERE step <> 0 WINDOW w AS (PARTITION BY belief, circle ORDER BY us, agent))"""
 
 
-@query("q31_swarm_returns", f"WITH {SWARM} SELECT belief, us AS gone_at, back AS back_at FROM n WHERE n = 0 AND back - us >= 86400000000")
+@query("q31_swarm_returns", f"WITH {SWARM} SELECT belief, circle, us AS gone_at, back AS back_at FROM n WHERE n = 0 AND back - us >= 86400000000")
 def swarm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = stances(spark, sf_dir).where("agent < 3 AND label IN ('affirms', 'denies')")
-    return T.swarm_returns(s, ["belief"], "agent", "us", F.col("label") == "affirms", DAY)
+    """Silences of a day in circles of three agents, over all of them."""
+    s = stances(spark, sf_dir).where("label IN ('affirms', 'denies')").withColumn("circle", F.floor(F.col("agent") / 3))
+    return T.swarm_returns(s, ["belief", "circle"], "agent", "us", F.col("label") == "affirms", DAY, 7 * DAY)
 
 
 @query("q32_lifetime", f"WITH {RETURNS}, e AS (SELECT agent, min(day) FILTER ({HOLD}) AS first, max(day) FILTER ({HOLD}) AS last, max(day) AS final, arg_max(state, day) AS state FROM daily GROUP BY 1) SELECT e.agent, first, last, final, state IN ('holds', 'both') AS held_at_end, (SELECT count(*) FROM r WHERE r.agent = e.agent AND back_k IS NOT NULL) AS gaps FROM e WHERE first IS NOT NULL")
@@ -112,14 +115,14 @@ def trail_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = stances(spark, sf_dir).groupBy("belief", "agent").agg(F.min(at("affirms")).alias("first_held"), F.max(at("affirms")).alias("last_held"), F.min(at("doubts")).alias("first_doubt"), F.min(at("denies")).alias("first_denial"), F.count("*").alias("seen"))
     born = n.where("first_held IS NOT NULL").groupBy("belief").agg(F.min_by("agent", F.struct("first_held", "agent")).alias("born_by"))
     status = F.when(F.col("first_held").isNull(), "never").when(F.col("first_denial") > F.col("last_held"), "corrected").when(F.col("first_denial").isNotNull(), "wavered").otherwise("held")
-    return n.join(F.broadcast(born), "belief", "left").select("belief", "agent", "first_held", "last_held", "first_doubt", "first_denial", "seen", status.alias("status"), (F.col("agent") == F.col("born_by")).alias("born_here"))
+    return n.join(born, "belief", "left").select("belief", "agent", "first_held", "last_held", "first_doubt", "first_denial", "seen", status.alias("status"), (F.col("agent") == F.col("born_by")).alias("born_here"))
 
 
 @query("q34_own_writes_null", f"WITH {STANCE}, o AS (SELECT * FROM stance WHERE label = 'affirms'), w AS (SELECT id, agent, belief, EXISTS (SELECT 1 FROM o WHERE o.belief = s.belief AND o.agent <> s.agent AND o.us >= s.us - 3600000000 AND o.us < s.us) AS near FROM stance s WHERE label = 'unrelated') SELECT belief, agent, count(*) AS writes, count(*) FILTER (near) AS near FROM w GROUP BY 1, 2")
 def own_writes_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of an agent's own writes that come within an hour after another's message: an as-of join each."""
     s = stances(spark, sf_dir).select("id", "agent", "us", "belief", "label")
-    w = T.asof_other(s.where("label = 'unrelated'"), s.where("label = 'affirms'"), ["belief"], "us", "agent", "id")
+    w = T.asof_other(s.where("label = 'unrelated'"), s.where("label = 'affirms'"), ["belief"], "us", "agent", "id", DAY)
     return w.groupBy("belief", "agent").agg(F.count("*").alias("writes"), F.count_if(F.coalesce(F.col("us") - F.col("other_at") <= HOUR, F.lit(False))).alias("near"))
 
 
@@ -127,12 +130,12 @@ def own_writes_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 def uniform_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = stances(spark, sf_dir).where("label = 'affirms'").select("belief", "us")
     ends = s.groupBy("belief").agg(F.min("us").alias("low"), F.max("us").alias("high"))
-    return T.covered(s.join(F.broadcast(ends), "belief"), ["belief"], "us", HOUR, "low", "high")
+    return T.covered(s.join(ends, "belief"), ["belief"], "us", HOUR, "low", "high")
 
 
-@query("q36_poisson_binomial", "WITH RECURSIVE p AS (SELECT user_id AS agent, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, ((event_id % 9) + 1) / 21.0::DOUBLE AS p FROM events WHERE event_id < 600), n AS (SELECT agent, max(i) AS n FROM p GROUP BY 1), d AS (SELECT agent, 0::BIGINT AS i, [1.0::DOUBLE] AS d FROM n UNION ALL SELECT d.agent, p.i, list_transform(list_zip(list_append(d.d, 0.0::DOUBLE), list_prepend(0.0::DOUBLE, d.d)), lambda x: x[1] * (1 - p.p) + x[2] * p.p) FROM d JOIN p ON d.agent = p.agent AND p.i = d.i + 1) SELECT d.agent, n.n, CAST(floor(coalesce(list_sum(d.d[3:]), 0) * 1e6 + 0.5) AS BIGINT) AS tail FROM d JOIN n ON d.agent = n.agent AND d.i = n.n")
+@query("q36_poisson_binomial", "WITH RECURSIVE p AS (SELECT user_id AS agent, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, ((event_id % 9) + 1) / 21.0::DOUBLE AS p FROM events), n AS (SELECT agent, max(i) AS n FROM p GROUP BY 1), d AS (SELECT agent, 0::BIGINT AS i, [1.0::DOUBLE] AS d FROM n UNION ALL SELECT d.agent, p.i, list_transform(list_zip(list_append(d.d, 0.0::DOUBLE), list_prepend(0.0::DOUBLE, d.d)), lambda x: x[1] * (1 - p.p) + x[2] * p.p) FROM d JOIN p ON d.agent = p.agent AND p.i = d.i + 1) SELECT d.agent, n.n, CAST(floor(coalesce(list_sum(d.d[3:]), 0) * 1e6 + 0.5) AS BIGINT) AS tail FROM d JOIN n ON d.agent = n.agent AND d.i = n.n")
 def poisson_binomial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_id < 600").select(F.col("user_id").alias("agent"), "event_id", ((F.col("event_id") % 9 + 1) / 21.0).alias("p"))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("agent"), "event_id", ((F.col("event_id") % 9 + 1) / 21.0).alias("p"))
     ps = e.groupBy("agent").agg(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "p"))), lambda x: x["p"]).alias("ps"))
     return ps.select("agent", F.size("ps").cast("long").alias("n"), scaled(tail(F.col("ps"), 2), 6).alias("tail"))
 
@@ -149,11 +152,11 @@ def population_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.crossJoin(f.agg(F.count("*").alias("holdings"), F.count_if(F.col("versions") >= 3).alias("lasting"))).crossJoin(c)  # one row each
 
 
-FILL = f"{STANCE}, it AS (SELECT belief, agent, CASE label WHEN 'affirms' THEN 0 WHEN 'denies' THEN 1 ELSE 2 END AS rank, us, id, 100 + (id * 37) % 900 AS size FROM stance WHERE agent < 40), o AS (SELECT *, row_number() OVER (PARTITION BY belief, agent ORDER BY rank, us, id) AS i FROM it)"
+FILL = f"{STANCE}, it AS (SELECT belief, agent, CASE label WHEN 'affirms' THEN 0 WHEN 'denies' THEN 1 ELSE 2 END AS rank, us, id, 100 + (id * 37) % 900 AS size FROM stance), o AS (SELECT *, row_number() OVER (PARTITION BY belief, agent ORDER BY rank, us, id) AS i FROM it)"
 
 
 @query("q38_budget_fill", f"WITH RECURSIVE {FILL}, f AS (SELECT belief, agent, i, id, CASE WHEN size <= 3000 THEN size ELSE 0 END AS used, size <= 3000 AS taken FROM o WHERE i = 1 UNION ALL SELECT o.belief, o.agent, o.i, o.id, CASE WHEN f.used + o.size <= 3000 THEN f.used + o.size ELSE f.used END, f.used + o.size <= 3000 FROM f JOIN o ON o.belief = f.belief AND o.agent = f.agent AND o.i = f.i + 1) SELECT belief, agent, id FROM f WHERE taken")
 def budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = F.when(F.col("label") == "affirms", 0).when(F.col("label") == "denies", 1).otherwise(2)
-    items = stances(spark, sf_dir).where("agent < 40").select("belief", "agent", rank.alias("rank"), "us", "id", (100 + (F.col("id") * 37) % 900).alias("size"))
+    items = stances(spark, sf_dir).select("belief", "agent", rank.alias("rank"), "us", "id", (100 + (F.col("id") * 37) % 900).alias("size"))
     return T.budget_fill(items, ["belief", "agent"], "rank", "us", "id", "size", 3000).select("belief", "agent", "id")

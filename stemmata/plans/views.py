@@ -59,7 +59,7 @@ def hashed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """agent, k, h: what each version of the rolling memory holds."""
     rows = hashed_lines(spark, sf_dir).select("agent", "k", "h").distinct()
-    last = F.broadcast(snapshot_keys(spark, sf_dir).groupBy("agent").agg(F.max("k").alias("last")))  # a row an agent
+    last = snapshot_keys(spark, sf_dir).groupBy("agent").agg(F.max("k").alias("last"))
     held = rows.join(last, "agent").select("agent", "h", F.explode(F.sequence(F.col("k"), F.least(F.col("k") + MEMORY - 1, F.col("last")))).alias("k"))
     return held.distinct()
 
