@@ -12,7 +12,8 @@ these give no value in (0, 1). alpha(h) = (1 - sum of the seen p(w | h)) / (1 -
 distribution sums to one. A history whose counts are all above DISCOUNTED has nothing left for unseen words; its counts
 are divided by c(h) + 1.
 
-Tables. Counts stand in tables in the shared folder. Documents are dealt into chunks, whose words are numbered once and
+Tables. Counts stand in tables in the shared folder: of words by hash range and by chunk, of n-grams by history and chunk,
+each with the sums that its backoff weights need. Documents are dealt into chunks, whose words are numbered once and
 kept as a compressed row each. Level by level, a chunk asks the buckets about its n-grams, with its own training counts,
 and a bucket, having summed the counts of all chunks, answers with the totals and the sums that alpha needs; words are
 partitioned by hash, n-grams by history. A history that occurs in one chunk only is that chunk's own business: its counts
@@ -46,9 +47,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .blobs import chunk_of, hash_bounds, packed, text_bytes, unpacked
-from .components import dropped, saved
+from .components import saved
 
-ORDER, DISCOUNTED, CHUNK, BUCKET = 3, 5, 8 << 20, 3_000_000
+ORDER, DISCOUNTED, CHUNK, BUCKET, ROUNDS = 3, 5, 8 << 20, 3_000_000, 2
 UNKNOWN, START, FIRST = 0, 1, 2  # ids of words
 FOLDS, HELD = 5, 1
 SUMS = 2 * DISCOUNTED + 1  # of a history: n-grams of count 1 .., suffixes of count 1 .., sum of the higher suffix counts
@@ -258,35 +259,53 @@ class Next:
         self.final = low.alone
 
     def asks(self, tokens: int, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(bucket, n-grams, histories, and of each the number of n-grams * 4 + 2 if hot + 1 if its sums are wanted here)."""
-        low = self.low
+        """(place, n-grams, histories, and of each the number of n-grams * 2 + 1 if its sums are wanted here).
+
+        A place below `buckets` is a bucket by the hash range of histories; the places from there on are the same buckets
+        for hot histories, whose n-grams are dealt by word as well.
+        """
+        low, edge = self.low, hash_bounds(buckets)
+        heads = np.unique(self.history)
+        heads = heads[~self.final[heads]]
         salts = 1 + low.count * (2 * buckets) // max(tokens, 1)
         gram = np.nonzero(~self.final[self.head])[0]
-        probe = np.unique(self.history)
-        probe = probe[~self.final[probe]]
-        head = np.concatenate((self.head[gram], probe))
-        salt = np.concatenate((self.wid[gram] % salts[self.head[gram]], np.zeros(len(probe), np.int64)))
+        hot = salts[self.head[gram]] > 1
+        cold = heads[salts[heads] == 1]
+        cold = cold[np.argsort(low.hash[cold])]
+        rank = np.empty(len(low.count), np.int64)
+        rank[cold] = np.arange(len(cold))
+        own = np.sort((rank[self.head[gram[~hot]]] << 32) | np.arange(len(hot) - hot.sum()))
+        items, n = gram[~hot][own & 0xFFFFFFFF], np.bincount(own >> 32, minlength=len(cold))
+        ends = np.append(0, np.cumsum(n))
+        cut = [0, *np.searchsorted(low.hash[cold], edge).tolist(), len(cold)]
+        for b, (p, q) in enumerate(zip(cut, cut[1:])):
+            if q > p:
+                yield b, items[ends[p] : ends[q]], cold[p:q], n[p:q] * 2 + 1
+        if len(cold) == len(heads):
+            return
+        items, wanted = gram[hot], heads[salts[heads] > 1]
+        head = np.append(self.head[items], wanted)
+        salt = np.append(self.wid[items] % salts[self.head[items]], np.zeros(len(wanted), np.int64))
         x = low.hash[head] + salt.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
         bucket = ((x ^ (x >> np.uint64(32))) % np.uint64(buckets)).astype(np.int64)
-        wid = np.concatenate((self.wid[gram], np.full(len(probe), -1)))
-        item = np.concatenate((gram, np.full(len(probe), -1)))
-        order = np.lexsort((wid, low.hash[head], bucket))
+        item = np.append(items, np.full(len(wanted), -1))
+        order = np.lexsort((item, low.hash[head], bucket))
         bucket, head, item = bucket[order], head[order], item[order]
-        new = np.nonzero(_first(bucket, head))[0] if len(head) else np.empty(0, np.int64)
-        ends = np.append(new[1:], len(head))
-        wanted = item[new] < 0
-        flags = (ends - new - wanted) * 4 + (salts[head[new]] > 1) * 2 + wanted
-        cut = np.append(np.nonzero(_first(bucket[new]))[0], len(new)) if len(new) else [0]
+        new = np.nonzero(_first(bucket, head))[0]
+        asked = item[new] < 0
+        flags = (np.diff(np.append(new, len(head))) - asked) * 2 + asked
+        cut = np.append(np.nonzero(_first(bucket[new]))[0], len(new))
+        ends = np.append(new, len(head))
         for p, q in zip(cut, cut[1:]):
-            part = item[new[p] : ends[q - 1]]
-            yield int(bucket[new[p]]), part[part >= 0], head[new[p:q]], flags[p:q]
+            part = item[ends[p] : ends[q]]
+            yield int(bucket[new[p]]) + buckets, part[part >= 0], head[new[p:q]], flags[p:q]
 
     def stats(self) -> list[int]:
         """Counts of counts of the n-grams that nobody is asked about."""
         return counts_of_counts(self.grams.own[self.final[self.head]])
 
     def answered(self, tokens: int, buckets: int, told: dict[int, tuple[np.ndarray, np.ndarray]], hot: dict[int, list[int]]) -> Grams:
-        """The level with counts and sums. told: counts and sums by bucket; hot: sums by hash of history."""
+        """The level with counts and sums. told: counts and sums by place; hot: sums by hash of history."""
         g, low = self.grams, self.low
         g.alone = self.final[self.head]
         g.count = np.where(g.alone, g.own, 0)
@@ -299,55 +318,62 @@ class Next:
             g.sums[DISCOUNTED + r - 1] = np.bincount(self.head[seen & (below == r)], minlength=len(low.count))
         over = seen & (below > DISCOUNTED)
         g.sums[-1] = np.bincount(self.head[over], weights=below[over], minlength=len(low.count))
-        for b, grams, heads, flags in self.asks(tokens, buckets):
-            counts, sums = told[b]
+        for place, grams, heads, flags in self.asks(tokens, buckets):
+            counts, sums = told[place]
             g.count[grams], g.alone[grams] = counts >> 1, counts & 1 > 0
-            g.sums[:, heads[flags & 3 == 1]] = sums.reshape(SUMS, -1)
-            for h in heads[flags & 3 == 3].tolist():
-                g.sums[:, h] = hot[int(low.hash[h].view(np.int64))]
+            if place < buckets:
+                g.sums[:, heads] = sums.reshape(SUMS, -1)
+            else:
+                for h in heads[flags & 1 > 0].tolist():
+                    g.sums[:, h] = hot[int(low.hash[h].view(np.int64))]
         return g
 
 
 def bucket_answers(table: pa.Table) -> pa.Table:
-    """Kind 0: a bucket's n-grams (a: hashes and numbers of histories, b: words, c: counts; stats: n1 ..). Kind 2: to a chunk, in the
-    order asked, a: counts as in encoded(), b: sums of histories. Kind 3: a bucket's part of a hot history's sums. Kind 4: a chunk that wants them."""
+    """Kind 0: counts of counts of a bucket's n-grams (stats). Kind 2: to a chunk, in the order asked, bucket: the place, a: counts as in
+    encoded(), b: sums of histories. Kind 3: a bucket's part of a hot history's sums. Kind 4: a chunk that wants them."""
     bucket = table.column("bucket")[0].as_py()
-    chunks = table.column("chunk").to_pylist()
+    asks = list(zip(*(table.column(c).to_pylist() for c in ("kind", "chunk", "a", "b", "c"))))
     halves = lambda x: np.split(unpacked(x), 2)
-    heads = [(np.cumsum(x).view(np.uint64), flags) for x, flags in map(halves, table.column("a").to_pylist())]
-    pairs = [halves(x) for x in table.column("b").to_pylist()]
-    h = np.concatenate([np.repeat(x, flags >> 2) for x, flags in heads])
+    heads = [(np.cumsum(x).view(np.uint64), flags) for x, flags in (halves(x[2]) for x in asks)]
+    pairs = [halves(x[3]) for x in asks]
+    names, name = np.unique(np.concatenate([x for x, _ in heads]), return_inverse=True)
+    h = np.repeat(name, np.concatenate([flags >> 1 for _, flags in heads]))
     w, below = (np.concatenate(x) for x in zip(*pairs))
-    count = np.concatenate([unpacked(x) for x in table.column("c").to_pylist()])
-    order = np.lexsort((w, h))
+    count = np.concatenate([unpacked(x[4]) for x in asks])
+    narrow = len(names) < 1 << 23 and w.max(initial=0) < 1 << 40
+    order = np.argsort((h << 40) | w) if narrow else np.lexsort((w, h))
     new = _first(h[order], w[order]) if len(h) else np.empty(0, bool)
     first = np.nonzero(new)[0]
     total = np.add.reduceat(count[order], first) if len(first) else np.empty(0, np.int64)
     back = np.empty(len(h), np.int64)
     back[order] = (total * 2 + (np.diff(np.append(first, len(h))) == 1))[np.cumsum(new) - 1] if len(first) else 0
     seen = total > 0
-    sh, sw, sb, st = h[order][first][seen], w[order][first][seen], below[order][first][seen], total[seen]
-    names = np.unique(np.concatenate([x for x, _ in heads]))
-    at = np.searchsorted(names, sh)
+    at, sb, st = h[order][first][seen], below[order][first][seen], total[seen]
     of = lambda mask, weights=None: np.bincount(at[mask], weights=None if weights is None else weights[mask], minlength=len(names)).astype(np.int64)
     sums = np.array([of(st == r) for r in range(1, DISCOUNTED + 1)] + [of(sb == r) for r in range(1, DISCOUNTED + 1)] + [of(sb > DISCOUNTED, sb)])
-    start = np.nonzero(_first(sh))[0] if len(sh) else np.empty(0, np.int64)
     own = np.sum([counts_of_counts(st), *(x for x in table.column("stats").to_pylist() if x)], axis=0)
-    rows = [(0, bucket, None, packed(np.concatenate((np.diff(sh[start].view(np.int64), prepend=0), np.diff(np.append(start, len(sh)))))), packed(sw), packed(st), own.tolist())]
-    hot, k = set(), 0
-    for chunk, (x, flags), (y, _) in zip(chunks, heads, pairs):
-        plain = np.searchsorted(names, x[flags & 3 == 1])
+    rows = [(0, bucket, None, None, None, None, own.tolist())]
+    hot: set[int] = set()
+    k = i = 0
+    for (hotness, chunk, *_), (x, flags), (y, _) in zip(asks, heads, pairs):
+        mine = name[i : i + len(x)]
         if len(x):
-            rows.append((2, bucket, chunk, packed(back[k : k + len(y)]), packed(sums[:, plain].reshape(-1)), None, None))
-        hot.update(x[flags & 2 > 0].tolist())
-        rows += [(4, g, chunk, None, None, None, None) for g in x[flags & 3 == 3].view(np.int64).tolist()]
-        k += len(y)
-    for g in sorted(hot):
-        j = int(np.searchsorted(names, np.uint64(g)))
-        rows.append((3, g - (1 << 64) if g >> 63 else g, None, None, None, None, sums[:, j].tolist()))
+            plain = mine if not hotness else mine[:0]
+            rows.append((2, bucket if not hotness else -1 - bucket, chunk, packed(back[k : k + len(y)]), packed(sums[:, plain].reshape(-1)), None, None))
+        if hotness:
+            hot.update(mine.tolist())
+            rows += [(4, g, chunk, None, None, None, None) for g in x[flags & 1 > 0].view(np.int64).tolist()]
+        k, i = k + len(y), i + len(x)
+    rows += [(3, int(names[j].view(np.int64)), None, None, None, None, sums[:, j].tolist()) for j in sorted(hot)]
     return _table(rows)
 
 
+def bound(f, *given):
+    """f with its first arguments given, as a function of two."""
+    return lambda a, b: f(*given, a, b)
+
+
 class Model:
     """Evaluates a chunk's tokens by backoff from level to level."""
 
@@ -391,8 +417,11 @@ def shuffles_removed(spark: SparkSession):
                 spark.conf.set(name, _tidy["before"])
 
 
-def score(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text", order: int = ORDER, chunk_bytes: int = CHUNK, bucket_words: int = BUCKET) -> DataFrame:
-    """key, held_out, n_tokens, n_known, train_tokens, base_score, score. held_out: a boolean column of the rows not to learn from."""
+def score(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text", order: int = ORDER, chunk_bytes: int = CHUNK, bucket_words: int = BUCKET, rounds: int = ROUNDS) -> DataFrame:
+    """key, held_out, n_tokens, n_known, train_tokens, base_score, score. held_out: a boolean column of the rows not to learn from.
+
+    rounds: beyond pairs, the buckets are asked in so many rounds, which divides what is shuffled at once.
+    """
     spark = docs.sparkSession
     size = text_bytes(docs, text)
     chunks, buckets = max(1, -(-size // chunk_bytes)), max(1, -(-size // (6 * bucket_words)))
@@ -409,7 +438,7 @@ def score(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text", or
         if answers is not None:
             for level, k, b, x, y, z in zip(*(answers.column(c).to_pylist() for c in ("level", "kind", "bucket", "a", "b", "stats"))):
                 if k == 2:
-                    told.setdefault(level, {})[b] = unpacked(x), unpacked(y)
+                    told.setdefault(level, {})[b if b >= 0 else buckets - 1 - b] = unpacked(x), unpacked(y)
                 else:
                     hot.setdefault(level, {})[b] = z
         for row in docs.to_pylist():
@@ -418,12 +447,16 @@ def score(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text", or
                 s.levels.append(s.follow().answered(uni.tokens, buckets, told.get(level, {}), hot.get(level, {})))
             yield s
 
-    def asked(s: Stream, chunk: int, tokens: int) -> pa.Table:
+    def asked(s: Stream, chunk: int, tokens: int, nth: int, of: int) -> pa.Table:
         n = s.follow()
-        out = [(0, chunk % buckets, chunk, packed(np.empty(0, np.int64)), packed(np.empty(0, np.int64)), packed(np.empty(0, np.int64)), n.stats())]
-        for b, grams, heads, flags in n.asks(tokens, buckets):
+        none = packed(np.empty(0, np.int64))
+        out = [(0, chunk % buckets, chunk, none, none, none, n.stats())] if not nth else []
+        for place, grams, heads, flags in n.asks(tokens, buckets):
+            b = place % buckets
+            if b % of != nth:
+                continue
             a = np.concatenate((np.diff(n.low.hash[heads].view(np.int64), prepend=0), flags))
-            out.append((0, b, chunk, packed(a), packed(np.concatenate((n.wid[grams], n.low.count[n.grams.suffix[grams]]))), packed(n.grams.own[grams]), None))
+            out.append((place // buckets, b, chunk, packed(a), packed(np.concatenate((n.wid[grams], n.low.count[n.grams.suffix[grams]]))), packed(n.grams.own[grams]), None))
         return _table(out)
 
     def told_to(level: int, table: DataFrame) -> DataFrame:
@@ -442,22 +475,23 @@ def score(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text", or
         own = cells.where("kind = 1").drop("kind", "stats")
         d, answers, done = [], None, 1
         for level in range(2, order + 1):
-            if answers is None:
+            parts, of = [], 1 if level == 2 else rounds
+            for nth in range(of):
+                if answers is None:
 
-                def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                    for b in batches:
-                        for i in range(b.num_rows):
-                            one = pa.Table.from_batches([b.slice(i, 1)])
-                            yield from asked(next(streams(one, None, uni)), one.column("chunk")[0].as_py(), uni.tokens).combine_chunks().to_batches()
+                    def first(batches: Iterator[pa.RecordBatch], nth=nth, of=of) -> Iterator[pa.RecordBatch]:
+                        for b in batches:
+                            for i in range(b.num_rows):
+                                one = pa.Table.from_batches([b.slice(i, 1)])
+                                yield from asked(next(streams(one, None, uni)), one.column("chunk")[0].as_py(), uni.tokens, nth, of).combine_chunks().to_batches()
 
-                asks = own.mapInArrow(first, ANSWER)
-            else:
-
-                def further(docs: pa.Table, told: pa.Table) -> pa.Table:
-                    return asked(next(streams(docs, told, uni)), docs.column("chunk")[0].as_py(), uni.tokens)
+                    asks = own.mapInArrow(first, ANSWER)
+                else:
 
-                asks = own.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(further, ANSWER)
-            table = saved(asks.groupBy("bucket").applyInArrow(bucket_answers, ANSWER))
+                    further = lambda nth, of, docs, told: asked(next(streams(docs, told, uni)), docs.column("chunk")[0].as_py(), uni.tokens, nth, of)
+                    asks = own.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(bound(further, nth, of), ANSWER)
+                parts.append(saved(asks.groupBy("bucket").applyInArrow(bucket_answers, ANSWER)))
+            table = reduce(DataFrame.unionByName, parts)
             d.append(discounts(total(table, DISCOUNTED + 1)))
             told = told_to(level, table)
             answers, done = told if answers is None else answers.unionByName(told), level
