@@ -34,7 +34,7 @@ from .components import saved
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 MARGIN = 2.0
 LABEL = 63  # letters of a host label at most
-UNIT = 1_000_000_000
+UNIT, SALTS = 1_000_000_000, 16
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -165,7 +165,10 @@ def scored(urls: DataFrame, hosts: DataFrame, weights: DataFrame) -> DataFrame:
     of_host = hosts.join(weights, "token").groupBy("host").agg(F.sum(F.col("n") * F.col("weight")).alias("_h"))
     of_path = path_tokens(urls.select("path").distinct(), "path").join(weights, "token").groupBy("path").agg(F.sum("weight").alias("_p"))
     zero = F.lit(0).cast("long")
-    both = urls.join(of_host, "host", "left").join(of_path, "path", "left")
+    # a host may have a third of all rows: it is dealt over SALTS parts, and its one score stands in each
+    salt = F.pmod(F.xxhash64("path"), F.lit(SALTS))
+    of_host = of_host.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    both = urls.withColumn("_salt", salt).join(of_host, ["host", "_salt"], "left").join(of_path, "path", "left")
     return both.select(*urls.columns, ((F.coalesce("_h", zero) + F.coalesce("_p", zero)) / UNIT).alias("log_odds"))
 
 
@@ -177,7 +180,7 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", html: str |
     host, path = parts(F.col(url))
     found = pages.select(F.col(key).alias("key"), host.alias("host"), path.alias("path"), *([F.col(html).alias("html")] if html else []))
     found = found.withColumn("rule", matched(F.col("host"), F.col("path"), rules)).withColumn("label", verdict_of(F.col("rule"), rules))
-    hosts = saved(host_tokens(found, lexicon(found, "html" if html else None, seeds)))
+    hosts = saved(host_tokens(found, saved(lexicon(found, "html" if html else None, seeds))))
     urls = found.select("key", "host", "path", "rule", "label")
     weights = train(urls, hosts, seeds)
     by_rule = urls.where("label IS NOT NULL").withColumn("log_odds", F.lit(None).cast("double"))
