@@ -42,7 +42,9 @@ NOISE = "|".join(
 )
 NOT_UNITS = frozenset("and or to of the at in on for by am pm is was are per from with x vs a an pt utc et min mins sec secs h hr hrs more less near new total other adding added confirmed additional remaining left extra each out up down again times than into after before so".split())
 WEAK_UNITS = frozenset("st nd rd th % second minute hour day week month year time step attempt try click row column line page tab px pixel".split())
-OWN_MAIL = r"@agentvillage\.org$"
+#: Units of everyday bookkeeping, and the kinds of claims that can be checked.
+GENERIC_UNITS = frozenset("file commit para paragraph part line turn statu status ok open unique but while no merged session step item issue pr link page word char character byte kb mb gb ms insertion deletion change section chapter ch language lang agent model message comment reply hex column field key token pixel slot level hp xp".split())
+CHECKABLE = ("exists", "count", "done", "broken", "identity", "instruction-to-self")
 
 
 def singular(word: str) -> str:
@@ -113,9 +115,10 @@ def legacy_anchors_udf(lines: pd.Series) -> pd.Series:
     return lines.map(lambda x: anchors(x, legacy=True) if x else [])
 
 
-def strong(anchor: Column) -> Column:
-    """Whether an anchor can make a line new by itself."""
-    return ~anchor.startswith("#") & ~anchor.rlike(OWN_MAIL)
+def strong(anchor: Column, own_mail: str | None = None) -> Column:
+    """Whether an anchor can make a line new by itself. own_mail: the mail domain of the agents, whose addresses are no facts."""
+    out = ~anchor.startswith("#")
+    return out & ~anchor.endswith("@" + own_mail.lower()) if own_mail else out
 
 
 def search_terms(anchor: Column) -> Column:
@@ -138,7 +141,18 @@ def as_pattern(anchor: Column) -> Column:
     return F.when(anchor.startswith("no."), ticket).when(counted != "", F.concat(F.lit(r"(?<![\w.])"), F.regexp_replace(counted, r"\.", r"\\."), F.lit(r"[\s-]*"), unit, F.lit(r"(?:s|es)?\b"))).otherwise(escaped)
 
 
-def specific(anchor: Column) -> Column:
-    """Whether an anchor tells facts apart: no tiny counts, no small fractions."""
+def specific(anchor: Column, generic: frozenset[str] = GENERIC_UNITS) -> Column:
+    """Whether an anchor tells facts apart: no everyday counts, no counts of 0 or 1, no small fractions."""
+    unit = F.regexp_extract(anchor, r"^\d[\d,.]* (\S+)$", 1)
     below = F.regexp_extract(anchor, r"^\d+/(\d+)", 1)
-    return ~anchor.rlike("^[01] ") & ~F.coalesce(F.when(below != "", below).try_cast("int") < 3, F.lit(False))
+    return F.when(unit != "", ~unit.isin(*sorted(generic)) & ~anchor.rlike("^[01] ")).when(below != "", below.cast("long") >= 3).otherwise(True)
+
+
+def numeric(anchor: Column) -> Column:
+    """Whether an anchor is a count, an amount of money or a score, and not of nothing."""
+    return anchor.rlike(r"(?U)^(?:\$[\d,.]+[km]?|\d[\d,.]*\s\S+|\d+/\d+(?:\s\S+)?)$") & ~anchor.startswith("0/0") & ~anchor.startswith("0 ")
+
+
+def checkable(kind: Column) -> Column:
+    """Whether a claim of this kind can be checked against what happened."""
+    return kind.isin(*CHECKABLE)
