@@ -77,9 +77,14 @@ def handles(events: DataFrame, agents: DataFrame) -> DataFrame:
     return said.join(own.distinct(), F.lower("word") == F.col("own"), "left_anti")
 
 
+def leaking(c: Column, names: Iterable[str] = ()) -> Column:
+    """Whether a text still holds something that mask() would change."""
+    return F.coalesce(c != mask(c, names), F.lit(False))
+
+
 def leaks(texts: DataFrame, text: str, names: Iterable[str] = ()) -> DataFrame:
-    """Rows whose text still holds something that mask() would change."""
-    return texts.where(F.col(text) != mask(F.col(text), names))
+    """Rows whose text still leaks."""
+    return texts.where(leaking(F.col(text), names))
 
 
 def mask_nested(df: DataFrame, keep: Iterable[str] = (), names: Iterable[str] = ()) -> DataFrame:

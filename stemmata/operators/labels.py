@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..functions.masking import scrub_secrets
+
 STANCES = ("affirms", "doubts", "denies", "unrelated")
 #: Weights of evidence verdicts in a final score.
 WEIGHTS = {"contradicted": 3.0, "hearsay": 1.5, "no_evidence": 1.0, "instruction": 1.2, "supported": 0.3}
@@ -36,6 +38,58 @@ def memoised(rows: DataFrame, stored: DataFrame, keys: list[str], labeler: Calla
     return rows.join(stored.unionByName(new.select(*stored.columns)), keys, "left")
 
 
+def batches(lines: DataFrame, extract: Callable[[list[str]], list[list[dict] | None]], size: int, schema: str) -> DataFrame:
+    """line_hash, line, no and the columns of schema: what extract finds in batches of `size` distinct lines (line_hash, line).
+
+    A line in which nothing was found gives one row with no = -1, so it is answered and never sent again. A line that
+    extract skips (None) gives no row and stays to be asked.
+    """
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), size):
+                part = frame.iloc[at : at + size]
+                rows = []
+                for h, line, found in zip(part.line_hash, part.line, extract(part.line.tolist())):
+                    if found is not None:
+                        rows += [(h, line, n, *(x.get(c) for c in names)) for n, x in enumerate(found)] or [(h, line, -1, *[None] * len(names))]
+                yield pd.DataFrame(rows, columns=["line_hash", "line", "no", *names])
+
+    return lines.select("line_hash", "line").dropDuplicates(["line_hash"]).mapInPandas(run, f"line_hash string, line string, no int, {schema}")
+
+
+def claims(lines: DataFrame, stored: DataFrame, extract: Callable[[list[str]], list[list[dict] | None]], size: int = 25) -> DataFrame:
+    """New rows of a claim store (line_hash, line, no, text, kind, anchors, subject) for the lines that it doesn't answer yet."""
+    return batches(todo(lines, stored, ["line_hash"]), extract, size, "text string, kind string, anchors array<string>, subject string")
+
+
+def requests(rows: DataFrame, prompt: str, text: str, stored: DataFrame, most: int, price: int = 1) -> DataFrame:
+    """request, text: what still has to be asked outside, within the cap of `most` units at `price` for each request.
+
+    A request is told by the hash of the prompt and the text without secrets; equal requests are asked once, answered ones
+    (stored: request) not again. Which ones fit the cap follows from their hashes alone. The place of a request is taken
+    from counts by hash range first, so no task sorts them all.
+    """
+    asked = rows.select(scrub_secrets(F.col(text)).alias("text")).where("text IS NOT NULL").distinct()
+    asked = asked.withColumn("request", F.sha2(F.concat(F.lit(prompt + "\n"), "text"), 256)).join(stored.select("request").distinct(), "request", "left_anti")
+    ranged = asked.withColumn("_range", F.conv(F.substring("request", 1, 3), 16, 10).cast("long"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # 4096 ranges at most
+    carried = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy("request"))
+    return ranged.withColumn("_own", own).join(carried, "_range").where((F.col("_before") + F.col("_own")) * price <= most).select("request", "text")
+
+
+def people(texts: DataFrame, text: str, finder: Callable[[list[str]], list[str]], known: DataFrame, size: int = 40) -> DataFrame:
+    """word: names that a finder gives for batches of distinct texts, and each part of a full name, but words of known (word, any case)."""
+    distinct_texts = texts.select(F.sha2(text, 256).alias("line_hash"), F.col(text).alias("line")).where("line <> ''")
+    found = batches(distinct_texts, lambda part: [[{"word": w} for w in finder(part)], *[None] * (len(part) - 1)], size, "word string")
+    names = found.where("no >= 0").select(F.trim("word").alias("word")).where(F.char_length("word") >= 2)
+    parts = names.where(F.contains("word", F.lit(" "))).select(F.explode(F.regexp_extract_all("word", F.lit(r"([A-Za-z][A-Za-z'-]+)"), F.lit(1))).alias("word")).where(F.char_length("word") >= 3)
+    own = known.select(F.lower("word").alias("_own")).distinct()
+    return names.unionByName(parts).distinct().join(own, F.lower("word") == F.col("_own"), "left_anti")
+
+
 def overlay(strong: Column, cheap: Column) -> Column:
     """The strong model's label where there is one."""
     return F.coalesce(strong, cheap)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .labels import labelled, overlay, todo
 from .temporal import asof_other, covered
 
@@ -33,11 +34,11 @@ def rechecked(marked: DataFrame, lines: DataFrame, labeler: Callable[[str], str]
     now = marked
     for _ in range(rounds):
         new = labelled(todo(lines.join(decisive(nodes(now)), "h", "left_semi"), strong, ["h"]), labeler, "line").select("h", "label")
-        new = new.sparkSession.createDataFrame(new.collect(), "h string, label string")  # a few lines a node, each a call outside
+        new = written(new)  # each row was a call outside: it is made once
         if new.isEmpty():
             break
         strong = strong.unionByName(new)
-        now = marked.join(F.broadcast(strong.withColumnRenamed("label", "_strong")), "h", "left").withColumn("label", overlay(F.col("_strong"), F.col("label"))).drop("_strong")
+        now = marked.join(strong.withColumnRenamed("label", "_strong"), "h", "left").withColumn("label", overlay(F.col("_strong"), F.col("label"))).drop("_strong")
     return nodes(now), strong
 
 

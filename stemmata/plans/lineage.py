@@ -12,7 +12,7 @@ from ..operators import lineage as L
 from ..operators.temporal import episodes
 from .relational import scaled
 from .registry import query
-from .views import BASE, LINE, LIVES, MEM, SNAP, final_k, hashed_lines, memory, snapshot_keys, table, texts
+from .views import BASE, LINE, SNAP, final_k, hashed_lines, line_rows, memory, snapshot_keys, texts, table
 
 
 @query("q00_spread_and_survival", f"WITH {BASE}, f AS (SELECT agent, max(k) AS final_k FROM snap GROUP BY agent) SELECT h, count(*) AS agents, sum(versions)::BIGINT AS versions, sum(last_k - first_k)::BIGINT AS rewrites, count(*) FILTER (last_k = final_k) AS alive, min(first_k) AS first_k FROM lives JOIN f ON lives.agent = f.agent GROUP BY h")
@@ -191,8 +191,14 @@ def line_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q56_same_fact")
 def same_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that start alike, each against the first of its group (never all pairs), kept if their token sets are similar."""
-    d = table(spark, sf_dir, "documents").select(F.explode(lines(F.col("text"))).alias("line")).distinct()
-    d = d.withColumn("head", F.substring("line", 1, 16))
-    first = d.groupBy("head").agg(F.min("line").alias("first"))
-    return d.join(first, "head").where("line <> first").withColumn("score", token_set_ratio_udf("line", "first")).where("score >= 60").select(digest(F.col("first")).alias("fact"), digest(F.col("line")).alias("h"), scaled(F.col("score"), 3).alias("score"))
+    """Lines against the birth lines of facts that they share an anchor with: alike if their token sets are, or two anchors are shared.
+
+    Every line and every fact takes part; candidates come from the anchors alone, and each pair is scored once.
+    """
+    from .population import Population
+
+    p = Population(spark, sf_dir)
+    lines = line_rows(spark, sf_dir).select(digest(F.col("line")).alias("h"), "line").dropDuplicates(["h"])
+    met = p.facts.select(F.col("h").alias("fact"), "anchor").distinct().join(p.anchors, "anchor").where("fact <> h").groupBy("fact", "h").agg(F.count("*").alias("shared"))
+    both = met.join(lines, "h").join(lines.select(F.col("h").alias("fact"), F.col("line").alias("first")), "fact")
+    return both.withColumn("score", token_set_ratio_udf("line", "first")).where("score >= 60 OR shared >= 2").select("fact", "h", "shared", scaled(F.col("score"), 3).alias("score"))

@@ -29,6 +29,7 @@ class Spec:
     derive: Callable[[DataFrame, dict[str, DataFrame]], DataFrame] = field(default=_none)
     sort: tuple[str, ...] = ()
     by_agent: bool = False
+    needs: tuple[str, ...] = ()  # tables that derive reads
 
 
 def _events(df: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
@@ -37,12 +38,15 @@ def _events(df: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def _turns(df: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-    return df.join(tables["computer_use_sessions"].select(F.col("id").alias("session_id"), "agent_id"), "session_id", "left") if "computer_use_sessions" in tables else df
+    """Turns with the agent of their session; one whose session is missing or null keeps a null agent."""
+    sessions = tables["computer_use_sessions"].select(F.col("id").alias("_session"), "agent_id")
+    return df.join(sessions, F.col("session_id") == F.col("_session"), "left").drop("_session")
 
 
+#: The specs of the model's tables; another export gives its own.
 SPECS = (
     Spec("agents", "agents", "id string, name string, model_string string, is_participating boolean, created_at timestamp_ntz"),
-    Spec("village_goals", "village_goals", "id string, goal string, start_time timestamp_ntz, end_time timestamp_ntz", sort=("start_time",)),
+    Spec("goals", "goals", "id string, goal string, start_time timestamp_ntz, end_time timestamp_ntz", sort=("start_time",)),
     Spec("agent_goals", "agent_goals", "id string, agent_id string, name string, short_name string, description string, start_time timestamp_ntz, end_time timestamp_ntz"),
     Spec("chat_rooms", "chat_rooms", "id string, name string, created_at timestamp_ntz, deleted_at timestamp_ntz"),
     Spec("summaries", "summaries", "id string, type string, summary_target string, summary_date date, content string, generated_by string, created_at timestamp_ntz"),
@@ -50,7 +54,7 @@ SPECS = (
     Spec("chat_messages", "chat_messages", "id string, speaker_type string, agent_speaker_id string, user_speaker_id string, content string, room_id string, created_at timestamp_ntz", sort=("created_at",)),
     Spec("computer_use_sessions", "computer_use_sessions", "id string, agent_id string, session_goal string, created_at timestamp_ntz", sort=("agent_id", "created_at")),
     Spec("agent_memories", "agent_memories", "id string, agent_id string, content string, created_at timestamp_ntz", sort=("created_at", "id"), by_agent=True),
-    Spec("computer_use_turns", "computer_use_turns", "id string, session_id string, agent_action string, output string, error string, system string, screenshot_is_redacted boolean, created_at timestamp_ntz", _turns, ("created_at", "id"), True),
+    Spec("computer_use_turns", "computer_use_turns", "id string, session_id string, agent_action string, output string, error string, system string, screenshot_is_redacted boolean, created_at timestamp_ntz", _turns, ("created_at", "id"), True, ("computer_use_sessions",)),
     Spec("turn_messages", "computer_use_turns", "id string, agent_messages string"),
 )
 
@@ -69,11 +73,12 @@ def load(spark: SparkSession, folder: str, target: str, only: Iterable[str] | No
     for spec in specs:
         if only is not None and spec.table not in only:
             continue
-        df = spec.derive(read_source(spark, spec, folder), tables)
-        if spec.by_agent:
-            df = df.repartition("agent_id").sortWithinPartitions(F.col("agent_id").asc_nulls_last(), *spec.sort)
-        elif spec.sort:
-            df = df.sort(*[F.col(c).asc_nulls_last() for c in spec.sort])
+        # a table that this call doesn't load stands from an earlier one, or there is nothing to derive from
+        stored = {need: spark.read.parquet(f"{target}/{need}") for need in spec.needs if need not in tables}
+        df = spec.derive(read_source(spark, spec, folder), {**stored, **tables})
+        order = [F.col(c).asc_nulls_last() for c in (("agent_id", *spec.sort) if spec.by_agent else spec.sort)]
+        if order:  # dealt by agent or by time range and sorted within; row groups are skipped without a global order
+            df = (df.repartition("agent_id") if spec.by_agent else df.repartitionByRange(*order)).sortWithinPartitions(*order)
         df.write.mode("overwrite").parquet(f"{target}/{spec.table}")
         tables[spec.table] = spark.read.parquet(f"{target}/{spec.table}")
     return tables

@@ -5,8 +5,9 @@ from __future__ import annotations
 import json
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
 from ..operators.checks import file_hashes
 
@@ -37,8 +38,39 @@ def run_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder).select("path")
 
 
-def read_run(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.json(path, multiLine=True)
+def read_run(spark: SparkSession, path: str, schema: str | StructType | None = None) -> DataFrame:
+    """A run as one row; with a schema, fields that a run lacks are null and their types don't depend on its content."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.json(path, multiLine=True)
+
+
+def strings(df: DataFrame) -> DataFrame:
+    """path, value: every string of a nested table, structs and arrays of any depth walked; paths leave array places out."""
+
+    def walk(c: Column, kind: DataType, path: str) -> Column | None:
+        if isinstance(kind, StringType):
+            return F.array(F.struct(F.lit(path).alias("path"), c.alias("value")))
+        if isinstance(kind, StructType):
+            inner = [x for f in kind.fields if (x := walk(c.getField(f.name), f.dataType, f"{path}.{f.name}")) is not None]
+            return F.concat(*inner) if inner else None
+        if isinstance(kind, ArrayType) and walk(F.lit(None), kind.elementType, path) is not None:
+            return F.flatten(F.transform(F.coalesce(c, F.array().cast(kind)), lambda x: walk(x, kind.elementType, path)))
+        return None
+
+    every = [x for f in df.schema.fields if (x := walk(F.col(f"`{f.name}`"), f.dataType, f.name)) is not None]
+    found = F.concat(*every) if every else F.array().cast("array<struct<path:string,value:string>>")
+    return df.select(F.explode(found).alias("x")).select("x.path", "x.value").where("value IS NOT NULL")
+
+
+def write_rows(df: DataFrame, path: str, keys: list[str], parts: int = 1) -> None:
+    """Writes rows as gzipped JSON Lines, byte for byte the same for the same rows: dealt by key, sorted by every column."""
+    names = sorted(df.columns)
+    line = F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
+    df.repartition(parts, *keys).sortWithinPartitions(*names).select(line.alias("value")).write.mode("overwrite").text(path, compression="gzip")
+
+
+def read_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path)
 
 
 def append_labels(spark: SparkSession, store: str, rows: DataFrame, keys: list[str]) -> DataFrame:

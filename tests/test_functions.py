@@ -1,7 +1,6 @@
 import random
 from collections import Counter
 
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -11,31 +10,51 @@ from stemmata.functions import fuzzy, masking, text
 from stemmata.operators import agreement
 
 
-@pytest.mark.parametrize(
-    "line, want",
-    [
-        ("Send the invite to all 93 contacts on the list", ["93 contact"]),
-        ("Budget: $1,984", ["$1,984"]),
-        ("Passed 8/8 tests", ["8/8 test"]),
-        ("Meeting on 6/13 at 3:00 PM", []),
-        ("Commit 7fa9a37 pushed", []),
-        ('Click "Next"', []),
-        ("id a8e7d3f9c2b14e7d9 saved", ["a8e7d3f9c2b14e7d9"]),
-        ("see https://example.com/a?b=1.", ["https://example.com/a?b=1"]),
-        ('The "Resonance Mailing List" is ready', ["resonance mailing list"]),
-        ("Took 5 minutes", ["#5 minute"]),
-        ("the 93 left", ["#93"]),
-        ("Order #48213 placed", ["no.48213"]),
-        ("PR #2406 and #12", ["no.2406"]),
-    ],
-)
-def test_anchors(line, want):
-    assert A.anchors(line) == want
-
-
-def test_legacy_ticket_and_entity():
-    assert A.anchors("Order #48213 placed", legacy=True) == ["#48213"]
-    assert not [a for a in A.anchors("ledger &#8470;150 shipped") if a.startswith("no.")]
+def pieces(rng):
+    """(text, the anchors that it pins down): one token of a kind, made from the rule of that kind."""
+    word = lambda n=6: "".join(rng.choice("bcdfgkmprtvz") + rng.choice("aeiou") for _ in range(n // 2))
+    n, unit = rng.randrange(12, 1800), word() + rng.choice(["", "s"])
+    one = unit[:-1] if unit.endswith("s") else unit
+    tag = word(8) + str(rng.randrange(1000, 9999)) + word(6)
+    name = f"{word().title()} {word().title()}"
+    return rng.choice(
+        [
+            (f"https://{word()}.example/{word()}?n={n}", {}),
+            (f"{word()}.{word()}@{word()}.example", {}),
+            (tag, {}),
+            (f"#{n + 100}", {f"no.{n + 100}"}),
+            (f'"{name}"', {name.lower()}),
+            (f"{n}/{n} {unit}"[:40], {f"{n}/{n} {one}"}),
+            (f"${n:,}.50", {f"${n:,}.50"}),
+            (f"{n} {unit}", {f"{n} {one}"}),
+            (f"{rng.randrange(2020, 2030)}-0{rng.randrange(1, 9)}-1{rng.randrange(9)}", set()),
+            (f"{rng.randrange(10, 23)}:{rng.randrange(10, 59)}", set()),
+            (f"{rng.randrange(3, 9)} minutes", "weak"),
+            (word(), set()),
+        ]
+    )
+
+
+def test_anchors_of_made_lines():
+    """Lines of one to four tokens: the anchors of the line are those of its tokens, no more and no less."""
+    rng = random.Random(12)
+    for _ in range(600):
+        parts = [pieces(rng) for _ in range(rng.randrange(1, 5))]
+        want = set()
+        for text, found in parts:
+            if found == "weak":
+                want.add(f"#{text[:-1]}")
+            else:
+                want |= {text.lower()} if found == {} else found
+        line = " ; ".join(t for t, _ in parts)
+        assert A.anchors(line) == sorted(want), line
+
+
+def test_old_form_of_tickets_is_weak():
+    rng = random.Random(13)
+    for n in (rng.randrange(1000, 99_999) for _ in range(40)):
+        assert A.anchors(f"see #{n} there") == [f"no.{n}"] and A.anchors(f"see #{n} there", legacy=True) == [f"#{n}"]
+        assert not A.anchors(f"an entity &#{n};x") or not any(a.startswith("no.") for a in A.anchors(f"an entity &#{n};x"))
 
 
 def column(spark, f, *values):
@@ -44,9 +63,12 @@ def column(spark, f, *values):
 
 
 def test_anchor_columns(spark):
-    assert column(spark, A.strong, "93 contact", "#93", "a@agentvillage.org", "no.12") == [True, False, False, True]
-    assert column(spark, A.search_terms, "no.846", "#93", "93 contact", "abc") == [["#846"], ["93"], ["93 contact", "93"], ["abc"]]
-    assert column(spark, A.specific, "0 left", "1 day", "1/2", "8/8 test", "93 contact") == [False, False, False, True, True]
+    assert column(spark, lambda c: A.strong(c, "Team.example"), "41 seat", "#41", "a@team.example", "b@other.example", "no.41") == [True, False, False, True, True]
+    assert column(spark, A.strong, "a@team.example") == [True]
+    assert column(spark, A.numeric, "$12k", "3 seats", "7/9 seat", "0/0", "0 seat", "a name") == [True, True, True, False, False, False]
+    assert column(spark, A.checkable, "count", "opinion") == [True, False]
+    assert column(spark, A.search_terms, "no.517", "#41", "41 seat", "xyz") == [["#517"], ["41"], ["41 seat", "41"], ["xyz"]]
+    assert column(spark, A.specific, "0 seat", "1 seat", "2/2", "6/7 seat", "41 seat", "41 file", "plain", "99999999999/99999999999") == [False, False, False, True, True, False, True, True]
 
 
 def test_normalize_and_lines(spark):
@@ -103,8 +125,27 @@ def test_token_set_ratio():
     assert fuzzy.token_set_ratio("", "a") == 0
 
 
-def test_pairing_takes_the_first_best():
-    assert fuzzy.pair_lines(["old count is 13 apples", "brand new line", "a line one!"], ["a line one", "old count is 12 apples", "will vanish soon"]) == [("old count is 12 apples", "old count is 13 apples"), ("a line one", "a line one!")]
+def test_pairing_equals_a_plain_greedy_match():
+    rng = random.Random(14)
+    words = ["alpha", "beta", "gamma", "delta", "epsilon"]
+
+    def plain(added, removed):
+        pool, out = list(dict.fromkeys(removed)), []
+        for line in added:
+            best = None
+            for old in pool:
+                score = fuzzy.ratio(line, old)
+                if score >= 60 and (best is None or score > best[0]):
+                    best = (score, old)
+            if best:
+                pool.remove(best[1])
+                out.append((best[1], line))
+        return out
+
+    for _ in range(60):
+        lines = lambda: [" ".join(rng.choices(words, k=4)) for _ in range(rng.randrange(6))]
+        added, removed = lines(), lines()
+        assert fuzzy.pair_lines(added, removed) == plain(added, removed)
 
 
 def test_masking(spark):

@@ -6,10 +6,6 @@ from pyspark.sql import functions as F
 from stemmata.operators import checks, labels, lineage, temporal
 
 
-def states(spark, *given):
-    return spark.createDataFrame([("a", k, at, s) for k, (at, s) in enumerate(given)], "agent string, k long, at long, state string")
-
-
 def hold():
     return F.col("state").isin("holds", "both")
 
@@ -19,35 +15,101 @@ def test_states(spark):
     assert [r[0] for r in df.select(labels.state(F.col("a"), F.col("d"))).collect()] == ["holds", "both", "denies", "absent"]
 
 
-def test_episodes(spark):
-    got = temporal.episodes(states(spark, *enumerate(["absent", "holds", "both", "absent", "holds"])), ["agent"], "k", hold())
-    assert sorted((r["first"], r["last"]) for r in got.collect()) == [(1, 2), (4, 4)]
+STATES = ["holds", "both", "denies", "absent"]
+
 
+def histories(seed, agents=12):
+    """Random histories: agent -> [(k, at, state)], times apart by 1 to 40."""
+    rng = random.Random(seed)
+    out = {}
+    for a in range(agents):
+        at, rows = 0, []
+        for k in range(rng.randrange(1, 14)):
+            rows.append((k, at, rng.choice(STATES)))
+            at += rng.randrange(1, 41)
+        out[f"g{a}"] = rows
+    return out
 
-def test_returns_need_a_long_gap(spark):
-    s = states(spark, (0, "holds"), (1, "absent"), (2, "holds"), (3, "absent"), (20, "denies"), (30, "holds"))
-    got = temporal.returns(s, ["agent"], "k", "at", hold(), F.col("state") == "denies", 24).collect()
-    assert [(r.gone_k, r.back_k, r.denied) for r in got] == [(3, 5, True)]
 
+def table(spark, given):
+    return spark.createDataFrame([(a, *r) for a, rows in given.items() for r in rows], "agent string, k long, at long, state string")
 
-def test_relapse_needs_a_plain_hold(spark):
-    got = temporal.relapses(states(spark, *enumerate(["holds", "denies", "both", "holds"])), ["agent"], "k", "state").collect()
-    assert [(r.denied_k, r.again_k) for r in got] == [(1, 3)]
 
+def runs(rows):
+    """[first, last] places of runs of holding versions."""
+    out = []
+    for i, (_, _, s) in enumerate(rows):
+        if s in ("holds", "both"):
+            if out and out[-1][1] == i - 1:
+                out[-1][1] = i
+            else:
+                out.append([i, i])
+    return out
 
-def test_swarm_return(spark):
-    rows = [("x", "a", 0, "holds"), ("x", "b", 1, "holds"), ("x", "a", 2, "absent"), ("x", "b", 3, "absent"), ("x", "a", 30, "holds")]
+
+def test_episodes_and_returns_equal_a_walk(spark):
+    given = histories(21)
+    df = table(spark, given)
+    got = {(r.agent, r["first"], r["last"]) for r in temporal.episodes(df, ["agent"], "k", hold()).collect()}
+    assert got == {(a, i, j) for a, rows in given.items() for i, j in runs(rows)}
+    want = set()
+    for a, rows in given.items():
+        for (_, end), (start, _) in zip(runs(rows), runs(rows)[1:]):
+            if rows[start][1] - rows[end + 1][1] >= 30:
+                want.add((a, end + 1, start, any(s == "denies" for _, _, s in rows[end + 1 : start])))
+    got = temporal.returns(df, ["agent"], "k", "at", hold(), F.col("state") == "denies", 30).collect()
+    assert {(r.agent, r.gone_k, r.back_k, r.denied) for r in got} == want and want
+
+
+def test_relapses_equal_a_walk(spark):
+    given = histories(22, 30)
+    want = set()
+    for a, rows in given.items():
+        denied = next((k for k, _, s in rows if s == "denies"), None)
+        again = next((k for k, _, s in rows if denied is not None and k > denied and s == "holds"), None)
+        if again is not None:
+            want.add((a, denied, again))
+    assert {(r.agent, r.denied_k, r.again_k) for r in temporal.relapses(table(spark, given), ["agent"], "k", "state").collect()} == want and want
+
+
+@pytest.mark.parametrize("width", [7, 10_000])
+def test_swarm_returns_equal_a_walk(spark, width):
+    rng = random.Random(23)
+    rows = [(rng.choice("xyz"), f"g{rng.randrange(3)}", at, rng.choice(["holds", "absent", "absent"])) for at in rng.sample(range(900), 160)]
+    want = set()
+    for case in "xyz":
+        now, gone = {}, None
+        for _, agent, at, state in sorted((r for r in rows if r[0] == case), key=lambda r: r[2]):
+            before = any(now.values())
+            now[agent] = state == "holds"
+            if before and not any(now.values()):
+                gone = at
+            elif not before and any(now.values()) and gone is not None:
+                if at - gone >= 20:
+                    want.add((case, gone, at))
+                gone = None
     df = spark.createDataFrame(rows, "case string, agent string, at long, state string")
-    got = temporal.swarm_returns(df, ["case"], "agent", "at", hold(), 24).collect()
-    assert [(r.gone_at, r.back_at) for r in got] == [(3, 30)]
+    assert {(r.case, r.gone_at, r.back_at) for r in temporal.swarm_returns(df, ["case"], "agent", "at", hold(), 20, width).collect()} == want and want
 
 
-def test_asof_other_against_brute_force(spark):
+@pytest.mark.parametrize("width", [7, 10_000])
+def test_numbering_and_counts_by_buckets(spark, width):
+    rng = random.Random(24)
+    rows = [(f"g{rng.randrange(3)}", at, rng.choice("pq")) for at in rng.sample(range(200), 90)]
+    df = spark.createDataFrame(rows, "agent string, at long, kind string")
+    got = {(r.agent, r["at"]): r.k for r in temporal.numbered(df, ["agent"], "at", ["at"], width).collect()}
+    assert got == {(a, at): sum(b == a and t < at for b, t, _ in rows) for a, at, _ in rows}
+    got = {(r.agent, r["at"]): r.before for r in temporal.counts_before(df, "at", "kind", ("p", "q"), 25, "agent").collect()}
+    assert got == {(a, at): {k: sum(b != a and kind == k and at - 25 <= t < at for b, t, kind in rows) for k in "pq"} for a, at, _ in rows}
+
+
+@pytest.mark.parametrize("width", [9, 50, 10_000])
+def test_asof_other_against_brute_force(spark, width):
     rng = random.Random(5)
     told = [(rng.randrange(3), t, f"w{rng.randrange(3)}", i) for i, t in enumerate(rng.sample(range(200), 60))]
     asks = [(rng.randrange(3), rng.randrange(200), f"w{rng.randrange(3)}", i) for i in range(50)]
     schema = "key int, at long, who string, id long"
-    got = temporal.asof_other(spark.createDataFrame(asks, schema), spark.createDataFrame(told, schema), ["key"], "at", "who", "id")
+    got = temporal.asof_other(spark.createDataFrame(asks, schema), spark.createDataFrame(told, schema), ["key"], "at", "who", "id", width)
     want = {a[3]: max(((t[1], t[3]) for t in told if t[0] == a[0] and t[1] < a[1] and t[2] != a[2]), default=(None, None)) for a in asks}
     assert {r.id: (r.other_at, r.other_value) for r in got.collect()} == want
 
@@ -92,14 +154,37 @@ def test_multiset_diff(spark):
     assert {(r.line, r.change, r.n) for r in got} == {("p", "removed", 1), ("q", "added", 1), ("r", "removed", 1), ("s", "added", 1)}
 
 
-def test_paired_diff(spark):
-    old = ["a line one", "keep this line", "old count is 12 apples", "will vanish soon"]
-    new = ["keep this line", "old count is 13 apples", "brand new line", "a line one!"]
-    rows = [("a", k, x) for k, v in enumerate((old, new)) for x in v]
-    changes = lineage.multiset_diff(spark.createDataFrame(rows, "agent string, k long, line string")).where("k = 1")
-    place = spark.createDataFrame([(x, i) for i, x in enumerate(dict.fromkeys(new + old))], "line string, pos int")
-    got = lineage.paired_diff(changes.join(place, "line"))
-    assert {(r.kind, r.old, r.new) for r in got.collect()} == {("added", None, "brand new line"), ("paired", "old count is 12 apples", "old count is 13 apples"), ("paired", "a line one", "a line one!"), ("vanished", "will vanish soon", None)}
+def test_paired_diff_accounts_for_every_line(spark):
+    """Random versions: added, paired and vanished lines make up the two differences, and pairs are similar."""
+    from collections import Counter
+
+    from stemmata.functions.fuzzy import ratio
+
+    rng = random.Random(25)
+    words = ["river", "stone", "cloud", "ember", "field", "grain"]
+    versions = {(a, k): [" ".join(rng.choices(words, k=4)) for _ in range(8)] for a in "mn" for k in range(3)}
+    rows = [(a, k, x) for (a, k), lines in versions.items() for x in lines]
+    changes = lineage.multiset_diff(spark.createDataFrame(rows, "agent string, k long, line string")).where("k > 0")
+    place = spark.createDataFrame([(x, i) for i, x in enumerate(sorted({x for _, _, x in rows}))], "line string, pos int")
+    got = lineage.paired_diff(changes.join(place, "line")).collect()
+    for (a, k), lines in versions.items():
+        if k:
+            own = [r for r in got if (r.agent, r.k) == (a, k)]
+            old, new = Counter(versions[a, k - 1]), Counter(lines)
+            assert Counter(r.new for r in own if r.new) == new - old
+            assert {r.old for r in own if r.old} == set(old - new)
+            assert all(ratio(r.old, r.new) >= 60 for r in own if r.kind == "paired")
+
+
+def test_disputes_count_distinct_lines(spark):
+    rng = random.Random(26)
+    rows = [(rng.randrange(9), f"h{rng.randrange(12)}") for _ in range(70)]
+    rows = [(d, h, h in ("h1", "h5", "h7")) for d, h in rows]
+    got = {r.h: r.disputes for r in lineage.disputes(spark.createDataFrame(rows, "doc int, h string, against boolean"), "doc", "h", "against").collect()}
+    want = {}
+    for d, h, _ in rows:
+        want.setdefault(h, set()).update(x for e, x, bad in rows if e == d and bad)
+    assert got == {h: len(x) for h, x in want.items() if x}
 
 
 def test_copies_follow_the_first_holder(spark):
@@ -130,6 +215,73 @@ def test_checks(spark):
     assert [tuple(x) for x in checks.doc_markers(docs, "t").collect()] == [("era.copies", "1519")]
 
 
+def test_claims_leave_tombstones_and_skips(spark):
+    lines = spark.createDataFrame([(f"h{i}", t) for i, t in enumerate(["two facts", "none", "skip me", "stored", "two facts"])], "line_hash string, line string")
+    stored = spark.createDataFrame([("h3",)], "line_hash string")
+    sizes = []
+
+    def extract(part):
+        sizes.append(len(part))
+        return [None if "skip" in x else [] if x == "none" else [{"text": w, "kind": "count", "anchors": [w]} for w in x.split()] for x in part]
+
+    got = labels.claims(lines, stored, extract, 2).collect()
+    assert sorted((r.line_hash, r.no, r.text) for r in got) == [("h0", 0, "two"), ("h0", 1, "facts"), ("h1", -1, None), ("h4", 0, "two"), ("h4", 1, "facts")]
+
+
+def test_requests_are_scrubbed_capped_and_asked_once(spark):
+    rows = spark.createDataFrame([(f"line {i % 30}",) for i in range(60)] + [('password = "hunter22"',), (None,)], "t string")
+    none = spark.createDataFrame([], "request string")
+    every = labels.requests(rows, "judge this", "t", none, 1000).collect()
+    assert len(every) == 31 and len({r.request for r in every}) == 31 and not any("hunter22" in r.text for r in every)
+    some = labels.requests(rows.repartition(5), "judge this", "t", none, 20, price=2).collect()
+    assert {r.request for r in some} == set(sorted(r.request for r in every)[:10])
+    rest = labels.requests(rows, "judge this", "t", spark.createDataFrame([(r.request,) for r in some], "request string"), 1000).collect()
+    assert {r.request for r in rest} == {r.request for r in every} - {r.request for r in some}
+
+
+def test_people_are_masked_by_part(spark):
+    texts = spark.createDataFrame([(f"note {i} by Mara Quill" if i % 2 else "Helper Nine wrote",) for i in range(6)], "t string")
+    known = spark.createDataFrame([("nine",), ("helper",), ("Helper Nine",)], "word string")
+    got = labels.people(texts, "t", lambda part: ["Mara Quill", "Helper Nine"] if any("Quill" in x for x in part) else ["Helper Nine"], known, 2)
+    assert {r.word for r in got.collect()} == {"Mara Quill", "Mara", "Quill"}
+
+
+def test_same_fact_needs_two_anchors_the_same_line_or_a_similar_one(spark):
+    from stemmata.operators import population
+
+    facts = spark.createDataFrame([("b", "h0", "x"), ("b", "h0", "y"), ("b", "h0", "z")], "belief string, h string, anchor string")
+    anchors = spark.createDataFrame([("h0", "x"), ("h0", "y"), ("h0", "z"), ("h1", "x"), ("h1", "z"), ("h2", "x"), ("h3", "y")], "h string, anchor string")
+    pairs = spark.createDataFrame([("b", f"h{i}") for i in range(4)], "belief string, h string")
+    alike = spark.createDataFrame([("h3", "h0")], "a string, b string")
+    rows = lambda df: {r.h for r in df.collect()}
+    assert rows(population.same_fact(pairs, facts, anchors)) == {"h0", "h1"} and rows(population.same_fact(pairs, facts, anchors, alike)) == {"h0", "h1", "h3"}
+
+
+def test_exact_median(spark):
+    import statistics
+
+    from stemmata.operators import population
+
+    rng = random.Random(27)
+    rows = [(rng.choice("ab"), rng.randrange(9)) for _ in range(41)] + [("c", None), ("d", 4)]
+    got = {r.g: r.median for r in population.median(spark.createDataFrame(rows, "g string, v int"), F.col("v"), ("g",)).collect()}
+    assert got == {g: statistics.median(v for h, v in rows if h == g) for g in "abd"}
+
+
+def test_scopes_rendering_and_holders(spark):
+    from stemmata.operators import cases, quotes
+
+    goals = spark.createDataFrame([("Plant a garden", 900 * cases.DAY, None), ("plant trees", 400 * cases.DAY, 410 * cases.DAY)], "goal string, start long, end long")
+    got = {r.pattern: (r.goal, r.low, r.high) for r in cases.scopes(goals, spark.createDataFrame([("PLANT",), ("garden",), ("sea",)], "pattern string"), 1000 * cases.DAY).collect()}
+    assert got == {"PLANT": ("plant trees", 397 * cases.DAY, 431 * cases.DAY), "garden": ("Plant a garden", 897 * cases.DAY, 1021 * cases.DAY), "sea": (None, None, None)}
+    shown = cases.rendered(spark.createDataFrame([("b", 5), ("a", None)], "name string, n int"), ["name"], ["name", "n"])
+    assert [r.line for r in shown.orderBy("place").collect()] == ["a     -", "b     5"]
+    docs = spark.createDataFrame([(1, "So THE  long\nwinter came"), (2, "no winter"), (3, "along winters"), (4, None)], "d int, t string")
+    asked = spark.createDataFrame([("a", "the long winter"), ("b", "winter"), ("c", ""), ("d", "o the long w")], "i string, t string")
+    for room in (1 << 20, 8):
+        assert {(r.d, r.i) for r in quotes.holders(docs, "d", asked, "i", "t", room).collect()} == {(1, "a"), (1, "b"), (2, "b"), (3, "b"), (1, "d")}
+
+
 @pytest.mark.parametrize("parts", [1, 5])
 def test_beliefs_do_not_depend_on_partitioning(spark, small, parts):
     from stemmata.plans.lineage import beliefs

@@ -3,6 +3,7 @@ import json
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from stemmata.sources import load, runs
 
@@ -28,6 +29,33 @@ def test_load_derives_and_sorts(spark, tmp_path):
     assert {r.table: r.ok for r in load.reconcile({"events": t["events"]}, manifest).collect()} == {"events": True, "agents": False}
 
 
+def test_turns_alone_take_their_agents_from_the_stored_sessions(spark, tmp_path):
+    src, out = tmp_path / "src", str(tmp_path / "out")
+    src.mkdir()
+    write(src, "computer_use_turns", [{"id": "t1", "session_id": "s1", "created_at": "2025-05-12T10:00:01"}])
+    write(src, "computer_use_sessions", [{"id": "s1", "agent_id": "a1"}])
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        load.load(spark, str(src), out, only=["computer_use_turns"])
+    load.load(spark, str(src), out, only=["computer_use_sessions"])
+    assert load.load(spark, str(src), out, only=["computer_use_turns"])["computer_use_turns"].first().agent_id == "a1"
+
+
+def test_rows_are_the_same_byte_for_byte(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"v{i % 7}", None if i % 3 else 0.5) for i in range(200)], "i long, v string, x double")
+    for n, rows in enumerate((df, df.repartition(7).orderBy(F.desc("i")))):
+        runs.write_rows(rows, str(tmp_path / str(n)), ["i"], 3)
+    files = [sorted(f.read_bytes() for f in (tmp_path / str(n)).glob("part-*")) for n in (0, 1)]
+    assert files[0] == files[1] and len(files[0]) == 3
+    assert sorted(tuple(r) for r in runs.read_rows(spark, str(tmp_path / "0"), df.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")).collect()) == sorted(tuple(r) for r in df.collect())
+
+
+def test_strings_of_nested_runs(spark, tmp_path):
+    runs.write_run(spark, str(tmp_path), "x", {"a": "one", "b": [{"c": "two", "d": ["three", "four"]}, {"c": None, "d": []}], "n": 5}, datetime(2026, 1, 1))
+    path = runs.newest(runs.run_files(spark, str(tmp_path))).first().path
+    got = runs.strings(runs.read_run(spark, path, "a string, b array<struct<c:string,d:array<string>>>, n int, missing struct<e:string>"))
+    assert sorted(tuple(r) for r in got.collect()) == [("a", "one"), ("b.c", "two"), ("b.d", "four"), ("b.d", "three")]
+
+
 def test_unknown_table_is_an_error(spark, tmp_path):
     with pytest.raises(ValueError, match="nope"):
         load.load(spark, str(tmp_path), str(tmp_path), only=["nope"])
