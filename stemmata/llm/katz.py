@@ -14,7 +14,7 @@ are divided by c(h) + 1.
 
 Tables. Counts stand in tables in the shared folder: of words by hash range and by chunk, of n-grams by history and chunk,
 each with the sums that its backoff weights need. Documents are dealt into chunks, whose words are numbered once and
-kept as a compressed row each. Level by level, a chunk asks the buckets about its n-grams, with its own training counts,
+kept as a compressed row each; texts are not read again. Level by level, a chunk asks the buckets about its n-grams, with its own training counts,
 and a bucket, having summed the counts of all chunks, answers with the totals and the sums that alpha needs; words are
 partitioned by hash, n-grams by history. A history that occurs in one chunk only is that chunk's own business: its counts
 are final there, and nobody is asked. The sum of p(w | h') over the seen w needs no
@@ -47,9 +47,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .blobs import chunk_of, hash_bounds, packed, text_bytes, unpacked
-from .components import saved
+from .components import dropped, saved
 
-ORDER, DISCOUNTED, CHUNK, BUCKET, ROUNDS = 3, 5, 8 << 20, 3_000_000, 2
+ORDER, DISCOUNTED, CHUNK, BUCKET, ROUNDS = 3, 5, 8 << 20, 3_000_000, 1
 UNKNOWN, START, FIRST = 0, 1, 2  # ids of words
 FOLDS, HELD = 5, 1
 SUMS = 2 * DISCOUNTED + 1  # of a history: n-grams of count 1 .., suffixes of count 1 .., sum of the higher suffix counts
@@ -138,19 +138,40 @@ def _sorted(x: np.ndarray) -> bytes:
     return packed(np.diff(x.view(np.int64), prepend=0))
 
 
-def encoded(dealt: DataFrame, kind: str, buckets: int) -> DataFrame:
-    """Kind 0: a bucket's words (wid: hashes, count; stats: N, V, n1 ..). Kind 1: a chunk: ids, size and train of its texts, the
-    word of each token by falling frequency in the chunk, and of each word wid and count (twice that in training, 1 more if no
-    other chunk has it)."""
+CELLS = ("size", "train", "word")  # of a chunk: words and whether to learn of each text, and the word of each token
+
+
+def encoded(dealt: DataFrame, kind: str) -> DataFrame:
+    """A row a chunk: ids, the CELLS, and hash of each of its words; the words of tokens count by falling frequency in the chunk."""
+    key = to_arrow_type(dealt.schema["_id"].dataType)
+    form = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(key)), *[(c, pa.binary()) for c in (*CELLS, "hash", "rank")]])
+
+    def encode(docs: pa.Table) -> pa.Table:
+        t = Tokens(docs.column("_text").cast(pa.binary()).to_pylist())
+        order = np.argsort(-np.bincount(t.word, minlength=len(t.hash)), kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        train = docs.column("_train").to_numpy(zero_copy_only=False).astype(np.int64)
+        cells = (docs.column("_chunk")[0].as_py(), docs.column("_id").to_pylist(), packed(t.size), packed(train), packed(rank[t.word]), _sorted(t.hash), packed(rank))
+        return pa.table([pa.array([x], f) for x, f in zip(cells, form.types)], schema=form)
+
+    return dealt.groupBy("_chunk").applyInArrow(encode, f"chunk long, ids array<{kind}>, " + ", ".join(f"{c} binary" for c in (*CELLS, "hash", "rank")))
+
+
+def word_table(cells: DataFrame, buckets: int) -> DataFrame:
+    """Kind 0: a bucket's words (a: hashes, b: counts; stats: N, V, n1 ..). Kind 1: to a chunk, c: words as the chunk numbers them,
+    a: their ids, b: twice their counts in training, 1 more if no other chunk has the word."""
     edge = hash_bounds(buckets)
 
-    def ask(table: pa.Table) -> pa.Table:
-        t = Tokens(table.column("_text").cast(pa.binary()).to_pylist())
-        train = np.repeat(table.column("_train").to_numpy(zero_copy_only=False), t.size)
-        n = np.bincount(t.word, weights=train, minlength=len(t.hash)).astype(np.int64)
-        cut = [0, *np.searchsorted(t.hash, edge).tolist(), len(t.hash)]
-        chunk = table.column("_chunk")[0].as_py()
-        return _table([(0, b, chunk, _sorted(t.hash[p:q]), packed(n[p:q]), None, None) for b, (p, q) in enumerate(zip(cut, cut[1:])) if q > p])
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                size, train, word = (unpacked(row[c]) for c in CELLS)
+                h, rank = np.cumsum(unpacked(row["hash"])).view(np.uint64), unpacked(row["rank"])
+                n = np.bincount(word, weights=np.repeat(train, size), minlength=len(h)).astype(np.int64)[rank]
+                cut = [0, *np.searchsorted(h, edge).tolist(), len(h)]
+                rows = [(0, b, row["chunk"], _sorted(h[p:q]), packed(n[p:q]), packed(rank[p:q]), None) for b, (p, q) in enumerate(zip(cut, cut[1:])) if q > p]
+                yield from _table(rows).combine_chunks().to_batches()
 
     def answer(table: pa.Table) -> pa.Table:
         b = table.column("bucket")[0].as_py()
@@ -162,31 +183,15 @@ def encoded(dealt: DataFrame, kind: str, buckets: int) -> DataFrame:
         seen = total > 0
         ids = np.where(seen, FIRST + rank * buckets + b, UNKNOWN)
         told = total * 2 + (np.bincount(place) == 1)
-        rows = [(0, b, -1 - b, _sorted(h[seen]), packed(total[seen]), None, [int(total.sum()), int(seen.sum()), *counts_of_counts(total)])]
+        rows = [(0, b, None, _sorted(h[seen]), packed(total[seen]), None, [int(total.sum()), int(seen.sum()), *counts_of_counts(total)])]
         p = 0
-        for chunk, x in zip(table.column("chunk").to_pylist(), hashes):
+        for chunk, x, words in zip(table.column("chunk").to_pylist(), hashes, table.column("c").to_pylist()):
             at = place[p : p + len(x)]
-            rows.append((1, b, chunk, packed(ids[at]), packed(told[at]), None, None))
+            rows.append((1, b, chunk, packed(ids[at]), packed(told[at]), words, None))
             p += len(x)
         return _table(rows)
 
-    def encode(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(answers.column(c).to_pylist() for c in ("kind", "bucket", "a", "b", "stats"))))
-        if not docs.num_rows:
-            return pa.table([pa.array([x], t) for x, t in zip((0, answers.column("chunk")[0].as_py(), None, None, None, None, *rows[0][2:]), form.types)], schema=form)
-        t = Tokens(docs.column("_text").cast(pa.binary()).to_pylist())
-        wid, count = (np.concatenate([unpacked(x[i]) for x in rows]) for i in (2, 3))
-        order = np.argsort(-np.bincount(t.word, minlength=len(wid)), kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        train = docs.column("_train").to_numpy(zero_copy_only=False).astype(np.int64)
-        cells = (1, docs.column("_chunk")[0].as_py(), docs.column("_id").to_pylist(), packed(t.size), packed(train), packed(rank[t.word]), packed(wid[order]), packed(count[order]), None)
-        return pa.table([pa.array([x], f) for x, f in zip(cells, form.types)], schema=form)
-
-    key = to_arrow_type(dealt.schema["_id"].dataType)
-    form = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("ids", pa.list_(key)), *[(c, pa.binary()) for c in ("size", "train", "word", "wid", "count")], ("stats", pa.list_(pa.int64()))])
-    words = dealt.groupBy("_chunk").applyInArrow(ask, ANSWER).groupBy("bucket").applyInArrow(answer, ANSWER)
-    return dealt.groupBy("_chunk").cogroup(words.groupBy("chunk")).applyInArrow(encode, f"kind int, chunk long, ids array<{kind}>, size binary, train binary, word binary, wid binary, count binary, stats array<long>")
+    return cells.mapInArrow(ask, ANSWER).groupBy("bucket").applyInArrow(answer, ANSWER)
 
 
 def _mix(h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -213,8 +218,12 @@ class Grams:
 class Stream:
     """A chunk's tokens with a start before each text, and its n-grams level by level."""
 
-    def __init__(self, row: dict, starts: int):
-        self.ids, self.size, train, word, wid, count = row["ids"], *(unpacked(row[c]) for c in ("size", "train", "word", "wid", "count"))
+    def __init__(self, row: dict, words: list[tuple[np.ndarray, np.ndarray, np.ndarray]], starts: int):
+        """words: (words, ids, counts) by bucket, as word_table() answers."""
+        self.ids, self.size, train, word = row["ids"], *(unpacked(row[c]) for c in CELLS)
+        place, given_ids, given_counts = (np.concatenate(x) for x in zip(*words))
+        wid, count = np.empty(len(place), np.int64), np.empty(len(place), np.int64)
+        wid[place], count[place] = given_ids, given_counts
         self.train_row, self.kinds = train, len(wid) + 1
         total = self.size + 1
         begin = np.cumsum(total) - total
@@ -265,8 +274,9 @@ class Next:
         for hot histories, whose n-grams are dealt by word as well.
         """
         low, edge = self.low, hash_bounds(buckets)
-        heads = np.unique(self.history)
-        heads = heads[~self.final[heads]]
+        mark = np.zeros(len(low.count), bool)
+        mark[self.history] = True
+        heads = np.nonzero(mark & ~self.final)[0]
         salts = 1 + low.count * (2 * buckets) // max(tokens, 1)
         gram = np.nonzero(~self.final[self.head])[0]
         hot = salts[self.head[gram]] > 1
@@ -304,25 +314,27 @@ class Next:
         """Counts of counts of the n-grams that nobody is asked about."""
         return counts_of_counts(self.grams.own[self.final[self.head]])
 
-    def answered(self, tokens: int, buckets: int, told: dict[int, tuple[np.ndarray, np.ndarray]], hot: dict[int, list[int]]) -> Grams:
-        """The level with counts and sums. told: counts and sums by place; hot: sums by hash of history."""
+    def answered(self, tokens: int, buckets: int, told: dict[int, tuple[bytes, bytes]], hot: dict[int, list[int]], sums: bool) -> Grams:
+        """The level with counts and, if asked, sums. told: cells of counts and sums by place; hot: sums by hash of history."""
         g, low = self.grams, self.low
         g.alone = self.final[self.head]
         g.count = np.where(g.alone, g.own, 0)
-        g.sums = np.zeros((SUMS, len(low.count)), np.int64)
-        for r in range(1, DISCOUNTED + 1):
-            g.sums[r - 1] = np.bincount(self.head[g.count == r], minlength=len(low.count))
-        seen = g.count > 0
-        below = low.count[g.suffix]
-        for r in range(1, DISCOUNTED + 1):
-            g.sums[DISCOUNTED + r - 1] = np.bincount(self.head[seen & (below == r)], minlength=len(low.count))
-        over = seen & (below > DISCOUNTED)
-        g.sums[-1] = np.bincount(self.head[over], weights=below[over], minlength=len(low.count))
+        if sums:
+            g.sums = np.zeros((SUMS, len(low.count)), np.int64)
+            own = np.nonzero(g.alone & (g.own > 0))[0]
+            head, count, below = self.head[own], g.own[own], low.count[g.suffix[own]]
+            for r in range(1, DISCOUNTED + 1):
+                g.sums[r - 1] = np.bincount(head[count == r], minlength=len(low.count))
+                g.sums[DISCOUNTED + r - 1] = np.bincount(head[below == r], minlength=len(low.count))
+            over = below > DISCOUNTED
+            g.sums[-1] = np.bincount(head[over], weights=below[over], minlength=len(low.count))
         for place, grams, heads, flags in self.asks(tokens, buckets):
-            counts, sums = told[place]
+            counts = unpacked(told[place][0])
             g.count[grams], g.alone[grams] = counts >> 1, counts & 1 > 0
+            if not sums:
+                continue
             if place < buckets:
-                g.sums[:, heads] = sums.reshape(SUMS, -1)
+                g.sums[:, heads] = unpacked(told[place][1]).reshape(SUMS, -1)
             else:
                 for h in heads[flags & 1 > 0].tolist():
                     g.sums[:, h] = hot[int(low.hash[h].view(np.int64))]
@@ -431,21 +443,22 @@ def score(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text", or
     kind = docs.schema[key].dataType.simpleString()
     total = lambda df, n: [int(x or 0) for x in df.where("kind = 0").select(*[F.sum(F.col("stats")[i]) for i in range(n)]).first()]
 
-    def streams(docs: pa.Table, answers: pa.Table | None, uni: Unigrams) -> Iterator[Stream]:
-        """The chunks of a table with the levels that answers hold."""
+    def stream(docs: pa.Table, answers: pa.Table, tokens: int, levels: int, sums: bool) -> Stream:
+        """A chunk with the levels that its answers hold."""
         told: dict[int, dict] = {}
         hot: dict[int, dict] = {}
-        if answers is not None:
-            for level, k, b, x, y, z in zip(*(answers.column(c).to_pylist() for c in ("level", "kind", "bucket", "a", "b", "stats"))):
-                if k == 2:
-                    told.setdefault(level, {})[b if b >= 0 else buckets - 1 - b] = unpacked(x), unpacked(y)
-                else:
-                    hot.setdefault(level, {})[b] = z
-        for row in docs.to_pylist():
-            s = Stream(row, starts)
-            for level in range(2, 2 if answers is None else done + 1):
-                s.levels.append(s.follow().answered(uni.tokens, buckets, told.get(level, {}), hot.get(level, {})))
-            yield s
+        words = []
+        for level, k, b, x, y, z, t in zip(*(answers.column(c).to_pylist() for c in ("level", "kind", "bucket", "a", "b", "c", "stats"))):
+            if k == 1:
+                words.append((unpacked(z), unpacked(x), unpacked(y)))
+            elif k == 2:
+                told.setdefault(level, {})[b if b >= 0 else buckets - 1 - b] = x, y
+            else:
+                hot.setdefault(level, {})[b] = t
+        s = Stream(docs.to_pylist()[0], words, starts)
+        for level in range(2, levels + 1):
+            s.levels.append(s.follow().answered(tokens, buckets, told.get(level, {}), hot.get(level, {}), sums))
+        return s
 
     def asked(s: Stream, chunk: int, tokens: int, nth: int, of: int) -> pa.Table:
         n = s.follow()
@@ -460,55 +473,43 @@ def score(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text", or
         return _table(out)
 
     def told_to(level: int, table: DataFrame) -> DataFrame:
-        """level, kind, bucket, chunk, a, b, stats: the answers to chunks, with the sums of hot histories added up."""
+        """level, kind, bucket, chunk, a, b, c, stats: the answers to chunks, with the sums of hot histories added up."""
         parts = table.where("kind = 3").groupBy("bucket").agg(*[F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(SUMS)])
         sums = parts.select("bucket", F.array(*[f"s{i}" for i in range(SUMS)]).alias("stats"))
         none = F.lit(None).cast("binary")
-        hot = table.where("kind = 4").select("bucket", "chunk").join(sums, "bucket").select(F.lit(3).alias("kind"), "bucket", "chunk", none.alias("a"), none.alias("b"), "stats")
-        plain = table.where("kind = 2").select("kind", "bucket", "chunk", "a", "b", F.lit(None).cast("array<bigint>").alias("stats"))
+        hot = table.where("kind = 4").select("bucket", "chunk").join(sums, "bucket").select(F.lit(3).alias("kind"), "bucket", "chunk", none.alias("a"), none.alias("b"), none.alias("c"), "stats")
+        plain = table.where("kind = 2").select("kind", "bucket", "chunk", "a", "b", none.alias("c"), F.lit(None).cast("array<bigint>").alias("stats"))
         return plain.unionByName(hot).withColumn("level", F.lit(level))
 
     with shuffles_removed(spark):
-        cells = saved(encoded(dealt, kind, buckets))
-        tokens, kinds, *n = total(cells, DISCOUNTED + 3)
-        uni = Unigrams.of(tokens, kinds, n)
-        own = cells.where("kind = 1").drop("kind", "stats")
-        d, answers, done = [], None, 1
+        cells = saved(encoded(dealt, kind))
+        words = saved(word_table(cells, buckets))
+        own = saved(cells.select("chunk", "ids", *CELLS))
+        dropped(cells)
+        tokens, kinds, *n = total(words, DISCOUNTED + 3)
+        uni, d = Unigrams.of(tokens, kinds, n), []
+        answers = words.where("kind = 1").drop("stats").withColumn("stats", F.lit(None).cast("array<bigint>")).withColumn("level", F.lit(1))
         for level in range(2, order + 1):
             parts, of = [], 1 if level == 2 else rounds
+            told = answers.withColumn("b", F.when(F.col("kind") == 1, F.col("b"))).where("kind <> 3")  # counts alone
             for nth in range(of):
-                if answers is None:
-
-                    def first(batches: Iterator[pa.RecordBatch], nth=nth, of=of) -> Iterator[pa.RecordBatch]:
-                        for b in batches:
-                            for i in range(b.num_rows):
-                                one = pa.Table.from_batches([b.slice(i, 1)])
-                                yield from asked(next(streams(one, None, uni)), one.column("chunk")[0].as_py(), uni.tokens, nth, of).combine_chunks().to_batches()
-
-                    asks = own.mapInArrow(first, ANSWER)
-                else:
-
-                    further = lambda nth, of, docs, told: asked(next(streams(docs, told, uni)), docs.column("chunk")[0].as_py(), uni.tokens, nth, of)
-                    asks = own.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(bound(further, nth, of), ANSWER)
+                ask = bound(lambda tokens, level, nth, of, docs, told: asked(stream(docs, told, tokens, level - 1, False), docs.column("chunk")[0].as_py(), tokens, nth, of), tokens, level, nth, of)
+                asks = own.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(ask, ANSWER)
                 parts.append(saved(asks.groupBy("bucket").applyInArrow(bucket_answers, ANSWER)))
             table = reduce(DataFrame.unionByName, parts)
             d.append(discounts(total(table, DISCOUNTED + 1)))
-            told = told_to(level, table)
-            answers, done = told if answers is None else answers.unionByName(told), level
+            answers = answers.unionByName(told_to(level, table))
     model = Model(uni, d)
 
-    def evaluate(docs: pa.Table, told: pa.Table | None) -> pa.Table:
-        s = next(streams(docs, told, uni))
+    def evaluate(docs: pa.Table, told: pa.Table) -> pa.Table:
+        s = stream(docs, told, uni.tokens, order, True)
         i = ~s.first
         counts, row = s.levels[0].count[s.word[i]], np.repeat(np.arange(len(s.size)), s.size)
         per = lambda x: np.bincount(row, weights=x, minlength=len(s.size))
-        kinds = docs.schema.field("ids").type.value_type
-        cols = [pa.array(s.ids, kinds), pa.array(s.train_row == 0), pa.array(s.size), pa.array(per(counts > 0).astype(np.int64)), pa.array(np.full(len(s.size), uni.tokens, np.int64)), pa.array(per(uni.base(counts))), pa.array(per(model.log_p(s)[i]))]
+        cols = [pa.array(s.ids, docs.schema.field("ids").type.value_type), pa.array(s.train_row == 0), pa.array(s.size), pa.array(per(counts > 0).astype(np.int64)), pa.array(np.full(len(s.size), uni.tokens, np.int64)), pa.array(per(uni.base(counts))), pa.array(per(model.log_p(s)[i]))]
         return pa.table(cols, names=[key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     shape = f"{key} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    if answers is None:
-        return own.groupBy("chunk").applyInArrow(lambda docs: evaluate(docs, None), shape)
     return own.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(evaluate, shape)
 
 
