@@ -88,10 +88,12 @@ def newest_matches(versions: DataFrame, agent: str, order: str, match: Column, n
 
 
 def rendered(rows: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
-    """place, line: rows as lines of text for a terminal, numbers to the right."""
+    """place, line: rows as lines of text for a terminal, numbers to the right, behind a line of names at place 0."""
     numeric = {f.name for f in rows.schema.fields if f.dataType.typeName() in ("integer", "long", "double", "float", "short")}
     text = {c: F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns}
     wide = rows.agg(*[F.max(F.greatest(F.char_length(text[c]), F.lit(len(c)))).alias(c) for c in columns]).first()
     pad = [F.lpad(text[c], wide[c] or len(c), " ") if c in numeric else F.rpad(text[c], wide[c] or len(c), " ") for c in columns]
-    w = Window.orderBy(*order)
-    return rows.select(F.row_number().over(w).alias("place"), F.rtrim(reduce(lambda a, b: F.concat(a, F.lit("  "), b), pad)).alias("line"))
+    head = "  ".join(c.rjust(wide[c] or len(c)) if c in numeric else c.ljust(wide[c] or len(c)) for c in columns).rstrip()
+    names = rows.sparkSession.range(1).select(F.lit(0).alias("place"), F.lit(head).alias("line"))
+    w = Window.orderBy(*order)  # what a terminal shows: few rows
+    return names.unionByName(rows.select(F.row_number().over(w).alias("place"), F.rtrim(reduce(lambda a, b: F.concat(a, F.lit("  "), b), pad)).alias("line")))

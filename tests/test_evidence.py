@@ -1,4 +1,4 @@
-from datetime import datetime
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,4 +50,18 @@ def test_command_line(spark, small, capsys):
     assert cli.main(["facts", "--data", small, "--rows", "2"]) == 0
     assert "still_held" in capsys.readouterr().out
     assert cli.main(["verify", "--data", small]) == 0
-    assert cli.day_end("2026-01-02") == datetime(2026, 1, 2, 23, 59, 59, 999999) and cli.day_end("2026-01-02T03:00") == datetime(2026, 1, 2, 3)
+    utc = timezone.utc
+    assert cli.day_end("2026-01-02") == datetime(2026, 1, 2, 23, 59, 59, 999999, utc) and cli.day_end("2026-01-02T03:00") == datetime(2026, 1, 2, 3, tzinfo=utc)
+
+
+def test_command_line_arguments(spark):
+    df = spark.createDataFrame([(1, 5, cli.EPOCH), (1, 6, cli.EPOCH + 86_400_000_000), (2, 5, cli.EPOCH)], "belief long, agent long, first_held long")
+    trail = cli.COMMANDS["trail"]
+    n = lambda **a: cli.narrowed(df, trail, **a).count()
+    assert (n(), n(belief="1"), n(belief="1", agent="5"), n(to="2024-01-01"), n(since="2024-01-02"), n(to="2023-12-31")) == (3, 2, 1, 2, 1, 0)
+    with pytest.raises(ValueError, match="no time"):
+        cli.narrowed(df, cli.COMMANDS["facts"], to="2024-01-01")
+    with pytest.raises(ValueError, match="no belief"):
+        cli.narrowed(df.drop("belief"), trail, belief="1")
+    minutes = spark.createDataFrame([(10,), (1440,)], "first_at long")
+    assert cli.narrowed(minutes, cli.COMMANDS["holdings"], to="2024-01-01").count() == 1

@@ -275,7 +275,7 @@ def test_scopes_rendering_and_holders(spark):
     got = {r.pattern: (r.goal, r.low, r.high) for r in cases.scopes(goals, spark.createDataFrame([("PLANT",), ("garden",), ("sea",)], "pattern string"), 1000 * cases.DAY).collect()}
     assert got == {"PLANT": ("plant trees", 397 * cases.DAY, 431 * cases.DAY), "garden": ("Plant a garden", 897 * cases.DAY, 1021 * cases.DAY), "sea": (None, None, None)}
     shown = cases.rendered(spark.createDataFrame([("b", 5), ("a", None)], "name string, n int"), ["name"], ["name", "n"])
-    assert [r.line for r in shown.orderBy("place").collect()] == ["a     -", "b     5"]
+    assert [r.line for r in shown.orderBy("place").collect()] == ["name  n", "a     -", "b     5"]
     docs = spark.createDataFrame([(1, "So THE  long\nwinter came"), (2, "no winter"), (3, "along winters"), (4, None)], "d int, t string")
     asked = spark.createDataFrame([("a", "the long winter"), ("b", "winter"), ("c", ""), ("d", "o the long w")], "i string, t string")
     for room in (1 << 20, 8):
