@@ -14,11 +14,6 @@ from ..functions.fuzzy import pair_lines
 MIN_VERSIONS = 3
 
 
-def occurrences(lines: DataFrame, keys: list[str], line: str, order: str) -> DataFrame:
-    """lines with occ, the number of each repeated line among its equals: makes a multiset a set."""
-    return lines.withColumn("occ", F.row_number().over(Window.partitionBy(*keys, line).orderBy(order)))
-
-
 def multiset_diff(lines: DataFrame, agent: str = "agent", k: str = "k", line: str = "line") -> DataFrame:
     """agent, k, line, change (added, removed), n: multiset differences of consecutive versions, as counts.
 

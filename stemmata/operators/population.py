@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.anchors import as_pattern
+
 HOUR = 60  # minutes
 SHARED = 2  # strong anchors that make two lines one fact
 
@@ -113,6 +115,18 @@ def mentions(facts: DataFrame, chat: DataFrame) -> DataFrame:
     return facts.select("belief", "anchor").join(chat, "anchor").select("belief", "agent", "minute").distinct()
 
 
+def case_patterns(facts: DataFrame) -> DataFrame:
+    """belief, pattern: the anchors of a belief as one regular expression."""
+    return facts.groupBy("belief").agg(F.array_join(F.sort_array(F.collect_set(as_pattern(F.col("anchor")))), "|").alias("pattern"))
+
+
+def first_carriers(copied: DataFrame, facts: DataFrame, told: DataFrame) -> DataFrame:
+    """belief, agent, first_at, carried_at: the first mention between birth and pickup; a belief has one first mention for all its copies."""
+    born = facts.select("belief", "born").distinct()
+    first = told.join(born, "belief").where("minute > born").groupBy("belief").agg(F.min("minute").alias("_first"))
+    return copied.join(first, "belief", "left").select("belief", "agent", "first_at", F.when(F.col("_first") < F.col("first_at"), F.col("_first")).alias("carried_at"))
+
+
 def backward(held: DataFrame, keys: DataFrame, least: int = 3) -> DataFrame:
     """anchor, agents, alive, old: anchors of the latest versions followed back. old: an agent that has a history before its first
     scanned version held it there already, so its birth isn't known."""

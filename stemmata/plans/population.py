@@ -192,3 +192,16 @@ def population_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Population(spark, sf_dir).tests()
     ps = t.groupBy("agent").agg(F.transform(F.sort_array(F.collect_list(F.struct("belief", "p_own"))), lambda x: x["p_own"]).alias("ps"), F.count_if(F.col("gap") <= P.HOUR).alias("within"))
     return ps.select("agent", "within", scaled(tail(F.col("ps"), F.col("within").cast("int"))).alias("tail"))
+
+
+@query("q99_case_patterns", f"WITH {FACTS} SELECT belief, string_agg(anchor, '|' ORDER BY anchor) AS pattern FROM fact GROUP BY 1")
+def case_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regular expression that finds each fact again in any text: what a discovered belief becomes as a case."""
+    return P.case_patterns(Population(spark, sf_dir).facts)
+
+
+@query("q100_first_carriers", f"WITH {FACTS}, {HOLDING}, {SAME}, {COPIED}, {CHAT} SELECT c.belief, c.agent, c.first_at, (SELECT min(m.minute) FROM msg m JOIN (SELECT DISTINCT belief, born FROM fact) f ON f.belief = m.belief WHERE m.belief = c.belief AND m.minute > f.born AND m.minute < c.first_at) AS carried_at FROM copied c")
+def first_carriers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first message about a fact between its birth and its pickup, whoever sent it."""
+    p = Population(spark, sf_dir)
+    return P.first_carriers(p.copies(), p.facts, p.mentions)

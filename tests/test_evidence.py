@@ -46,6 +46,15 @@ def test_views(spark, small):
         api.trail(spark, small, 12345)
 
 
+def test_agents_are_found_or_refused(spark):
+    names = spark.createDataFrame([("a1x", "Ann"), ("a2y", "Anna"), ("b3z", "Bo")], "id string, name string")
+    assert (api.find_agent(names, "Ann"), api.find_agent(names, "b3"), api.find_agent(names, "NNA")) == ("a1x", "b3z", "a2y")
+    with pytest.raises(ValueError, match="ambiguous"):
+        api.find_agent(names, "a")
+    with pytest.raises(KeyError):
+        api.find_agent(names, "zed")
+
+
 def test_command_line(spark, small, capsys):
     assert cli.main(["facts", "--data", small, "--rows", "2"]) == 0
     assert "still_held" in capsys.readouterr().out

@@ -71,6 +71,12 @@ def test_anchor_columns(spark):
     assert column(spark, A.specific, "0 seat", "1 seat", "2/2", "6/7 seat", "41 seat", "41 file", "plain", "99999999999/99999999999") == [False, False, False, True, True, False, True, True]
 
 
+def test_patterns_find_anchors_again(spark):
+    rows = [("41 seat", "all 41 seats", True), ("41 seat", "141 seats", False), ("41 seat", "41-seat bus", True), ("3 city", "3 cities", True), ("no.517", "see #517.", True), ("no.517", "see #5170", False), ("#41", "41", False), ("a+b (c)", "x a+b (c) y", True), ("$4.50", "paid $4x50", False)]
+    df = spark.createDataFrame(rows, "anchor string, line string, want boolean")
+    assert [r[0] for r in df.select(F.regexp_like("line", A.as_pattern(F.col("anchor")))).collect()] == [r[2] for r in rows]
+
+
 def test_normalize_and_lines(spark):
     assert column(spark, text.normalized, "  - **Bold** `x`  y", "12. item", "## Head", "• dot") == ["Bold x y", "item", "Head", "dot"]
     assert column(spark, text.lines, "a line\r\n---\nok\n\x0bthird one fourth") == [["a line", "third one", "fourth"]]
