@@ -9,8 +9,9 @@ variants yields a spanning forest, not its pairs; runs over `tile` rows are cut
 pair, so no task holds more than two tiles, and no link is dropped. Components are found by star contraction.
 
 Defined results: a null or blank text has fingerprint zero, linked like any other; rows with a null id keep their
-fingerprint but take no part in links and have a null component; a repeated id stands for itself once; an empty table
-gives no rows; extra columns are not read.
+fingerprint but take no part in links and have a null component; a repeated id stands for itself once; very long texts
+count whole; of copies the smallest id stands for all; ids are integers; an empty table gives no rows; extra columns are
+not read by the query and kept by one_of_each().
 """
 
 from __future__ import annotations
@@ -116,74 +117,68 @@ def _near(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int32) <= most
 
 
-FAR = 1 << 20
-
-
-def _distances(x: np.ndarray, y: np.ndarray, sx: np.ndarray | None, sy: np.ndarray | None) -> np.ndarray:
-    """Differing bits of each row of x and each of y; rows of one side are no pair."""
-    far = np.bitwise_count(x[:, None] ^ y[None]).sum(axis=-1, dtype=np.int32)
-    if sx is not None:
-        far[sx[:, None] == sy[None]] = FAR
-    return far
-
-
-def forest(rep: np.ndarray, fp: np.ndarray, most: int, side: np.ndarray | None = None, step: int = 256) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Edges (node, nearest row of the front that reached it) of a spanning tree per component. Memory: step x rows."""
-    left, out_a, out_b = np.arange(len(rep)), [], []
-    of = lambda i: None if side is None else side[i]
+def _spanned(rep: np.ndarray, fp: np.ndarray, most: int, step: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """(nodes, rows of the front that reached them) of a spanning tree per component, and the component of each row. Memory: step x rows."""
+    left, out_a, out_b, label = np.arange(len(rep)), [], [], np.arange(len(rep))
     while len(left) > 1:
         front, left = left[:1], left[1:]
+        root = front[0]
         while len(front) and len(left):
-            low, by = np.full(len(left), FAR, np.int32), np.zeros(len(left), np.int64)
+            by = np.full(len(left), -1)
             for i in range(0, len(front), step):
-                rest = np.nonzero(low > most)[0]  # a row that is reached is done
+                rest = np.nonzero(by < 0)[0]  # a row that is reached is done
                 if not len(rest):
                     break
                 f = front[i : i + step]
-                far = _distances(fp[f], fp[left[rest]], of(f), of(left[rest]))
+                far = np.bitwise_count(fp[f][:, None] ^ fp[left[rest]][None]).sum(axis=-1, dtype=np.int32)
                 at = far.argmin(axis=0)
-                low[rest], by[rest] = far[at, np.arange(len(rest))], f[at]
-            hit = low <= most
+                near = far[at, np.arange(len(rest))] <= most
+                by[rest[near]] = f[at[near]]
+            hit = by >= 0
+            label[left[hit]] = root
             out_a.append(rep[left[hit]])
             out_b.append(rep[by[hit]])
             front, left = left[hit], left[~hit]
-    return out_a, out_b
+    return out_a, out_b, label
+
+
+def forest(rep: np.ndarray, fp: np.ndarray, most: int, side: np.ndarray | None = None, step: int = 256) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Edges that connect what is near. With sides: only those needed between the components of either side.
 
+    Rows of one side have equal segments, so they meet under the whole segment and are connected there.
+    """
+    if side is None:
+        return _spanned(rep, fp, most, step)[:2]
+    sides = [np.nonzero(side == 0)[0], np.nonzero(side != 0)[0]]
+    label = np.empty(len(rep), np.int64)
+    for own in sides:
+        if len(own):
+            label[own] = own[_spanned(rep[own], fp[own], most, step)[2]]
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            x = y
+        return x
 
-def nearest_tree(rep: np.ndarray, fp: np.ndarray, most: int, side: np.ndarray | None = None) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Edges of a minimum spanning forest by distance (Prim): it holds a nearest neighbour of every row."""
-    n = len(rep)
-    if side is not None:  # rows without a partner within reach only cost rounds
-        near = np.zeros(n, bool)
-        one, two = np.nonzero(side == 0)[0], np.nonzero(side != 0)[0]
-        for i in range(0, len(one), 256):
-            hit = _distances(fp[one[i : i + 256]], fp[two], None, None) <= most
-            near[one[i : i + 256]] |= hit.any(axis=1)
-            near[two] |= hit.any(axis=0)
-        rep, fp, side = rep[near], fp[near], side[near]
-        n = len(rep)
-    low, by, open_ = np.full(n, FAR, np.int32), np.zeros(n, np.int64), np.ones(n, bool)
-    out: list[tuple[int, int]] = []
-    at = 0
-    for _ in range(n - 1):
-        open_[at] = False
-        far = np.bitwise_count(fp ^ fp[at]).sum(axis=-1, dtype=np.int32)
-        if side is not None:
-            far[side == side[at]] = FAR
-        better = open_ & (far < low)
-        low[better], by[better] = far[better], at
-        low[at] = FAR + 1
-        at = int(low.argmin())
-        if low[at] <= most:
-            out.append((at, int(by[at])))
-        elif not open_[at]:
-            at = int(open_.argmax())
-    e = np.array(out, np.int64).reshape(-1, 2)
-    return [rep[e[:, 0]]], [rep[e[:, 1]]]
-
-
-def _edges_of_runs(k: np.ndarray, rep: np.ndarray, fp: np.ndarray, most: int, tree=forest, small: int = 6) -> tuple[np.ndarray, np.ndarray]:
-    """Edges within runs of equal k (sorted): short runs by shifted comparison of the whole array, long ones by tree()."""
+    a, b = [], []
+    few, many = sorted(sides, key=len)
+    for i in range(0, len(few), step):
+        f = few[i : i + step]
+        x, y = np.nonzero(np.bitwise_count(fp[f][:, None] ^ fp[many][None]).sum(axis=-1, dtype=np.int32) <= most)
+        x, y = f[x], many[y]
+        _, first = np.unique(label[x] * len(rep) + label[y], return_index=True)
+        for p, q in zip(x[first].tolist(), y[first].tolist()):
+            m, n = root(int(label[p])), root(int(label[q]))
+            if m != n:
+                up[max(m, n)] = min(m, n)
+                a.append(p)
+                b.append(q)
+    return [rep[np.array(a, np.int64)]], [rep[np.array(b, np.int64)]]
+
+
+def _edges_of_runs(k: np.ndarray, rep: np.ndarray, fp: np.ndarray, most: int, small: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """Edges within runs of equal k (sorted): short runs by shifted comparison of the whole array, long ones by forest()."""
     if len(k) < 2:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     bit = k >> 32
@@ -204,13 +199,13 @@ def _edges_of_runs(k: np.ndarray, rep: np.ndarray, fp: np.ndarray, most: int, tr
         b.append(rep[i + s])
     for g in np.nonzero((sizes > small) & mixed)[0]:
         p, q = starts[g], starts[g] + sizes[g]
-        x, y = tree(rep[p:q], fp[p:q], most, side[p:q] if wild[p] else None)
+        x, y = forest(rep[p:q], fp[p:q], most, side[p:q] if wild[p] else None)
         a += x
         b += y
     return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
-def links(reps: DataFrame, words: int = 1, segments: int = 3, most: int = 4, tile: int = 4096, tree=forest) -> DataFrame:
+def links(reps: DataFrame, words: int = 1, segments: int = 3, most: int = 4, tile: int = 4096) -> DataFrame:
     """a, b: edges between rep values that connect whatever fingerprints share a variant and differ in at most `most` bits.
 
     Complete if segments > most // 2. reps: rep, fp0 .. with distinct fingerprints.
@@ -264,7 +259,7 @@ def links(reps: DataFrame, words: int = 1, segments: int = 3, most: int = 4, til
 
     def flush(done) -> Iterator[pa.RecordBatch]:
         k, rep, fp = done
-        a, b = _edges_of_runs(k, rep, fp, most, tree)
+        a, b = _edges_of_runs(k, rep, fp, most)
         if len(a):
             yield rows(0, 0, a, b, None, 0, 0)
 
@@ -277,7 +272,7 @@ def links(reps: DataFrame, words: int = 1, segments: int = 3, most: int = 4, til
         rep = table.column("rep").to_numpy()
         order = np.argsort(rep, kind="stable")
         fp = np.stack([table.column(f).to_numpy() for f in fps], axis=1).view(np.uint64)
-        a, b = tree(rep[order], fp[order], most)
+        a, b = forest(rep[order], fp[order], most)
         return pa.table({"a": pa.array(np.concatenate(a or [np.empty(0, np.int64)])), "b": pa.array(np.concatenate(b or [np.empty(0, np.int64)]))})
 
     hot = tiles.groupBy("k", "i", "j").applyInArrow(within, "a long, b long")

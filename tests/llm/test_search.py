@@ -70,11 +70,26 @@ def test_long_runs_are_cut_into_tiles_without_loss(spark):
     reps = spark.createDataFrame(rows, "rep long, fp0 long")
     f = [x % (1 << 64) for _, x in rows]
     want = union_find([(i, j) for i in range(len(f)) for j in range(i) if (f[i] ^ f[j]).bit_count() <= 4])
-    for tile, tree in ((8, simhash.forest), (4096, simhash.forest), (4096, simhash.nearest_tree)):
-        got = {r.node: r.component for r in components.connected(simhash.links(reps, tile=tile, tree=tree)).collect()}
+    for tile in (8, 4096):
+        got = {r.node: r.component for r in components.connected(simhash.links(reps, tile=tile)).collect()}
         assert got == want, tile
 
 
+def test_edges_of_a_large_group_stay_few(spark):
+    """Variants of one fingerprint: every row meets the others under many wild bits, but few edges come of it."""
+    rng = random.Random(18)
+    base, fps = rng.getrandbits(64), set()
+    while len(fps) < 600:
+        x = base
+        for bit in rng.sample(range(64), rng.randrange(1, 3)):
+            x ^= 1 << bit
+        fps.add(x)
+    rows = [(i, x - (1 << 64) if x >> 63 else x) for i, x in enumerate(sorted(fps))]
+    edges = simhash.links(spark.createDataFrame(rows, "rep long, fp0 long")).distinct()
+    assert edges.count() < 6 * len(fps)
+    assert {r.component for r in components.connected(edges).collect()} == {0}
+
+
 def test_one_of_each(spark):
     rng = random.Random(1)
     words = [f"w{i}" for i in range(500)]
