@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fuzzy import pair_lines
+from ..sources.scratch import written
 
 MIN_VERSIONS = 3
 
@@ -116,12 +117,13 @@ def spread_trees(edges: DataFrame, rounds: int = 64) -> DataFrame:
 
 
 def _trees(edges: DataFrame, roots: DataFrame, rounds: int) -> DataFrame:
-    edges = edges.select("source", "agent").distinct()
-    placed = roots.select("agent", F.col("agent").alias("root"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"))
+    edges = written(edges.select("source", "agent").distinct())  # read once a level
+    placed = written(roots).select("agent", F.col("agent").alias("root"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"))
     level = placed
     for depth in range(1, rounds + 1):
         step = edges.join(level.select(F.col("agent").alias("source"), "root"), "source").join(placed.select("agent", "root"), ["agent", "root"], "left_anti")
         level = step.groupBy("agent", "root").agg(F.min("source").alias("parent")).withColumn("depth", F.lit(depth)).select("agent", "root", "parent", "depth")
+        level = written(level)
         if level.isEmpty():
             break
         placed = placed.unionByName(level)
