@@ -96,14 +96,17 @@ def self_join_raters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select("doc_id", F.col("model").alias("a"), F.col("label").alias("la")).join(b, "doc_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.count_if(F.col("la") == F.col("lb")).alias("same"))
 
 
-@query("q16_kappa_wilson", """WITH p AS (SELECT lang, quality AS a, 1 - toxic AS b FROM labels JOIN documents USING (doc_id)),
- c AS (SELECT lang, a, b, count(*) AS n FROM p GROUP BY 1, 2, 3), t AS (SELECT lang, sum(n)::BIGINT AS n, sum(CASE WHEN a = b THEN n ELSE 0 END)::BIGINT AS agreed FROM c GROUP BY 1),
- l AS (SELECT lang, a AS x, sum(n)::BIGINT AS l FROM c GROUP BY 1, 2), r AS (SELECT lang, b AS x, sum(n)::BIGINT AS r FROM c GROUP BY 1, 2),
- e AS (SELECT l.lang, sum(l * r)::BIGINT AS chance FROM l JOIN r ON l.lang = r.lang AND l.x = r.x GROUP BY 1),
- k AS (SELECT t.*, agreed::DOUBLE / n AS po, coalesce(chance, 0)::DOUBLE / (n * n) AS pe FROM t LEFT JOIN e ON t.lang = e.lang)
- SELECT lang, n, agreed, CAST(floor((CASE WHEN pe = 1 THEN 1.0 ELSE (po - pe) / (1 - pe) END) * 1000 + 0.5) AS BIGINT) AS kappa,
+KAPPA = """ c AS (SELECT {key}, a, b, count(*) AS n FROM p GROUP BY 1, 2, 3), t AS (SELECT {key}, sum(n)::BIGINT AS n, sum(CASE WHEN a = b THEN n ELSE 0 END)::BIGINT AS agreed FROM c GROUP BY 1),
+ l AS (SELECT {key}, a AS x, sum(n)::BIGINT AS l FROM c GROUP BY 1, 2), r AS (SELECT {key}, b AS x, sum(n)::BIGINT AS r FROM c GROUP BY 1, 2),
+ e AS (SELECT l.{key}, sum(l * r)::BIGINT AS chance FROM l JOIN r ON l.{key} = r.{key} AND l.x = r.x GROUP BY 1),
+ k AS (SELECT t.*, agreed::DOUBLE / n AS po, coalesce(chance, 0)::DOUBLE / (n * n) AS pe FROM t LEFT JOIN e ON t.{key} = e.{key})
+ SELECT {key}, n, agreed, CAST(floor((CASE WHEN pe = 1 THEN 1.0 ELSE (po - pe) / (1 - pe) END) * 1000 + 0.5) AS BIGINT) AS kappa,
   CAST(floor(greatest(((po + 3.8416 / (2 * n)) - 1.96 * sqrt(po * (1 - po) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 0) * 1000 + 0.5) AS BIGINT) AS low,
-  CAST(floor(least(((po + 3.8416 / (2 * n)) + 1.96 * sqrt(po * (1 - po) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 1) * 1000 + 0.5) AS BIGINT) AS high FROM k""")
+  CAST(floor(least(((po + 3.8416 / (2 * n)) + 1.96 * sqrt(po * (1 - po) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 1) * 1000 + 0.5) AS BIGINT) AS high FROM k"""
+BLOCKS = " UNION ALL ".join(f"SELECT '{b}:' || {v} AS block, quality AS a, 1 - toxic AS b FROM labels JOIN documents USING (doc_id)" for b, v in (("lang", "lang"), ("source", "source"), ("all", "'all'")))
+
+
+@query("q16_kappa_wilson", f"WITH p AS (SELECT lang, quality AS a, 1 - toxic AS b FROM labels JOIN documents USING (doc_id)), {KAPPA.format(key='lang')}")
 def kappa_wilson(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
     pairs = table(spark, sf_dir, "labels").join(docs, "doc_id").select("lang", F.col("quality").alias("a"), (1 - F.col("toxic")).alias("b"))
@@ -112,6 +115,16 @@ def kappa_wilson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.select("lang", "n", "agreed", scaled(F.col("kappa"), 3).alias("kappa"), scaled(low, 3).alias("low"), scaled(high, 3).alias("high"))
 
 
+@query("q101_agreement_blocks", f"WITH p AS ({BLOCKS}), {KAPPA.format(key='block')}")
+def agreement_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement of two raters over all labels, by language, and by source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    each = F.explode(F.array(F.concat(F.lit("lang:"), "lang"), F.concat(F.lit("source:"), "source"), F.lit("all:all"))).alias("block")
+    pairs = table(spark, sf_dir, "labels").join(docs, "doc_id").select(each, F.col("quality").alias("a"), (1 - F.col("toxic")).alias("b"))
+    low, high = wilson(F.col("agreed"), F.col("n"))
+    return kappa(pairs, "a", "b", ["block"]).select("block", "n", "agreed", scaled(F.col("kappa"), 3).alias("kappa"), scaled(low, 3).alias("low"), scaled(high, 3).alias("high"))
+
+
 @query("q41_lowercase_share", "WITH w AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS t FROM conversations) SELECT lower(t) AS word, count(*) FILTER (t = lower(t)) AS lower, count(*) AS uses FROM w WHERE lower(t) IN (SELECT lower(r_name) FROM region UNION SELECT unnest(['the', 'of', 'and', 'is', 'that'])) GROUP BY 1")
 def lowercase(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "region").select(F.lower("r_name").alias("word")).unionByName(spark.createDataFrame([(w,) for w in ("the", "of", "and", "is", "that")], "word string"))
@@ -131,10 +144,13 @@ def confusion_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusion(table(spark, sf_dir, "labels").join(docs, "doc_id").select("kind", F.col("quality").alias("a"), F.col("toxic").alias("b")), "a", "b", ["kind"])
 
 
-@query("q45_sha_manifest", "WITH now AS (SELECT doc_id, sha256(text) AS s FROM documents), told AS (SELECT item_id AS doc_id, sha256(text) AS s FROM benchmark), j AS (SELECT coalesce(now.doc_id, told.doc_id) AS id, now.s AS a, told.s AS b FROM now FULL JOIN told ON now.doc_id = told.doc_id) SELECT CASE WHEN a IS NULL THEN 'missing' WHEN b IS NULL THEN 'extra' WHEN a = b THEN 'ok' ELSE 'changed' END AS status, count(*) AS n FROM j GROUP BY 1")
+@query("q45_sha_manifest", "WITH now AS (SELECT doc_id, sha256(text) AS s FROM documents), told AS (SELECT doc_id, sha256(text || CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE '' END) AS s FROM documents WHERE doc_id % 5 <> 0 UNION ALL SELECT -1 - item_id, sha256(text) FROM benchmark), j AS (SELECT coalesce(now.doc_id, told.doc_id) AS id, now.s AS a, told.s AS b FROM now FULL JOIN told ON now.doc_id = told.doc_id) SELECT CASE WHEN a IS NULL THEN 'missing' WHEN b IS NULL THEN 'extra' WHEN a = b THEN 'ok' ELSE 'changed' END AS status, count(*) AS n FROM j GROUP BY 1")
 def sha_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    now = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("a"))
-    told = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.sha2("text", 256).alias("b"))
+    """Every document against a manifest that lacks every fifth, has another text for every seventh, and lists others too."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    now = d.select("doc_id", F.sha2("text", 256).alias("a"))
+    told = d.where("doc_id % 5 <> 0").select("doc_id", F.sha2(F.concat("text", F.when(F.col("doc_id") % 7 == 0, "x").otherwise("")), 256).alias("b"))
+    told = told.unionByName(table(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("doc_id"), F.sha2("text", 256).alias("b")))
     status = F.when(F.col("a").isNull(), "missing").when(F.col("b").isNull(), "extra").when(F.col("a") == F.col("b"), "ok").otherwise("changed")
     return now.join(told, "doc_id", "full").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
 
