@@ -331,8 +331,10 @@ def similar(docs: DataFrame, reps: DataFrame, groups: DataFrame, key: str, text:
     own = own.mapInArrow(sets, "id long, digest long, set binary").groupBy("id", "digest").agg(F.min("set").alias("set"))
     own = own.select(F.col("id").alias("rep"), "digest", "set")
     parts = F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("size") * 4 / room))
-    cut = asked.groupBy("component").agg(parts.alias("parts")).where("parts > 1")  # few: one row for each large group
-    dealt = asked.join(own, ["rep", "digest"]).join(F.broadcast(cut), "component", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    cut = asked.groupBy("component").agg(parts.alias("parts")).where("parts > 1")  # one row for each large group
+    cut = saved(cut)
+    cut = F.broadcast(cut) if cut.count() <= most_ids else cut
+    dealt = asked.join(own, ["rep", "digest"]).join(cut, "component", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     dealt = dealt.withColumn("part", F.expr("pmod(xxhash64(rep, digest), parts)")).withColumn("other", F.explode(F.expr("sequence(0L, parts - 1)")))
     dealt = dealt.select("component", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "set", *fps)
     dealt = dealt.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "part", "rep")
