@@ -182,7 +182,7 @@ def newest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q54_ilike_first", "SELECT nation, region FROM (SELECT n_name AS nation, r_name AS region, row_number() OVER (ORDER BY n_nationkey) AS r FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name ILIKE '%a%') WHERE r <= 1")
 def ilike_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    goals = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    goals = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return goals.where(F.col("r_name").ilike("%a%")).orderBy("n_nationkey").limit(1).select(F.col("n_name").alias("nation"), F.col("r_name").alias("region"))
 
 
