@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, htmltext, katz, packing, quality, simhash, substring, urlfilter
+from . import ann, audit, bpe, chat, fim, htmltext, katz, minhash, packing, quality, simhash, substring, urlfilter
 
 MODULES = {
     "op1_url_filter": urlfilter,
@@ -15,6 +15,9 @@ MODULES = {
     "op8_chat_perspectives": chat,
     "op9_automaton_repeats": substring,
     "op10_page_differencing": htmltext,
+    "op11_fill_in_middle": fim,
+    "op12_interaction_audit": audit,
+    "op13_fast_minhash": minhash,
 }
 
 
