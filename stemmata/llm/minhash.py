@@ -8,11 +8,12 @@ drawn without replacement. 512 coordinates make 64 bands of 8: a pair of similar
 (1 - 0.85 ** 8) ** 64 < 2e-9.
 
 Copies (equal sets) collapse to a node first. Candidates are nodes of one band, and none is dropped:
-1. Every node of a band's bucket is verified against the smallest one, its hub: buckets of copies of one text close here.
-2. Buckets that verified links do not connect are searched for pairs between different components whose sketches, a bit
+1. Every node of a band's bucket is verified against the smallest one, its hub. Nodes get the label of a hub that verified
+   links lead to: buckets of copies of one text close here.
+2. Buckets with two labels or more are searched for pairs of different labels whose sketches, a bit
    for each coordinate, differ in at most `MOST` bits (a pair of similarity 0.85 differs in 38 on average; 77 is 6.5
-   standard deviations off). They give groups; in a group every such pair between components is verified until links
-   connect it, the largest component against the rest, the rest against itself, tile by tile.
+   standard deviations off). They give groups of labels; in a group every such pair is verified until links connect it,
+   the largest label against the rest, the rest against itself, tile by tile.
 Verified means that the full sets of 64-bit shingle hashes have 100 * intersection >= 85 * union.
 
 No bucket or group is gathered in one task: sizes are grouped counts, and what is over a tile is dealt to tasks by pairs
@@ -275,18 +276,30 @@ def by_cells(cells: DataFrame, words: DataFrame, most: int, sets: DataFrame | No
     return rows.mapInArrow(run, "a long, b long")
 
 
-def sketch_links(members: DataFrame, labels: DataFrame, words: DataFrame, most: int, tile: int) -> DataFrame:
-    """la, lb: links between labels that have nodes of one bucket with close sketches. members: grp, node; labels: node, label."""
-    known = members.join(labels, "node", "left").select("grp", "node", F.coalesce("label", "node").alias("label"), F.lit(0).alias("n"))
-    known = saved(known)
-    found = by_cells(dealt(known, tile, ROOM), words, most).distinct()
-    one, two = (labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
-    found = found.join(one, "a", "left").join(two, "b", "left")
-    return found.select(F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")).distinct()
+def of_hubs(stars: DataFrame) -> DataFrame:
+    """node, label: the smallest hub that a node is verified with, or what its hub and that one's hub have in turn.
 
+    Nodes of one label are connected; not all that are connected have one label. stars: a (the hub), b, a < b.
+    """
+    label = saved(stars.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label")))
+    for _ in range(2):
+        up = label.select(F.col("node").alias("label"), F.col("label").alias("_up"))
+        label = saved(label.join(up, "label", "left").select("node", F.coalesce("_up", "label").alias("label")))
+    return label
+
+
+def between(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """a, b: the edges (a, b) of nodes as edges of their labels, without those inside one."""
+    one, two = (labels.select(F.col("node").alias(c), F.col("label").alias(f"_l{c}")) for c in "ab")
+    named = edges.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("_la", "a").alias("a"), F.coalesce("_lb", "b").alias("b"))
+    return named.where("a <> b").distinct()
 
-def links(nodes: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, most: int = MOST, tile: int = TILE, room: int = ROOM) -> DataFrame:
-    """a, b: edges that connect whatever nodes share a band and are alike. nodes: node, id, n, bands, b0 .."""
+
+def links(nodes: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, most: int = MOST, tile: int = TILE, room: int = ROOM) -> tuple[DataFrame, DataFrame]:
+    """(node, label; a, b): labels of nodes that are connected, a node without one has itself, and edges that connect labels.
+
+    Together they connect whatever nodes share a band and are alike. nodes: node, id, n, bands, b0 ..
+    """
     words = nodes.select("node", *BITS)
     keys = nodes.select("node", F.explode("bands").alias("key"))
     many = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("hub")).where("size > 1")
@@ -294,16 +307,18 @@ def links(nodes: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "t
     near = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), *[F.col(x).alias(x + c) for x in BITS])
     stars = met.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     stars = saved(stars.join(near("a"), "a").join(near("b"), "b").where(_sizes(F.col("na"), F.col("nb"), percent) & _close("a", "b", most)).select("a", "b"))
-    asked = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
+    asked = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = saved(sets_of(docs, nodes.join(asked, "node", "left_semi").select("node", "id"), key, text))
     first = saved(verified_stars(stars, sets, percent))
-    labels = saved(connected(first).select("node", F.col("component").alias("label")))
-    between = saved(sketch_links(met.select(F.col("key").alias("grp"), "node"), labels, words, most, tile))
-    groups = connected(between, "la", "lb").select(F.col("node").alias("label"), F.col("component").alias("grp"))
+    labels = of_hubs(first)
+    known = met.join(labels, "node", "left").select(F.col("key").alias("grp"), "node", F.coalesce("label", "node").alias("label"), F.lit(0).alias("n"))
+    close = saved(between(by_cells(dealt(saved(known), tile, ROOM), words, most), labels))
+    groups = connected(close).select(F.col("node").alias("label"), F.col("component").alias("grp"))
     of = nodes.select("node", "id", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     grouped = saved(of.join(groups, "label"))
     more = sets_of(docs, grouped.select("node", "id"), key, text)
-    return first.unionByName(by_cells(dealt(grouped, tile, room), words, most, more, percent))
+    found = by_cells(dealt(grouped.drop("id"), tile, room), words, most, more, percent)
+    return labels, between(first.unionByName(found), labels)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -312,8 +327,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **
     linked = every.where("id IS NOT NULL AND node IS NOT NULL")
     firsts = linked.groupBy("node").agg(F.min("id").alias("id"))
     nodes = saved(linked.join(firsts, ["node", "id"]).select("node", "id", "n", "bands", *BITS).dropDuplicates(["node"]))
-    found = saved(connected(links(nodes, docs, key, text, **how)))
-    of = nodes.select("node", "id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labels, edges = links(nodes, docs, key, text, **how)
+    found = connected(edges).select(F.col("node").alias("label"), "component")
+    of = nodes.select("node", "id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    of = saved(of.join(found, "label", "left").select("node", "id", F.coalesce("component", "label").alias("component")))
     least = of.groupBy("component").agg(F.min("id").alias("least"))
     named = of.join(least, "component").select("node", "least")
     out = every.select("id", "n", "node").join(named, "node", "left")
