@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 Z = 1.96
 
@@ -45,15 +45,65 @@ def tail(ps: Column, k: Column | int) -> Column:
     return F.aggregate(ps, zero, add, lambda d: F.aggregate(F.slice(d, F.lit(k) + 1 if isinstance(k, int) else k + 1, F.size(d)), F.lit(0.0), lambda a, x: a + x))
 
 
-@F.pandas_udf(DoubleType())
-def tail_agg(p: pd.Series, k: pd.Series) -> float:
-    """The same for tens of thousands of events, as a grouped aggregate."""
-    d = np.zeros(len(p) + 1)
-    d[0] = 1.0
-    for i, x in enumerate(p, 1):
-        d[1 : i + 1] = d[1 : i + 1] * (1 - x) + d[:i] * x
-        d[0] *= 1 - x
-    return float(d[int(k.iloc[0]) :].sum()) if len(k) else 1.0
+#: What is left out of a distribution: coefficients that no sum of doubles shows beside the others.
+NOTHING = 1e-320
+POLYNOMIAL = StructType([StructField("low", LongType()), StructField("c", ArrayType(DoubleType()))])
+
+
+def trimmed(low: int, c: np.ndarray) -> tuple[int, np.ndarray]:
+    """A distribution (low, c), P(low + i) = c[i], without ends that are nothing: so its length grows with the root of the events."""
+    some = np.nonzero(c > NOTHING)[0]
+    return (low + int(some[0]), c[some[0] : some[-1] + 1]) if len(some) else (low, c[:1])
+
+
+def product(parts: list[tuple[int, np.ndarray]]) -> tuple[int, np.ndarray]:
+    """The distribution of a sum, by halves. Terms are never negative, so each coefficient keeps its relative precision: no transform."""
+    while len(parts) > 1:
+        pairs = [(a[0] + b[0], np.convolve(a[1], b[1])) for a, b in zip(parts[::2], parts[1::2])]
+        parts = [trimmed(*x) for x in pairs] + parts[len(parts) - len(parts) % 2 :]
+    return parts[0]
+
+
+@F.pandas_udf(POLYNOMIAL)
+def of_events(ps: pd.Series) -> pd.DataFrame:
+    """The number of events that happen, of an array of probabilities."""
+    out = [product([(0, np.array([1 - p, p])) for p in x] or [(0, np.ones(1))]) for x in ps]
+    return pd.DataFrame({"low": [x[0] for x in out], "c": [x[1] for x in out]})
+
+
+@F.pandas_udf(POLYNOMIAL)
+def of_parts(parts: pd.Series) -> pd.DataFrame:
+    """The sum of independent numbers, of an array of their distributions."""
+    out = [product([(int(p["low"]), np.asarray(p["c"], float)) for p in x]) for x in parts]
+    return pd.DataFrame({"low": [x[0] for x in out], "c": [x[1] for x in out]})
+
+
+def distribution(events: DataFrame, keys: list[str], p: str, order: str, block: int = 512, fan: int = 8) -> DataFrame:
+    """keys, n, low, c: how many of each group's events (keys, p, order) happen, exactly: P(low + i) = c[i].
+
+    A tree of products: events are dealt into blocks of about `block` by a hash of `order`, each makes a polynomial, and
+    `fan` polynomials at a time are multiplied until one is left. No array holds a group's events; a polynomial holds the
+    numbers that are possible at double precision. Only the number of blocks of the largest group reaches the driver.
+    """
+    events = events.select(*dict.fromkeys([*keys, p, order]))
+    counts = events.groupBy(*keys).agg(F.count("*").alias("n"))
+    sized = counts.withColumn("_blocks", F.ceil(F.col("n") / block))
+    dealt = events.join(sized, keys) if keys else events.crossJoin(sized)  # one row without keys
+    dealt = dealt.withColumn("_part", F.pmod(F.xxhash64(order), F.col("_blocks")))
+    # sorted by value, so the result depends on no order of arrival
+    parts = dealt.groupBy(*keys, "n", "_part").agg(F.sort_array(F.collect_list(F.col(p).cast("double"))).alias("_ps")).select(*keys, "n", "_part", of_events("_ps").alias("_d"))
+    left = sized.agg(F.max("_blocks")).first()[0] or 0
+    while left > 1:
+        left = -(-left // fan)
+        up = parts.groupBy(*keys, "n", F.floor(F.col("_part") / fan).alias("_part")).agg(F.sort_array(F.collect_list(F.struct("_part", "_d"))).alias("_ds"))
+        parts = up.select(*keys, "n", "_part", of_parts(F.transform("_ds", lambda x: x["_d"])).alias("_d"))
+    return parts.select(*keys, "n", "_d.low", "_d.c")
+
+
+def at_least(k: Column) -> Column:
+    """P(k or more) of the columns low and c of a distribution; the smallest terms first."""
+    above = F.filter("c", lambda x, i: F.col("low") + i >= k)
+    return F.aggregate(F.reverse(above), F.lit(0.0), lambda a, x: a + x)
 
 
 def hash_sample(df: DataFrame, stratum: list[str], key: str, per: int, seed: int) -> DataFrame:

@@ -1,12 +1,14 @@
 """All facts of a population: anchors held, new and kept, the beliefs they make up, who has them when, and why.
 
 Everything joins on digests and anchors: versions are rows (agent, k, h) of line digests, lines are one dimension table
-(h, anchor) that is extracted once, and a belief is a table of its anchors. `alike` says which pairs of line digests
-state the same fact apart from their anchors: equality, or a table of pairs whose texts are similar.
+(h, anchor) that is extracted once, and a belief is a table of its anchors. `alike` is a table of pairs of line digests
+whose texts are similar: two of them that share an anchor state the same fact.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,15 +75,25 @@ def holdings(index: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.join(final, "agent").select("belief", "agent", "first_at", "last_at", "versions", "gaps", "final_at", (F.col("last_at") == F.col("final_at")).alias("held_at_end"))
 
 
+def sharing(pairs: DataFrame, facts: DataFrame, anchors: DataFrame) -> DataFrame:
+    """belief, h, n: how many anchors the line has in common with the belief, at least one. An anchor is of one belief, so this grows with the anchors of the lines."""
+    return pairs.select("belief", "h").distinct().join(anchors, "h").join(facts.select("belief", "anchor"), ["belief", "anchor"]).groupBy("belief", "h").agg(F.count("*").alias("n"))
+
+
+def near_lines(facts: DataFrame, anchors: DataFrame) -> DataFrame:
+    """a, b: lines with an anchor of a belief, and the belief's birth line: what the similarity of lines is asked of."""
+    met = facts.select(F.col("h").alias("b"), "anchor").join(anchors.select(F.col("h").alias("a"), "anchor"), "anchor")
+    return met.where("a <> b").select("a", "b").distinct()
+
+
 def same_fact(pairs: DataFrame, facts: DataFrame, anchors: DataFrame, alike: DataFrame | None = None) -> DataFrame:
-    """The rows of pairs (belief, h) whose line states the fact of the belief: SHARED anchors in common, the same line, or a similar one (alike: a, b)."""
+    """The rows of pairs (belief, h) whose line states the fact of the belief: it is its line, has SHARED anchors in common, or one and
+    is similar (alike: a, b, from near_lines())."""
     born = facts.select("belief", F.col("h").alias("_born")).distinct()
-    asked = pairs.select("belief", "h").distinct()
-    shared = asked.join(anchors, "h").join(facts.select("belief", "anchor"), ["belief", "anchor"]).groupBy("belief", "h").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED).drop("n")
-    met = asked.join(born, "belief")
-    good = shared.unionByName(met.where("h = _born").drop("_born"))
+    shared = sharing(pairs, facts, anchors)
+    good = shared.where(F.col("n") >= SHARED).select("belief", "h").unionByName(born.select("belief", F.col("_born").alias("h")))
     if alike is not None:
-        good = good.unionByName(met.join(alike, (F.col("h") == F.col("a")) & (F.col("_born") == F.col("b"))).select("belief", "h"))
+        good = good.unionByName(shared.join(born, "belief").join(alike, (F.col("h") == F.col("a")) & (F.col("_born") == F.col("b"))).select("belief", "h"))
     return pairs.join(good.distinct(), ["belief", "h"], "left_semi")
 
 
@@ -137,6 +149,60 @@ def backward(held: DataFrame, keys: DataFrame, least: int = 3) -> DataFrame:
     return every.where(F.col("versions") >= least).drop("versions")
 
 
+def same_lines(pairs: DataFrame, anchors: DataFrame, alike: DataFrame) -> DataFrame:
+    """The rows of pairs (a, b) of lines that state one fact: the same line, SHARED anchors in common, or similar (alike: a, b)."""
+    asked = pairs.select("a", "b").distinct()
+    shared = asked.join(anchors.select(F.col("h").alias("a"), "anchor"), "a").join(anchors.select(F.col("h").alias("b"), "anchor"), ["b", "anchor"])
+    good = shared.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED).select("a", "b")
+    good = good.unionByName(asked.where("a = b")).unionByName(alike.select("a", "b")).distinct()
+    return pairs.join(good, ["a", "b"], "left_semi")
+
+
+class Alive:
+    """Facts that the latest versions still hold, rolled up from anchors traced back: their own filters and their own holders.
+
+    An anchor counts if it tells facts apart, if nobody who holds it now held it before the scan (it is older then, and its
+    birth unknown), and if it was held in `least` versions. Its holders are those whose own first line of it states the fact
+    of the birth line. Anchors of one birth line are one belief, with the figures of its best anchor.
+
+    held: agent, k, anchor; births: anchor, agent, k, h; keys: agent, k, minute, all of the scanned versions.
+    """
+
+    def __init__(self, held: DataFrame, births: DataFrame, keys: DataFrame, telling: Column, least: int = 3):
+        ends = keys.groupBy("agent").agg(F.max("k").alias("final_k"), F.min("k").alias("start_k"))
+        lives = anchor_lives(held).where(telling).join(ends, "agent")
+        now = F.col("last_k") == F.col("final_k")
+        lives = lives.withColumn("now", now).withColumn("old", now & (F.col("first_k") == F.col("start_k")) & (F.col("start_k") > 0))
+        every = lives.groupBy("anchor").agg(F.bool_or("now").alias("now"), F.bool_or("old").alias("old"), F.sum("versions").alias("versions")).where("now")
+        self.older = every.where("old").select("anchor")
+        at = births.join(keys.select("agent", "k", "minute"), ["agent", "k"])
+        first = at.groupBy("anchor").agg(F.min(F.struct("minute", "agent", "k", "h")).alias("x"))
+        first = first.select("anchor", F.col("x.minute").alias("born"), F.col("x.agent").alias("by"), F.col("x.h").alias("b"))
+        kept = every.where(~F.col("old") & (F.col("versions") >= least)).select("anchor").join(first, "anchor")
+        own = births.select("anchor", "agent", F.col("h").alias("a"))
+        began = keys.select("agent", F.col("k").alias("first_k"), F.col("minute").alias("first_at"))
+        self.holders = lives.join(kept, "anchor").join(began, ["agent", "first_k"]).join(own, ["anchor", "agent"], "left")
+
+    def pairs(self) -> DataFrame:
+        """a, b: first lines of other holders, and the birth line."""
+        return self.holders.where("agent <> by AND a IS NOT NULL").select("a", "b").distinct()
+
+    def beliefs(self, anchors: DataFrame, alike: DataFrame, disputes: DataFrame, score: Callable[..., Column]) -> DataFrame:
+        """by, h, anchors, anchor, agents, rewrites, alive, caught, disputes, lead. alike: a, b; disputes: anchor, disputes; score: of caught, rewrites, alive, disputes."""
+        same = same_lines(self.pairs(), anchors, alike).withColumn("_same", F.lit(True))
+        mine = self.holders.join(same, ["a", "b"], "left").where((F.col("agent") == F.col("by")) | F.col("_same"))
+        rolled = mine.groupBy("anchor", "by", "b").agg(
+            F.count("*").alias("agents"),
+            F.sum(F.col("last_k") - F.col("first_k")).alias("rewrites"),
+            F.count_if("now").alias("alive"),
+            F.count_if((F.col("agent") != F.col("by")) & (F.col("first_at") > F.col("born"))).alias("caught"),
+        )
+        rolled = rolled.where("alive > 0").join(disputes, "anchor", "left").withColumn("disputes", F.coalesce("disputes", F.lit(0)).cast("long"))
+        rolled = rolled.withColumn("lead", score(*map(F.col, ("caught", "rewrites", "alive", "disputes"))))
+        best = F.min_by(F.struct("anchor", "agents", "rewrites", "alive", "caught", "disputes", "lead"), F.struct(-F.col("lead"), F.col("anchor")))
+        return rolled.groupBy("by", F.col("b").alias("h")).agg(F.count("*").alias("anchors"), best.alias("x")).select("by", "h", "anchors", "x.*")
+
+
 def summary(facts: DataFrame, held_by: DataFrame, copied: DataFrame, came: DataFrame, gaps: DataFrame) -> DataFrame:
     """One row of measures of a population. copied: belief, agent, first_at; came: copied with gap (minutes since a message of
     someone else, null for none) and p (its chance); gaps: of returns()."""

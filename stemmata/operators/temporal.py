@@ -156,12 +156,48 @@ def swarm_returns(states: DataFrame, keys: list[str], agent: str, at: str, holdi
     return rows.where((F.col("_n") + F.col("_carried") == 0) & (F.col("back_at") - F.col(at) >= least)).select(*keys, F.col(at).alias("gone_at"), "back_at")
 
 
-def covered(points: DataFrame, keys: list[str], at: str, gap: int, low: str, high: str) -> DataFrame:
+def following(df: DataFrame, keys: list[str], at: str, width: int) -> DataFrame:
+    """df with next_at: the next larger time of the same keys, null for none. Equal times follow each other."""
+    rows = df.withColumn("_bucket", F.floor(F.col(at) / width))
+    first = rows.groupBy(*keys, "_bucket").agg(F.min(at).alias("_first"))
+    handed = first.select(*keys, "_bucket", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_handed"))
+    own = F.lead(at).over(Window.partitionBy(*keys, "_bucket").orderBy(at))
+    both = rows.withColumn("next_at", own).join(handed, [*keys, "_bucket"])
+    return both.withColumn("next_at", F.coalesce("next_at", "_handed")).drop("_bucket", "_handed")
+
+
+def covered(points: DataFrame, keys: list[str], at: str, gap: int, low: str, high: str, width: int) -> DataFrame:
     """keys, low, high, covered: the length of [low, high] within `gap` after a point: the closed form of a uniform draw."""
-    order = Window.partitionBy(*keys).orderBy(at)
     start = F.greatest(F.col(at), F.col(low))
-    end = F.least(F.least(F.col(at) + gap, F.coalesce(F.lead(at).over(order), F.col(at) + gap)), F.col(high))
-    return points.withColumn("_len", F.greatest(end - start, F.lit(0))).groupBy(*keys, low, high).agg(F.sum("_len").alias("covered"))
+    end = F.least(F.col(at) + gap, F.coalesce(F.col("next_at"), F.col(at) + gap), F.col(high))
+    return following(points, keys, at, width).withColumn("_len", F.greatest(end - start, F.lit(0))).groupBy(*keys, low, high).agg(F.sum("_len").alias("covered"))
+
+
+def levels(steps: DataFrame, keys: list[str], at: str, values: list[str], width: int) -> DataFrame:
+    """keys, at, next_at, values: running sums of steps (keys, at, values) from `at` until `next_at`, one row for each time.
+
+    A bucket of `width` hands on its sums and its first time.
+    """
+    rows = steps.groupBy(*keys, at).agg(*[F.sum(v).alias(v) for v in values]).withColumn("_bucket", F.floor(F.col(at) / width))
+    whole = Window.partitionBy(*keys).orderBy("_bucket")
+    before = whole.rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy(*keys, "_bucket").agg(F.min(at).alias("_first"), *[F.sum(v).alias(f"_c{v}") for v in values])
+    carried = carried.select(*keys, "_bucket", F.lead("_first").over(whole).alias("_handed"), *[F.coalesce(F.sum(f"_c{v}").over(before), F.lit(0)).alias(f"_c{v}") for v in values])
+    own = Window.partitionBy(*keys, "_bucket").orderBy(at)
+    rows = rows.withColumn("next_at", F.lead(at).over(own)).withColumns({v: F.sum(v).over(own) for v in values}).join(carried, [*keys, "_bucket"])
+    return rows.select(*keys, at, F.coalesce("next_at", "_handed").alias("next_at"), *[(F.col(v) + F.col(f"_c{v}")).alias(v) for v in values])
+
+
+def ranks(asks: DataFrame, rows: DataFrame, keys: list[str], at: str, width: int) -> DataFrame:
+    """keys, at, rank: for each distinct ask (keys, at), how many of rows (keys, at) are not later; a bucket hands on its count."""
+    n = rows.groupBy(*keys, at).agg(F.count("*").alias("_n"))
+    both = n.unionByName(asks.select(*keys, at).distinct().withColumn("_n", F.lit(0).cast("long")).withColumn("_ask", F.lit(True)), allowMissingColumns=True)
+    both = both.withColumn("_bucket", F.floor(F.col(at) / width))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_s")).select(*keys, "_bucket", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_carried"))
+    # a range frame, so that rows of the asked time itself count
+    own = F.sum("_n").over(Window.partitionBy(*keys, "_bucket").orderBy(at))
+    return both.withColumn("_own", own).where("_ask").join(carried, [*keys, "_bucket"]).select(*keys, at, (F.col("_own") + F.col("_carried")).alias("rank"))
 
 
 def budget_fill(items: DataFrame, keys: list[str], rank: str, at: str, item: str, size: str, budget: int) -> DataFrame:

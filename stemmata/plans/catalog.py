@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cases, evidence, lineage, population, relational, texts, timeline  # noqa: F401
+from . import cases, evidence, facts, lineage, outside, population, relational, texts, timeline  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 FLAGSHIP = "q00_spread_and_survival"

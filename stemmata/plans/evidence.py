@@ -10,7 +10,7 @@ from ..operators import temporal as T
 from ..operators.trails import chance_summary
 from .registry import query
 from .relational import scaled
-from .timeline import TRAIL, trail_status
+from .timeline import DAY, TRAIL, trail_status
 from .views import STANCE, stances
 
 HOUR = 3_600_000_000
@@ -61,6 +61,6 @@ def chance(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = s.where("label = 'affirms'")
     gaps = T.asof_other(s.where("label = 'denies'"), told, ["belief"], "us", "agent", "id", 24 * HOUR)
     ends = told.groupBy("belief").agg(F.min("us").alias("low"), F.max("us").alias("high"))
-    share = T.covered(told.select("belief", "us").join(ends, "belief"), ["belief"], "us", HOUR, "low", "high").select("belief", (F.col("covered") / (F.col("high") - F.col("low"))).alias("p"))
+    share = T.covered(told.select("belief", "us").join(ends, "belief"), ["belief"], "us", HOUR, "low", "high", DAY).select("belief", (F.col("covered") / (F.col("high") - F.col("low"))).alias("p"))
     tests = gaps.join(share, "belief").select((F.col("belief") % 2).alias("era"), F.coalesce(F.col("us") - F.col("other_at") <= HOUR, F.lit(False)).alias("gap_ok"), "p")
     return chance_summary(tests, "era").withColumn("expected", scaled(F.col("expected"), 3))

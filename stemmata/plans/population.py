@@ -11,11 +11,16 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.anchors import specific
+from ..operators import lineage as L
 from ..operators import population as P
+from ..operators import similarity as S
+from ..operators import spread as V
 from ..operators import temporal as T
-from ..operators.agreement import tail
-from ..operators.trails import chance_cases
+from ..operators.agreement import at_least, distribution
+from ..operators.trails import chance_cases, drawn_cases
 from ..sources.scratch import written
+from .lineage import DISPUTE
 from .registry import query
 from .relational import scaled
 from .views import BASE, chat, hashed_lines, line_rows, memory, snapshot_keys
@@ -33,7 +38,9 @@ BELIEF = """born AS (SELECT * FROM (SELECT b.*, s.minute, row_number() OVER (PAR
  pres AS (SELECT DISTINCT f.belief, x.agent, x.k, s.minute FROM fact f JOIN held x ON x.anchor = f.anchor JOIN snap s ON s.agent = x.agent AND s.k = x.k WHERE s.minute >= f.born)"""
 HOLDING = """isle AS (SELECT *, k - row_number() OVER (PARTITION BY belief, agent ORDER BY k) AS g FROM pres),
  holding AS (SELECT belief, i.agent, min(minute) AS first_at, max(minute) AS last_at, count(*) AS versions, count(DISTINCT g) - 1 AS gaps, any_value(final_at) AS final_at, max(minute) = any_value(final_at) AS held_at_end FROM isle i JOIN ends e ON e.agent = i.agent GROUP BY 1, 2)"""
-SAME = "same AS (SELECT f.belief, a.h FROM fact f JOIN anc a ON a.anchor = f.anchor GROUP BY 1, 2 HAVING count(*) >= 2 UNION SELECT belief, h FROM fact)"
+TOKEN = r"tok AS (SELECT h, unnest(list_distinct(regexp_extract_all(min(line), '[^\x20\x09-\x0D]+'))) AS token FROM line GROUP BY h), wt AS (SELECT h, sum(length(token) + 1)::BIGINT AS s FROM tok GROUP BY 1)"
+ALIKE = f"{TOKEN}, likely AS (SELECT DISTINCT f.h AS b, a.h AS a FROM fact f JOIN anc a ON a.anchor = f.anchor WHERE a.h <> f.h), alike AS (SELECT a, b FROM likely JOIN tok x ON x.h = a JOIN tok y ON y.h = b AND y.token = x.token JOIN wt p ON p.h = a JOIN wt q ON q.h = b GROUP BY 1, 2 HAVING 140 * (sum(length(x.token) + 1) - 1) >= 60 * (least(any_value(p.s), any_value(q.s)) - 1))"
+SAME = f"{ALIKE}, same AS (SELECT f.belief, a.h FROM fact f JOIN anc a ON a.anchor = f.anchor GROUP BY 1, 2 HAVING count(*) >= 2 UNION SELECT belief, h FROM fact UNION SELECT f.belief, k.a FROM fact f JOIN alike k ON k.b = f.h JOIN anc n ON n.h = k.a AND n.anchor = f.anchor)"
 COPIED = """copied AS (SELECT DISTINCT x.belief, x.agent, x.first_at FROM holding x JOIN (SELECT DISTINCT belief, agent, born FROM fact) f ON f.belief = x.belief AND f.agent <> x.agent AND x.first_at > f.born
  JOIN snap s ON s.agent = x.agent AND s.minute = x.first_at JOIN mem m ON m.agent = s.agent AND m.k = s.k JOIN same ON same.belief = x.belief AND same.h = m.h)"""
 RETURN = """jump AS (SELECT belief, agent, lag(k) OVER (PARTITION BY belief, agent ORDER BY k) + 1 AS gone, k, minute AS back_at FROM pres),
@@ -59,8 +66,7 @@ class Population:
         self.spark, self.sf_dir = spark, sf_dir
         self.keys = written(snapshot_keys(spark, sf_dir).select("agent", "k", "minute"))
         self.versions = written(memory(spark, sf_dir))
-        lines = line_rows(spark, sf_dir).select(F.substring(F.sha2("line", 256), 1, 24).alias("h"), "line")
-        self.anchors = written(P.line_anchors(lines, words()))
+        self.anchors = written(P.line_anchors(self.lines, words()))
         self.held = P.held(self.versions, self.anchors)
 
     @cached_property
@@ -88,11 +94,22 @@ class Population:
         said = chat(self.spark, self.sf_dir).where("speaker = 'assistant'").select(F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string")).alias("agent"), "minute", "text")
         return written(P.mentions(self.facts, P.chat_index(said, words())))
 
+    @cached_property
+    def lines(self) -> DataFrame:
+        return line_rows(self.spark, self.sf_dir).select(F.substring(F.sha2("line", 256), 1, 24).alias("h"), "line")
+
+    @cached_property
+    def alike(self) -> DataFrame:
+        """a, b: lines that share an anchor with a birth line and most of their words."""
+        pairs = written(P.near_lines(self.facts, self.anchors))
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+        return written(S.checked(pairs, S.words(self.lines.join(asked, "h", "left_semi"))))
+
     def copies(self) -> DataFrame:
-        return P.copies(self.holdings, self.facts, self.versions, self.keys, self.anchors)
+        return P.copies(self.holdings, self.facts, self.versions, self.keys, self.anchors, self.alike)
 
     def returns(self) -> DataFrame:
-        return P.returns(self.index, self.facts, self.versions, self.keys, self.anchors)
+        return P.returns(self.index, self.facts, self.versions, self.keys, self.anchors, alike=self.alike)
 
     def spans(self) -> DataFrame:
         """belief, lo, hi: from its birth to its last holding version."""
@@ -126,7 +143,7 @@ def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q74_same_fact_copies", f"WITH {FACTS}, {HOLDING}, {SAME}, {COPIED} SELECT belief, agent, first_at FROM copied")
 def same_fact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Copies that share two anchors with the birth line or state the same line."""
+    """Copies whose line is that of the birth, shares two anchors with it, or one and most of its words."""
     return Population(spark, sf_dir).copies()
 
 
@@ -183,15 +200,104 @@ def same_fact_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line that states the fact of a belief: candidates come from shared anchors, all of them."""
     p = Population(spark, sf_dir)
     met = p.facts.select("belief", "anchor").join(p.anchors, "anchor").select("belief", "h").distinct()
-    return P.same_fact(met.unionByName(p.facts.select("belief", "h")).distinct(), p.facts, p.anchors)
+    return P.same_fact(met.unionByName(p.facts.select("belief", "h")).distinct(), p.facts, p.anchors, p.alike)
+
+
+@query("q102_similar_lines", f"WITH {FACTS}, {TOKEN} SELECT y.h AS a, x.h AS b, CAST(floor(200.0::DOUBLE * (sum(length(x.token) + 1) - 1) / (sum(length(x.token) + 1) + least(any_value(p.s), any_value(q.s)) - 2) * 1000 + 0.5) AS BIGINT) AS score FROM (SELECT DISTINCT h FROM fact) f JOIN tok x ON x.h = f.h JOIN tok y ON y.token = x.token AND y.h <> x.h JOIN wt p ON p.h = x.h JOIN wt q ON q.h = y.h GROUP BY 1, 2 HAVING 140 * (sum(length(x.token) + 1) - 1) >= 60 * (least(any_value(p.s), any_value(q.s)) - 1)")
+def similar_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line that shares most of its words with the birth line of a fact, whether or not an anchor: a set-similarity join."""
+    p = Population(spark, sf_dir)
+    return S.similar(p.lines, p.facts.select("h")).withColumn("score", scaled(F.col("score"), 3))
 
 
 @query("q82_population_tail", f"WITH RECURSIVE {CASES}, p AS (SELECT agent, row_number() OVER (PARTITION BY agent ORDER BY belief) AS i, p_own AS p, gap <= 60 AS hit FROM t), n AS (SELECT agent, max(i) AS n, count(*) FILTER (hit) AS within FROM p GROUP BY 1), d AS (SELECT agent, 0::BIGINT AS i, [1.0::DOUBLE] AS d FROM n UNION ALL SELECT d.agent, p.i, list_transform(list_zip(list_append(d.d, 0.0::DOUBLE), list_prepend(0.0::DOUBLE, d.d)), lambda x: x[1] * (1 - p.p) + x[2] * p.p) FROM d JOIN p ON d.agent = p.agent AND p.i = d.i + 1) SELECT d.agent, n.within, CAST(floor(coalesce(list_sum(d.d[n.within + 1:]), 0) * 1e6 + 0.5) AS BIGINT) AS tail FROM d JOIN n ON d.agent = n.agent AND d.i = n.n")
 def population_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How likely an agent's pickups were, were each as likely as its own writes say: an exact tail."""
     t = Population(spark, sf_dir).tests()
-    ps = t.groupBy("agent").agg(F.transform(F.sort_array(F.collect_list(F.struct("belief", "p_own"))), lambda x: x["p_own"]).alias("ps"), F.count_if(F.col("gap") <= P.HOUR).alias("within"))
-    return ps.select("agent", "within", scaled(tail(F.col("ps"), F.col("within").cast("int"))).alias("tail"))
+    within = t.groupBy("agent").agg(F.count_if(F.col("gap") <= P.HOUR).alias("within"))
+    return distribution(t, ["agent"], "p_own", "belief").join(within, "agent").select("agent", "within", scaled(at_least(F.col("within"))).alias("tail"))
+
+
+ONE_TAIL = "CAST(floor(-log10(list_sum(d.d[n.within + 1:])) * 1e6 + 0.5) AS BIGINT)"
+
+
+@query("q103_population_p", f"WITH RECURSIVE {CASES}, p AS (SELECT row_number() OVER (ORDER BY belief, agent) AS i, p_own AS p, gap <= 60 AS hit FROM t), n AS (SELECT count(*) AS n, count(*) FILTER (hit) AS within FROM p), d AS (SELECT 0::BIGINT AS i, [1.0::DOUBLE] AS d UNION ALL SELECT p.i, list_transform(list_zip(list_append(d.d, 0.0::DOUBLE), list_prepend(0.0::DOUBLE, d.d)), lambda x: x[1] * (1 - p.p) + x[2] * p.p) FROM d JOIN p ON p.i = d.i + 1) SELECT n.n, n.within, {ONE_TAIL} AS minus_log_p FROM d JOIN n ON d.i = n.n")
+def population_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One p value for all pickups of a population: the exact tail of their sum, as a negative decimal logarithm."""
+    t = Population(spark, sf_dir).tests()
+    within = t.agg(F.count_if(F.col("gap") <= P.HOUR).alias("within"))
+    one = distribution(t.withColumn("key", F.concat_ws(":", "belief", "agent")), [], "p_own", "key").crossJoin(within)  # one row each
+    chance = at_least(F.col("within"))
+    return one.select("n", "within", scaled(F.when(chance > 0, -F.log10(chance))).alias("minus_log_p"))
+
+
+PLANTED = r"""planted AS (SELECT h, anchor FROM anc UNION SELECT h, len(regexp_extract_all(min(line), '[^\x20\x09-\x0D]+')) || ' word' FROM line GROUP BY h UNION SELECT h, (length(min(line)) % 3) || '/' || (length(min(line)) % 5) FROM line GROUP BY h)"""
+SCAN = f"""{PLANTED}, held5 AS (SELECT DISTINCT m.agent, m.k, a.anchor FROM mem m JOIN planted a ON m.h = a.h WHERE m.k >= 5), ends5 AS (SELECT agent, max(k) AS final_k, min(k) AS start_k FROM snap WHERE k >= 5 GROUP BY 1),
+ life5 AS (SELECT anchor, agent, min(k) AS first_k, max(k) AS last_k, count(*) AS versions FROM held5 GROUP BY 1, 2), birth5 AS (SELECT a.anchor, c.agent, c.k, min(c.h) AS h FROM cand c JOIN planted a ON a.h = c.h JOIN life5 l ON l.anchor = a.anchor AND l.agent = c.agent AND l.first_k = c.k WHERE c.k > 5 GROUP BY 1, 2, 3),
+ told5 AS (SELECT l.*, last_k = final_k AS now, last_k = final_k AND first_k = start_k AND start_k > 0 AS old FROM life5 l JOIN ends5 e ON e.agent = l.agent WHERE NOT regexp_matches(anchor, '^[0-9]+ word$') AND NOT regexp_matches(anchor, '/[012]$')),
+ every5 AS (SELECT anchor FROM told5 GROUP BY 1 HAVING bool_or(now) AND NOT bool_or(old) AND sum(versions) >= 3),
+ born5 AS (SELECT * FROM (SELECT b.anchor, s.minute AS born, b.agent AS "by", b.h AS b, row_number() OVER (PARTITION BY anchor ORDER BY s.minute, b.agent, b.k, b.h) AS r FROM birth5 b JOIN snap s ON s.agent = b.agent AND s.k = b.k) WHERE r = 1),
+ holder5 AS (SELECT t.*, f.born, f."by", f.b, s.minute AS first_at, o.h AS a FROM told5 t JOIN every5 e ON e.anchor = t.anchor JOIN born5 f ON f.anchor = t.anchor JOIN snap s ON s.agent = t.agent AND s.k = t.first_k LEFT JOIN birth5 o ON o.anchor = t.anchor AND o.agent = t.agent),
+ pair5 AS (SELECT DISTINCT a, b FROM holder5 WHERE agent <> "by" AND a IS NOT NULL),
+ same5 AS (SELECT a, b FROM pair5 JOIN planted x ON x.h = a JOIN planted y ON y.h = b AND y.anchor = x.anchor GROUP BY 1, 2 HAVING count(*) >= 2 UNION SELECT a, b FROM pair5 WHERE a = b UNION SELECT a, b FROM pair5 JOIN tok x ON x.h = a JOIN tok y ON y.h = b AND y.token = x.token JOIN wt p ON p.h = a JOIN wt q ON q.h = b GROUP BY 1, 2 HAVING 140 * (sum(length(x.token) + 1) - 1) >= 60 * (least(any_value(p.s), any_value(q.s)) - 1)),
+ against5 AS (SELECT a.anchor, count(DISTINCT a.h) AS disputes FROM planted a JOIN line l ON l.h = a.h WHERE regexp_matches(lower(l.line), '{DISPUTE}') GROUP BY 1),
+ roll5 AS (SELECT o.anchor, o."by", o.b, count(*) AS agents, sum(last_k - first_k)::BIGINT AS rewrites, count(*) FILTER (now) AS alive, count(*) FILTER (o.agent <> o."by" AND first_at > born) AS caught FROM holder5 o WHERE o.agent = o."by" OR EXISTS (SELECT 1 FROM same5 s WHERE s.a = o.a AND s.b = o.b) GROUP BY 1, 2, 3 HAVING count(*) FILTER (now) > 0),
+ lead5 AS (SELECT r.*, coalesce(disputes, 0) AS disputes, CAST(floor((1 + caught) * log2(2 + rewrites) * (1 + alive) * (1 + log2(1 + coalesce(disputes, 0))) * 100 + 0.5) AS BIGINT) AS lead FROM roll5 r LEFT JOIN against5 d ON d.anchor = r.anchor)"""
+
+
+@query("q107_alive_rollup", f"WITH {BASE}, {ANC}, {CAND}, {TOKEN}, {SCAN} SELECT \"by\", b AS h, anchors, anchor, agents, rewrites, alive, caught, disputes, lead FROM (SELECT *, count(*) OVER (PARTITION BY \"by\", b) AS anchors, row_number() OVER (PARTITION BY \"by\", b ORDER BY lead DESC, anchor) AS r FROM lead5) WHERE r = 1")
+def alive_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts that the latest versions still hold, followed back to the fifth version, with the agents that hold the same fact.
+
+    Each line also has two planted anchors that tell nothing: its number of words, and a fraction that is often of less than three.
+    """
+    keys, versions = written(snapshot_keys(spark, sf_dir).select("agent", "k", "minute")), written(memory(spark, sf_dir))
+    lines = line_rows(spark, sf_dir).select(F.substring(F.sha2("line", 256), 1, 24).alias("h"), "line")
+    n = F.char_length("line")
+    count = F.concat(F.size(F.regexp_extract_all("line", F.lit(S.WORD), F.lit(1))).cast("string"), F.lit(" word"))
+    planted = F.array(count, F.concat_ws("/", (n % 3).cast("string"), (n % 5).cast("string")))
+    anchors = written(P.line_anchors(lines, F.concat(words(), planted)))
+    scan, since = P.held(versions, anchors).where("k >= 5"), keys.where("k >= 5")
+    births = P.anchor_births(P.candidates(versions).where("k > 5"), anchors, P.anchor_lives(scan))
+    alive = P.Alive(written(scan), written(births), since, specific(F.col("anchor")))
+    pairs = written(alive.pairs())
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    alike = S.checked(pairs.where("a <> b"), S.words(lines.join(asked, "h", "left_semi")))
+    against = lines.where(F.lower("line").rlike(DISPUTE)).select("h").distinct()
+    disputes = anchors.join(against, "h").groupBy("anchor").agg(F.count("*").alias("disputes"))
+    return alive.beliefs(anchors, alike, disputes, lambda *x: scaled(L.alive_lead(*x), 2))
+
+
+TREE = f"""node AS (SELECT DISTINCT belief, agent, born AS first_at FROM fact UNION SELECT belief, agent, first_at FROM copied),
+ link AS (SELECT n.belief, n.agent, n.first_at, (SELECT m.agent FROM msg m WHERE m.belief = n.belief AND m.agent <> n.agent AND m.minute < n.first_at ORDER BY m.minute DESC, m.agent DESC LIMIT 1) AS parent FROM node n),
+ up AS (SELECT belief, agent, parent AS top, [parent] AS seen FROM link WHERE parent IS NOT NULL UNION ALL SELECT u.belief, u.agent, l.parent, list_append(u.seen, l.parent) FROM up u JOIN link l ON l.belief = u.belief AND l.agent = u.top WHERE l.parent IS NOT NULL AND NOT list_contains(u.seen, l.parent)),
+ loop AS (SELECT DISTINCT belief, agent FROM up WHERE top = agent),
+ open AS (SELECT l.belief, l.agent, CASE WHEN o.agent IS NULL THEN l.parent END AS parent FROM link l LEFT JOIN loop o ON o.belief = l.belief AND o.agent = l.agent UNION ALL SELECT DISTINCT l.belief, l.parent, NULL FROM link l WHERE l.parent IS NOT NULL AND NOT EXISTS (SELECT 1 FROM link k WHERE k.belief = l.belief AND k.agent = l.parent)),
+ tree AS (SELECT belief, agent, parent, agent AS root, 0 AS depth FROM open WHERE parent IS NULL UNION ALL SELECT o.belief, o.agent, o.parent, t.root, t.depth + 1 FROM tree t JOIN open o ON o.belief = t.belief AND o.parent = t.agent)"""
+
+
+@query("q106_spread_forest", f"WITH RECURSIVE {FACTS}, {HOLDING}, {SAME}, {COPIED}, {CHAT}, {TREE} SELECT belief, agent, parent, root, depth FROM tree")
+def spread_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each belief, its holders below those whose messages they most likely had it from; links that close a loop are left out."""
+    p = Population(spark, sf_dir)
+    holders = p.facts.select("belief", "agent", F.col("born").alias("first_at")).distinct().unionByName(p.copies()).distinct()
+    links = written(V.carriers(written(holders), p.mentions).select("belief", "agent", "parent"))
+    return V.forest(links).select("belief", "agent", "parent", "root", F.col("depth").cast("int").alias("depth"))
+
+
+UNIT, DRAWS, SEED = 1_000_000, 4000, 20261003
+DRAWN = f"""drawn AS (SELECT belief, lo * {UNIT} + CAST(floor(CAST('0x' || substr(md5('{SEED}:' || belief || ':' || no), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE * ((hi - lo) * {UNIT})) AS BIGINT) AS drawn_at FROM span, unnest(generate_series(0, {DRAWS - 1})) AS u(no) WHERE belief IN (SELECT belief FROM copied)),
+ near AS (SELECT c.belief, c.agent, count(*) AS near FROM copied c JOIN drawn d ON d.belief = c.belief WHERE EXISTS (SELECT 1 FROM msg m WHERE m.belief = c.belief AND m.agent <> c.agent AND m.minute * {UNIT} < d.drawn_at AND m.minute * {UNIT} >= d.drawn_at - 60 * {UNIT}) GROUP BY 1, 2),
+ rest AS (SELECT c.belief, c.agent, m.minute, min(lo) AS lo, min(hi) AS hi FROM copied c JOIN msg m ON m.belief = c.belief AND m.agent <> c.agent JOIN span p ON p.belief = c.belief GROUP BY 1, 2, 3),
+ closed AS (SELECT belief, agent, sum(greatest(least(minute + 60, coalesce(nx, minute + 60), hi) - greatest(minute, lo), 0))::BIGINT * {UNIT} AS closed FROM (SELECT *, lead(minute) OVER (PARTITION BY belief, agent ORDER BY minute) AS nx FROM rest) GROUP BY 1, 2)"""
+
+
+@query("q108_seeded_draws", f"WITH {FULL}, {DRAWN} SELECT c.belief, c.agent, coalesce(near, 0) AS near, coalesce(closed, 0) AS closed, (hi - lo) * {UNIT} AS span FROM (SELECT DISTINCT belief, agent FROM copied) c JOIN span p ON p.belief = c.belief LEFT JOIN near n ON n.belief = c.belief AND n.agent = c.agent LEFT JOIN closed o ON o.belief = c.belief AND o.agent = c.agent")
+def seeded_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of 4000 seeded uniform draws of each copy's span come within an hour after someone else's message, beside the closed form."""
+    p = Population(spark, sf_dir)
+    fine = lambda c: (F.col(c) * UNIT).alias(c)
+    return drawn_cases(written(p.copies()), p.mentions.select("belief", "agent", fine("minute")), written(p.spans()).select("belief", fine("lo"), fine("hi")), P.HOUR * UNIT, DRAWS, SEED, 1440 * UNIT)
 
 
 @query("q99_case_patterns", f"WITH {FACTS} SELECT belief, string_agg(anchor, '|' ORDER BY anchor) AS pattern FROM fact GROUP BY 1")

@@ -46,7 +46,7 @@ def era_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .views import hashed_lines
 
     last = hashed_lines(spark, sf_dir).groupBy("h", "agent").agg(F.max("minute").alias("last_at"))
-    final = snapshot_keys(spark, sf_dir).groupBy("agent").agg(F.max("minute").alias("final_at"))
+    final = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("agent")).agg(F.max("doc_id").alias("final_at"))
     j = copies(spark, sf_dir).join(last, ["h", "agent"]).join(final, "agent")
     gone, held = F.col("last_at") < F.col("final_at"), F.col("last_at") - F.col("first_at")
     return j.groupBy("source").agg(F.count("*").alias("copies"), F.count_if(~gone).alias("still_held"), F.count_if(gone).alias("dropped"), F.floor(100 * F.count_if(gone) / F.count("*")).alias("pct"), scaled(F.median(held), 1).alias("median_held"), F.max(held).alias("longest"))

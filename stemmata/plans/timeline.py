@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import temporal as T
-from ..operators.agreement import tail
+from ..operators.agreement import at_least, distribution
 from .lineage import COPY, copies, firsts
 from .registry import query
 from .relational import scaled
@@ -130,14 +130,13 @@ def own_writes_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 def uniform_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = stances(spark, sf_dir).where("label = 'affirms'").select("belief", "us")
     ends = s.groupBy("belief").agg(F.min("us").alias("low"), F.max("us").alias("high"))
-    return T.covered(s.join(ends, "belief"), ["belief"], "us", HOUR, "low", "high")
+    return T.covered(s.join(ends, "belief"), ["belief"], "us", HOUR, "low", "high", DAY)
 
 
 @query("q36_poisson_binomial", "WITH RECURSIVE p AS (SELECT user_id AS agent, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, ((event_id % 9) + 1) / 21.0::DOUBLE AS p FROM events), n AS (SELECT agent, max(i) AS n FROM p GROUP BY 1), d AS (SELECT agent, 0::BIGINT AS i, [1.0::DOUBLE] AS d FROM n UNION ALL SELECT d.agent, p.i, list_transform(list_zip(list_append(d.d, 0.0::DOUBLE), list_prepend(0.0::DOUBLE, d.d)), lambda x: x[1] * (1 - p.p) + x[2] * p.p) FROM d JOIN p ON d.agent = p.agent AND p.i = d.i + 1) SELECT d.agent, n.n, CAST(floor(coalesce(list_sum(d.d[3:]), 0) * 1e6 + 0.5) AS BIGINT) AS tail FROM d JOIN n ON d.agent = n.agent AND d.i = n.n")
 def poisson_binomial(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("agent"), "event_id", ((F.col("event_id") % 9 + 1) / 21.0).alias("p"))
-    ps = e.groupBy("agent").agg(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "p"))), lambda x: x["p"]).alias("ps"))
-    return ps.select("agent", F.size("ps").cast("long").alias("n"), scaled(tail(F.col("ps"), 2), 6).alias("tail"))
+    return distribution(e, ["agent"], "p", "event_id").select("agent", "n", scaled(at_least(F.lit(2)), 6).alias("tail"))
 
 
 POPULATION = f"{COPY}, c AS (SELECT *, first_at - born AS wait FROM copy), w AS (SELECT h, count(*) AS n FROM firsts GROUP BY 1)"

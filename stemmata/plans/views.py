@@ -59,13 +59,14 @@ def hashed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """agent, k, h: what each version of the rolling memory holds."""
     rows = hashed_lines(spark, sf_dir).select("agent", "k", "h").distinct()
-    last = snapshot_keys(spark, sf_dir).groupBy("agent").agg(F.max("k").alias("last"))
+    last = final_k(spark, sf_dir).withColumnRenamed("final_k", "last")
     held = rows.join(last, "agent").select("agent", "h", F.explode(F.sequence(F.col("k"), F.least(F.col("k") + MEMORY - 1, F.col("last")))).alias("k"))
     return held.distinct()
 
 
 def final_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return snapshot_keys(spark, sf_dir).groupBy("agent").agg(F.max("k").alias("final_k"))
+    """agent, final_k: the number of its last version, which follows from how many it has."""
+    return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("agent")).agg((F.count("*") - 1).alias("final_k"))
 
 
 def chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -184,13 +185,43 @@ def test_kappa_wilson_tail(spark):
     assert [round(x, 6) for x in t] == [0.75, 1.0, 0.046]
 
 
-def test_tail_agg_equals_array_form(spark):
+def fold(ps):
+    d = [1.0]
+    for p in ps:
+        d = [a * (1 - p) + b * p for a, b in zip([*d, 0.0], [0.0, *d])]
+    return d
+
+
+@pytest.mark.parametrize("block, fan", [(512, 8), (3, 2)])
+def test_distribution_equals_the_fold(spark, block, fan):
     rng = random.Random(3)
-    p = [rng.random() for _ in range(40)]
-    df = spark.createDataFrame([(x, 15) for x in p], "p double, k int")
-    a = df.agg(agreement.tail_agg("p", "k")).first()[0]
-    b = spark.range(1).select(agreement.tail(F.array(*map(F.lit, p)), 15)).first()[0]
-    assert abs(a - b) < 1e-9
+    groups = {"a": [rng.random() for _ in range(40)], "b": [0.0, 1.0, 1.0], "c": [rng.random() / 50 for _ in range(300)], "d": [0.5]}
+    rows = [(k, i, p) for k, ps in groups.items() for i, p in enumerate(ps)]
+    got = agreement.distribution(spark.createDataFrame(rows, "g string, i int, p double").repartition(3), ["g"], "p", "i", block, fan)
+    for r in got.withColumn("t", agreement.at_least(F.lit(2))).collect():
+        want = fold(groups[r.g])
+        assert r.n == len(groups[r.g])
+        have = [0.0] * r.low + list(r.c) + [0.0] * (len(want) - r.low - len(r.c))
+        assert all(abs(x - y) <= 1e-11 * y + 1e-300 for x, y in zip(have, want))
+        assert r.t == pytest.approx(sum(want[2:]), rel=1e-9)
+
+
+def test_one_tail_of_a_whole_population(spark):
+    """As many events as the largest population published, whose tail is far out: relative precision is kept."""
+    rng = random.Random(9)
+    ps = [rng.random() / 4 for _ in range(49_000)]
+    df = spark.createDataFrame(list(enumerate(ps)), "i long, p double").repartition(8)
+    r = agreement.distribution(df, [], "p", "i").withColumn("t", agreement.at_least(F.lit(7500))).first()
+    import numpy as np
+
+    d = np.ones(1)
+    for p in ps:
+        d = np.append(d, 0.0) * (1 - p) + np.append(0.0, d) * p
+        if len(d) > 9000:
+            d = d[:9000]  # what is above 7500 only moves up, and 9000 is out of reach
+    assert r.n == 49_000 and len(r.c) < 9000
+    assert r.t == pytest.approx(d[7500:].sum(), rel=1e-8) and 0 < r.t < 1e-60
+    assert agreement.distribution(df.limit(0), [], "p", "i").count() == 0
 
 
 def test_hash_sample_ignores_partitioning(spark):

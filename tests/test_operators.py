@@ -143,9 +143,90 @@ def test_budget_fill_skips(spark):
     assert {r.id for r in got.collect()} == want
 
 
-def test_covered_equals_measure(spark):
-    df = spark.createDataFrame([("x", 0, 0, 100), ("x", 5, 0, 100), ("x", 95, 0, 100)], "b string, at long, low long, high long")
-    assert temporal.covered(df, ["b"], "at", 10, "low", "high").first().covered == len({t for p in (0, 5, 95) for t in range(p, p + 10) if t < 100})
+@pytest.mark.parametrize("width", [7, 1000])
+def test_covered_equals_measure(spark, width):
+    rng = random.Random(width)
+    points = {b: [rng.randrange(200) for _ in range(12)] for b in "xy"}
+    df = spark.createDataFrame([(b, t, 0, 100) for b, ts in points.items() for t in set(ts) if t <= 100], "b string, at long, low long, high long")
+    got = {r.b: r.covered for r in temporal.covered(df, ["b"], "at", 10, "low", "high", width).collect()}
+    assert got == {b: len({t for p in ts if p <= 100 for t in range(p, p + 10) if t < 100}) for b, ts in points.items()}
+
+
+@pytest.mark.parametrize("width", [5, 1000])
+def test_ranks_and_levels(spark, width):
+    rng = random.Random(width)
+    rows = [(rng.choice("pq"), rng.randrange(60)) for _ in range(50)]
+    asks = [(k, t) for k in "pqr" for t in range(-1, 62, 3)]
+    got = temporal.ranks(spark.createDataFrame(asks, "k string, at long"), spark.createDataFrame(rows, "k string, at long"), ["k"], "at", width)
+    assert {(r.k, r["at"]): r["rank"] for r in got.collect()} == {(k, t): sum(a == k and u <= t for a, u in rows) for k, t in asks}
+    steps = [(k, t, rng.choice((-1, 1))) for k, t in rows]
+    got = temporal.levels(spark.createDataFrame(steps, "k string, at long, n long"), ["k"], "at", ["n"], width).collect()
+    for r in got:
+        later = [t for k, t, _ in steps if k == r.k and t > r["at"]]
+        assert r.n == sum(n for k, t, n in steps if k == r.k and t <= r["at"]) and r.next_at == (min(later) if later else None)
+    assert len(got) == len({(k, t) for k, t, _ in steps})
+
+
+@pytest.mark.parametrize("width", [40, 1440])
+def test_chance_cases_equal_brute_force(spark, width):
+    """Every copy against every message and version, one by one."""
+    from stemmata.operators.trails import chance_cases
+
+    rng = random.Random(width)
+    agents, beliefs, gap = "abcd", "stu", 15
+    keys = [(a, k, t) for a in agents for k, t in enumerate(sorted(rng.randrange(300) for _ in range(rng.choice((3, 40)))))]
+    told = [(b, rng.choice(agents), rng.randrange(-20, 320)) for b in "st" for _ in range(25)] + [("s", "a", t) for t in range(100, 180, 4)]
+    spans = {"s": (10, 290), "t": (50, 60), "u": (0, 0)}
+    copied = [(b, a, rng.randrange(300)) for b in beliefs for a in agents[1:]]
+    got = chance_cases(
+        spark.createDataFrame(copied, "belief string, agent string, first_at long"),
+        spark.createDataFrame(told, "belief string, agent string, minute long"),
+        spark.createDataFrame(keys, "agent string, k long, minute long"),
+        spark.createDataFrame([(b, *x) for b, x in spans.items()], "belief string, lo long, hi long"),
+        gap,
+        width,
+    ).collect()
+    assert len(got) == len(copied)
+    for r in got:
+        others = [m for b, a, m in told if b == r.belief and a != r.agent]
+        lo, hi = spans[r.belief]
+        own = [t for a, _, t in keys if a == r.agent and lo <= t <= hi]
+        before = [m for m in others if m < r.first_at]
+        assert r.gap == (r.first_at - max(before) if before else None)
+        assert r.writes == len(own) and r.near == sum(any(0 < t - m <= gap for m in others) for t in own)
+        every = [m for b, _, m in told if b == r.belief and lo <= m <= hi]
+        assert r.covered == len({t for m in every for t in range(m, m + gap) if t < hi})
+        assert r.p_own == (r.near / r.writes if r.writes else 0)
+
+
+def test_similar_lines_equal_brute_force(spark):
+    from stemmata.functions.fuzzy import token_set_ratio
+    from stemmata.operators import similarity
+
+    rng = random.Random(12)
+    common, rare = ["the", "of", "and", "a"], [f"word{i}" for i in range(60)]
+    lines = {f"h{i:03}": " ".join(rng.choices(common, k=rng.randrange(4)) + rng.choices(rare, k=rng.randrange(1, 9))) for i in range(150)}
+    lines |= {"e0": "the of", "e1": "of the and", "e2": "a", "e3": "é ü", "e4": "ü", "long": " ".join(rare * 30)}
+    asked = sorted(lines)[::3]
+    df = spark.createDataFrame([(h, x) for h, x in lines.items()] + [("e0", "the of")], "h string, line string").repartition(3)
+
+    def score(x, y):
+        x, y = set(x.split()), set(y.split())
+        shared = sum(len(t) + 1 for t in x & y)
+        short = min(sum(len(t) + 1 for t in s) for s in (x, y))
+        return 200 * (shared - 1) / (shared + short - 2) if shared else 0
+
+    want = {(a, b): score(lines[a], lines[b]) for a in lines for b in asked if a != b}
+    got = {(r.a, r.b): r.score for r in similarity.similar(df, spark.createDataFrame([(h,) for h in asked], "h string")).collect()}
+    assert {k: round(v, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in want.items() if v >= 60}
+    rows = similarity.ranked(similarity.words(df))
+    tried = similarity.candidates(rows, spark.createDataFrame([(h,) for h in asked], "h string")).count()
+    assert len(got) <= tried < len(want) / 4
+    pairs = spark.createDataFrame(sorted(want), "a string, b string")
+    exact = {(r.a, r.b): r.score for r in similarity.exact(pairs, df).collect()}
+    assert exact == {(a, b): s for a, b in want if (s := token_set_ratio(lines[a], lines[b])) >= 60}
+    assert set(got) <= set(exact)
+    assert similarity.similar(df.limit(0), spark.createDataFrame([], "h string")).count() == 0
 
 
 def test_multiset_diff(spark):
