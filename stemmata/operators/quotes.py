@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import squashed
+from .dictionary import automaton
 
 ROOM = 8 << 20  # bytes of quotes that may be sent to every task
 
@@ -13,28 +17,31 @@ ROOM = 8 << 20  # bytes of quotes that may be sent to every task
 def holders(docs: DataFrame, key: str, quotes: DataFrame, item: str, text: str, room: int = ROOM) -> DataFrame:
     """key, item: rows of docs whose text holds a quote, case and white space aside; empty quotes are held by none.
 
-    The longest inner word of a quote (all but its first and last, which may be cut out of longer words) is a word of any
-    text that holds it. Texts are normalised once and never shuffled: where the quotes fit in `room` by measured size, a
-    text is compared only with the quotes whose word it has, in one pass. More quotes are taken round by round. Quotes
-    of one or two words have no inner word and are tried on every text.
+    Texts are normalised once and never shuffled: distinct quotes of `room` bytes by measured size are sent to the workers,
+    which find them all in one pass by an Aho-Corasick automaton. More quotes are taken round by round. Only the hashes of
+    what was found meet the items.
     """
-    words = F.split("q", " ")
-    given = quotes.select(F.col(item).alias("item"), squashed(F.col(text)).alias("q")).where("q <> ''")
-    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    given = given.withColumn("mark", F.array_max(F.transform(inner, lambda x: F.struct(F.char_length(x).alias("n"), x.alias("w"))))["w"])
-    size = given.agg(F.sum(F.octet_length("q"))).first()[0] or 0
-    rounds = max(1, -(-size // room))
-    texts = docs.select(F.col(key).alias("key"), squashed(F.col(text)).alias("t")) if text in docs.columns else docs
-    found = []
-    for nth in range(rounds):
-        part = given.where(F.pmod(F.xxhash64("item", "q"), F.lit(rounds)) == nth)
-        marks = [r[0] for r in part.where("mark IS NOT NULL").select("mark").distinct().collect()]
-        short = [r[0] for r in part.where("mark IS NULL").select("q").distinct().collect()]
-        own = F.array_intersect(F.split("t", " "), F.array(*map(F.lit, marks))) if marks else F.array().cast("array<string>")
-        tried = texts.select("key", "t", F.explode(F.concat(F.transform(own, lambda w: F.struct(w.alias("w"), F.lit(False).alias("short"))), F.filter(F.transform(F.array(*map(F.lit, short)).cast("array<string>"), lambda w: F.struct(w.alias("w"), F.lit(True).alias("short"))), lambda x: F.contains("t", x["w"])))).alias("x"))
-        both = tried.join(part.select("item", "q", F.coalesce("mark", "q").alias("w"), F.col("mark").isNull().alias("short")), (F.col("x.w") == F.col("w")) & (F.col("x.short") == F.col("short")))
-        found.append(both.where(F.contains("t", "q")).select("key", "item"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.select(F.col("key").alias(key), F.col("item").alias(item)).distinct()
+    given = quotes.select(F.col(item).alias("item"), squashed(F.col(text)).alias("q")).where("q <> ''").withColumn("sign", F.xxhash64("q"))
+    one = given.select("q", "sign").distinct()
+    rounds = max(1, -(-(one.agg(F.sum(F.octet_length("q"))).first()[0] or 0) // room))
+    texts = docs.select(F.col(key).alias("key"), squashed(F.col(text)).alias("t"))
+    kind = texts.schema["key"].dataType.simpleString()
+    found = None
+    for nth in range(rounds):  # one bounded part at a time reaches the driver
+        part = one.where(F.pmod("sign", F.lit(rounds)) == nth)
+        sent = docs.sparkSession.sparkContext.broadcast([(r.q, r.sign) for r in part.toLocalIterator()])
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            a, sign = automaton([q for q, _ in sent.value]), dict(sent.value)
+            for b in batches:
+                keys, signs = [], []
+                for i, t in enumerate(b.column(1).to_pylist()):
+                    if t and len(a):
+                        held = {sign[t[last + 1 - n : last + 1]] for last, n in a.iter(t)}
+                        keys += [i] * len(held)
+                        signs += held
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keys, pa.int64())), pa.array(signs, pa.int64())], ["key", "sign"])
+
+        step = texts.mapInArrow(run, f"key {kind}, sign long")
+        found = step if found is None else found.unionByName(step)
+    return found.join(given.select("item", "sign"), "sign").select(F.col("key").alias(key), F.col("item").alias(item)).distinct()

@@ -57,8 +57,8 @@ def hashed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def memory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """agent, k, h: what each version of the rolling memory holds."""
-    rows = hashed_lines(spark, sf_dir).select("agent", "k", "h").distinct()
+    """agent, k, h: what each version of the rolling memory holds. Dealt by line and agent once, which what is grouped by them needs no more."""
+    rows = hashed_lines(spark, sf_dir).select("agent", "k", "h").repartition("h", "agent").distinct()
     last = final_k(spark, sf_dir).withColumnRenamed("final_k", "last")
     held = rows.join(last, "agent").select("agent", "h", F.explode(F.sequence(F.col("k"), F.least(F.col("k") + MEMORY - 1, F.col("last")))).alias("k"))
     return held.distinct()
