@@ -200,9 +200,10 @@ def test_minhash_equals_brute_force(spark, tile, room):
             assert r.component is None and r.kept
         else:
             assert r.n_shingles == size[r.id] and r.kept == (r.id == r.component)
-    one = minhash.one_of_each(df, tile=tile, room=room)
-    assert one.columns == df.columns
-    assert {r.doc_id for r in one.collect()} == {i for i in want if want[i] == i} | {None}
+    if tile == 1024:
+        one = minhash.one_of_each(df)
+        assert one.columns == df.columns
+        assert {r.doc_id for r in one.collect()} == {i for i in want if want[i] == i} | {None}
 
 
 def test_minhash_empty_table(spark):

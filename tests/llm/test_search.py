@@ -264,3 +264,36 @@ def test_pipeline(spark, small):
 
     e = packing.encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     assert sum(r.length for r in final.collect()) == sum(len(e.encode_ordinary(r.text)) + 1 for r in at.collect())
+
+
+def test_pipeline_stages_equal_brute_force(spark, small):
+    """Near copies by all pairs of five-word shingles, repeated passages by all windows: each stage on what the one before kept."""
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    good = components.saved(p.good_quality(spark, docs, small))
+    texts = {r.doc_id: r.text for r in good.collect()}
+    sets = {}
+    for i, t in texts.items():
+        w = t.encode().lower().split()
+        sets[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} or {tuple(w)}
+    ids = sorted(sets)
+    near = union_find([(a, b) for a in ids for b in ids if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    assert len(near) > 10
+    single = components.saved(p.no_near_copies(spark, good, small))
+    kept = {r.doc_id: r.text for r in single.collect()}
+    assert kept.keys() == {i for i in ids if near.get(i, i) == i}
+    owner = {}
+    for i in sorted(kept):
+        w = kept[i].encode().split()
+        for j in range(len(w) - p.PASSAGE + 1):
+            owner.setdefault(tuple(w[j : j + p.PASSAGE]), i)
+    out = {r.doc_id: (r.text, r.n_chars) for r in p.no_repeats(spark, single, small).collect()}
+    assert out.keys() == kept.keys()
+    cut = 0
+    for i, t in kept.items():
+        w = t.encode().split()
+        gone = {k for j in range(len(w) - p.PASSAGE + 1) if owner[tuple(w[j : j + p.PASSAGE])] < i for k in range(j, j + p.PASSAGE)}
+        cut += len(gone)
+        assert out[i][0].encode().split() == [x for k, x in enumerate(w) if k not in gone] and out[i][1] == len(out[i][0])
+    assert cut > 0
