@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from .operators.cases import rendered
 from .plans import catalog
+from .plans.views import Era
 from .session import session
 from .sources.load import load
+from .sources.scratch import swept
 
 #: Units of time columns, in microseconds.
 MICROS, MINUTES, DAYS = 1, 60_000_000, 86_400_000_000
@@ -27,13 +29,14 @@ class Command:
     at: str | None = None
     unit: int = MICROS
     zero: int = 0
+    scans: bool = False  # reads documents alone, so a scan can be bounded in time
 
 
 EPOCH = int(START.timestamp()) * 1_000_000
 COMMANDS = {
-    "windows": Command("q07_window_tiling"),
-    "discover": Command("q23_belief_rollup_lead"),
-    "alive": Command("q26_alive_trace"),
+    "windows": Command("q07_window_tiling", scans=True),
+    "discover": Command("q23_belief_rollup_lead", scans=True),
+    "alive": Command("q26_alive_trace", scans=True),
     "trail": Command("q33_trail_status", "first_held"),
     "lifecycle": Command("q29_returns", "gone_at", DAYS),
     "live": Command("q88_newest_matches"),
@@ -42,10 +45,10 @@ COMMANDS = {
     "audit-sheet": Command("q87_shown_first"),
     "audit-models": Command("q43_confusion"),
     "audit-score": Command("q16_kappa_wilson"),
-    "chance": Command("q79_chance_by_agent"),
-    "population": Command("q80_population"),
-    "holdings": Command("q73_holdings", "first_at", MINUTES, EPOCH),
-    "facts": Command("q48_era_facts"),
+    "chance": Command("q79_chance_by_agent", scans=True),
+    "population": Command("q80_population", scans=True),
+    "holdings": Command("q73_holdings", "first_at", MINUTES, EPOCH, scans=True),
+    "facts": Command("q48_era_facts", scans=True),
     "verify": Command("q93_trail_checks"),
     "score": Command("q89_known_case_scores"),
 }
@@ -79,6 +82,15 @@ def narrowed(df: DataFrame, command: Command, belief: str | None = None, agent:
     return df
 
 
+def bounded(folder: str, since: str | None, to: str | None) -> str | Era:
+    """The folder, or the part of its time that lies within [since, to]: a bound on the scan."""
+    if since is None and to is None:
+        return folder
+    after = lambda at: int(at.timestamp() * 1_000_000) - EPOCH
+    low = 0 if since is None else -(-after(moment(since)) // MINUTES)
+    return Era(folder, low, 1 << 62 if to is None else after(day_end(to)) // MINUTES + 1)
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="stemmata")
     sub = p.add_subparsers(dest="command", required=True)
@@ -91,6 +103,11 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--to", help="last moment, ISO; a bare date is the whole day")
         c.add_argument("--rows", type=int, default=20, help="rows to show; --out writes all")
         c.add_argument("--out", help="folder to write the whole result to")
+        if COMMANDS[name].scans:
+            c.add_argument("--scan-from", help="first moment to read at all, ISO; versions are numbered from there")
+            c.add_argument("--scan-to", help="last moment to read at all, ISO; a bare date is the whole day")
+    c = sub.add_parser("sweep")
+    c.add_argument("--hours", type=float, default=24, help="age of what is deleted from the shared folder")
     c = sub.add_parser("load")
     c.add_argument("--source", required=True)
     c.add_argument("--target", required=True)
@@ -104,7 +121,12 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "load":
         load(spark, a.source, a.target, a.only)
         return 0
+    if a.command == "sweep":
+        print(swept(spark, a.hours))
+        return 0
     command = COMMANDS[a.command]
+    if command.scans:
+        a.data = bounded(a.data, a.scan_from, a.scan_to)
     df = narrowed(catalog.queries()[command.query](spark, a.data), command, a.belief, a.agent, a.since, a.to)
     if a.out:
         df.write.mode("overwrite").parquet(a.out)

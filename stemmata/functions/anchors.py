@@ -24,21 +24,16 @@ QUOTED = r"[“\"]([^”\"]{3,80})[”\"]"
 FRACTION = r"(?<![\w/])(\d{1,4})/(\d{1,4})(?![\w/])(?:\s+([A-Za-z]{3,}))?"
 MONEY = r"[$€£]\s?\d[\d,]*(?:\.\d+)?\s?[kKmM]?\b"
 COUNT = r"(?<![\w.#-])(\d[\d,]*(?:\.\d+)?)\s?(?:-\s?)?(%|[A-Za-z]{2,}(?!\w))?(?![\w])"
-MONTH = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?"
-FAMILIES = "Claude|Gemini|GPT|Grok|Kimi|GLM|DeepSeek|Qwen|Llama|Muse|o"
-TIERS = "Sonnet|Opus|Haiku|Pro|Flash|Lite|mini|Terra|Sol|Luna|Astra|Fable|Spark"
-NOISE = "|".join(
-    [
-        r"\b\d{1,2}:\d{2}(?::\d{2})?(?:\s?[AaPp]\.?[Mm]\.?)?",
-        r"\b\d{4}-\d{2}-\d{2}\b",
-        r"\b\d{1,2}/\d{1,2}(?:/\d{2,4})?\b",
-        rf"\b\d{{1,2}}(?:st|nd|rd|th)?\s+{MONTH}(?:\s+\d{{4}})?",
-        rf"{MONTH}\s+\d{{1,2}}(?:st|nd|rd|th)?\b",
-        r"\b(?:19|20)\d{2}\b",
-        rf"\b(?:{FAMILIES})[\s-]?\d+(?:\.\d+)?(?:[\s-]?(?:{TIERS}|V\d[\w.-]*))*",
-        r"\b\d+(?:\.\d+)?\s(?:Sonnet|Opus|Haiku|Pro|Flash)\b",
-        r"\b(?:Sonnet|Opus|Haiku|Fable|Pro|Flash|Gemini|GPT|Grok|Kimi|GLM|DeepSeek|Qwen|Terra|Sol|Luna|Astra)[\s-]?V?\d+(?:\.\d+)*\b",
-    ]
+NOISE = (
+    r"\b\d{1,2}:\d{2}(?::\d{2})?(?:\s?[AaPp]\.?[Mm]\.?)?"
+    r"|\b\d{4}-\d{2}-\d{2}\b"
+    r"|\b\d{1,2}/\d{1,2}(?:/\d{2,4})?\b"
+    r"|\b\d{1,2}(?:st|nd|rd|th)?\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?(?:\s+\d{4})?"
+    r"|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+\d{1,2}(?:st|nd|rd|th)?\b"
+    r"|\b(?:19|20)\d{2}\b"
+    r"|\b(?:Claude|Gemini|GPT|Grok|Kimi|GLM|DeepSeek|Qwen|Llama|Muse|o)[\s-]?\d+(?:\.\d+)?(?:[\s-]?(?:Sonnet|Opus|Haiku|Pro|Flash|Lite|mini|Terra|Sol|Luna|Astra|Fable|Spark|V\d[\w.-]*))*"
+    r"|\b\d+(?:\.\d+)?\s(?:Sonnet|Opus|Haiku|Pro|Flash)\b"
+    r"|\b(?:Sonnet|Opus|Haiku|Fable|Pro|Flash|Gemini|GPT|Grok|Kimi|GLM|DeepSeek|Qwen|Terra|Sol|Luna|Astra)[\s-]?V?\d+(?:\.\d+)*\b"
 )
 NOT_UNITS = frozenset("and or to of the at in on for by am pm is was are per from with x vs a an pt utc et min mins sec secs h hr hrs more less near new total other adding added confirmed additional remaining left extra each out up down again times than into after before so".split())
 WEAK_UNITS = frozenset("st nd rd th % second minute hour day week month year time step attempt try click row column line page tab px pixel".split())

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..functions.anchors import checkable
 from ..functions.masking import scrub_secrets
 
 STANCES = ("affirms", "doubts", "denies", "unrelated")
@@ -64,6 +65,23 @@ def claims(lines: DataFrame, stored: DataFrame, extract: Callable[[list[str]], l
     return batches(todo(lines, stored, ["line_hash"]), extract, size, "text string, kind string, anchors array<string>, subject string")
 
 
+def chosen_claims(beliefs: DataFrame, store: DataFrame, n: int) -> DataFrame:
+    """belief, lead, no, text, kind: the claim of each belief that can be checked, of the n with the highest lead.
+
+    beliefs: belief, h, lead, terms (what to look for); store: line_hash, no, text, kind, anchors of claims(). A belief's claim
+    is the first of its line that has one of the terms, or else the first of all. Ties in lead: the smaller belief.
+    """
+    options = store.where("no >= 0").select(F.col("line_hash").alias("h"), "no", "text", "kind", F.lower(F.concat_ws(" ", "text", F.array_join("anchors", " "))).alias("_held"))
+    met = beliefs.join(options, "h").withColumn("_other", ~F.exists("terms", lambda t: F.contains(F.col("_held"), F.lower(t))))
+    one = met.groupBy("belief", "lead").agg(F.min_by(F.struct("no", "text", "kind"), F.struct("_other", "no")).alias("x"))
+    return one.select("belief", "lead", "x.*").where(checkable(F.col("kind"))).orderBy(F.desc("lead"), "belief").limit(n)
+
+
+def affirming(mentions: DataFrame, stored: DataFrame) -> DataFrame:
+    """belief, agent, minute: messages about a belief whose stored stance affirms it. mentions: belief, agent, minute, line_hash; stored: belief, line_hash, label."""
+    return mentions.join(stored.where("label = 'affirms'").select("belief", "line_hash").distinct(), ["belief", "line_hash"], "left_semi").select("belief", "agent", "minute").distinct()
+
+
 def requests(rows: DataFrame, prompt: str, text: str, stored: DataFrame, most: int, price: int = 1) -> DataFrame:
     """request, text: what still has to be asked outside, within the cap of `most` units at `price` for each request.
 

@@ -228,6 +228,36 @@ def summary(facts: DataFrame, held_by: DataFrame, copied: DataFrame, came: DataF
     return out
 
 
+def shares(measured: DataFrame, held_by: DataFrame) -> DataFrame:
+    """The row of summary() as the shares and means that eras are compared by; null where there is nothing to share.
+
+    gone: holdings that ended or had a gap; for good: those that ended; back: gaps after which the same fact came again.
+    """
+    gone = held_by.agg(F.count_if(~F.col("held_at_end") | (F.col("gaps") > 0)).alias("gone"))
+    both = measured.crossJoin(gone)  # one row each
+    pct = lambda part, whole: F.when(F.col(whole) > 0, 100 * F.col(part) / F.col(whole))
+    copies_gone = F.col("by_copy") - F.col("copies_at_end")
+    return both.select(
+        "beliefs",
+        "spread",
+        "copies",
+        "holdings",
+        "gone",
+        "widest",
+        "came_back",
+        pct("spread", "beliefs").alias("spread_pct"),
+        F.when(F.col("spread") > 0, F.col("copies") / F.col("spread")).alias("mean_others"),
+        pct("within", "copies").alias("within_pct"),
+        pct("expected", "copies").alias("expected_pct"),
+        pct("gone", "holdings").alias("gone_pct"),
+        pct("dropped", "holdings").alias("for_good_pct"),
+        F.when(F.col("by_copy") > 0, 100 * copies_gone / F.col("by_copy")).alias("copies_for_good_pct"),
+        F.when(F.col("holdings") > 0, F.col("lasting") / F.col("holdings")).alias("mean_kept"),
+        "median_kept",
+        "median_gap",
+    )
+
+
 def median(df: DataFrame, value: Column, keys: tuple[str, ...] = ()) -> DataFrame:
     """keys, median: exact, from counts of distinct values, which combine before the shuffle; null for no value."""
     counts = df.select(*keys, value.alias("_v")).where("_v IS NOT NULL").groupBy(*keys, "_v").agg(F.count("*").alias("_n"))

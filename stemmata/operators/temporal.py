@@ -33,17 +33,27 @@ def versions(df: DataFrame, agent: str, order: list[str], width: int = 1_000_000
     return numbered(df, [agent], order[0], order, width)
 
 
-def tile(facts: DataFrame, marks: DataFrame, key: str, at: str, mark: str) -> DataFrame:
-    """Each fact (key, at) with the columns of the first mark of its key at or after it: windows (previous, mark] tile time.
+def previous(df: DataFrame, key: str, **columns: str) -> DataFrame:
+    """df with what the version before had: new name = column. Versions are numbered by k, so this is an equality join, no window over all of a key's rows."""
+    before = df.select(F.col(key).alias("_key"), (F.col("k") + 1).alias("_k"), *[F.col(c).alias(n) for n, c in columns.items()])
+    return df.join(before, (F.col(key) == F.col("_key")) & (F.col("k") == F.col("_k")), "left").drop("_key", "_k")
 
-    One sort by key and time instead of a range join; facts behind the last mark have nulls.
+
+def tile(facts: DataFrame, marks: DataFrame, key: str, at: str, mark: str, width: int = 1_000_000) -> DataFrame:
+    """Each fact (key, at) with the columns of the first mark of its key at or after it: windows (previous, mark] tile time; whole numbers.
+
+    How many marks lie before a fact is the place of the one that it belongs to, so facts meet marks by key and place. Facts
+    behind the last mark have nulls.
     """
     own = [c for c in marks.columns if c not in (key, mark)]
-    m = marks.select(F.col(key), F.col(mark).alias("_at"), F.lit(1).alias("_kind"), F.struct(mark, *own).alias("_mark"), F.lit(None).cast(facts.select(F.struct("*")).schema[0].dataType).alias("_fact"))
-    f = facts.select(F.col(key), F.col(at).alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast(m.schema["_mark"].dataType).alias("_mark"), F.struct("*").alias("_fact"))
-    w = Window.partitionBy(key).orderBy("_at", "_kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    both = m.unionByName(f).withColumn("_next", F.first("_mark", ignorenulls=True).over(w))
-    return both.where("_kind = 0").select("_fact.*", F.col(f"_next.{mark}").alias(mark), *[F.col(f"_next.{c}").alias(c) for c in own])
+    placed = numbered(marks.select(key, mark, F.struct(mark, *own).alias("_mark")), [key], mark, [mark, "_mark"], width)
+    asks = facts.select("*", (F.col(at) - 1).alias("_ask"))
+    place = ranks(asks.select(key, F.col("_ask").alias(mark)), marks, [key], mark, width)
+    place = place.select(F.col(key).alias("_key"), F.col(mark).alias("_at"), F.col("rank").alias("_place"))
+    met = asks.join(place, (F.col(key) == F.col("_key")) & (F.col("_ask") == F.col("_at")), "left").drop("_key", "_at")
+    found = placed.select(F.col(key).alias("_key"), F.col("k").alias("_n"), "_mark")
+    met = met.join(found, (F.col(key) == F.col("_key")) & (F.col("_place") == F.col("_n")), "left")
+    return met.select(*facts.columns, F.col(f"_mark.{mark}").alias(mark), *[F.col(f"_mark.{c}").alias(c) for c in own])
 
 
 def _asof_other(asks: DataFrame, told: DataFrame, keys: list[str], at: str, who: str, value: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from ..operators import cases as C
 from ..operators import evidence as E
 from ..operators import temporal as T
 from ..operators.checks import equal, predicate, report
+from ..sources.runs import read_rows, write_rows
+from ..sources.scratch import shared_folder
 from .evidence import ITEMS, LINES, windows
 from .lineage import COPY, copies
 from .registry import query
@@ -137,20 +141,25 @@ def lifecycle_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q95_readded", f"WITH {COPY}, a AS (SELECT source, count(*) AS n, max(first_at - born) AS w FROM copy GROUP BY 1), k AS (SELECT 'readds' AS name, count(*) AS ok, 0::BIGINT AS failed FROM a UNION ALL SELECT 'times', count(*) FILTER (born < first_at), count(*) FILTER (NOT born < first_at) FROM copy UNION ALL SELECT 'within', count(*), 0 FROM copy) SELECT name, failed = 0 AS passed, ok, failed FROM k")
 def readded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Saved totals add up again from saved rows; rows keep their time order; the hour agrees with the gap, to 0.05 minutes."""
+    """Totals add up again from rows that were written and read back; they keep their time order; the hour agrees with the written gap, to 0.05 minutes."""
     rows = copies(spark, sf_dir).withColumn("gap", F.round((F.col("first_at") - F.col("born")).cast("double"), 1)).withColumn("within", F.col("first_at") - F.col("born") <= 60)
-    saved = rows.groupBy("source").agg(F.count("*").alias("n"))
-    again = rows.groupBy("source").agg(F.sum(F.lit(1)).alias("n"))
+    path = f"{shared_folder(spark)}/rows/{uuid.uuid4().hex}"
+    write_rows(rows, path, ["h"], parts=8)
+    back = read_rows(spark, path, "h string, source string, agent string, born long, first_at long, gap double, within boolean")
+    saved, again = (x.groupBy("source").agg(F.count("*").alias("n")) for x in (rows, back))
     agrees = (F.col("within") == (F.col("gap") <= 60)) | (F.abs(F.col("gap") - 60) <= 0.05)
-    return report([equal(again, saved, "readds", "source", "n"), predicate(rows, "times", F.col("born") < F.col("first_at")), predicate(rows, "within", agrees)])
+    return report([equal(again, saved, "readds", "source", "n"), predicate(back, "times", F.col("born") < F.col("first_at")), predicate(back, "within", agrees)])
+
+
+ZONE = "y AS (SELECT x.*, make_timestamp(us) AS t, year(make_timestamp(us)) AS y FROM x), z AS (SELECT *, t >= make_date(y, 3, 8) + CAST((7 - dayofweek(make_date(y, 3, 8))) % 7 AS INTEGER) + INTERVAL 10 HOUR AND t < make_date(y, 11, 1) + CAST((7 - dayofweek(make_date(y, 11, 1))) % 7 AS INTEGER) + INTERVAL 9 HOUR AS summer FROM y)"
 
 
-@query("q96_snapshot_links", f"WITH {DAILY}, x AS (SELECT agent, min(us) AS us, us // 86400000000 AS day FROM stance GROUP BY 1, 3) SELECT d.agent, d.k, 'date=' || strftime(to_timestamp(x.us // 1000000) AT TIME ZONE 'UTC' - INTERVAL 8 HOUR, '%Y-%m-%d') AS date_part, x.us // 1000 AS t FROM daily d JOIN x ON x.agent = d.agent AND x.day = d.day WHERE strftime(to_timestamp(x.us // 1000000) AT TIME ZONE 'UTC', '%m') IN ('01', '02', '12')")
+@query("q96_snapshot_links", f"WITH {DAILY}, x AS (SELECT agent, min(us) AS us, us // 86400000000 AS day FROM stance GROUP BY 1, 3), {ZONE} SELECT d.agent, d.k, 'date=' || strftime(t - CASE WHEN summer THEN INTERVAL 7 HOUR ELSE INTERVAL 8 HOUR END, '%Y-%m-%d') AS date_part, z.us // 1000 AS t FROM daily d JOIN z ON z.agent = d.agent AND z.day = d.day")
 def snapshot_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The link of each version of a lifecycle by its first moment; the SQL knows winter time alone, so the winter is shown."""
+    """The link of each version of a lifecycle by its first moment, summer and winter; the SQL has the rule of the zone."""
     first = stances(spark, sf_dir).groupBy("agent", F.floor(F.col("us") / C.DAY).alias("day")).agg(F.min("us").alias("us"))
     at = F.timestamp_micros("us")
-    both = daily_states(spark, sf_dir).select("agent", "k", "day").join(first, ["agent", "day"]).where(F.month(at).isin(1, 2, 12))
+    both = daily_states(spark, sf_dir).select("agent", "k", "day").join(first, ["agent", "day"])
     link = local_link(F.to_timestamp_ntz(F.date_format(at, "yyyy-MM-dd HH:mm:ss.SSSSSS")))
     return both.select("agent", "k", F.substring_index(link, "&", 1).alias("date_part"), F.regexp_extract(link, r"t=(\d+)$", 1).cast("long").alias("t"))
 

@@ -9,6 +9,8 @@ from ..functions.anchors import anchors_udf, search_terms, strong
 from ..functions.fuzzy import token_set_ratio_udf
 from ..functions.text import body, digest, heading, lines, raw_lines, section
 from ..operators import lineage as L
+from ..operators import similarity as S
+from ..operators import temporal as T
 from ..operators.temporal import episodes
 from .relational import scaled
 from .registry import query
@@ -25,9 +27,8 @@ def spread_and_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q06_prev_and_k", f"WITH {SNAP}, p AS (SELECT agent, id, k, lag(id) OVER (PARTITION BY agent ORDER BY k) AS prev, minute - lag(minute) OVER (PARTITION BY agent ORDER BY k) AS gap, minute FROM snap) SELECT agent, id, k, prev, gap FROM p WHERE minute BETWEEN 100 AND 700")
 def prev_and_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbered before the range is cut, so k counts the whole history and the first row keeps its predecessor."""
-    w = Window.partitionBy("agent").orderBy("k")
-    s = snapshot_keys(spark, sf_dir).withColumn("prev", F.lag("id").over(w)).withColumn("gap", F.col("minute") - F.lag("minute").over(w))
-    return s.where(F.col("minute").between(100, 700)).select("agent", "id", "k", "prev", "gap")
+    s = T.previous(snapshot_keys(spark, sf_dir), "agent", prev="id", before="minute")
+    return s.where(F.col("minute").between(100, 700)).select("agent", "id", "k", "prev", (F.col("minute") - F.col("before")).alias("gap"))
 
 
 NORMAL = r"trim(regexp_replace(ltrim(regexp_replace(regexp_replace(regexp_replace(trim(x, chr(32) || chr(9)), '^\s*([*+\->]+|\d{1,3}[.)]|[A-Za-z][.)])\s+', ''), '\*\*|__|`', '', 'g'), '^#+', '')), '\s+', ' ', 'g'))"
@@ -67,10 +68,9 @@ def line_multiset_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q20_compression", f"WITH {SNAP}, p AS (SELECT agent, k, length(content) AS chars, lag(length(content)) OVER (PARTITION BY agent ORDER BY k) AS old FROM snap) SELECT agent, k, old AS old_chars, chars AS new_chars FROM p WHERE old > 0 AND chars * 10 < old * 7")
 def compression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lengths are taken before the window, so no text is sorted."""
+    """Lengths are taken in the scan, so no text is shuffled."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("agent"), F.char_length("text").cast("long").alias("new_chars"))
-    w = Window.partitionBy("agent").orderBy("doc_id")
-    d = d.withColumn("k", (F.row_number().over(w) - 1).cast("long")).withColumn("old_chars", F.lag("new_chars").over(w))
+    d = T.previous(T.versions(d, "agent", ["doc_id"]), "agent", old_chars="new_chars")
     return d.where((F.col("old_chars") > 0) & (F.col("new_chars") * 10 < F.col("old_chars") * 7)).select("agent", "k", "old_chars", "new_chars")
 
 
@@ -191,14 +191,17 @@ def line_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q56_same_fact")
 def same_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines against the birth lines of facts that they share an anchor with: alike if their token sets are, or two anchors are shared.
+    """Lines against the birth lines of facts: alike if their token sets are, or two anchors are shared.
 
-    Every line and every fact takes part; candidates come from the anchors alone, and each pair is scored once.
+    Every line and every fact takes part. Candidates are pairs that share an anchor, and those that the set-similarity join
+    finds without one; each is scored once, by the whole token set ratio.
     """
     from .population import Population
 
     p = Population(spark, sf_dir)
-    lines = line_rows(spark, sf_dir).select(digest(F.col("line")).alias("h"), "line").dropDuplicates(["h"])
+    lines = p.lines.groupBy("h").agg(F.min("line").alias("line"))
     met = p.facts.select(F.col("h").alias("fact"), "anchor").distinct().join(p.anchors, "anchor").where("fact <> h").groupBy("fact", "h").agg(F.count("*").alias("shared"))
-    both = met.join(lines, "h").join(lines.select(F.col("h").alias("fact"), F.col("line").alias("first")), "fact")
+    close = S.similar(p.lines, p.facts.select("h")).select(F.col("b").alias("fact"), F.col("a").alias("h"))
+    pairs = met.unionByName(close.withColumn("shared", F.lit(0).cast("long"))).groupBy("fact", "h").agg(F.max("shared").alias("shared"))
+    both = pairs.join(lines, "h").join(lines.select(F.col("h").alias("fact"), F.col("line").alias("first")), "fact")
     return both.withColumn("score", token_set_ratio_udf("line", "first")).where("score >= 60 OR shared >= 2").select("fact", "h", "shared", scaled(F.col("score"), 3).alias("score"))

@@ -23,7 +23,7 @@ from ..sources.scratch import written
 from .lineage import DISPUTE
 from .registry import query
 from .relational import scaled
-from .views import BASE, chat, hashed_lines, line_rows, memory, snapshot_keys
+from .views import BASE, Era, chat, line_rows, memory, snapshot_keys, table
 
 LETTERS = "[a-z]{11,}"
 ANC = f"anc AS (SELECT h, unnest(list_distinct(regexp_extract_all(lower(min(line)), '{LETTERS}'))) AS anchor FROM line GROUP BY h)"
@@ -62,7 +62,7 @@ def words(column: str = "line"):
 class Population:
     """The relations of a population. What several of them read is written once, so plans stay short and texts are parsed once."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str | Era):
         self.spark, self.sf_dir = spark, sf_dir
         self.keys = written(snapshot_keys(spark, sf_dir).select("agent", "k", "minute"))
         self.versions = written(memory(spark, sf_dir))
@@ -195,6 +195,33 @@ def population(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("expected", scaled(F.col("expected"))).withColumn("median_kept", scaled(F.col("median_kept"), 1)).withColumn("median_gap", scaled(F.col("median_gap"), 1))
 
 
+def _era_sql(name: str, where: str) -> str:
+    """The measures of one era; its documents are the only rows that differ."""
+    cases = CASES.replace("FROM documents)", f"FROM documents WHERE {where})")
+    pct = lambda a, b: f"CAST(floor(100 * ({a}) / nullif({b}, 0)::DOUBLE * 1000 + 0.5) AS BIGINT)"
+    return f"""(WITH {cases}, per AS (SELECT belief, count(*) AS n FROM copied GROUP BY 1), hc AS (SELECT x.*, c.agent IS NOT NULL AS is_copy FROM holding x LEFT JOIN copied c ON c.belief = x.belief AND c.agent = x.agent),
+ m AS (SELECT {MEASURES}, (SELECT count(*) FROM hc WHERE NOT held_at_end OR gaps > 0) AS gone, (SELECT coalesce(sum(p_own), 0) FROM t) AS chance)
+ SELECT '{name}' AS era, beliefs, spread, copies, holdings, gone, widest, came_back, {pct("spread", "beliefs")} AS spread_pct, CAST(floor(copies / nullif(spread, 0)::DOUBLE * 1000 + 0.5) AS BIGINT) AS mean_others, {pct("within", "copies")} AS within_pct, {pct("chance", "copies")} AS expected_pct, {pct("gone", "holdings")} AS gone_pct, {pct("dropped", "holdings")} AS for_good_pct, {pct("by_copy - copies_at_end", "by_copy")} AS copies_for_good_pct, CAST(floor(lasting / nullif(holdings, 0)::DOUBLE * 1000 + 0.5) AS BIGINT) AS mean_kept, median_kept, median_gap FROM m)"""
+
+
+HALF = "(SELECT max(doc_id) // 2 FROM documents)"
+
+
+@query("q111_population_by_era", f"SELECT * FROM {_era_sql('early', f'doc_id < {HALF}')} UNION ALL SELECT * FROM {_era_sql('late', f'doc_id >= {HALF}')}")
+def population_by_era(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two populations side by side, each from the documents of its own era alone: shares, means and medians."""
+    end = table(spark, sf_dir, "documents").agg(F.max("doc_id")).first()[0] or 0
+    out = None
+    for name, era in (("early", Era(sf_dir, 0, end // 2)), ("late", Era(sf_dir, end // 2, end + 1))):
+        p = Population(spark, era)
+        came = p.tests().withColumn("p", F.col("p_own"))
+        row = P.shares(P.summary(p.facts, p.holdings, came.select("belief", "agent", "first_at"), came, written(p.returns())), p.holdings)
+        ratios = "spread_pct mean_others within_pct expected_pct gone_pct for_good_pct copies_for_good_pct mean_kept".split()
+        row = row.withColumns({c: scaled(F.col(c), 3) for c in ratios} | {c: scaled(F.col(c), 1) for c in ("median_kept", "median_gap")}).withColumn("era", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("q81_same_fact_pairs", f"WITH {FACTS}, {SAME} SELECT belief, h FROM same")
 def same_fact_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line that states the fact of a belief: candidates come from shared anchors, all of them."""

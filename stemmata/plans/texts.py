@@ -10,6 +10,7 @@ from ..functions.text import comparable, duration_text, local_link, quoted_in
 from ..operators.checks import contained, equal, predicate, report
 from ..operators.labels import weight
 from ..operators.quotes import holders
+from ..operators.temporal import previous
 from .lineage import COPY, copies
 from .registry import query
 from .relational import scaled
@@ -17,7 +18,7 @@ from .timeline import TRAIL, trail_status
 from .views import SNAP, STANCE, snapshot_keys, stances, table, texts
 
 MAIL = r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+(\.[A-Za-z0-9_-]+)+"
-CANDIDATE = r"@[a-z0-9_-]+\.|password|passcode|passwd|pwd|credential|secret|api[ _-]?key|token"
+CANDIDATE = r"@[^ \n\t.@]+\.|password|passcode|passwd|pwd|credential|secret|api[ _-]?key|token"
 WORD = r"(?i)\b(password|passcode|passwd|pwd|credential|secret|api[ _-]?key|access[ _-]?token|token)s?\b([^\n\"“”'']{0,25}?)([\"“''])([^\"”''\n]{4,})([\"”''])"
 
 
@@ -62,11 +63,9 @@ def case_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q50_check_report", f"WITH {SNAP}, {STANCE}, n AS ({TRAIL}), p AS (SELECT lag(minute) OVER (PARTITION BY agent ORDER BY k) AS before, minute FROM snap), c AS (SELECT 'order' AS name, count(*) FILTER (first_held <= last_held) AS ok, count(*) FILTER (coalesce(first_held > last_held, true)) AS failed FROM n WHERE first_held IS NOT NULL UNION ALL SELECT 'tiling', count(*) FILTER (before < minute), count(*) FILTER (NOT before < minute) FROM p WHERE before IS NOT NULL UNION ALL SELECT 'raw rows', count(*) FILTER (doc_id IS NOT NULL), count(*) FILTER (doc_id IS NULL) FROM (SELECT d.doc_id FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id) UNION ALL SELECT 'recount', count(*) FILTER (a IS NOT DISTINCT FROM b), count(*) FILTER (a IS DISTINCT FROM b) FROM (SELECT x.n AS a, y.n AS b FROM (SELECT source, count(*) AS n FROM documents GROUP BY 1) x FULL JOIN (SELECT agent, max(k) + 1 AS n FROM snap GROUP BY 1) y ON x.source = y.agent)) SELECT name, failed = 0 AS passed, ok, failed FROM c")
 def check_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     trail = trail_status(spark, sf_dir).where("first_held IS NOT NULL")
     keys = snapshot_keys(spark, sf_dir)
-    tiles = keys.withColumn("before", F.lag("minute").over(Window.partitionBy("agent").orderBy("k"))).where("before IS NOT NULL")
+    tiles = previous(keys, "agent", before="minute").where("before IS NOT NULL")
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     labels = table(spark, sf_dir, "labels").select("doc_id")
     told = keys.groupBy(F.col("agent").alias("source")).agg((F.max("k") + 1).alias("n"))
@@ -89,9 +88,7 @@ def final_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q59_links_durations", f"WITH {SNAP}, p AS (SELECT id, minute - lag(minute) OVER (PARTITION BY agent ORDER BY k) AS gap FROM snap) SELECT id, 'date=' || strftime((TIMESTAMP '2024-01-01' + id * INTERVAL 1 MINUTE) - INTERVAL 8 HOUR, '%Y-%m-%d') || '&t=' || epoch_ms(TIMESTAMP '2024-01-01' + id * INTERVAL 1 MINUTE) AS link, CASE WHEN gap < 90 THEN gap || ' min' WHEN gap < 2880 THEN CAST(floor(gap / 60.0 + 0.5) AS BIGINT) || ' h' ELSE CAST(floor(gap / 1440.0 + 0.5) AS BIGINT) || ' days' END AS took FROM p WHERE gap IS NOT NULL")
 def links_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    k = snapshot_keys(spark, sf_dir).withColumn("gap", F.col("minute") - F.lag("minute").over(Window.partitionBy("agent").orderBy("k"))).where("gap IS NOT NULL")
+    k = previous(snapshot_keys(spark, sf_dir), "agent", before="minute").withColumn("gap", F.col("minute") - F.col("before")).where("gap IS NOT NULL")
     at = F.timestamp_add("MINUTE", F.col("id"), F.lit("2024-01-01").cast("timestamp_ntz"))
     return k.select("id", local_link(at).alias("link"), duration_text(F.col("gap")).alias("took"))
 

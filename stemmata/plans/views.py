@@ -6,6 +6,8 @@ rolling memory that keeps and drops lines. chat: conversations. stances: events
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +16,21 @@ from ..operators.temporal import versions
 MEMORY = 3
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+@dataclass(frozen=True)
+class Era:
+    """A part of the time of the tables in a folder, in minutes: low <= time < high. Takes the place of the folder in any view of documents."""
+
+    folder: str
+    low: int
+    high: int
+
+
+def table(spark: SparkSession, sf_dir: str | Era, name: str) -> DataFrame:
+    """A table of the folder; of an era's documents only those written in it, a bound that the scan takes."""
+    if not isinstance(sf_dir, Era):
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.folder}/{name}.parquet")
+    return df.where((F.col("doc_id") >= sf_dir.low) & (F.col("doc_id") < sf_dir.high)) if name == "documents" else df
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -33,3 +33,22 @@ def dropped(df: DataFrame) -> None:
     """Deletes a table of written() that nothing reads any more."""
     path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_at)
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def swept(spark: SparkSession, hours: float = 24) -> int:
+    """Deletes what queries wrote to the shared folder and nobody has touched for `hours`; returns how many tables went.
+
+    A table of a query that is still read must be younger, so take more hours than the longest query.
+    """
+    from time import time
+
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    gone = 0
+    for name in ("tables", "rows", "facts"):
+        top = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}")
+        fs = top.getFileSystem(conf)
+        if fs.exists(top):
+            for f in fs.listStatus(top):
+                if f.getModificationTime() <= (time() - hours * 3600) * 1000:
+                    gone += bool(fs.delete(f.getPath(), True))
+    return gone

@@ -74,3 +74,46 @@ def test_command_line_arguments(spark):
         cli.narrowed(df.drop("belief"), trail, belief="1")
     minutes = spark.createDataFrame([(10,), (1440,)], "first_at long")
     assert cli.narrowed(minutes, cli.COMMANDS["holdings"], to="2024-01-01").count() == 1
+
+
+def test_scans_are_bounded_in_time(spark, small, capsys):
+    """--scan-from and --scan-to reach the scan: versions are numbered anew, and the bound is pushed down."""
+    from stemmata import cli
+    from stemmata.plans import catalog
+    from stemmata.plans.views import Era, snapshot_keys
+
+    assert cli.bounded("d", None, None) == "d"
+    assert cli.bounded("d", "2024-01-01T00:30:30", "2024-01-01T02:00") == Era("d", 31, 121)
+    assert cli.bounded("d", None, "2024-01-01") == Era("d", 0, 1440)
+    era = Era(small, 50, 150)
+    rows = snapshot_keys(spark, era).collect()
+    assert {r.minute for r in rows} == {r.doc_id for r in spark.read.parquet(f"{small}/documents.parquet").where("doc_id >= 50 AND doc_id < 150").collect()}
+    assert {r.agent: r.k for r in rows if r.k == 0}.keys() == {r.agent for r in rows}
+    assert "PushedFilters: [IsNotNull(doc_id), GreaterThanOrEqual(doc_id,50), LessThan(doc_id,150)]" in catalog.queries()["q23_belief_rollup_lead"](spark, era)._jdf.queryExecution().executedPlan().toString()
+    assert cli.main(["discover", "--data", small, "--rows", "1", "--scan-from", "2024-01-01T00:50", "--scan-to", "2024-01-01T02:29"]) == 0
+    assert len(capsys.readouterr().out.strip().split("\n")) == 1
+
+
+def test_old_tables_are_swept(spark, tmp_path):
+    from stemmata.sources import scratch
+
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
+    try:
+        kept = scratch.written(spark.range(3).toDF("x"))
+        assert scratch.swept(spark, hours=1) == 0 and kept.count() == 3
+        assert scratch.swept(spark, hours=-1) == 1 and list((tmp_path / "tables").iterdir()) == []
+        scratch.dropped(scratch.written(spark.range(2).toDF("x")))
+        assert list((tmp_path / "tables").iterdir()) == []
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")
+
+
+def test_chosen_claims(spark):
+    from stemmata.operators import labels
+
+    store = spark.createDataFrame([("h1", 0, "other text", "count", ["x"]), ("h1", 1, "has Alpha", "opinion", ["y"]), ("h2", 0, "first", "broken", []), ("h2", 1, "second", "count", None), ("h3", -1, None, None, None), ("h4", 0, "a", "done", ["b"])], "line_hash string, no int, text string, kind string, anchors array<string>")
+    beliefs = spark.createDataFrame([("b1", "h1", 9, ["alpha"]), ("b2", "h2", 5, ["none"]), ("b3", "h3", 7, ["x"]), ("b4", "h4", 5, []), ("b5", "h1", 4, ["X"])], "belief string, h string, lead long, terms array<string>")
+    got = [tuple(r) for r in labels.chosen_claims(beliefs, store, 2).collect()]
+    assert got == [("b2", 5, 0, "first", "broken"), ("b4", 5, 0, "a", "done")]  # the claim of b1 has its term, and is an opinion
+    assert [r.belief for r in labels.chosen_claims(beliefs, store, 9).collect()] == ["b2", "b4", "b5"]

@@ -100,7 +100,7 @@ def test_quotes(spark):
 
 
 def test_masked_pattern(spark):
-    df = spark.createDataFrame([("ask [person] (a+b)", "we ask Dana Q (a+b) now"), ("ask [person]!", "ask Dana")], "m string, r string")
+    df = spark.createDataFrame([("ask [person] (a+b)", "we ask Mirek Q (a+b) now"), ("ask [person]!", "ask Mirek")], "m string, r string")
     assert [r[0] for r in df.select(F.regexp_like("r", text.masked_pattern(F.col("m")))).collect()] == [True, False]
 
 
@@ -156,19 +156,19 @@ def test_pairing_equals_a_plain_greedy_match():
 
 
 def test_masking(spark):
-    cases = ['token = "abcd1234"', "mail a.b@c.de now", "call +1 555-123-4567 now", "pw Xy9!abcd$ ok", "hello Dana and DANA", "charity: thanks, for charity", "nothing here"]
-    f = lambda c: masking.mask(c, names={"Dana"}, everyday={"charity"})
+    cases = ['token = "abcd1234"', "mail a.b@c.de now", "call +1 555-123-4567 now", "pw Xy9!abcd$ ok", "hello Mirek and MIREK", "lantern: thanks, for lantern", "nothing here"]
+    f = lambda c: masking.mask(c, names={"Mirek"}, everyday={"lantern"})
     once = column(spark, f, *cases)
-    assert once == ['token = "[secret]"', "mail [email] now", "call [phone] now", "pw [secret] ok", "hello [person] and [person]", "[person]: thanks, for charity", "nothing here"]
+    assert once == ['token = "[secret]"', "mail [email] now", "call [phone] now", "pw [secret] ok", "hello [person] and [person]", "[person]: thanks, for lantern", "nothing here"]
     assert column(spark, f, *once) == once
 
 
 def test_handles_and_everyday_words(spark):
-    events = spark.createDataFrame([("USER_TALK", '{"speakerName":"Dana"}'), ("USER_TALK", '{"speakerName":"Opus"}'), ("USER_NAME_CHANGE", '{"newName":"only","oldName":"Al"}')], "action_type string, data string")
+    events = spark.createDataFrame([("USER_TALK", '{"speakerName":"Mirek"}'), ("USER_TALK", '{"speakerName":"Opus"}'), ("USER_NAME_CHANGE", '{"newName":"only","oldName":"Al"}')], "action_type string, data string")
     agents = spark.createDataFrame([("Claude Opus",)], "name string")
     got = masking.handles(events, agents)
-    assert {r.word for r in got.collect()} == {"Dana", "only"}
-    share = masking.lowercase_share(spark.createDataFrame([("only this only",), ("Dana",)], "t string"), "t", got)
+    assert {r.word for r in got.collect()} == {"Mirek", "only"}
+    share = masking.lowercase_share(spark.createDataFrame([("only this only",), ("Mirek",)], "t string"), "t", got)
     zipf = spark.createDataFrame([("only", 6.1), ("dana", 4.5)], "word string, zipf double")
     assert [r.word for r in masking.everyday_words(got, zipf, share).collect()] == ["only"]
 

@@ -101,3 +101,44 @@ def test_streaming_labels_each_line_once(spark, tmp_path):
         q.awaitTermination()
     assert sorted(r.h for r in spark.read.parquet(store).collect()) == ["a", "b0", "b1"]
 
+
+
+def test_versions_are_read_page_by_page(spark, tmp_path, monkeypatch):
+    """A partition for each agent; filters reach the pages; a failing call is made again."""
+    import json
+    import os
+    import sys
+
+    from pyspark.sql import functions as F
+
+    from stemmata.sources.versions_api import VersionsSource
+
+    rows = {"a": [(i, 10 * i, f"text {i}") for i in range(20)], "b": [(5, 1, "only")], "shaky": [(i, i, None) for i in range(4)], "none": []}
+    (tmp_path / "calls").mkdir()
+    (tmp_path / "rows.json").write_text(json.dumps(rows))
+    here = os.path.dirname(__file__)
+    factory = tmp_path / "stub_here.py"
+    factory.write_text(f"import os, sys\nos.environ['PAGED_STUB'] = {str(tmp_path)!r}\nsys.path.insert(0, {here!r})\nfrom paged_stub import connect\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    spark.sparkContext.addPyFile(str(factory))
+    spark.dataSource.register(VersionsSource)
+    read = lambda **o: spark.read.format("versions").options(client="stub_here:connect", pause="0.01", **o).load()
+    calls = lambda: {x.split("-")[0] for x in os.listdir(tmp_path / "calls")}
+    reset = lambda: [os.remove(tmp_path / "calls" / x) for x in os.listdir(tmp_path / "calls")]
+    got = {(r.agent, r.id, r["at"], r.text) for r in read().collect()}
+    assert got == {(a, *r) for a, rs in rows.items() for r in rs}
+    newest = read(newest="10").groupBy("agent").agg(F.min("id").alias("low"), F.count("*").alias("n")).collect()
+    assert {r.agent: (r.low, r.n) for r in newest} == {"a": (10, 10), "b": (5, 1), "shaky": (0, 4)}
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        reset()
+        some = read().where("agent = 'a' AND id >= 15 AND text <> 'text 17'")
+        assert sorted(r.id for r in some.collect()) == [15, 16, 18, 19]
+        assert calls() == {"a"} and len(os.listdir(tmp_path / "calls")) == 2  # two pages of three hold 14 to 19
+        reset()
+        assert read(newest="2").where("agent IN ('a', 'b') AND id > 18").count() == 1
+        assert calls() == {"a", "b"}
+        assert read().where("agent = 'a' AND agent = 'b'").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    sys.modules.pop("stub_here", None)
