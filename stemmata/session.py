@@ -13,9 +13,9 @@ _shipped: set[str] = set()
 
 
 def session(name: str = "stemmata", **conf: str) -> SparkSession:
-    """A session with the settings that the plans expect: UTC, adaptive execution, skew joins."""
+    """A session with the settings that the plans expect: UTC, adaptive execution, skew joins, filters pushed to Python sources."""
     builder = SparkSession.builder.appName(name)
-    for k, v in {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", **conf}.items():
+    for k, v in {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.python.filterPushdown.enabled": "true", **conf}.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
 

@@ -8,7 +8,7 @@ bound on the id ends a reading early, and `newest` is how many versions of an ag
     spark.dataSource.register(VersionsSource)
     spark.read.format("versions").option("client", "my_api:connect").option("newest", 10).load()
 
-Filters are pushed down where spark.sql.python.filterPushdown.enabled is set; elsewhere Spark applies them afterwards.
+Spark pushes filters down, and reads such a source at all, only with spark.sql.python.filterPushdown.enabled; session() sets it.
 """
 
 from __future__ import annotations

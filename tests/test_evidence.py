@@ -91,22 +91,18 @@ def test_scans_are_bounded_in_time(spark, small, capsys):
     assert {r.agent: r.k for r in rows if r.k == 0}.keys() == {r.agent for r in rows}
     assert "PushedFilters: [IsNotNull(doc_id), GreaterThanOrEqual(doc_id,50), LessThan(doc_id,150)]" in catalog.queries()["q23_belief_rollup_lead"](spark, era)._jdf.queryExecution().executedPlan().toString()
     assert cli.main(["discover", "--data", small, "--rows", "1", "--scan-from", "2024-01-01T00:50", "--scan-to", "2024-01-01T02:29"]) == 0
-    assert len(capsys.readouterr().out.strip().split("\n")) == 1
+    assert len(capsys.readouterr().out.strip().split("\n")) == 2  # names and one row
 
 
-def test_old_tables_are_swept(spark, tmp_path):
+def test_old_tables_are_swept(spark, tmp_path, monkeypatch):
     from stemmata.sources import scratch
 
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        kept = scratch.written(spark.range(3).toDF("x"))
-        assert scratch.swept(spark, hours=1) == 0 and kept.count() == 3
-        assert scratch.swept(spark, hours=-1) == 1 and list((tmp_path / "tables").iterdir()) == []
-        scratch.dropped(scratch.written(spark.range(2).toDF("x")))
-        assert list((tmp_path / "tables").iterdir()) == []
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")
+    monkeypatch.setattr(scratch, "shared_folder", lambda spark: f"file://{tmp_path}")
+    kept = scratch.written(spark.range(3).toDF("x"))
+    assert scratch.swept(spark, hours=1) == 0 and kept.count() == 3
+    assert scratch.swept(spark, hours=-1) == 1 and list((tmp_path / "tables").iterdir()) == []
+    scratch.dropped(scratch.written(spark.range(2).toDF("x")))
+    assert list((tmp_path / "tables").iterdir()) == []
 
 
 def test_chosen_claims(spark):
