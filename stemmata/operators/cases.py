@@ -16,10 +16,12 @@ def scopes(goals: DataFrame, asked: DataFrame, now: int, lead: int = LEAD, tail:
     """pattern, goal, low, high: for each asked pattern the first goal (goal, start, end in microseconds) that holds it, any case.
 
     The bounds reach `lead` days before its start and `tail` days past its end; a goal without an end lasts until `now`.
-    A pattern that no goal holds has null bounds, for the caller to refuse.
+    Of goals that start together the smaller name is first, then the earlier end. A pattern that no goal holds has null
+    bounds, for the caller to refuse.
     """
     met = asked.join(goals, F.contains(F.lower("goal"), F.lower("pattern")), "left")
-    first = met.groupBy("pattern").agg(F.min_by(F.struct("goal", "start", "end"), F.when(F.col("start").isNotNull(), F.struct("start", "goal"))).alias("x"))
+    order = F.struct(*[x for c in ("start", "goal", "end") for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))])  # nulls last
+    first = met.groupBy("pattern").agg(F.min_by(F.struct("goal", "start", "end"), order).alias("x"))
     return first.select("pattern", "x.goal", (F.col("x.start") - lead * DAY).alias("low"), F.when(F.col("x.start").isNotNull(), F.coalesce("x.end", F.lit(now)) + tail * DAY).alias("high"))
 
 

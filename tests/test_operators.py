@@ -398,3 +398,12 @@ def test_counts_before_slide_over_no_frame(spark):
     assert {(r.agent, r["at"]): r.before for r in out.collect()} == {("a", 5): {"p": 0, "q": 0}, ("b", 7): {"p": 1, "q": 0}, ("a", 32): {"p": 1, "q": 0}, ("b", 33): {"p": 0, "q": 1}}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "unboundedpreceding$(), -1" in plan and "-25, -1" not in plan
+
+
+def test_scopes_of_goals_that_start_together(spark):
+    from stemmata.operators import cases
+
+    d = cases.DAY
+    goals = spark.createDataFrame([("Low", 40 * d, None), ("Low", 40 * d, 50 * d), ("Low", 40 * d, 45 * d), ("lower", 40 * d, 41 * d)], "goal string, start long, end long").repartition(3)
+    got = cases.scopes(goals, spark.createDataFrame([("low",)], "pattern string"), 90 * d).first()
+    assert (got.goal, got.low, got.high) == ("Low", 37 * d, 66 * d)
