@@ -407,3 +407,27 @@ def test_scopes_of_goals_that_start_together(spark):
     goals = spark.createDataFrame([("Low", 40 * d, None), ("Low", 40 * d, 50 * d), ("Low", 40 * d, 45 * d), ("lower", 40 * d, 41 * d)], "goal string, start long, end long").repartition(3)
     got = cases.scopes(goals, spark.createDataFrame([("low",)], "pattern string"), 90 * d).first()
     assert (got.goal, got.low, got.high) == ("Low", 37 * d, 66 * d)
+
+
+def test_stating_lines_are_those_of_the_same_fact_rule(spark):
+    from stemmata.operators import population
+
+    rng = random.Random(7)
+    lines = {f"h{i}": rng.sample("abcdefghij", rng.randrange(0, 5)) for i in range(30)}
+    facts = [("f1", "h1", a) for a in "abc"] + [("f2", "h2", a) for a in "def"] + [("f3", "h3", "g")]
+    anchors = spark.createDataFrame([(h, a) for h, found in lines.items() for a in found], "h string, anchor string")
+    alike = [(h, b) for h in lines for b in ("h1", "h2", "h3") if h != b and rng.random() < 0.3]
+    f = spark.createDataFrame(facts, "belief string, h string, anchor string")
+    of, first = {}, {}
+    for b, h, a in facts:
+        of.setdefault(b, set()).add(a)
+        first[b] = h
+    n = lambda b, h: len(of[b] & set(lines[h]))
+    want = {(b, h) for b in of for h in lines if h == first[b] or n(b, h) >= 2 or (n(b, h) == 1 and (h, first[b]) in alike)}
+    same = spark.createDataFrame(alike, "a string, b string")
+    assert {tuple(r) for r in population.stating(f, anchors, same).collect()} == want
+    pairs = spark.createDataFrame([(b, h) for b in of for h in lines], "belief string, h string")
+    assert {tuple(r) for r in population.same_fact(pairs, f, anchors, same).collect()} == want
+    versions = spark.createDataFrame([("x", i // 3, h) for i, h in enumerate(lines)], "agent string, k long, h string")
+    got = {(r.belief, r.k) for r in population.stated(f, versions, anchors, same).collect()}
+    assert got == {(b, i // 3) for b in of for i, h in enumerate(lines) if (b, h) in want}
