@@ -23,8 +23,9 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = stances(spark, sf_dir)
     l = s.where("label = 'denies'").select(F.col("id").alias("line_id"), "agent", (F.col("us") - 12 * HOUR).alias("start"), F.col("us").alias("written"), F.col("belief").alias("about"))
     source = F.when(F.col("event_type") == "view", "turn").when(F.col("event_type") == "click", "human").when(F.col("event_type") == "signup", "session_summary").otherwise("chat")
-    i = s.select("id", "agent", F.col("us").alias("at"), source.alias("source"), F.concat(F.lit("u"), (F.col("id") % 3).cast("string")).alias("speaker"), "belief", F.repeat(F.lit("x"), (400 + (F.col("id") * 53) % 1600).cast("int")).alias("text"))
-    return E.in_window(l, i, 12 * HOUR)
+    i = s.select("id", "agent", F.col("us").alias("at"), source.alias("source"), F.concat(F.lit("u"), (F.col("id") % 3).cast("string")).alias("speaker"), "belief")
+    # texts are made after the join, so none is shuffled
+    return E.in_window(l, i, 12 * HOUR).withColumn("text", F.repeat(F.lit("x"), (400 + (F.col("id") * 53) % 1600).cast("int")))
 
 
 @query("q62_evidence_ranks", f"WITH {LINES}, {ITEMS}, p AS (SELECT l.line_id, i.*, l.belief AS about FROM l JOIN i ON i.agent = l.agent AND i.seen > l.start AND i.seen <= l.written), r AS (SELECT *, CASE WHEN belief = about AND source IN ('human', 'turn', 'search') THEN 0 WHEN belief = about AND NOT (source = 'chat' AND speaker = 'u0' OR source IN ('session_summary', 'consolidate')) THEN 1 WHEN belief % 5 = about % 5 AND source IN ('human', 'turn', 'search') THEN 2 WHEN source = 'human' THEN 3 WHEN source = 'chat' AND speaker <> 'u0' THEN 4 ELSE 5 END AS rank FROM p) SELECT rank, source, count(*) AS n, sum(least(size, 1200))::BIGINT AS chars FROM r GROUP BY 1, 2")

@@ -113,3 +113,11 @@ def test_chosen_claims(spark):
     got = [tuple(r) for r in labels.chosen_claims(beliefs, store, 2).collect()]
     assert got == [("b2", 5, 0, "first", "broken"), ("b4", 5, 0, "a", "done")]  # the claim of b1 has its term, and is an opinion
     assert [r.belief for r in labels.chosen_claims(beliefs, store, 9).collect()] == ["b2", "b4", "b5"]
+
+
+def test_windows_make_texts_after_the_join(spark, small):
+    """Items without texts are what the join shuffles and sorts."""
+    from stemmata.plans.evidence import windows
+
+    plan = windows(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("repeat(x") == 1 and plan.index("repeat(x") < plan.index("Join Inner")
