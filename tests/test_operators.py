@@ -431,3 +431,44 @@ def test_stating_lines_are_those_of_the_same_fact_rule(spark):
     versions = spark.createDataFrame([("x", i // 3, h) for i, h in enumerate(lines)], "agent string, k long, h string")
     got = {(r.belief, r.k) for r in population.stated(f, versions, anchors, same).collect()}
     assert got == {(b, i // 3) for b in of for i, h in enumerate(lines) if (b, h) in want}
+
+
+def test_spells_are_the_versions_that_hold(spark):
+    """Lives, presence, holdings and returns from documents equal those from the versions that hold their lines, and so few rows."""
+    import random
+
+    from stemmata.operators import population, spells
+
+    span, rng = 3, random.Random(5)
+    keys = [(1000 * a + 7 * k, f"s{a}", k, rng.randint(0, 40) + 100 * k) for a in range(3) for k in range(30)]
+    lines = {f"h{i}": rng.sample([f"w{j}" for j in range(8)], rng.choice([0, 1, 2])) for i in range(12)}
+    docs = [(i, h, lines[h]) for i, *_ in keys for h in rng.choices(sorted(lines), k=rng.choice([0, 1, 2]))]
+    ids = spark.createDataFrame(keys, "id long, agent string, k long, minute long").cache()
+    rows = spark.createDataFrame(docs, "id long, h string, anchors array<string>").join(spells.ahead(ids, span), "id").cache()
+    anchors = spark.createDataFrame([(h, w) for h, ws in lines.items() for w in ws], "h string, anchor string").cache()
+    k = ids.select("agent", "k", "minute")
+    versions = spells.versions(rows, "h").cache()
+    place = {i: (a, n) for i, a, n, _ in keys}
+    want = {(place[i][0], place[i][1] + o, h) for i, h, _ in docs for o in range(span) if place[i][1] + o < 30}
+    assert {tuple(r) for r in versions.collect()} == want
+    rows_of = lambda df, *c: sorted(df.select(*c).collect())
+    held = population.held(versions, anchors).cache()
+    lives, old = spells.anchor_lives(spells.said(rows)).cache(), population.anchor_lives(held).cache()
+    assert rows_of(lives, *old.columns) == rows_of(old, *old.columns)
+    births, born = spells.anchor_births(rows, lives, span), population.anchor_births(population.candidates(versions), anchors, old)
+    assert rows_of(births, *born.columns) == rows_of(born, *born.columns)
+    facts, before = spells.beliefs(births, lives).cache(), population.beliefs(born, k, old)
+    assert facts.count() > 3 and rows_of(facts, *before.columns) == rows_of(before, *before.columns)
+    index = population.presence(facts, held, k).cache()
+    got = spells.spells(facts, spells.said(rows)).cache()
+    assert got.count() < index.count()
+    every = got.select("belief", "agent", "k", F.posexplode("minutes").alias("i", "minute")).withColumn("k", F.col("k") + F.col("i"))
+    assert rows_of(every, *index.columns) == rows_of(index, *index.columns)
+    one, two = spells.holdings(got, k), population.holdings(index, k)
+    assert rows_of(one, *two.columns) == rows_of(two, *two.columns)
+    alike = spark.createDataFrame([("h1", "h2"), ("h3", "h4"), ("h5", "h0")], "a string, b string")
+    stating = spells.stating(spells.shared(facts, anchors), alike)
+    assert rows_of(stating, "belief", "h") == rows_of(population.stating(facts, anchors, alike), "belief", "h")
+    told = spells.stated(rows, stating)
+    one, two = spells.returns(got, k, told), population.returns(index, facts, versions, k, anchors, alike=alike)
+    assert two.count() > 3 and rows_of(one, *two.columns) == rows_of(two, *two.columns)
