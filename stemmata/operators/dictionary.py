@@ -1,13 +1,15 @@
 """Dictionaries of any size looked up in texts: names masked, and where each was found.
 
 A dictionary is a table of entries. It is cut into shards of bounded size; each is sent to the workers by broadcast, which
-build an Aho-Corasick automaton of it once and read every text in one pass, whatever the number of entries. Texts pass
-through the shards in turn and are never shuffled. An entry is found as a whole word in any case; of overlapping ones the
-first counts, of those that start together the longest, as a regular expression of all entries, longest first, would say.
+build an Aho-Corasick automaton of it and read a block of texts in one pass, whatever the number of entries. A block passes
+through the shards in turn, so a worker holds one automaton at a time; texts are never shuffled. An entry is found as a
+whole word in any case; of overlapping ones the first counts, of those that start together the longest, as a regular
+expression of all entries, longest first, would say.
 """
 
 from __future__ import annotations
 
+import pickle
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -17,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROOM = 4 << 20  # bytes of the entries of one shard
+BLOCK = 64 << 20  # bytes of the texts that pass through the shards together
 
 
 @lru_cache(maxsize=1 << 16)
@@ -80,30 +83,45 @@ def shards(words: DataFrame, word: str, room: int = ROOM) -> list:
     out = []
     for i in range(count):  # one bounded shard at a time reaches the driver
         part = entries.where(F.pmod(F.xxhash64("w"), F.lit(count)) == i)
-        out.append(spark.sparkContext.broadcast(sorted({folded(r[0]) for r in part.toLocalIterator()})))
+        out.append(spark.sparkContext.broadcast(pickle.dumps(sorted({folded(r[0]) for r in part.toLocalIterator()}))))  # bytes, which a worker keeps smaller than words
     return out
 
 
-def found(texts: DataFrame, text: str, words: DataFrame, word: str, room: int = ROOM) -> DataFrame:
+def found(texts: DataFrame, text: str, words: DataFrame, word: str, room: int = ROOM, block: int = BLOCK) -> DataFrame:
     """texts with _spans, an array of struct(start, end) in code points: the entries that a reader from left to right takes."""
     names = texts.columns
-    out = texts.withColumn("_spans", F.array().cast("array<struct<start:int,end:int>>"))
     at = names.index(text)
     given = shards(words, word, room)
-    for i, entries in enumerate(given):
-        last = i + 1 == len(given)
-
-        def run(batches: Iterator[pa.RecordBatch], entries=entries, last=last) -> Iterator[pa.RecordBatch]:
-            a = automaton(entries.value)
-            for b in batches:
-                spans = []
-                for t, before in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist()):
-                    every = [(s["start"], s["end"]) for s in before] + occurrences(a, t or "")
-                    spans.append([{"start": s, "end": e} for s, e in (first_longest(every) if last else every)])
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(spans, b.schema.field(len(names)).type)], schema=b.schema)
-
-        out = out.mapInArrow(run, out.schema)
-    return out
+    shape = texts.withColumn("_spans", F.array().cast("array<struct<start:int,end:int>>")).schema
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None  # the automaton of an only shard is built once
+
+        def read(part: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            nonlocal kept
+            every: list[list[list[tuple[int, int]]]] = [[[] for _ in range(b.num_rows)] for b in part]
+            for entries in given:
+                a = kept or automaton(pickle.loads(entries.value))
+                for b, spans in zip(part, every):
+                    for t, s in zip(b.column(at), spans):
+                        s += occurrences(a, t.as_py() or "")
+                kept = a if len(given) == 1 else None
+                del a
+            for b, spans in zip(part, every):
+                shown = [[{"start": s, "end": e} for s, e in first_longest(x)] for x in spans]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shown, kind)], [*names, "_spans"])
+
+        part, size = [], 0
+        for b in batches:
+            part.append(b)
+            size += b.nbytes
+            if size >= block or len(given) == 1:
+                yield from read(part)
+                part, size = [], 0
+        yield from read(part)
+
+    return texts.mapInArrow(run, shape)
 
 
 def masked(texts: DataFrame, text: str, words: DataFrame, word: str, by: str = "[person]", room: int = ROOM) -> DataFrame:

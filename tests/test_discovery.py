@@ -236,3 +236,14 @@ def test_a_million_names(spark):
     got = dictionary.masked(texts, "text", words, "w").collect()
     assert len(got) == 400 and all(r.masked == (1 if r.id * 5000 < 1_000_000 else 0) for r in got)
     assert all((re.search(r"\[person\]", r.text) is not None) == (r.id < 200) for r in got)
+
+
+def test_one_automaton_at_a_time(spark):
+    """Many shards are one pass over blocks of texts, not a chain of workers that each keep an automaton."""
+    words = spark.createDataFrame([(f"name{i}x",) for i in range(40)], "w string")
+    df = spark.createDataFrame([(i, f"name{i}x and name{i + 1}x, xname{i}x") for i in range(30)], "id int, text string").coalesce(2)
+    spans = dictionary.found(df, "text", words, "w", room=50, block=40)
+    plan = spans._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    whole = dictionary.found(df, "text", words, "w")
+    assert sorted(spans.collect()) == sorted(whole.collect()) and {len(r._spans) for r in spans.collect()} == {2}
