@@ -50,3 +50,13 @@ def test_units_of_texts_equal_sql(spark, tmp_path, equal):
     docs = [(1, "7844238401328224 token, 12 file, 3 pages, 5 page"), (2, "0 seat 1 seat 2/2 6/7 $12 249.53.94.59 ch"), (3, None)]
     folder, c = made(spark, tmp_path, {"documents": (docs, "doc_id long, text string"), "customer": ([(i,) for i in range(50)], "c_custkey long")})
     equal(catalog.queries()["q92_numeric_specific"](spark, folder), c.sql(SQL["q92_numeric_specific"]).df())
+
+
+def test_sections_shuffle_no_text(spark, small):
+    """What meets in a document's window are places and headings, not lines."""
+    nodes = [catalog.queries()["q18_section_ffill"](spark, small)._jdf.queryExecution().optimizedPlan()]
+    for node in nodes:
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    window = next(n for n in nodes if n.nodeName() == "Window")
+    below = window.children().apply(0).output()
+    assert sorted(below.apply(i).name() for i in range(below.size())) == ["head", "id", "kept", "pos"]
