@@ -472,3 +472,5 @@ def test_spells_are_the_versions_that_hold(spark):
     told = spells.stated(rows, stating)
     one, two = spells.returns(got, k, told), population.returns(index, facts, versions, k, anchors, alike=alike)
     assert two.count() > 3 and rows_of(one, *two.columns) == rows_of(two, *two.columns)
+    late = spells.anchor_lives(spells.said(spells.since(rows, 5)))
+    assert rows_of(late, *old.columns) == rows_of(population.anchor_lives(held.where("k >= 5")), *old.columns)
