@@ -229,6 +229,37 @@ def test_similar_lines_equal_brute_force(spark):
     assert similarity.similar(df.limit(0), spark.createDataFrame([], "h string")).count() == 0
 
 
+@pytest.mark.parametrize("tile", [40, 1 << 22])
+def test_similar_lines_in_blocks_of_any_size(spark, tile):
+    from stemmata.operators import similarity
+
+    rng = random.Random(31)
+    pool = [f"w{i}" * (1 + i % 3) for i in range(40)]
+    lines = {f"h{i:02}": " ".join(rng.choices(pool, [1 / (1 + i) for i in range(40)], k=rng.randrange(1, 9))) for i in range(40)}
+    asked = sorted(lines)[::2]
+    df = spark.createDataFrame(list(lines.items()), "h string, line string")
+    some = spark.createDataFrame([(h,) for h in asked], "h string")
+    want = {}
+    for a in lines:
+        for b in asked:
+            x, y = set(lines[a].split()), set(lines[b].split())
+            shared, short = sum(len(t) + 1 for t in x & y), min(sum(len(t) + 1 for t in s) for s in (x, y))
+            if a != b and shared and 140 * (shared - 1) >= 60 * (short - 1):
+                want[a, b] = round(200 * (shared - 1) / (shared + short - 2), 9)
+    got = [(r.a, r.b, round(r.score, 9)) for r in similarity.similar(df, some, tile=tile).collect()]
+    assert len(got) == len(want) and {(a, b): s for a, b, s in got} == want
+
+
+def test_similar_lines_meet_by_their_first_words_alone(spark):
+    """No join has all words on both sides: frequent ones would make all pairs."""
+    from stemmata.operators import similarity
+
+    df = spark.createDataFrame([("a", "the of"), ("b", "of it")], "h string, line string")
+    rows = similarity.ranked(similarity.words(df))
+    plan = similarity.candidates(rows, df.select("h"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner, (token") >= 2 and "CASE WHEN (_sa" not in plan
+
+
 def test_multiset_diff(spark):
     rows = [("a", 0, x) for x in "ppqr"] + [("a", 1, x) for x in "pqqs"]
     got = lineage.multiset_diff(spark.createDataFrame(rows, "agent string, k long, line string")).where("k = 1").collect()
