@@ -505,3 +505,23 @@ def test_spells_are_the_versions_that_hold(spark):
     assert two.count() > 3 and rows_of(one, *two.columns) == rows_of(two, *two.columns)
     late = spells.anchor_lives(spells.said(spells.since(rows, 5)))
     assert rows_of(late, *old.columns) == rows_of(population.anchor_lives(held.where("k >= 5")), *old.columns)
+
+
+def test_births_look_at_no_document_before(spark):
+    """The lines that begin an anchor are found in the one pass that its lives take, and are those of the two relations before."""
+    from stemmata.operators import spells
+
+    rng = random.Random(9)
+    lines = {f"h{i}": rng.sample([f"w{j}" for j in range(9)], rng.choice([0, 1, 2, 3])) for i in range(14)}
+    ids = spark.createDataFrame([(100 * a + k, f"s{a}", k, rng.randint(0, 9) + 10 * k) for a in range(3) for k in range(25)], "id long, agent string, k long, minute long")
+    docs = spark.createDataFrame([(100 * a + k, h, lines[h]) for a in range(3) for k in range(25) for h in rng.choices(sorted(lines), k=rng.choice([0, 1, 3]))], "id long, h string, anchors array<string>")
+    rows = docs.join(spells.ahead(ids, 3), "id").select("agent", "k", "minutes", "h", "anchors").cache()
+    firsts, lives = spells.anchor_firsts(rows), spells.anchor_lives(spells.said(rows))
+    births = spells.anchor_births(rows, lives, 3)
+    of = lambda df, *c: sorted(map(tuple, df.select(*c).collect()))
+    assert of(firsts, *lives.columns) == of(lives, *lives.columns)
+    assert of(firsts.where("first_k > 0").withColumnRenamed("first_k", "k"), *births.columns) == of(births, *births.columns)
+    facts, old = spells.named(spells.first_births(firsts)), spells.beliefs(births, lives)
+    assert of(facts, *old.columns) == of(old, *old.columns) != []
+    plan = facts._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan.split("InMemoryRelation")[0]
