@@ -228,3 +228,28 @@ def test_hash_sample_ignores_partitioning(spark):
     df = spark.range(200).select((F.col("id") % 3).alias("s"), "id")
     take = lambda d: sorted((r.s, r.id) for r in agreement.hash_sample(d, ["s"], "id", 5, 1).collect())
     assert take(df) == take(df.repartition(7)) and Counter(s for s, _ in take(df)) == {0: 5, 1: 5, 2: 5}
+
+
+def test_token_set_ratio_compares_the_rests_alone():
+    """What two lines share begins both strings, so only the rests are compared: the value is that of the whole strings."""
+    import random
+
+    from stemmata.functions import fuzzy
+
+    rng, asked = random.Random(4), []
+    plain, fuzzy.common_length = fuzzy.common_length, lambda a, b: asked.append((a, b)) or plain(a, b)
+    try:
+        for _ in range(400):
+            x, y = (" ".join("".join(rng.choices("abé", k=rng.randrange(1, 5))) for _ in range(rng.randrange(0, 9))) for _ in range(2))
+            got, n = fuzzy.token_set_ratio(x, y), len(asked)
+            s, t = set(x.split()), set(y.split())
+            both = " ".join(sorted(s & t))
+            rest = [" ".join(sorted(s - t)), " ".join(sorted(t - s))]
+            full = [f"{both} {r}".strip() for r in rest]
+            ratio = lambda a, b: 200.0 * plain(a, b) / (len(a) + len(b))
+            want = 0.0 if not s or not t else 100.0 if both and not all(rest) else max([ratio(*full)] + [ratio(both, f) for f in full if both])
+            assert got == want
+            assert all(a in rest and b in rest for a, b in asked[:n])
+            asked.clear()
+    finally:
+        fuzzy.common_length = plain
