@@ -1,19 +1,21 @@
 """HTML extraction: structural blocks, then differencing against the page with the nearest URL.
 
-A page is cut into text lines, one for each block. Lines in menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments go by their elements. All other lines are the page's, and those that stand in its
-article (article or main) are safe. Pages that have unsafe lines are sorted by URL path within their host, each is
-aligned with the nearer of such pages before and after it by longest common subsequence, and its unsafe shared lines
-are deleted. One article at two addresses is told by the lines that the page doesn't share with its other neighbour: if
-the nearer has over `copy_share` of them, the other neighbour is taken; see difference().
-
-Safe lines are needed because two articles may quote the same passage. Pages without unsafe lines are no neighbours:
-all that differencing could find in them is such a passage.
-
-Neighbours are found on line hashes alone, texts stay where they are: distinct pages (host, path, key, url, hashes of
-lines) are dealt out in ranges of that order, so a large host or one path with many pages spreads over tasks, and every
-range gets the last page of the range before and the first of the range after, so no page loses a neighbour. The table's
-size decides nothing. Deleted lines then meet their page by an equality join.
+A page is cut into text lines, one for each block, scripts and styles left out. Lines in menus, headers, footers,
+sidebars, notices, adverts, forms and reader comments are chrome by their elements, those in the article (article or main)
+are safe, all others are open. Pages are sorted by URL path within their host, each is aligned with the nearer of the pages
+before and after it by longest common subsequence, and its shared lines that are not safe are deleted. One article at two
+addresses is told by the lines that the page doesn't share with its other neighbour: if the nearer has over `copy_share` of
+them, the other neighbour is taken; see deleted(). What chrome is left, a page's own menu or footer, goes by its elements.
+
+Every page is differenced, in one of two series. Pages with open lines are neighbours of each other by their open and safe
+lines: there the alignment alone decides. Pages without are neighbours of each other by all their lines, chrome included:
+an article that says where it stands tells one that doesn't nothing about its template. Safe lines are needed because two
+articles may quote the same passage.
+
+Neighbours are found on line hashes alone: distinct pages (host, path, key, hashes of lines) are dealt out in ranges of that
+order, so a large host or one path with many pages spreads over tasks, and every range gets the last page of the range
+before and the first of the range after, so no page loses a neighbour. The table's size decides nothing. Pages are cut a
+second time, rather than kept on disk meanwhile, to meet their deleted lines by an equality join.
 
 Defined results: a null or empty page has empty text; a null url pairs among null urls; ties in nearness go to the page
 before; repeated rows (key, url, text) count once as neighbours and each give a row; very long pages are read in linear
@@ -151,7 +153,7 @@ class Element:
 
 
 class Outline:
-    """The text lines of a page, each with whether it is safe: in an article.
+    """The text lines of a page, each with whether it is safe: in an article. `every` has those of chrome as well, marked None.
 
     Open elements are a stack. `names` counts them by name since the innermost article, so a stray end tag costs one look;
     `blocks` holds the places of those that are not inline, so an implied end costs one look as well; `frames` counts body and html.
@@ -163,27 +165,39 @@ class Outline:
         self.chrome = self.walled = self.readers = self.hard = 0  # open elements of a kind; walled: chrome that has an end tag; hard: chrome that isn't soft
         self.swallowed = False  # an article stood in chrome other than reader comments
         self.lines: list[tuple[str, bool]] = []
+        self.every: list[tuple[str, bool | None]] = []
         self.buffer: list[str] = []
+        self.aside: list[str] = []  # text of chrome; inline chrome doesn't cut the line that it stands in
         for i, (kind, value, attributes) in enumerate(given):
             if kind == "text":
-                if not self.chrome:
-                    self.buffer.append(entities.unescape(value) if "&" in value else value)
+                (self.aside if self.chrome else self.buffer).append(entities.unescape(value) if "&" in value else value)
                 continue
-            if value not in INLINE and not self.chrome:
-                self._flush()
+            if value not in INLINE:
+                if not self.chrome:
+                    self._flush()
+                self._flush_aside()
             if kind == "close":
                 self._end(value)
             elif value not in VOID:
                 self._start(value, attributes, i in closed, release, bool(release and closed.get(i)))
         self._flush()
+        self._flush_aside()
 
     def _flush(self) -> None:
         if self.buffer:
             line = " ".join("".join(self.buffer).split())
             if line:
                 self.lines.append((line, bool(self.articles)))
+                self.every.append(self.lines[-1])
             self.buffer.clear()
 
+    def _flush_aside(self) -> None:
+        if self.aside:
+            line = " ".join("".join(self.aside).split())
+            if line:
+                self.every.append((line, None))
+            self.aside.clear()
+
     def _pop(self, index: int) -> None:
         while len(self.stack) > index:
             e = self.stack.pop()
@@ -247,15 +261,26 @@ class Outline:
         self.hard += chrome and not soft
 
 
-def lines_of(page: str | None) -> list[tuple[str, bool]]:
-    """The lines of a page that are not chrome, each with whether it stands in an article."""
+def outline(page: str | None) -> Outline:
     given = list(tokens(page or ""))
     closed = _closed(given)
     out = Outline(given, closed)
     if out.swallowed and not any(safe for _, safe in out.lines):  # the page's article, if it has one, stands in such an element
         inner = Outline(given, closed, release=1)
         out = inner if any(safe for _, safe in inner.lines) else out
-    return out.lines if out.lines or not out.swallowed else Outline(given, closed, release=2).lines
+    return out if out.lines or not out.swallowed else Outline(given, closed, release=2)
+
+
+def lines_of(page: str | None) -> list[tuple[str, bool]]:
+    """The lines of a page that are not chrome, each with whether it stands in an article."""
+    return outline(page).lines
+
+
+def compared(page: str | None) -> tuple[list[tuple[str, bool | None]], bool]:
+    """The lines that a page is differenced by, each with whether it is safe, None for chrome; and whether the page has open lines."""
+    out = outline(page)
+    shown = not all(safe for _, safe in out.lines)
+    return out.lines if shown else out.every, shown
 
 
 def _rows(a: list, b: list) -> Iterator[int]:
@@ -338,9 +363,9 @@ def _hashes(lines: list[str]) -> list[int]:
 
 
 def alignments(pages: DataFrame, copy_share: float = 0.8) -> DataFrame:
-    """_key, _url, _sign, gone: the deleted line indices of the distinct pages (_host, _path, _key, _url, _sign, _hash, _safe) that lose any."""
-    names = ["_host", "_path", "_key", "_url", "_sign", "_hash", "_safe"]
-    order = ["_host", "_path", "_key", "_sign"]
+    """_key, _sign, gone: the deleted line indices of the distinct pages (_shown, _host, _path, _key, _sign, _hash, _safe) that lose any. _shown: the series of a page."""
+    names = ["_shown", "_host", "_path", "_key", "_sign", "_hash", "_safe"]
+    order = ["_shown", "_host", "_path", "_key", "_sign"]
     place, row = F.struct(*order), F.struct(*names)
     ranges = saved(pages.select(*names).distinct().repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     ends = ranges.groupBy("_part").agg(F.min_by(row, place).alias("first"), F.max_by(row, place).alias("last"))  # two pages a range
@@ -354,13 +379,13 @@ def alignments(pages: DataFrame, copy_share: float = 0.8) -> DataFrame:
         before = page = kinds = None
 
         def row(prev, own, after):
-            near = [x for x in (prev, after) if x is not None and x[:2] == own[:2]]
-            near = [x[6] for x in sorted(near, key=lambda x: -nearness(x[2] or "", own[2] or ""))] + [None, None]
+            near = [x for x in (prev, after) if x is not None and x[:3] == own[:3]]
+            near = [x[6] for x in sorted(near, key=lambda x: -nearness(x[3] or "", own[3] or ""))] + [None, None]
             gone = deleted(own[6], own[7], near[0], near[1], copy_share)
-            return [(own[3], own[4], own[5], gone)] if gone else []
+            return [(own[4], own[5], gone)] if gone else []
 
         def table(rows) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((kinds, pa.string(), pa.int64(), pa.list_(pa.int32())))], ["_key", "_url", "_sign", "gone"])
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((kinds, pa.int64(), pa.list_(pa.int32())))], ["_key", "_sign", "gone"])
 
         for b in batches:
             kinds, rows = b.schema.field("_key").type, []
@@ -373,40 +398,42 @@ def alignments(pages: DataFrame, copy_share: float = 0.8) -> DataFrame:
             yield table(row(before, page, None))
 
     kind = pages.schema["_key"].dataType.simpleString()
-    return dealt.select("_part", *names, "_guest").mapInArrow(run, f"_key {kind}, _url string, _sign long, gone array<int>")
+    return dealt.select("_part", *names, "_guest").mapInArrow(run, f"_key {kind}, _sign long, gone array<int>")
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", copy_share: float = 0.8) -> DataFrame:
     """key, url, text, n_chars: a row for each row of pages."""
     kind = pages.schema[key].dataType.simpleString()
-    host, path = parts(F.col(url))
-    asked = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"), host.alias("_host"), path.alias("_path"), F.col(html).alias("_html"))
-    # a closing slash and a file ending say nothing about nearness
-    asked = asked.withColumn("_path", F.regexp_replace("_path", r"/+$|\.[A-Za-z0-9]{1,5}$", ""))
+    asked = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"), F.col(html).alias("_html"))
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def signed(b: pa.RecordBatch) -> Iterator[tuple[list[tuple[str, bool | None]], bool, int]]:
+        for at, page in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            lines, shown = compared(page)
+            yield lines, shown, xxhash.xxh64_intdigest("\n".join(["" if at is None else f"<{at}>", *(x for x, _ in lines)])) - (1 << 63)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lines, shown, sign = zip(*signed(b)) if len(b) else ((), (), ())
+            hashes, safe = [_hashes([x for x, _ in page]) for page in lines], [[bool(s) for _, s in page] for page in lines]
+            arrays = pa.array(shown, pa.bool_()), pa.array(sign, pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(safe, pa.list_(pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], *arrays], ["_key", "_url", "_shown", "_sign", "_hash", "_safe"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [lines_of(x) for x in b.column(4).to_pylist()]
-            lines = [[x for x, _ in page] for page in found]
-            safe = [[s for _, s in page] for page in found]
-            # a page whose lines are all safe loses none and needs no hashes
-            hashes = [[] if all(s) else _hashes(x) for x, s in zip(lines, safe)]
-            sign = [xxhash.xxh64_intdigest("\n".join(x)) - (1 << 63) for x in lines]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:4], pa.array(sign, pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array([[] if not h else s for h, s in zip(hashes, safe)], pa.list_(pa.bool_())), pa.array(lines, pa.list_(pa.string()))],
-                ["_key", "_url", "_host", "_path", "_sign", "_hash", "_safe", "_lines"],
-            )
-
-    shape = f"_key {kind}, _url string, _host string, _path string, _sign long, _hash array<long>, _safe array<boolean>, _lines array<string>"
-    parsed = saved(asked.mapInArrow(parse, shape))
-    whole = parsed.where("size(_hash) = 0").select("_key", "_url", F.array_join("_lines", "\n").alias("text"))
-    open_ = parsed.where("size(_hash) > 0")
-    gone = alignments(open_.drop("_lines"), copy_share)
-    a, g = open_.select("_key", "_url", "_sign", "_lines"), gone.toDF("_k", "_u", "_s", "gone")
-    met = a.join(g, F.col("_key").eqNullSafe(F.col("_k")) & F.col("_url").eqNullSafe(F.col("_u")) & (F.col("_sign") == F.col("_s")), "left")
+            lines, _, sign = zip(*signed(b)) if len(b) else ((), (), ())
+            own = [[None if s is None else x for x, s in page] for page in lines]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(sign, pa.int64()), pa.array(own, pa.list_(pa.string()))], ["_key", "_url", "_sign", "_lines"])
+
+    host, path = parts(F.col("_url"))
+    seen = asked.mapInArrow(hashed, f"_key {kind}, _url string, _shown boolean, _sign long, _hash array<long>, _safe array<boolean>").where("size(_hash) > 0")
+    # a closing slash and a file ending say nothing about nearness
+    seen = seen.withColumns({"_host": host, "_path": F.regexp_replace(path, r"/+$|\.[A-Za-z0-9]{1,5}$", "")})
+    g = alignments(seen, copy_share).toDF("_k", "_s", "gone")
+    a = asked.mapInArrow(cut, f"_key {kind}, _url string, _sign long, _lines array<string>")  # a line of chrome is null: it goes, shared or not
+    met = a.join(g, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_sign") == F.col("_s")), "left")
     left = F.when(F.col("gone").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda _, i: ~F.array_contains("gone", i)))
-    cut = met.select("_key", "_url", F.array_join(left, "\n").alias("text"))
-    return whole.unionByName(cut).select(F.col("_key").alias(key), F.col("_url").alias("url"), "text", F.char_length("text").cast("long").alias("n_chars"))
+    text = met.select("_key", "_url", F.array_join(left, "\n").alias("text"))
+    return text.select(F.col("_key").alias(key), F.col("_url").alias("url"), "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -411,6 +411,19 @@ def test_pages_without_articles_equal_brute_force(spark):
     assert sum(want[i] != "\n".join(p[2]) for i, p in parsed.items()) > 60
 
 
+def test_pages_of_articles_are_differenced_too(spark, small):
+    """Menus that neighbours share are found by the alignment, not passed over because every other line stands in an article."""
+    rows = [(i, f"http://h.org/a/{i}", page(f"<article><p>Quoted<p>own {i}</article>", f"<div class=related>more {i}</div>")) for i in range(4)]
+    lines, shown = htmltext.compared(rows[0][2])
+    assert not shown and lines == [("Home", None), ("Buy", None), ("now", None), ("Quoted", True), ("own 0", True), ("© site", None), ("more 0", None)]
+    hashed = [(False, "h.org", r[1], r[0], r[0], htmltext._hashes([x for x, _ in htmltext.compared(r[2])[0]]), [bool(s) for _, s in htmltext.compared(r[2])[0]]) for r in rows]
+    df = spark.createDataFrame(hashed, "_shown boolean, _host string, _path string, _key long, _sign long, _hash array<long>, _safe array<boolean>")
+    assert {r._key: r.gone for r in htmltext.alignments(df).collect()} == {i: [0, 1, 2, 5] for i in range(4)}
+    assert {r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {f"Quoted\nown {i}" for i in range(4)}
+    given = spark.read.parquet(f"{small}/pages.parquet").limit(20).collect()
+    assert all(htmltext.compared(r.html)[0] for r in given)
+
+
 def test_text_does_not_depend_on_the_size_of_the_table(spark):
     few = [(i, f"http://s.org/d/{i:04}", bare("Top", f"own {i}", "Foot")) for i in range(20)]
     many = few + [(i, f"http://s.org/d/{i:04}", bare("Top", f"own {i}", "Foot")) for i in range(20, 2000)]
