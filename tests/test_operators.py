@@ -503,6 +503,14 @@ def test_spells_are_the_versions_that_hold(spark):
     told = spells.stated(rows, stating)
     one, two = spells.returns(got, k, told), population.returns(index, facts, versions, k, anchors, alike=alike)
     assert two.count() > 3 and rows_of(one, *two.columns) == rows_of(two, *two.columns)
+    met = spells.traced(facts.withColumn("h", F.hex("h")), rows.select(F.explode("anchors").alias("anchor"), "agent", "k", "minutes", F.encode("h", "UTF-8").alias("h"))).cache()
+    assert rows_of(met, *got.columns) == rows_of(got, *got.columns)
+    close = lambda pairs: pairs.distinct().join(alike.select(F.lower(F.hex("a")).alias("a"), F.hex("b").alias("b")), ["a", "b"])
+    assert met.where("late AND lines IS NOT NULL").count() and met.where("late AND sure").count()
+    one, two = spells.copies(met, close), population.copies(population.holdings(index, k), facts, versions, k, anchors, alike=alike)
+    assert two.count() > 3 and rows_of(one, *two.columns) == rows_of(two, *two.columns)
+    one, two = spells.told_again(met, k, close), population.returns(index, facts, versions, k, anchors, alike=alike)
+    assert rows_of(one, *two.columns) == rows_of(two, *two.columns)
     late = spells.anchor_lives(spells.said(spells.since(rows, 5)))
     assert rows_of(late, *old.columns) == rows_of(population.anchor_lives(held.where("k >= 5")), *old.columns)
 
