@@ -49,15 +49,15 @@ def forest(links: DataFrame) -> DataFrame:
     outside = links.where("parent IS NOT NULL").select("belief", F.col("parent").alias("agent")).distinct().join(links.select("belief", "agent"), ["belief", "agent"], "left_anti")
     open_ = links.join(loops, ["belief", "agent"], "left").select("belief", "agent", F.when(F.col("_loop").isNull(), F.col("parent")).alias("parent"))
     every = written(open_.unionByName(outside.withColumn("parent", F.lit(None).cast(links.schema["parent"].dataType))))
-    far = written(every.select("belief", "agent", F.coalesce("parent", "agent").alias("root"), F.col("parent").isNotNull().cast("int").alias("depth")))
+    far = written(every.where("parent IS NOT NULL").select("belief", "agent", F.col("parent").alias("root"), F.lit(1).alias("depth")))  # what has no parent stays where it is
     total = lambda t: t.agg(F.sum("depth")).first()[0]
     n = total(far)
     while n:
         ahead = far.select("belief", F.col("agent").alias("root"), F.col("root").alias("_root"), F.col("depth").alias("_depth"))
-        further = written(far.join(ahead, ["belief", "root"]).select("belief", "agent", F.col("_root").alias("root"), (F.col("depth") + F.col("_depth")).alias("depth")))
+        further = written(far.join(ahead, ["belief", "root"], "left").select("belief", "agent", F.coalesce("_root", "root").alias("root"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth")))
         dropped(far)
         far, before = further, n
         n = total(far)
         if n == before:
             break
-    return every.join(far, ["belief", "agent"])
+    return every.join(far, ["belief", "agent"], "left").withColumns({"root": F.coalesce("root", "agent"), "depth": F.coalesce("depth", F.lit(0))})

@@ -85,6 +85,17 @@ def folded_tree(parents):
     return out
 
 
+def test_forest_rounds_carry_only_links(spark, monkeypatch):
+    """Holders without a parent, nearly all, are in no round of pointer jumping."""
+    rows = [("b", f"a{i}", None) for i in range(40)] + [("b", "x1", "a0"), ("b", "x2", "x1"), ("b", "x3", "x2")]
+    sizes, write = [], spread.written
+    monkeypatch.setattr(spread, "written", lambda df: (sizes.append((set(df.columns), df.count())), write(df))[1])
+    got = {r.agent: (r.root, r.depth) for r in spread.forest(spark.createDataFrame(rows, "belief string, agent string, parent string")).collect()}
+    assert got == {f"a{i}": (f"a{i}", 0) for i in range(40)} | {"x1": ("a0", 1), "x2": ("a0", 2), "x3": ("a0", 3)}
+    rounds = [n for columns, n in sizes if "depth" in columns]
+    assert len(rounds) > 2 and max(rounds) == 3
+
+
 def test_forest_equals_the_fold(spark):
     rng = random.Random(4)
     beliefs = {}
