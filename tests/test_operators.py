@@ -260,6 +260,43 @@ def test_similar_lines_meet_by_their_first_words_alone(spark):
     assert plan.count("Join Inner, (token") >= 2 and "CASE WHEN (_sa" not in plan
 
 
+def test_blocks_of_similar_lines_are_not_shuffled(spark):
+    """Every block of lines meets every block of asked lines; only the lines themselves are written, once a side."""
+    from stemmata.operators import similarity
+
+    rng = random.Random(44)
+    lines = {f"h{i:03}": " ".join(f"w{rng.randrange(90)}" for _ in range(rng.randrange(1, 30))) for i in range(200)}
+    df = spark.createDataFrame(list(lines.items()), "h string, line string")
+    rows = similarity.sets(df, df.select("h").where("h < 'h100'")).cache()
+    words = rows.agg(F.sum(F.size("tokens"))).first()[0]
+    made = similarity.cells(rows, tile=words // 10)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    blocks = made.select("every.block", F.size("every.h").alias("n")).distinct()
+    assert made.count() >= 5 * 10 and blocks.agg(F.sum("n")).first()[0] == len(lines)
+
+
+@pytest.mark.parametrize("slack", [1, 16, 60])
+def test_sets_alike_whatever_the_slack(slack):
+    import numpy as np
+
+    from stemmata.functions.overlap import Block, Sets
+
+    rng = random.Random(slack)
+    weight = {t: rng.choice([2, 3, 5, 9, 14, 70, 900]) for t in range(120)}
+    made = [[sorted(set(rng.choices(range(120), [1 / (1 + t) for t in range(120)], k=rng.choice([1, 2, 3, 9, 40])))) for _ in range(80)] for _ in "ab"]
+    a, b = (Sets.of(np.array([t for s in side for t in s]), np.array([weight[t] for s in side for t in s]), np.array([len(s) for s in side])) for side in made)
+    size = lambda s: sum(weight[t] for t in s)
+    want = {}
+    for i, x in enumerate(made[0]):
+        for j, y in enumerate(made[1]):
+            shared, sizes = size(set(x) & set(y)), sorted([size(x), size(y)])
+            if shared and 140 * (shared - 1) >= 60 * (sizes[0] - 1):
+                want[i, j] = (shared, *sizes)
+    got = [((i, int(j)), (int(w), int(s), int(n))) for i, *cols in Block(b, 60, slack).alike(a) for j, w, s, n in zip(*cols)]
+    assert len(got) == len(want) and dict(got) == want
+
+
 def test_multiset_diff(spark):
     rows = [("a", 0, x) for x in "ppqr"] + [("a", 1, x) for x in "pqqs"]
     got = lineage.multiset_diff(spark.createDataFrame(rows, "agent string, k long, line string")).where("k = 1").collect()
