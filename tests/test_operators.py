@@ -297,6 +297,44 @@ def test_sets_alike_whatever_the_slack(slack):
     assert len(got) == len(want) and dict(got) == want
 
 
+def test_known_scores_are_the_whole_ratio_and_take_no_text(spark):
+    """Pairs that share words or anchors: a score where the texts are not needed, and then the whole token set ratio."""
+    import re
+
+    from stemmata.functions.fuzzy import token_set_ratio
+    from stemmata.functions.text import SPACES
+    from stemmata.operators import similarity
+
+    rng = random.Random(56)
+    pool = [f"{c}{'x' * n}" for c in "abcdefgh" for n in range(1, 9)]
+    lines = {f"{i:024x}": " ".join(rng.choices(pool, k=rng.choice([1, 2, 4, 8, 20]))) for i in range(90)}
+    lines |= {f"{200 + i:024x}": x + "\u00a0" + pool[i] for i, x in enumerate(list(lines.values())[:12])}
+    df = spark.createDataFrame(list(lines.items()), "h string, line string")
+    facts = df.where("h < '00000000000000000000001e' OR h >= '0000000000000000000000c8'").select("h")
+    side = df.select(F.unhex("h").alias("h"), similarity.size("line").alias("size"))
+    met = side.select(F.col("h").alias("fact"), F.col("size").alias("own")).join(facts.select(F.unhex("h").alias("fact")), "fact").crossJoin(side).where("fact <> h")
+    met = met.where(F.pmod(F.xxhash64("fact", "h"), F.lit(5)) == 0).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(1) + F.pmod(F.xxhash64("h"), F.lit(2)))))
+    met = met.select("fact", "h", F.lit(1).cast("long").alias("shared"), F.least("own", "size").alias("short"), F.greatest("own", "size").alias("long"), (F.col("own") + F.col("size")).isNull().alias("odd")).cache()
+    shared = {(r.fact.hex(), r.h.hex()): r["count"] for r in met.groupBy("fact", "h").count().collect()}
+    got = {(r.fact.hex(), r.h.hex()): r for r in similarity.known(met, similarity.overlapping(similarity.marked(df), similarity.marks(facts))).collect()}
+    odd = {h for h, x in lines.items() if "\u00a0" in x}
+    for f in [r.h for r in facts.collect()]:
+        for h in lines:
+            r, score = got.get((f, h)), token_set_ratio(lines[f], lines[h])
+            if f != h and not {f, h} & odd and set(lines[f].split()) & set(lines[h].split()):
+                x, y = (set(lines[k].split()) for k in (f, h))
+                n, short = len(" ".join(x & y)), min(len(" ".join(s)) for s in (x, y))
+                if 200 * n / (n + short) >= 60:
+                    assert r is not None
+            if r is not None:
+                assert r.shared == shared.get((f, h), 0) and (r.score is None or round(r.score, 9) == round(score, 9))
+                assert r.score is None or not {f, h} & odd
+            elif shared.get((f, h)):
+                assert score < 60 and shared[f, h] < 2
+    assert sum(r.score is not None for r in got.values()) > len(got) / 4 and any(r.score is None for r in got.values())
+    assert {c for c in SPACES if re.match(similarity.OTHER, c)} == set(SPACES) - set(" \t\n\x0b\x0c\r")
+
+
 def test_multiset_diff(spark):
     rows = [("a", 0, x) for x in "ppqr"] + [("a", 1, x) for x in "pqqs"]
     got = lineage.multiset_diff(spark.createDataFrame(rows, "agent string, k long, line string")).where("k = 1").collect()
