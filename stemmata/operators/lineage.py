@@ -5,6 +5,8 @@ Everything works on rows (agent, k, key); key is a line hash, a word or an ancho
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from ..functions.fuzzy import pair_lines
 from ..sources.scratch import written
 
 MIN_VERSIONS = 3
+SPAN = 64  # versions whose differences are told together
 
 
 def multiset_diff(lines: DataFrame, agent: str = "agent", k: str = "k", line: str = "line") -> DataFrame:
@@ -37,14 +40,7 @@ def paired_diff(changes: DataFrame, anchors: Column | None = None) -> DataFrame:
     def pair(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["pos", "line"])
         rep = lambda kind: [x for x, n in zip(group.line[group.change == kind], group.n[group.change == kind]) for _ in range(int(n))]
-        added, removed = rep("added"), rep("removed")
-        pairs = pair_lines(added, removed)
-        left = list(added)
-        for _, new in pairs:
-            left.remove(new)
-        olds = {old for old, _ in pairs}
-        rows = [("added", None, x) for x in left] + [("paired", o, n) for o, n in pairs] + [("vanished", x, None) for x in removed if x not in olds]
-        out = pd.DataFrame(rows, columns=["kind", "old", "new"])
+        out = pd.DataFrame(_paired(rep("added"), rep("removed")), columns=["kind", "old", "new"])
         out.insert(0, "k", group.k.iloc[0])
         out.insert(0, "agent", group.agent.iloc[0])
         return out
@@ -52,6 +48,43 @@ def paired_diff(changes: DataFrame, anchors: Column | None = None) -> DataFrame:
     return changes.groupBy("agent", "k").applyInPandas(pair, "agent string, k long, kind string, old string, new string")
 
 
+def _paired(added: list[str], removed: list[str]) -> list[tuple[str, str | None, str | None]]:
+    """kind, old, new of one difference."""
+    pairs = pair_lines(added, removed)
+    left = list(added)
+    for _, new in pairs:
+        left.remove(new)
+    olds = {old for old, _ in pairs}
+    return [("added", None, x) for x in left] + [("paired", o, n) for o, n in pairs] + [("vanished", x, None) for x in removed if x not in olds]
+
+
+def paired_versions(versions: DataFrame, span: int = SPAN) -> DataFrame:
+    """agent, k, kind, old, new: paired_diff() of the multiset_diff() of consecutive versions, from their lines in order.
+
+    versions: agent, k, lines, last: rows of one k count together, a k without rows has no lines, and nothing is told after
+    the agent's version `last`. Versions are dealt out once, `span` consecutive ones of an agent together; the last of
+    these goes to the next ones too. A line's place is its first one in the new version, or else in the old one.
+    """
+    part = F.floor(F.col("k") / span)
+    dealt = versions.where("agent IS NOT NULL AND k <= last").select("agent", "k", "lines", "last", F.explode(F.when(F.col("k") % span == span - 1, F.array(part, part + 1)).otherwise(F.array(part))).alias("part"))
+
+    def diffs(group: pd.DataFrame) -> pd.DataFrame:
+        count: dict[int, Counter[str]] = defaultdict(Counter)
+        place: dict[int, dict[str, int]] = defaultdict(dict)
+        for k, lines in zip(group.k.tolist(), group.lines):
+            count[k].update(lines)
+            for pos, x in enumerate(lines):
+                place[k][x] = min(pos, place[k].get(x, pos))
+        first, rows = int(group.part.iloc[0]) * span, []
+        for k in range(max(1, first), min(first + span - 1, int(group["last"].iloc[0])) + 1):
+            new, old, at = count[k], count[k - 1], place[k - 1] | place[k]
+            order = lambda some: [x for x in sorted(some, key=lambda x: (at[x], x)) for _ in range(some[x])]
+            rows += [(group.agent.iloc[0], k, *row) for row in _paired(order(new - old), order(old - new))]
+        return pd.DataFrame(rows, columns=["agent", "k", "kind", "old", "new"])
+
+    return dealt.groupBy("agent", "part").applyInPandas(diffs, "agent string, k long, kind string, old string, new string")
+
+
 def lives(held: DataFrame, key: str, agent: str = "agent", k: str = "k") -> DataFrame:
     """key, agent, first_k, last_k, versions."""
     return held.groupBy(key, agent).agg(F.min(k).alias("first_k"), F.max(k).alias("last_k"), F.count_distinct(k).alias("versions"))

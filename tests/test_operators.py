@@ -363,6 +363,40 @@ def test_paired_diff_accounts_for_every_line(spark):
             assert all(ratio(r.old, r.new) >= 60 for r in own if r.kind == "paired")
 
 
+@pytest.mark.parametrize("span", [1, 3, 64])
+def test_paired_versions_are_the_paired_differences(spark, span):
+    """Versions dealt out once: with repeated lines, versions without lines or rows, and two rows of one version."""
+    rng = random.Random(47)
+    words = ["river", "stone", "cloud", "ember", "field", "grain"]
+    docs = [(a, k, [" ".join(rng.choices(words, k=rng.choice([1, 4]))) for _ in range(rng.choice([0, 1, 5, 9]))]) for a in "mnop" for k in range(11) if rng.random() < 0.9]
+    docs += [("m", 4, ["river stone", "ember"]), ("q", 0, ["river"]), ("q", 1, []), (None, 0, ["river"]), (None, 1, ["cloud"])]
+    last = {a: max((k for b, k, x in docs if a == b and x), default=-1) for a in "mnopq"}
+    versions = spark.createDataFrame([(a, k, x, last.get(a, 9)) for a, k, x in docs], "agent string, k long, lines array<string>, last long").repartition(3)
+    rows = versions.select("agent", "k", F.posexplode("lines").alias("pos", "line"))
+    changes = lineage.multiset_diff(rows).where("k > 0")
+    place = rows.groupBy("agent", "k", "line").agg(F.min("pos").alias("pos"))
+    changes = changes.join(place, ["agent", "k", "line"], "left").join(place.select("agent", F.expr("k + 1 AS k"), "line", F.col("pos").alias("old")), ["agent", "k", "line"], "left").withColumn("pos", F.coalesce("pos", "old")).drop("old")
+    got, want = (sorted(map(str, df.collect())) for df in (lineage.paired_versions(versions, span), lineage.paired_diff(changes)))
+    assert got == want and len(got) > 100
+
+
+def test_versions_are_sent_twice_at_most_for_their_pairing(spark, small):
+    """Once to their number and once to their neighbours; only counts and keys go further."""
+    from stemmata.plans.lineage import line_pairing
+
+    plan = line_pairing(spark, small)._jdf.queryExecution().optimizedPlan()
+    text = str(plan.toString())
+    assert text.count("FlatMapGroupsInPandas") == 1 and "Join LeftOuter" not in text and "posexplode" not in text
+
+
+def test_has_lines_tells_whether_there_are_lines(spark):
+    from stemmata.functions.text import has_lines, lines
+
+    cases = [None, "", "ab", "---\nab", "* * *\n- a b", "abc", "ab\r\n**abc**", "**a**", "\u2028abc", "1. ab\x0b## x"]
+    rows = spark.createDataFrame([(x,) for x in cases], "x string").select(has_lines(F.col("x")), F.size(lines(F.col("x"))) > 0).collect()
+    assert all(a == b for a, b in rows) and {a for a, _ in rows} == {True, False}
+
+
 def test_disputes_count_distinct_lines(spark):
     rng = random.Random(26)
     rows = [(rng.randrange(9), f"h{rng.randrange(12)}") for _ in range(70)]
